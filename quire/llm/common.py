@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,6 +48,15 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in names])
 
 
-def id_remainder(doc_id, n: int):
+def id_remainder(doc_id, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
+    """(text, label) of about ``rows`` labelled documents at most, spread by a hash of the id, none of the held-out fold."""
+    usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    usable = usable.where(id_remainder(F.col("doc_id"), folds) != held_out)
+    share = min(1.0, rows / max(1, usable.count()))
+    picked = usable.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label")
