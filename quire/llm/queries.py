@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, quality, secret_scan, sharding, token_counts, toxicity
+from . import bpe, decontamination, jaccard_join, quality, secret_scan, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -40,5 +44,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op4_decontamination, op5_secret_scan, op6_bpe, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_jaccard_join, op4_decontamination, op5_secret_scan, op6_bpe, op9_token_counts, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
