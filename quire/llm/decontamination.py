@@ -111,6 +111,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """The documents of ``docs`` in which no window of an item occurs."""
+    found = written(phrase_matches(docs, benchmark, width).select("doc_key").distinct(), "contaminated")
+    return docs.join(small(found, BROADCAST_ROWS), F.xxhash64("doc_id", "text") == F.col("doc_key"), "left_anti")
+
+
 def digest(done: DataFrame) -> DataFrame:
     return done.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

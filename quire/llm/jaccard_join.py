@@ -257,6 +257,14 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return _named(sets, holders, components(links.union(more), "a", "b"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without those that links reach from a smaller id; of rows equal in id and text, one."""
+    first = linked(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    first = written(first, "jaccard-first").alias("f")
+    kept = docs.alias("d").join(first, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
+    return kept.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+
+
 def _named(sets: DataFrame, holders: DataFrame, joined: DataFrame) -> DataFrame:
     """Components of classes as components of documents, named by the smallest id."""
     classes = holders.join(joined.withColumnRenamed("node", "class_key"), "class_key", "left").select("class_key", "doc_id", F.coalesce("component", "class_key").alias("component"))

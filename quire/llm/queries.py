@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, jaccard_join, quality, secret_scan, sharding, token_counts, toxicity
+from . import bpe, decontamination, fingerprints, jaccard_join, language_model, quality, secret_scan, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(fingerprints.compared(table(spark, sf_dir, "documents")))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -48,5 +52,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_jaccard_join, op4_decontamination, op5_secret_scan, op6_bpe, op7_fingerprints, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_jaccard_join, op4_decontamination, op5_secret_scan, op6_bpe, op7_fingerprints, op8_language_model, op9_token_counts, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 #: The contract's patterns. Runs of 24 and 20 characters at least are the matches of the shorter
 #: patterns that pass, for those match maximal runs.
@@ -27,6 +27,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 GENERIC = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "live"]
+BROADCAST_ROWS = 100_000
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
@@ -75,15 +76,15 @@ def ownership(candidates: DataFrame, example_repositories: int, live_owners: int
     )
 
 
-def scan(docs: DataFrame, example_repositories: int = 3, live_owners: int = 1) -> DataFrame:
-    """doc_id, text, base, found (arrays of spans), n_example and n_live (spans by class) of every document."""
+def scan(docs: DataFrame, example_repositories: int = 3, live_owners: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, base, found (arrays of spans), n_example, n_live (spans by class) and ``carry`` of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select("doc_id", F.col("text"), text.alias("_text"), F.coalesce("source", F.lit("")).alias("repository"), F.xxhash64("doc_id", "text").alias("owner"))
+    read = docs.select("doc_id", F.col("text"), text.alias("_text"), F.coalesce("source", F.lit("")).alias("repository"), F.xxhash64("doc_id", "text").alias("owner"), *carry)
     based = read.withColumn("base", base_spans(F.col("_text"))).withColumn("generic", generic_spans(F.col("_text"), F.col("base")))
-    return _with_added(based.drop("_text"), example_repositories, live_owners)
+    return _with_added(based.drop("_text"), example_repositories, live_owners, carry)
 
 
-def _with_added(based: DataFrame, example_repositories: int, live_owners: int) -> DataFrame:
+def _with_added(based: DataFrame, example_repositories: int, live_owners: int, carry: tuple[str, ...]) -> DataFrame:
     candidates = based.select("owner", "repository", F.explode(F.concat("base", "generic")).alias("span")).select("owner", "repository", "span", F.xxhash64("span.value").alias("value_hash"))
     candidates = written(candidates, "secret-candidates")  # few rows, read twice
     classes = ownership(candidates, example_repositories, live_owners).select("value_hash", "class")
@@ -96,8 +97,9 @@ def _with_added(based: DataFrame, example_repositories: int, live_owners: int) -
             F.count_if((F.col("span.rank") < 3) & (F.col("class") == "live")).alias("n_live"),
         )
     )
+    added = small(written(added, "secret-added"), BROADCAST_ROWS)
     found = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
-    return based.join(added, "owner", "left").select("doc_id", "text", "base", found.alias("found"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.coalesce("n_live", F.lit(0)).alias("n_live"))
+    return based.join(added, "owner", "left").select("doc_id", "text", "base", found.alias("found"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.coalesce("n_live", F.lit(0)).alias("n_live"), *carry)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

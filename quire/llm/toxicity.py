@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import id_remainder, labelled_sample
 from .hashing import BLANK, LOWER, mix
 
 ORDERS, BITS = (4, 6, 8), 20
-SCHEMA = "doc_id long, score double"
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -110,16 +110,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features:
     return {"weights": weights, "intercept": b}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and score of every document."""
+def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` and score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([docs.schema[c] for c in carry]).add("_score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.array([logit(t.as_py(), **shared.value) for t in batch.column("text")], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], ["doc_id", "score"])
+            z = np.array([logit(t.as_py(), **shared.value) for t in batch.column("_text")], np.float64)
+            scores = pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, range(len(carry))), scores], [*carry, "_score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    read = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("_text"))
+    return read.mapInArrow(run, schema).withColumn("score", F.col("_score")).drop("_score")
 
 
 def judged(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.3, **options) -> DataFrame:
