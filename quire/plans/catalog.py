@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import extraction_queries, predicate_queries  # noqa: F401  each registers its queries
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "ext1_personal_data"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
