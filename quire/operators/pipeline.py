@@ -64,6 +64,6 @@ def leaks(docs: DataFrame, patterns: dict[str, str], text: str = "text") -> Data
 
 
 def gate(docs: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
-    """``docs`` if no text matches; the first text that does fails the job."""
-    clean = ~F.col(text).rlike(any_of(patterns))
+    """``docs`` if no text matches (null texts don't); the first text that does fails the job."""
+    clean = ~F.coalesce(F.col(text).rlike(any_of(patterns)), F.lit(False))
     return docs.withColumn(text, F.when(clean, F.col(text)).otherwise(F.raise_error(F.lit("a redacted value is still there"))))
