@@ -233,3 +233,50 @@ def ext22_stamp_formats(spark, sf_dir):
     follows = F.when(F.col("n") == F.lag("n").over(Window.partitionBy("doc_id").orderBy("page_no")) + 1, 1).otherwise(0)
     by = read.withColumn("follows", follows).groupBy("prefix", "digits").agg(F.count("*").alias("n"), F.sum("follows").alias("in_sequence"), F.countDistinct("doc_id").alias("docs"))
     return by.withColumn("score", 4 * F.col("n") + 18 * F.col("in_sequence") + 14 + F.least("digits", F.lit(8)))
+
+
+@query()
+def ext3_names(spark, sf_dir):
+    """Names by title case or, with a signal in the line, in capitals (EXT4)."""
+    from quire.operators.names import names
+
+    return names(lines(spark, sf_dir), NON_NAMES)
+
+
+@query()
+def win14_reconstructed_tables(spark, sf_dir):
+    """Cells out of positioned words: each line's words at the places that they have in print."""
+    from quire.operators.tables import reconstructed
+
+    words = lines(spark, sf_dir).where(F.col("line").contains("|")).select("doc_id", "page_no", "line_no", F.posexplode(F.split("line", r" \| ")).alias("k", "str"))
+    items = words.where("str <> ''").select("doc_id", "page_no", "str", (F.col("k") * 120.0).alias("x"), (F.col("line_no") * 12.0).alias("y"), (F.length("str") * 5.0).alias("w"), F.lit(10.0).alias("h"))
+    return reconstructed(items)
+
+
+@query()
+def fn26_bank_rows(spark, sf_dir):
+    """Every customer's orders as a statement, parsed back into typed transactions."""
+    from pyspark.sql import Window
+
+    from quire.operators.tables import bank_rows
+
+    orders = table(spark, sf_dir, "orders")
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    signed = F.when(F.col("o_orderstatus") == "F", -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    money = lambda c: F.format_number(c, 2)
+    rows = orders.withColumn("balance", F.sum(signed).over(own)).select(
+        F.col("o_custkey").alias("doc_id"), F.row_number().over(own).alias("row_no"),
+        F.array(F.date_format("o_orderdate", "MM/dd/yyyy"), F.concat(F.lit("transfer "), F.col("o_orderpriority")), money("o_totalprice"), money("balance")).alias("cells"),
+    )
+    return bank_rows(rows, 2020)
+
+
+@query()
+def ext25_entities(spark, sf_dir):
+    """Capitalised words as a stand-in for a model's entities, thresholded and merged."""
+    from quire.operators.tables import entity_spans
+
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
+    found = turns.select("doc_id", "text", F.explode(spans(F.col("text"), r"\b[A-Z][a-z]+\b")).alias("s"))
+    made = found.select("doc_id", "text", F.lit("PER").alias("type"), F.col("s.start").alias("start"), (F.col("s.start") + F.col("s.length")).alias("end"), F.lit(0.5).alias("score"))
+    return entity_spans(made, {"PER": 0.35}, 0.7)
