@@ -70,11 +70,21 @@ def condensed(rows: DataFrame, keys: list[str], page: str) -> DataFrame:
     return ends.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["s"]), ", ").alias("pages"))
 
 
-def numbered(files: DataFrame, order: str, pages: str, start: int) -> DataFrame:
-    """Continuous numbers over ``files``: first and last of each. Files are a batch that one person numbers, so one window."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.sum(pages).over(w) + start - 1
-    return files.withColumn("last_number", last).withColumn("first_number", F.col("last_number") - F.col(pages) + 1)
+def numbered(files: DataFrame, order: str, pages: str, start: int, rows_a_range: int = 100_000) -> DataFrame:
+    """Continuous numbers over ``files`` by a numeric ``order``: first and last of each.
+
+    Sums run inside ranges of the order; what lies before a range is a sum over one row a range, so no task sees all files.
+    """
+    rows, low, high = files.agg(F.count("*"), F.min(order), F.max(order)).first()
+    ranges = max(1, -(-rows // rows_a_range))
+    width = ((high - low) / ranges if rows else 0) or 1
+    ranged = files.withColumn("_range", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)).cast("bigint"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_range").agg(F.sum(pages).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("_before") + F.sum(pages).over(inside) + start - 1
+    summed = ranged.join(before, "_range").withColumn("last_number", last).drop("_range", "_before")
+    return summed.withColumn("first_number", F.col("last_number") - F.col(pages) + 1)
 
 
 def parents(rows: DataFrame, keys: list[str], order: str, level: str) -> DataFrame:

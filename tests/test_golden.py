@@ -77,3 +77,13 @@ def test_csv(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text('﻿a , b\n1,"x ""y"", z"\n , \n2,\n', encoding="utf-8")
     assert [tuple(r) for r in read_csv(spark, str(path)).collect() if any(r)] == [("1", 'x "y", z'), ("2", "")]
+
+
+def test_numbers_over_many_ranges(spark):
+    files = spark.createDataFrame([(i * i, i % 7) for i in range(200)], "k long, pages int")
+    got = [tuple(r) for r in sequence.numbered(files, "k", "pages", 5, rows_a_range=9).orderBy("k").select("first_number", "last_number").collect()]
+    at, want = 5, []
+    for i in range(200):
+        want.append((at, at + i % 7 - 1))
+        at += i % 7
+    assert got == want
