@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import id_remainder, labelled_sample
+from .common import id_remainder, labelled_sample, written
 from .hashing import BLANK, LOWER, mix
 
 ORDERS, BITS = (4, 6, 8), 20
@@ -44,12 +44,6 @@ def logit(text: str | None, weights: np.ndarray, intercept: float) -> float:
     return intercept + float(weights[np.unique(buckets[weights[buckets] != 0])].sum())
 
 
-def ratios(count0: np.ndarray, count1: np.ndarray, n0: int, n1: int) -> tuple[np.ndarray, np.ndarray]:
-    """The log-count ratio of each feature, and how far its classes differ, in standard errors."""
-    p0, p1 = (count0 + 1) / (n0 + 2), (count1 + 1) / (n1 + 2)
-    return np.log(p1 / p0), np.abs(p1 - p0) / np.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)
-
-
 def regress(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights of a logistic regression by accelerated gradient steps; ``rows`` hold the features that a text has."""
     owner, flat = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)])
@@ -66,33 +60,33 @@ def regress(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, ridge
     return w * scale, b
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features: int = 1500, folds: int = 4, held_out: int = 2, ridge: float = 3e-4, steps: int = 150) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features: int = 1500, least_texts: int = 5, folds: int = 4, held_out: int = 2, ridge: float = 3e-4, steps: int = 150) -> dict:
     sample = labelled_sample(docs, labels, "toxic", folds, held_out, sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                n[y > 0] += 1
+                n[int(y > 0)] += 1
                 counts[int(y > 0), np.unique(grams(text))] += 1
         some = np.flatnonzero(counts.sum(0))
         buckets = np.append(some, -1).astype(np.int32)  # -1: the texts themselves
         zeros, ones = np.append(counts[0, some], n[0]), np.append(counts[1, some], n[1])
         yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(zeros), pa.array(ones)], ["bucket", "zeros", "ones"])
 
-    found = sample.mapInArrow(count, "bucket int, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas()
-    texts = found[found.bucket < 0]
-    n0, n1 = int(texts.zeros.sum()), int(texts.ones.sum())
+    found = sample.mapInArrow(count, "bucket int, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    found = written(found, "toxicity-counts")
+    n0, n1 = (found.where("bucket < 0").select("zeros", "ones").first() or (0, 0))
     weights = np.zeros(1 << BITS, np.float32)
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n0 + n1 else 0.0
         return {"weights": weights, "intercept": float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))}
-    count0, count1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    held = found[found.bucket >= 0]
-    count0[held.bucket], count1[held.bucket] = held.zeros, held.ones
-    ratio, apart = ratios(count0, count1, n0, n1)
-    apart[(count0 + count1) < 3] = 0
-    chosen = np.sort(np.lexsort((np.arange(len(apart)), -apart))[:features]).astype(np.int32)
+    p0, p1 = (F.col("zeros") + 1) / (n0 + 2), (F.col("ones") + 1) / (n1 + 2)
+    apart = F.abs(p1 - p0) / F.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)  # of the classes, in standard errors
+    usual = found.where((F.col("bucket") >= 0) & (F.col("zeros") + F.col("ones") >= least_texts))
+    best = usual.select("bucket", F.log(p1 / p0).alias("ratio"), apart.alias("apart")).orderBy(F.desc("apart"), "bucket").limit(features).collect()
+    best.sort()
+    chosen, ratio = np.array([r.bucket for r in best], np.int32), np.array([r.ratio for r in best], np.float64)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, np.int32)
@@ -105,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("label")], ["features", "label"])
 
     rows = sorted((bytes(f), y) for f, y in sample.mapInArrow(extract, "features binary, label int").collect())
-    w, b = regress([np.frombuffer(f, np.int32).astype(np.int64) for f, _ in rows], np.array([float(y > 0) for _, y in rows]), ratio[chosen], ridge, steps)
+    w, b = regress([np.frombuffer(f, np.int32).astype(np.int64) for f, _ in rows], np.array([float(y > 0) for _, y in rows]), ratio, ridge, steps)
     weights[chosen] = w
     return {"weights": weights, "intercept": b}
 
