@@ -29,7 +29,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

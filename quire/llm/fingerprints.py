@@ -4,7 +4,7 @@ A text's paragraphs are its lines, long ones cut every ``LONGEST`` signs; each h
 Digests are dealt to parts by their hash, and each part has ``3 * WIDE`` cells: every digest is added to one cell of each
 third (a count, and the exclusive or of the digests). The fingerprint writes the cells out. Two versions' cells
 subtract: what both have cancels, and peeling cells that hold a single digest recovers the differing ones. If some cell
-stays, the comparison is retried with four times the parts, and again; beyond that the digests are compared directly.
+stays, that part is retried with three times the cells and other places, then nine times; beyond that its digests are compared directly.
 Likeness is common over all distinct paragraphs.
 
 Defined cases: a null text is empty and has no paragraphs; two empty texts are alike (1.0); paragraphs that repeat count
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LONGEST, WIDE, PER_PART, ROUNDS = 128, 10, 12, 10
+LONGEST, WIDE, PER_PART, ROUNDS = 192, 10, 10, 10
 CELL = "struct<n:int,x:bigint>"
 
 
@@ -34,9 +34,9 @@ def check(d: Column) -> Column:
     return F.xxhash64(d, F.lit(5)).bitwiseAND(F.lit((1 << 20) - 1))
 
 
-def placed(key: Column) -> Column:
+def placed(key: Column, seed: int = 0) -> Column:
     """A digest with its cells, one in each third, and the hash that deals it to a part."""
-    h = F.xxhash64(key)
+    h = F.xxhash64(key, F.lit(seed))
     at = lambda i: (F.pmod(F.shiftright(h, 16 * i), F.lit(WIDE)) + i * WIDE).cast("int")
     return F.struct(key.alias("k"), at(0).alias("a"), at(1).alias("b"), at(2).alias("c"), F.shiftrightunsigned(h, 50).alias("h"))
 
@@ -47,8 +47,8 @@ def let(value: Column, body) -> Column:
 
 
 def parts_for(size: Column) -> Column:
-    """The number of parts, a power of two, that leaves a part no more than PER_PART of ``size`` digests on average."""
-    return F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1), size) / F.lit(PER_PART))))).cast("int")
+    """The number of parts that leaves a part no more than PER_PART of ``size`` digests on average."""
+    return F.greatest(F.lit(1), F.ceil(size / PER_PART)).cast("int")
 
 
 def cells(keys: Column, parts: Column) -> Column:
@@ -61,56 +61,80 @@ def cells(keys: Column, parts: Column) -> Column:
 
 
 def minus(a: Column, b: Column) -> Column:
-    """Cells of one version less those of another."""
-    cell = lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["x"].bitwiseXOR(y["x"]).alias("x"))
-    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, cell))
+    """A part's cells of one version less those of another."""
+    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["x"].bitwiseXOR(y["x"]).alias("x")))
 
 
-def peeled(part: Column) -> Column:
+def peeled(part: Column, seed: int = 0) -> Column:
     """How many digests peeling recovers from the cells of a part; null if some cell stays."""
     lone = lambda c: (F.abs(c["n"]) == 1) & (check(F.shiftright(c["x"], 20)) == c["x"].bitwiseAND(F.lit((1 << 20) - 1)))
-    sign = lambda c: F.struct(c["n"].alias("n"), placed(c["x"]).alias("p"))
+    sign = lambda c: F.struct(c["n"].alias("n"), placed(c["x"], seed).alias("p"))
 
     remove = lambda c, s: F.struct((c["n"] - s["n"]).alias("n"), c["x"].bitwiseXOR(s["p"]["k"]).alias("x"))
 
     def taken(state: Column, found: Column) -> Column:
         hit = lambda i: F.filter(found, lambda s: (s["p"]["a"] == i) | (s["p"]["b"] == i) | (s["p"]["c"] == i))
-        return F.struct(F.transform(state["cells"], lambda c, i: F.aggregate(hit(i), c, remove)).alias("cells"), (state["n"] + F.size(found)).alias("n"))
+        bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
+        touched = F.aggregate(found, F.lit(0), lambda m, s: m.bitwiseOR(bit(s["p"]["a"])).bitwiseOR(bit(s["p"]["b"])).bitwiseOR(bit(s["p"]["c"])))  # 3 * WIDE bits
+        left = let(touched, lambda m: F.transform(state["cells"], lambda c, i: F.when(m.bitwiseAND(bit(i)) == 0, c).otherwise(F.aggregate(hit(i), c, remove))))
+        return F.struct(left.alias("cells"), (state["n"] + F.size(found)).alias("n"), (F.size(found) == 0).alias("done"))
 
     def step(state: Column, _: Column) -> Column:
         """All lone digests out of their cells."""
         found = F.array_distinct(F.transform(F.filter(state["cells"], lone), sign))
-        return let(found, lambda f: F.when(F.size(f) > 0, taken(state, f)).otherwise(state))
+        last = F.struct(state["cells"].alias("cells"), state["n"].alias("n"), F.lit(True).alias("done"))
+        return F.when(state["done"], state).otherwise(let(found, lambda f: F.when(F.size(f) > 0, taken(state, f)).otherwise(last)))
 
-    start = F.struct(part.cast(f"array<{CELL}>").alias("cells"), F.lit(0).alias("n"))
+    start = F.struct(part.cast(f"array<{CELL}>").alias("cells"), F.lit(0).alias("n"), F.lit(False).alias("done"))
     gone = lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["x"] == 0)), s["n"])
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, gone)
 
 
+def version(text: Column) -> Column:
+    """What is compared of a text: its placed digests, the number of parts and their cells."""
+    sized = lambda keys: F.struct(keys.alias("keys"), parts_for(2 * F.size(keys)).alias("parts"))
+    celled = lambda v: F.struct(v["keys"].alias("keys"), v["parts"].alias("parts"), cells(v["keys"], v["parts"]).alias("cells"))
+    return let(let(F.transform(digests(text), lambda d: placed(d)), sized), celled)
+
+
+def retried(own: Column) -> Column:
+    """How many digests differ between two versions of a part (x and y of ``own``), by larger sketches, or else directly."""
+
+    def larger(parts: int, seed: int) -> Column:
+        again = lambda keys: cells(F.transform(keys, lambda k: placed(k["k"], seed)), F.lit(parts))
+        counts = F.transform(F.zip_with(again(own["x"]), again(own["y"]), minus), lambda part: peeled(part, seed))
+        return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+
+    plain = lambda keys: F.transform(keys, lambda k: k["k"])
+    x, y = plain(own["x"]), plain(own["y"])
+    return F.coalesce(larger(3, 1), larger(9, 2), F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
+
+
 def differing(a: Column, b: Column, parts: Column) -> Column:
-    """How many digests only one of the two has, by peeling; null if a part can't be peeled."""
-    counts = let(parts, lambda p: F.transform(minus(cells(a, p), cells(b, p)), peeled))
+    """How many digests only one of two versions has, by peeling each part."""
+    at = lambda v: F.when(v["parts"] == parts, v["cells"]).otherwise(cells(v["keys"], parts))
+    of_part = lambda v, p: F.filter(v["keys"], lambda k: F.pmod(k["h"], parts) == p)
+    both = F.struct(at(a).alias("x"), at(b).alias("y"))
+    one = lambda s, p: F.coalesce(peeled(minus(F.get(s["x"], p), F.get(s["y"], p))), let(F.struct(of_part(a, p).alias("x"), of_part(b, p).alias("y")), retried))
+    counts = let(both, lambda s: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: one(s, p)))
     return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Common over all distinct digests of two placed arrays, by subtracting and peeling."""
-    total = F.size(a) + F.size(b)
-    parts = parts_for(total)
-    ka, kb = F.transform(a, lambda k: k["k"]), F.transform(b, lambda k: k["k"])
-    direct = F.size(F.array_except(ka, kb)) + F.size(F.array_except(kb, ka))
-    d = F.coalesce(differing(a, b, parts), differing(a, b, parts * 4), differing(a, b, parts * 16), direct)
+    """Common over all distinct digests of two versions, by subtracting and peeling."""
+    total = F.size(a["keys"]) + F.size(b["keys"])
+    d = let(F.greatest(a["parts"], b["parts"]), lambda p: differing(a, b, p))
     return F.when(total == 0, F.lit(1.0)).otherwise(let(d, lambda d: (total - d) / (total + d)))
 
 
-def sketch(keys: Column) -> Column:
+def sketch(v: Column) -> Column:
     """The fingerprint: number of parts, then every cell as count and digests."""
-    cell = lambda c: F.concat(F.hex(c["n"]), F.lit("."), F.when(c["n"] == 0, F.lit("")).otherwise(F.hex(c["x"])))
-    return let(parts_for(F.size(keys)), lambda p: F.concat_ws("|", p.cast("string"), F.array_join(F.transform(F.flatten(cells(keys, p)), cell), ",")))
+    cell = lambda c: F.when(c["n"] == 0, F.lit("0")).otherwise(F.concat(F.hex(c["n"]), F.lit("."), F.hex(c["x"])))
+    return F.concat_ws("|", v["parts"].cast("string"), F.array_join(F.transform(F.flatten(v["cells"]), cell), ","))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 4000, most_bounds: int = 256) -> DataFrame:
-    """doc_id, text and next_text: the text of the document with the next smaller id, after the last that of the first.
+def with_next(docs: DataFrame, bucket_rows: int = 1000, most_bounds: int = 256) -> DataFrame:
+    """doc_id, text, its version, next_text and next_version: those of the document with the next smaller id, after the last that of the first.
 
     Ids are split into ranges (quantiles, each in equal steps), so no task holds more than a few ranges, and the first row of
     each range is handed to the range before it.
@@ -133,26 +157,26 @@ def with_next(docs: DataFrame, bucket_rows: int = 4000, most_bounds: int = 256)
     else:
         bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
     ranged = read.withColumn("bucket", bucket)
+    dealt = ranged.repartition(2 * ranges, "bucket").withColumn("version", version(F.col("text")))
     firsts = ranged.groupBy("bucket").agg(F.max_by(F.struct("text"), F.struct("doc_id", "text")).alias("first"))
     down = Window.orderBy(F.desc("bucket"))  # over one row a range
     everything = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = firsts.select("bucket", F.coalesce(F.lead("first").over(down), F.first("first").over(everything)).alias("after"))
     order = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), F.desc("text"))
-    return (
-        ranged.withColumn("following", F.lead(F.struct("text")).over(order))
-        .join(after, "bucket")
-        .select("doc_id", "text", F.coalesce("following", "after")["text"].alias("next_text"))
-    )
+    joined = dealt.withColumn("following", F.lead(F.struct("text", "version")).over(order)).join(after, "bucket")
+    handed = F.struct(F.col("after.text").alias("text"), version(F.col("after.text")).alias("version"))
+    following = F.when(F.col("following").isNotNull(), F.col("following")).otherwise(handed)
+    return joined.select("doc_id", "text", "version", following.alias("next")).select("doc_id", "text", "version", F.col("next.text").alias("next_text"), F.col("next.version").alias("next_version"))
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited (the text with its end replaced), both fingerprints, likeness to the edited and the next text."""
     n = F.length("text")
     half = (n / 2).cast("int")
-    rows = with_next(docs).select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half)).alias("edited"))
-    keys = lambda c: F.transform(digests(F.col(c)), placed)
-    keyed = rows.select("doc_id", "n_chars", "edited", keys("text").alias("a"), keys("edited").alias("b"), keys("next_text").alias("c"))
-    return keyed.select(
+    rows = with_next(docs).select(
+        "doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half)).alias("edited"), F.col("version").alias("a"), F.col("next_version").alias("c")
+    )
+    return rows.withColumn("b", version(F.col("edited"))).select(
         "doc_id", "n_chars", "edited", sketch(F.col("a")).alias("fingerprint"), sketch(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
     )

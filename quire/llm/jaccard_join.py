@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a size-aware heavy-light join with linked groups as its result.
 
-A document's set holds its distinct word shingles (64-bit hashes). Two sets of s and t link when ``100 * common >=
+A document's set holds its distinct word shingles (48-bit hashes; counted by 64). Two sets of s and t link when ``100 * common >=
 percent * union``, that is, when they have ``need(s, t)`` in common at least. Equal sets are one class from the start.
 
 * Light sets are small: every pair of light sizes (s, t) needs a fixed number of common shingles, so each light set
@@ -10,9 +10,10 @@ percent * union``, that is, when they have ``need(s, t)`` in common at least. Eq
   ``s - need + 1`` of each, so those alone are posted.
 * The boundary is where the sum of both costs (subsets enumerated; postings times the mean list) is the lowest.
 
-Lists are joined in two rounds. In the first, each list links its members to one of them (the same in every list, as
-far as it can be), so a group of copies takes one candidate pair a member. The second round takes all pairs of a list
-whose members the verified links have not yet put in one component. Both rounds verify candidates on the whole sets.
+Lists are joined in two rounds. In the first, each list names one member as its head (the same in every list, as far as it
+can be) and each set is paired with the head that it meets most often, so a group of copies takes one candidate pair a
+member. The second round takes all pairs of a list whose members the verified links have not yet put in one component,
+if they meet in as many lists as linked sets must. Both rounds verify candidates on the whole sets.
 
 Defined cases: null texts and texts without words have empty sets, linked with nothing; rows with equal ids stay rows;
 null ids are never smallest and a class of null ids alone has a null component; repeated rows are one class; an empty
@@ -34,7 +35,9 @@ from .common import small, written
 from .components import components
 from .hashing import U64, mix, shingles, word_hashes
 
-#: shingles with hashes below 2**64 / COUNTED have their documents counted
+#: bits and bytes of a shingle's hash
+BITS, BYTES = 48, 6
+#: shingles with hashes below 2**BITS / COUNTED have their documents counted
 COUNTED = 4
 #: at most so many frequent shingles are broadcast, 8 bytes each
 MOST_FREQUENT = 2_000_000
@@ -74,17 +77,30 @@ def boundary(sizes: list[tuple[int, int]], mean_list: float, percent: int) -> in
     return chosen
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A set as bytes: first all lowest bytes, and so on."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :BYTES].T.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(blob, np.uint8).reshape(BYTES, -1).T
+    return out.view(U64).ravel()
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class_key (of equal sets; null: empty) and the sorted set as bytes, 8 a shingle."""
+    """doc_id, n_shingles, class_key (of equal sets; null: empty) and the sorted set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = [shingles(word_hashes(t.as_py()), width) for t in part.column("text")]
+                counts = [len(x) for x in sets]
+                sets = [np.unique(x >> U64(64 - BITS)) for x in sets]
                 keys = [int(mix(mix(x).sum(keepdims=True) + U64(len(x)))[0].view(np.int64)) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    [part.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(list(map(packed, sets)), pa.binary())],
                     ["doc_id", "n_shingles", "class_key", "shingles"],
                 )
 
@@ -99,8 +115,8 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, float]:
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.frombuffer(x.as_py(), U64) for x in batch.column("shingles")]
-            found = np.concatenate([np.zeros(0, U64), *[x[: np.searchsorted(x, U64((1 << 64) // COUNTED))] for x in parts]])
+            parts = [unpacked(x.as_py()) for x in batch.column("shingles")]
+            found = np.concatenate([np.zeros(0, U64), *[x[: np.searchsorted(x, U64((1 << BITS) // COUNTED))] for x in parts]])
             values, counts = np.unique(found, return_counts=True)
             for at in range(0, len(values), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(values[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)], pa.int64())], ["shingle", "n"])
@@ -125,7 +141,7 @@ def in_order(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def heavy_postings(sets: DataFrame, frequent: np.ndarray, light: int, percent: int) -> DataFrame:
-    """(shingle, class_key, size, place): the first shingles of all sets that a heavy set can link with."""
+    """(shingle, class_key, size): the first shingles of all sets that a heavy set can link with."""
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
     least = -(-percent * (light + 1) // 100)  # the smallest partner of a heavy set
 
@@ -134,19 +150,19 @@ def heavy_postings(sets: DataFrame, frequent: np.ndarray, light: int, percent: i
         for batch in batches:
             rows = []
             for key, blob in zip(batch.column("class_key").to_pylist(), batch.column("shingles"), strict=True):
-                x = np.frombuffer(blob.as_py(), U64)
+                x = unpacked(blob.as_py())
                 if len(x) < least or key in done:
                     continue
                 done.add(key)
                 first = in_order(x, shared.value)[: posted(len(x), percent)]
-                rows.append((first, np.full(len(first), key), np.full(len(first), len(x)), np.arange(len(first))))
+                rows.append((first, np.full(len(first), key), np.full(len(first), len(x))))
             if rows:
-                first, key, size, place = map(np.concatenate, zip(*rows, strict=True))
+                first, key, size = map(np.concatenate, zip(*rows, strict=True))
                 for at in range(0, len(first), 1 << 16):
                     to = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(first[to].view(np.int64)), pa.array(key[to], pa.int64()), pa.array(size[to], pa.int32()), pa.array(place[to], pa.int32())], ["shingle", "class_key", "size", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(first[to].view(np.int64)), pa.array(key[to], pa.int64()), pa.array(size[to], pa.int32())], ["shingle", "class_key", "size"])
 
-    return sets.where(F.col("class_key").isNotNull()).select("class_key", "shingles").mapInArrow(run, "shingle long, class_key long, size int, place int")
+    return sets.where(F.col("class_key").isNotNull()).select("class_key", "shingles").mapInArrow(run, "shingle long, class_key long, size int")
 
 
 def light_subsets(sets: DataFrame, light: int, percent: int) -> DataFrame:
@@ -157,7 +173,7 @@ def light_subsets(sets: DataFrame, light: int, percent: int) -> DataFrame:
         for batch in batches:
             rows = []
             for key, blob in zip(batch.column("class_key").to_pylist(), batch.column("shingles"), strict=True):
-                x = mix(np.frombuffer(blob.as_py(), U64))
+                x = mix(unpacked(blob.as_py()))
                 s = len(x)
                 if s > light or key in done:
                     continue
@@ -186,11 +202,18 @@ def light_links(subsets: DataFrame) -> DataFrame:
     return subsets.join(lists.select(*by, "a"), by).where("a <> class_key").select("a", F.col("class_key").alias("b")).distinct()
 
 
-def close_in_size(percent: int):
-    s, t = F.col("l.size"), F.col("r.size")
-    return (100 * F.least(s, t) >= percent * F.greatest(s, t)) & (
-        F.least(s - F.col("l.place"), t - F.col("r.place")) * (100 + percent) >= percent * (s + t)
-    )
+def close_in_size(s, t, percent: int):
+    return 100 * F.least(s, t) >= percent * F.greatest(s, t)
+
+
+def least_met(s, t, percent: int):
+    """In how many lists linked sets of ``s`` and ``t`` meet at least.
+
+    Of common shingles that the set with the earlier last posting doesn't meet the other in, it has posted none; so there are no
+    more of them than it has shingles unposted.
+    """
+    unposted = lambda n: F.ceil(percent * n / 100) - 1
+    return F.ceil(percent * (s + t) / (100 + percent)) - F.greatest(unposted(s), unposted(t))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +230,7 @@ def verified(pairs: DataFrame, sets: DataFrame, holders: DataFrame, percent: int
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+                x, y = unpacked(x.as_py()), unpacked(y.as_py())
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -228,14 +251,14 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     posts = heavy_postings(sets, frequent, light, percent).repartition("shingle").dropDuplicates(["shingle", "class_key"])
     # the member of a list with the least scrambled key stands for it
     of_list = Window.partitionBy("shingle")
-    head = F.min(F.struct(F.xxhash64("class_key").alias("order"), "class_key", "size", "place")).over(of_list)
+    head = F.min(F.struct(F.xxhash64("class_key").alias("order"), "class_key", "size")).over(of_list)
     lists = posts.withColumns({"n": F.count("*").over(of_list), "h": head}).where("n > 1")
-    lists = written(lists.select("shingle", "class_key", "size", "place", F.col("h.class_key").alias("head"), F.col("h.size").alias("head_size"), F.col("h.place").alias("head_place")), "jaccard-lists")
+    lists = written(lists.select("shingle", "class_key", "size", F.col("h.class_key").alias("head"), F.col("h.size").alias("head_size")), "jaccard-lists")
 
-    to_head = lists.alias("l").select(
-        F.struct("size", "place").alias("l"), F.struct(F.col("head_size").alias("size"), F.col("head_place").alias("place")).alias("r"), "class_key", "head"
-    )
-    star = to_head.where((F.col("class_key") != F.col("head")) & close_in_size(percent))
+    met = lists.where(F.col("class_key") != F.col("head")).where(close_in_size(F.col("size"), F.col("head_size"), percent))
+    met = met.groupBy("class_key", "head", "size", "head_size").agg(F.count("*").alias("met"))
+    met = met.where(4 * F.col("met") >= least_met(F.col("size"), F.col("head_size"), percent))
+    star = met.groupBy("class_key").agg(F.max_by("head", F.struct("met", "head")).alias("head"))
     star = star.select(F.least("class_key", "head").alias("a"), F.greatest("class_key", "head").alias("b")).distinct()
     links = verified(written(star, "jaccard-star"), sets, holders, percent)
     if light:
@@ -244,15 +267,14 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     joined = components(links, "a", "b")  # node, component
     placed = lists.join(joined.select(F.col("node").alias("class_key"), "component"), "class_key", "left")
-    placed = placed.select("shingle", "class_key", "size", "place", F.coalesce("component", "class_key").alias("component"))
+    placed = placed.select("shingle", "class_key", "size", F.coalesce("component", "class_key").alias("component"))
     open_lists = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     several = written(placed.join(open_lists, "shingle", "left_semi"), "jaccard-open")
-    pairs = (
-        several.alias("l")
-        .join(several.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class_key") < F.col("r.class_key")) & (F.col("l.component") != F.col("r.component")) & close_in_size(percent))
-        .select(F.col("l.class_key").alias("a"), F.col("r.class_key").alias("b"))
-        .distinct()
-    )
+    l, r = several.alias("l"), several.alias("r")
+    sizes_fit = close_in_size(F.col("l.size"), F.col("r.size"), percent)
+    apart = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class_key") < F.col("r.class_key")) & (F.col("l.component") != F.col("r.component"))
+    met = l.join(r, apart & sizes_fit).groupBy(F.col("l.class_key").alias("a"), F.col("r.class_key").alias("b"), F.col("l.size").alias("s"), F.col("r.size").alias("t")).agg(F.count("*").alias("met"))
+    pairs = met.where(F.col("met") >= least_met(F.col("s"), F.col("t"), percent)).select("a", "b")
     more = written(verified(written(pairs, "jaccard-pairs"), sets, holders, percent), "jaccard-more")
     return _named(sets, holders, components(links.union(more), "a", "b"))
 

@@ -291,3 +291,40 @@ sql_query("stream2_latest", "SELECT user_id, max(event_id) AS event_id FROM even
 @query("SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (WHERE event_type IN ('purchase', 'error')), arg_max(event_type, event_id)) AS event_type FROM events GROUP BY user_id")
 def stream3_first_terminal(spark, sf_dir):
     return feeds.first_terminal(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", ["purchase", "error"])
+
+
+# ---- fragments, votes and flows
+@query("""WITH i AS (SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS p, l_extendedprice AS e, l_linenumber * 10.0 AS x, l_linenumber * 10.0 + l_quantity / 5 AS x1 FROM lineitem),
+ g AS (SELECT *, CASE WHEN x - lag(x1) OVER (PARTITION BY page ORDER BY n, p, e) BETWEEN -5 AND 5 THEN 0 ELSE 1 END AS opens FROM i),
+ r AS (SELECT *, sum(opens) OVER (PARTITION BY page ORDER BY n, p, e ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT page, CAST(run AS BIGINT) AS run, count(*) AS fragments, min(x) AS x0, max(x1) AS x1 FROM r GROUP BY page, run""")
+def ext10_runs(spark, sf_dir):
+    """Fragments of a line that touch make one run: a wide gap opens the next."""
+    w = Window.partitionBy("page").orderBy("n", "p", "e")
+    x = F.col("l_linenumber") * 10.0
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_extendedprice").alias("e"), x.alias("x"), (x + F.col("l_quantity") / 5).alias("x1"))
+    opens = F.when((F.col("x") - F.lag("x1").over(w)).between(-5, 5), 0).otherwise(1)
+    runs = items.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("page", "run").agg(F.count("*").alias("fragments"), F.min("x").alias("x0"), F.max("x1").alias("x1"))
+
+
+_NUMERIC = r"\b(\d{1,2})[/.\-](\d{1,2})[/.\-]\d{2,4}\b"
+
+
+@query(f"""WITH v AS (SELECT doc_id, len(list_filter(regexp_extract_all(text, '{_NUMERIC}', 1), lambda x: CAST(x AS INT) > 12)) AS day_first, len(list_filter(regexp_extract_all(text, '{_NUMERIC}', 2), lambda x: CAST(x AS INT) > 12)) AS month_first FROM documents)
+ SELECT doc_id, CASE WHEN day_first > month_first THEN 'EU' WHEN month_first > day_first THEN 'US' ELSE 'open' END AS locale FROM v""")
+def fn5_date_votes(spark, sf_dir):
+    """Numbers above twelve tell days from months."""
+    votes = lambda i: F.size(F.filter(F.regexp_extract_all("text", F.lit(P.java(_NUMERIC)), F.lit(i)), lambda x: x.cast("int") > 12))
+    locale = F.when(votes(1) > votes(2), "EU").when(votes(2) > votes(1), "US").otherwise("open")
+    return table(spark, sf_dir, "documents").select("doc_id", locale.alias("locale"))
+
+
+_FLOWS = [(r"(?i)\b(?:cancel|never mind)\b", "cancel"), (r"(?i)\bredact\b.*\b(?:ssn|phone|email|name|date)s?\b", "redact-category"), (r"(?i)\bredact\b", "redact-term"), (r"(?i)\b(?:split|extract)\b.*\bpages?\b", "pages"), (r"(?i)\b(?:number|stamp|bates)\b", "number")]
+
+
+@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{f}'" for p, f in _FLOWS) + " ELSE 'none' END AS flow FROM conversations")
+def ret11_flows(spark, sf_dir):
+    """The first flow whose words a turn has."""
+    from quire.functions.values import chosen
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chosen([(F.col("text").rlike(P.java(p)), f) for p, f in _FLOWS], "none").alias("flow"))

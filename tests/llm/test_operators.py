@@ -199,7 +199,7 @@ def test_fingerprints(docs, none, spark):
     one = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: r for r in fingerprints.compared(one).collect()}
     ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    pieces = lambda t: set(re.findall(r"[^\n]{1,128}", t))
+    pieces = lambda t: set(re.findall(r"[^\n]{1,192}", t))
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for k, (i, t, *_) in enumerate(ordered):
         t, following = t or "", ordered[(k + 1) % len(ordered)][1] or ""
