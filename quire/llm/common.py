@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Meanwhile, Arrow batches of at most ``rows`` rows: wide rows in large batches cost memory outside the heap, twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most_rows`` rows (counted up to one more), else as it is."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import arrow_rows, small, written
 from .components import components
 from .hashing import U64, mix, shingles, word_hashes
 
@@ -42,6 +42,8 @@ COUNTED = 4
 #: at most so many frequent shingles are broadcast, 8 bytes each
 MOST_FREQUENT = 2_000_000
 BROADCAST_ROWS = 1_000_000
+#: rows in an Arrow batch, as a row holds a whole set or two; hashes that a worker holds before it counts them
+BATCH_ROWS, MOST_HELD = 500, 1_000_000
 
 
 def need(s: int, t: int, percent: int) -> int:
@@ -114,12 +116,20 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, float]:
     """
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            parts = [unpacked(x.as_py()) for x in batch.column("shingles")]
-            found = np.concatenate([np.zeros(0, U64), *[x[: np.searchsorted(x, U64((1 << BITS) // COUNTED))] for x in parts]])
-            values, counts = np.unique(found, return_counts=True)
-            for at in range(0, len(values), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(values[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)], pa.int64())], ["shingle", "n"])
+            for blob in batch.column("shingles"):
+                x = unpacked(blob.as_py())
+                held.append(x[: np.searchsorted(x, U64((1 << BITS) // COUNTED))].copy())
+            if sum(map(len, held)) > MOST_HELD:
+                yield from counted(held)
+                held = []
+        yield from counted(held)
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        values, counts = np.unique(np.concatenate([np.zeros(0, U64), *held]), return_counts=True)
+        for at in range(0, len(values), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(values[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)], pa.int64())], ["shingle", "n"])
 
     occurrences = sets.select(F.sum("n_shingles")).first()[0] or 0
     least = max(32, occurrences // COUNTED // MOST_FREQUENT)
@@ -242,6 +252,11 @@ def verified(pairs: DataFrame, sets: DataFrame, holders: DataFrame, percent: int
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every document."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _linked(docs, width, percent)
+
+
+def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sets = written(sets_of(docs, width), "jaccard-sets")
     holders = written(sets.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
     frequent, mean_list = frequent_shingles(sets)
