@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, small, written
@@ -37,10 +37,8 @@ from .hashing import U64, mix, shingles, word_hashes
 
 #: bits and bytes of a shingle's hash
 BITS, BYTES = 48, 6
-#: shingles with hashes below 2**BITS / COUNTED have their documents counted
-COUNTED = 4
-#: at most so many frequent shingles are broadcast, 8 bytes each
-MOST_FREQUENT = 2_000_000
+#: buckets for the shingles' frequencies: shingles in the mean bucket, bits of a bucket's number, buckets sent as one row
+BUCKET_MEAN, LEAST_BITS, MOST_BITS, CHUNK = 128, 12, 24, 1024
 BROADCAST_ROWS = 1_000_000
 #: rows in an Arrow batch, as a row holds a whole set or two; hashes that a worker holds before it counts them
 BATCH_ROWS, MOST_HELD = 500, 1_000_000
@@ -109,50 +107,68 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_key long, shingles binary")
 
 
-def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, float]:
-    """Sorted hashes, of the counted ones, that are in many documents, and the mean list of the others, as a posting sees it.
+def frequent_buckets(sets: DataFrame) -> tuple[np.ndarray, float]:
+    """Which buckets (by a hash's lowest bits) hold a shingle of many sets, and the mean list of the others, as a posting sees it.
 
-    Many: more than 32, and more than one in MOST_FREQUENT of all counted occurrences, so no more than that many exist.
+    There are about as many buckets as make the mean bucket hold BUCKET_MEAN shingles, 2**MOST_BITS at most; a bucket far above the
+    mean holds a frequent one. Tasks send their counts in chunks; these are summed as they stream by, so no group is ever held.
+    Lists vary as their buckets do: variance over mean of hashed counts is the mean list.
     """
-
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for blob in batch.column("shingles"):
-                x = unpacked(blob.as_py())
-                held.append(x[: np.searchsorted(x, U64((1 << BITS) // COUNTED))].copy())
-            if sum(map(len, held)) > MOST_HELD:
-                yield from counted(held)
-                held = []
-        yield from counted(held)
-
-    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        values, counts = np.unique(np.concatenate([np.zeros(0, U64), *held]), return_counts=True)
-        for at in range(0, len(values), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(values[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)], pa.int64())], ["shingle", "n"])
-
     occurrences = sets.select(F.sum("n_shingles")).first()[0] or 0
-    least = max(32, occurrences // COUNTED // MOST_FREQUENT)
-    seen = Observation("lists")
-    rare = F.when(F.col("n") <= least, F.col("n"))
-    lists = sets.select("shingles").mapInArrow(low, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = lists.observe(seen, F.sum(rare).alias("n"), F.sum(rare * rare).alias("n2")).where(F.col("n") > least).select("shingle").toArrow()
-    mean_list = (seen.get["n2"] or 0) / (seen.get["n"] or 1)
-    return np.sort(found.column(0).to_numpy().view(U64)), mean_list
+    bits = min(MOST_BITS, max(LEAST_BITS, (occurrences // BUCKET_MEAN).bit_length()))
+    mean = occurrences / (1 << bits)
+    most = 2 * mean + 32
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, done = np.zeros(1 << bits, np.int32), [], set()
 
-def in_order(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        def add() -> None:
+            found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            counts[found] += n.astype(np.int32)
+            held.clear()
+
+        for batch in batches:
+            for key, blob in zip(batch.column("class_key").to_pylist(), batch.column("shingles"), strict=True):
+                if key not in done:  # copies count once a task
+                    done.add(key)
+                    held.append((unpacked(blob.as_py()) & U64((1 << bits) - 1)).astype(np.int64))
+            if sum(map(len, held)) > MOST_HELD:
+                add()
+        add()
+        chunks = counts.reshape(-1, CHUNK)
+        some = np.flatnonzero(chunks.any(1))
+        planes = [chunks[k].view(np.uint8).reshape(-1, 4).T.tobytes() for k in some]  # mostly zeros, for the codec
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(planes, pa.binary())], ["chunk", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+                part = np.ascontiguousarray(np.frombuffer(blob.as_py(), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+                sums[chunk] = sums.get(chunk, 0) + part.astype(np.int64)
+        light = [x[x <= most].astype(float) for x in sums.values()]
+        columns = (list(sums), [np.packbits(x > most).tobytes() for x in sums.values()], [float(x.sum()) for x in light], [float((x * x).sum()) for x in light])
+        kinds = (pa.int32(), pa.binary(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk", "often", "n", "n2"])
+
+    counted = sets.where(F.col("class_key").isNotNull()).select("class_key", "shingles").mapInArrow(count, "chunk int, counts binary")
+    rows = counted.repartition("chunk").mapInArrow(total, "chunk int, often binary, n double, n2 double").collect()  # a bit a bucket
+    often = np.zeros((1 << bits) // CHUNK * CHUNK, bool).reshape(-1, CHUNK)
+    for row in rows:
+        often[row.chunk] = np.unpackbits(np.frombuffer(bytes(row.often), np.uint8)).astype(bool)
+    n, n2 = sum(r.n for r in rows), sum(r.n2 for r in rows)
+    return often.ravel(), max(1.0, n2 / n - n / (1 << bits)) if n else 1.0
+
+
+def in_order(x: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The set ``x`` with its frequent shingles last; hashes go up otherwise."""
-    if not len(frequent) or not len(x):
-        return x
-    at = np.searchsorted(frequent, x)
-    often = frequent[np.minimum(at, len(frequent) - 1)] == x
-    return np.concatenate([x[~often], x[often]])
+    late = often[(x & U64(len(often) - 1)).astype(np.int64)]
+    return np.concatenate([x[~late], x[late]])
 
 
-def heavy_postings(sets: DataFrame, frequent: np.ndarray, light: int, percent: int) -> DataFrame:
+def heavy_postings(sets: DataFrame, often: np.ndarray, light: int, percent: int) -> DataFrame:
     """(shingle, class_key, size): the first shingles of all sets that a heavy set can link with."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+    shared = sets.sparkSession.sparkContext.broadcast(often)
     least = -(-percent * (light + 1) // 100)  # the smallest partner of a heavy set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +275,11 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sets = written(sets_of(docs, width), "jaccard-sets")
     holders = written(sets.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-    frequent, mean_list = frequent_shingles(sets)
+    often, mean_list = frequent_buckets(sets)
     sizes = [(int(s), int(n)) for s, n in sets.where(F.col("n_shingles").between(1, 64)).groupBy("n_shingles").count().collect()]
     light = boundary(sizes, mean_list, percent)
 
-    posts = heavy_postings(sets, frequent, light, percent).repartition("shingle").dropDuplicates(["shingle", "class_key"])
+    posts = heavy_postings(sets, often, light, percent).repartition("shingle").dropDuplicates(["shingle", "class_key"])
     # the member of a list with the least scrambled key stands for it
     of_list = Window.partitionBy("shingle")
     head = F.min(F.struct(F.xxhash64("class_key").alias("order"), "class_key", "size")).over(of_list)
