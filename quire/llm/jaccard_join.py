@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a size-aware heavy-light join with linked groups as its result.
 
-A document's set holds its distinct word shingles (48-bit hashes; counted by 64). Two sets of s and t link when ``100 * common >=
+A document's set holds its distinct word shingles (48-bit hashes). Two sets of s and t link when ``100 * common >=
 percent * union``, that is, when they have ``need(s, t)`` in common at least. Equal sets are one class from the start.
 
 * Light sets are small: every pair of light sizes (s, t) needs a fixed number of common shingles, so each light set
