@@ -2,14 +2,15 @@
 
 Each text is searched for the base kinds (assign, access, hex) and for generic tokens that mix letters of both cases and
 digits. The hash of every candidate's value is aggregated over the corpus by distinct repositories (``source``) and
-owners (documents). A value in at least ``example_repositories`` repositories is a widely copied example; one with a
-single repository and at most ``live_owners`` owners looks live. Generic tokens that look live and overlap no base span
-are added as spans of kind ``live``; base spans always stay.
+owners (classes of equal texts, so copies count once), both exactly. A value in at least ``example_repositories``
+repositories is a widely copied example; below that, one with a single repository, or at most ``live_owners`` owners,
+looks live, and any other is shared. Generic tokens that look live and overlap no base span are added as spans of kind
+``live``; those that are shared are reported apart from them, not added; base spans always stay.
 
 Positions come from splitting a text at its matches and adding up lengths, in code points, end exclusive.
 
-Defined cases: a null text is empty; a null source counts as a repository of its own name; rows with the same id and
-text are one owner and get the same spans; an empty table gives an empty result; extra columns are not read.
+Defined cases: a null text is empty; a null source counts as a repository of its own name; rows with the same text
+are one owner and get the same spans; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ ASSIGN_HINT = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 GENERIC = r"[A-Za-z0-9+/_=-]{20,}"
-KINDS = ["assign", "access", "hex", "live"]
-BROADCAST_ROWS = 100_000
+KINDS = ["assign", "access", "hex", "live", "shared"]
+CLASSES = ["example", "live", "shared"]
+BROADCAST_ROWS, SALTS = 100_000, 32
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
@@ -68,47 +70,49 @@ def written_out(found: Column) -> Column:
 
 def ownership(candidates: DataFrame, example_repositories: int, live_owners: int) -> DataFrame:
     """For each value: n_repositories, n_owners and its class (example, live or shared)."""
-    counted = candidates.groupBy("value_hash", "repository").agg(F.approx_count_distinct("owner").alias("about"), F.min("owner").alias("least"), F.max("owner").alias("most"))
-    owners = F.when((F.min("least") == F.max("most")), F.lit(1)).otherwise(F.greatest(F.lit(2), F.sum("about")))
-    return counted.groupBy("value_hash").agg(F.count("*").alias("n_repositories"), owners.alias("n_owners")).withColumn(
+    counted = candidates.groupBy("value_hash").agg(F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
+    return counted.withColumn(
         "class",
-        F.when(F.col("n_repositories") >= example_repositories, "example").when((F.col("n_repositories") == 1) & (F.col("n_owners") <= live_owners), "live").otherwise("shared"),
+        F.when(F.col("n_repositories") >= example_repositories, "example").when((F.col("n_repositories") == 1) | (F.col("n_owners") <= live_owners), "live").otherwise("shared"),
     )
 
 
 def scan(docs: DataFrame, example_repositories: int = 3, live_owners: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, base, found (arrays of spans), n_example, n_live (spans by class) and ``carry`` of every document."""
+    """doc_id, text, base, found, shared (arrays of spans), n_example, n_live, n_shared (base spans by class) and ``carry`` of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select("doc_id", F.col("text"), text.alias("_text"), F.coalesce("source", F.lit("")).alias("repository"), F.xxhash64("doc_id", "text").alias("owner"), *carry)
+    read = docs.select("doc_id", F.col("text"), text.alias("_text"), F.coalesce("source", F.lit("")).alias("repository"), F.xxhash64("text").alias("owner"), *carry)
     based = read.withColumn("base", base_spans(F.col("_text"))).withColumn("generic", generic_spans(F.col("_text"), F.col("base")))
     return _with_added(based.drop("_text"), example_repositories, live_owners, carry)
 
 
 def _with_added(based: DataFrame, example_repositories: int, live_owners: int, carry: tuple[str, ...]) -> DataFrame:
-    candidates = based.select("owner", "repository", F.explode(F.concat("base", "generic")).alias("span")).select("owner", "repository", "span", F.xxhash64("span.value").alias("value_hash"))
+    candidates = based.select("owner", "repository", F.explode(F.concat("base", "generic")).alias("span")).distinct().select("owner", "repository", "span", F.xxhash64("span.value").alias("value_hash"))
     candidates = written(candidates, "secret-candidates")  # few rows, read twice
     classes = ownership(candidates, example_repositories, live_owners).select("value_hash", "class")
-    added = (
-        candidates.join(classes, "value_hash")
-        .groupBy("owner")
-        .agg(
-            F.array_distinct(F.collect_list(F.when((F.col("span.rank") == 3) & (F.col("class") == "live"), F.col("span")))).alias("added"),
-            F.count_if((F.col("span.rank") < 3) & (F.col("class") == "example")).alias("n_example"),
-            F.count_if((F.col("span.rank") < 3) & (F.col("class") == "live")).alias("n_live"),
-        )
-    )
-    added = small(written(added, "secret-added"), BROADCAST_ROWS)
-    found = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
-    return based.join(added, "owner", "left").select("doc_id", "text", "base", found.alias("found"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.coalesce("n_live", F.lit(0)).alias("n_live"), *carry)
+    generic = lambda kind: F.collect_list(F.when((F.col("span.rank") == 3) & (F.col("class") == kind), F.col("span")))
+    count = lambda kind: F.count_if((F.col("span.rank") < 3) & (F.col("class") == kind)).alias(f"n_{kind}")
+    added = candidates.select("owner", "span", "value_hash").distinct().join(classes, "value_hash")
+    added = added.groupBy("owner").agg(generic("live").alias("added"), generic("shared").alias("shared"), *map(count, CLASSES))
+    added, by = written(added, "secret-added"), ["owner"]
+    few = small(added, BROADCAST_ROWS)
+    if few is added:  # joined by shuffling, where the copies of one text must not all go to one task
+        by = ["owner", "salt"]
+        few = added.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        based = based.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    none = F.array().cast(SPAN)
+    found = F.array_sort(F.concat("base", F.coalesce("added", none)))
+    shared = F.array_sort(F.transform(F.coalesce("shared", none), lambda s: s.withField("rank", F.lit(4))))
+    counts = [F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}") for c in CLASSES]
+    return based.join(few, by, "left").select("doc_id", "text", "base", found.alias("found"), shared.alias("shared"), *counts, *carry)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Counts, the digest of the base spans and all spans written out."""
+    """Counts, the digest of the base spans, and all spans and the shared tokens written out."""
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return scanned.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(written_out(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        written_out(F.col("found")).alias("spans"), "n_example", "n_live",
+        written_out(F.col("found")).alias("spans"), "n_example", "n_live", "n_shared", written_out(F.col("shared")).alias("shared_spans"),
     )
 
 

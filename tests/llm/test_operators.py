@@ -110,6 +110,21 @@ def test_secret_scan(docs, none, spark):
     assert scanned == "[SECRET] and [SECRET] plus [SECRET]"
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_secret_owners(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", broadcast)
+    copy, filed, shared, moved = ("Zx9" + c * 7 for c in ("aB3", "cD4", "eF5", "gH6"))
+    rows = [(1, f"see {copy}", "a"), (2, f"see {copy}", "a"), (3, f"one {filed}", "b"), (4, f"two {filed}", "b")]
+    rows += [(5, f"one {shared}", "a"), (6, f"two {shared}", "b"), (7, f"key {moved}", "a"), (8, f"key {moved}", "b")]
+    rows += [(9, "secret: hunter2222", "a")] * 2
+    done = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert {i: r.spans for i, r in done.items()} == {i: "" if i in (5, 6) else "assign:0:18" if i == 9 else f"live:4:{4 + len(copy)}" for i in range(1, 10)}
+    assert {i for i, r in done.items() if r.shared_spans} == {5, 6} and done[5].shared_spans == f"shared:4:{4 + len(shared)}"
+    assert (done[9].n_example, done[9].n_live, done[9].n_shared) == (0, 1, 0)
+    classes = secret_scan.ownership(spark.createDataFrame([(1, "a", k) for k in range(50)] + [(1, "b", 50), (2, "a", 1), (2, "b", 2)], "value_hash long, repository string, owner long"), 3, 2)
+    assert {r.value_hash: (r.n_owners, r["class"]) for r in classes.collect()} == {1: (51, "shared"), 2: (2, "live")}
+
+
 def windows_by_hand(items, width):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(low))
