@@ -2,9 +2,10 @@
 
 The training texts' tokens are postings (term, document, position). A first pass over them gives each test term's list
 length. Every window of a benchmark item then names its rarest term; only the lists of those terms are kept, each
-posting with the tokens around it. Offset-adjusted (position minus the term's offset in the window), a posting is a
+posting with the tokens around it, in a table that both kinds of matches read. Offset-adjusted (position minus the term's offset in the window), a posting is a
 start at which the lists of the window's other terms are intersected in order of rarity: exact matches are the starts
-at which all of them meet. Proximity matches ask that an item's rarest terms lie within a span, in any order.
+at which all of them meet. Proximity matches ask that an item's rarest terms lie within a span, in any order; terms that
+the texts don't have are left out, so an item with one term left matches where that term is.
 
 Defined cases: null and empty texts have no words and match nothing; an item without words occurs nowhere; an item of
 fewer words than a window is one window; rows with the same id and text count once in the index and each get the result;
@@ -62,12 +63,16 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     return tokens.join(small(terms, BROADCAST_ROWS), "term").select("term", "doc_key", "position", left.alias("left"), around.alias("context"))
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+def near_terms(benchmark: DataFrame, lengths: DataFrame, rarest: int) -> DataFrame:
+    """(item_id, term): the ``rarest`` terms of each item among those with postings."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.explode(words_of(F.col("text"))).alias("term")).distinct()
+    order = Window.partitionBy("item_id").orderBy("n", "term")
+    found = items.join(lengths.where("n > 0"), "term").withColumn("place", F.row_number().over(order))
+    return found.where(F.col("place") <= rarest).select("item_id", "term")
+
+
+def phrases(index: DataFrame, of_items: DataFrame, anchors: DataFrame) -> DataFrame:
     """Distinct (doc_key, item_id, start, length): exact occurrences of the items' windows, start from 0."""
-    of_items = written(windows(benchmark, width), "windows")
-    terms = of_items.select(F.explode("window").alias("term")).distinct()
-    anchors = written(anchored(of_items, list_lengths(docs, terms)), "anchors")
-    index = postings(docs, anchors.select("term").distinct(), width - 1)
     first = F.col("left") - F.col("offset")  # of the window, in the context
     meets = F.forall("by_rarity", lambda o: F.get("context", first + o) == F.get("window", o))
     starts = (
@@ -78,19 +83,34 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
     return starts.join(small(of_items, BROADCAST_ROWS), "window").select("doc_key", "item_id", "start", "length").distinct()
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int = 20, rarest: int = 3) -> DataFrame:
-    """(doc_key, item_id): documents in which the item's ``rarest`` terms lie within ``span`` tokens, in any order."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-    lengths = list_lengths(docs, items.select("term").distinct())
-    order = Window.partitionBy("item_id").orderBy("n", "term")
-    needed = written(items.join(lengths, "term").withColumn("place", F.row_number().over(order)).where(F.col("place") <= rarest).select("item_id", "term"), "near-terms")
+def near(index: DataFrame, needed: DataFrame, span: int) -> DataFrame:
+    """Distinct (doc_key, item_id): documents in which all terms ``needed`` for the item lie within ``span`` tokens, in any order."""
     sizes = needed.groupBy("item_id").agg(F.count("*").alias("needed"))
-    at = keyed(docs).select("doc_key", F.posexplode("words").alias("position", "term")).join(small(needed, BROADCAST_ROWS), "term").distinct()
+    at = index.select("doc_key", "position", "term").join(small(needed, BROADCAST_ROWS), "term").distinct()
     close = Window.partitionBy("doc_key", "item_id").orderBy("position").rangeBetween(-(span - 1), 0)
     met = at.withColumn("met", F.size(F.collect_set("term").over(close)))
     return met.join(small(sizes, BROADCAST_ROWS), "item_id").where(F.col("met") == F.col("needed")).select("doc_key", "item_id").distinct()
 
 
+def windows_and_lengths(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    of_items = written(windows(benchmark, width), "windows")
+    terms = of_items.select(F.explode("window").alias("term")).distinct()
+    return of_items, written(list_lengths(docs, terms), "list-lengths")
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """Distinct (doc_key, item_id, start, length): exact occurrences of the items' windows, start from 0."""
+    of_items, lengths = windows_and_lengths(docs, benchmark, width)
+    anchors = written(anchored(of_items, lengths), "anchors")
+    return phrases(postings(docs, anchors.select("term").distinct(), width - 1), of_items, anchors)
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int = 20, rarest: int = 3) -> DataFrame:
+    """(doc_key, item_id): documents in which the item's ``rarest`` terms lie within ``span`` tokens, in any order."""
+    needed = written(near_terms(benchmark, windows_and_lengths(docs, benchmark, 1)[1], rarest), "near-terms")
+    return near(postings(docs, needed.select("term").distinct(), 0), needed, span)
+
+
 def hits(matches: DataFrame) -> DataFrame:
     """Per document: n_hit (positions inside any occurrence) and the sorted item ids."""
     before = Window.partitionBy("doc_key").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,13 +121,19 @@ def hits(matches: DataFrame) -> DataFrame:
     return covered.join(items, "doc_key")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """``docs`` with n_words, n_hit and items (sorted item ids with occurring windows)."""
-    kept = without(docs, ["n_words", "n_hit", "items", "doc_key"])
-    found = hits(phrase_matches(docs, benchmark, width))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, span: int = 20, rarest: int = 3) -> DataFrame:
+    """``docs`` with n_words, n_hit, items (sorted ids of items with occurring windows) and near_items (with proximity matches)."""
+    kept = without(docs, ["n_words", "n_hit", "items", "near_items", "doc_key"])
+    of_items, lengths = windows_and_lengths(docs, benchmark, width)
+    anchors = written(anchored(of_items, lengths), "anchors")
+    needed = written(near_terms(benchmark, lengths, rarest), "near-terms")
+    index = written(postings(docs, anchors.select("term").union(needed.select("term")).distinct(), width - 1), "postings")
+    close = near(index, needed, span).groupBy("doc_key").agg(F.array_sort(F.collect_set("item_id")).alias("near_items"))
+    found = hits(phrases(index, of_items, anchors)).join(close, "doc_key", "full")
     counted = kept.withColumns({"doc_key": F.xxhash64("doc_id", "text"), "n_words": F.size(words_of(F.col("text"))).cast("long")})
+    ids = lambda name: F.coalesce(name, F.array().cast("array<string>"))
     return counted.join(found, "doc_key", "left").drop("doc_key").withColumns(
-        {"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))}
+        {"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": ids("items"), "near_items": ids("near_items")}
     )
 
 
@@ -121,4 +147,5 @@ def digest(done: DataFrame) -> DataFrame:
     return done.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.concat_ws(",", "near_items").cast("binary"), 256).alias("near_items_sha256"),
     )

@@ -158,6 +158,14 @@ def test_decontamination(docs, none, spark):
     assert sorted(r.doc_id for r in decontamination.clean(near, rare).collect()) == [1, 2, 3]
 
 
+def test_proximity(spark):
+    near = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha " + "z " * 30 + "beta gamma"), (3, "gamma beta alpha"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Alpha absent beta gamma missing"), (2, "nothing here"), (3, "x y")], "item_id long, text string")
+    done = decontamination.decontaminate(near, items)
+    assert {r.doc_id: (r.n_hit, r["items"], r.near_items) for r in done.collect()} == {1: (0, [], ["1", "3"]), 2: (0, [], []), 3: (0, [], ["1"]), 4: (0, [], [])}
+    assert {r.doc_id: (r.n_near_items, r.contaminated) for r in decontamination.digest(done).collect()} == {1: (2, False), 2: (0, False), 3: (1, False), 4: (0, False)}
+
+
 def components_by_hand(rows, width, percent):
     sets = []
     for _, t in rows:
