@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, small, written
@@ -88,8 +88,12 @@ def unpacked(blob: bytes) -> np.ndarray:
     return out.view(U64).ravel()
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("row_key")
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class_key (of equal sets; null: empty) and the sorted set as bytes."""
+    """doc_id, row_key (of id and text), n_shingles, class_key (of equal sets; null: empty) and the sorted set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +104,11 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
                 sets = [np.unique(x >> U64(64 - BITS)) for x in sets]
                 keys = [int(mix(mix(x).sum(keepdims=True) + U64(len(x)))[0].view(np.int64)) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(list(map(packed, sets)), pa.binary())],
-                    ["doc_id", "n_shingles", "class_key", "shingles"],
+                    [part.column("doc_id").cast(pa.int64()), part.column("row_key"), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(list(map(packed, sets)), pa.binary())],
+                    ["doc_id", "row_key", "n_shingles", "class_key", "shingles"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_key long, shingles binary")
+    return docs.select("doc_id", "text", row_key()).mapInArrow(run, "doc_id long, row_key long, n_shingles long, class_key long, shingles binary")
 
 
 def frequent_buckets(sets: DataFrame) -> tuple[np.ndarray, float]:
@@ -269,7 +273,7 @@ def verified(pairs: DataFrame, sets: DataFrame, holders: DataFrame, percent: int
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every document."""
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        return _linked(docs, width, percent)
+        return _linked(docs, width, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -311,18 +315,24 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those that links reach from a smaller id; of rows equal in id and text, one."""
-    first = linked(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = written(first, "jaccard-first").alias("f")
-    kept = docs.alias("d").join(first, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return kept.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    """One row of each component of ``docs``: of the smallest id (nulls last), then of the least hash of id and text.
+
+    A text without words is linked with nothing and stays; of rows equal in id and text, one does.
+    """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        placed = _linked(docs, width, percent)
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))["row_key"].alias("_row_key")
+        first = placed.where("component IS NOT NULL").groupBy("component").agg(least).select("_row_key")
+        first = written(first.union(placed.where("component IS NULL").select("row_key")).distinct(), "jaccard-first")
+    single = docs.withColumn("_row_key", row_key()).dropDuplicates(["_row_key"])
+    return single.join(first, "_row_key", "left_semi").drop("_row_key")
 
 
 def _named(sets: DataFrame, holders: DataFrame, joined: DataFrame) -> DataFrame:
-    """Components of classes as components of documents, named by the smallest id."""
+    """Components of classes as components of documents, named by the smallest id; component: a class key (null: empty text)."""
     classes = holders.join(joined.withColumnRenamed("node", "class_key"), "class_key", "left").select("class_key", "doc_id", F.coalesce("component", "class_key").alias("component"))
     names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = classes.join(names, "component").select("class_key", "component_id")
-    found = sets.select("doc_id", "n_shingles", "class_key").join(of_class, "class_key", "left")
+    of_class = classes.join(names, "component").select("class_key", "component", "component_id")
+    found = sets.select("doc_id", "row_key", "n_shingles", "class_key").join(of_class, "class_key", "left")
     own = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"))
+    return found.select("doc_id", "row_key", "n_shingles", "component", own.alias("component_id"))

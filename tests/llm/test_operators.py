@@ -202,6 +202,14 @@ def test_jaccard_join(docs, none, spark, width, percent):
     assert jaccard_join.linked(none, width, percent).count() == 0
 
 
+def test_one_of_each_without_ids(spark):
+    copy, other, pair, lone = (sentence(60) for _ in range(4))
+    rows = [(1, copy), (None, copy), (None, copy + " x"), (None, other), (None, other + " y"), (5, pair), (5, pair + " z"), (5, lone), (None, None), (None, ""), (6, ""), (6, "")]
+    kept = [tuple(r) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sum(t in (other, other + " y") for _, t in kept) == 1 and sum(t in (pair, pair + " z") for _, t in kept) == 1
+    assert {r for r in kept if r[1] in (copy, copy + " x", lone, None, "")} == {(1, copy), (5, lone), (None, None), (None, ""), (6, "")} and len(kept) == 7
+
+
 def test_light_and_heavy():
     assert jaccard_join.boundary([(5, 10), (12, 10), (40, 10)], 30.0, 85) >= 12
     assert jaccard_join.boundary([(40, 10)], 1.0, 85) == 0
