@@ -6,24 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def contained_needles(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str, block: int = 500) -> DataFrame:
+def contained_needles(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str, block: int = 500, encoded: bool = False) -> DataFrame:
     """(text_id, needle_id) where the needle (three signs at least, any case) is part of the text.
 
-    The needles are a query set: they come to the driver a block at a time and each block is one pass over the texts, inside the
-    row, so no pair is formed unless it matches.
+    ``encoded``: the needle as it is written, its UTF-8 or UTF-16BE bytes as hexadecimal digits (any case), or its UTF-16BE bytes as
+    signs. The needles are a query set: they come to the driver a block at a time and each block is one pass over the texts, inside
+    the row, so no pair is formed unless it matches.
     """
     found = None
-    wanted = needles.where(F.length("text") >= 3).select(F.col(needle_id).cast("bigint").alias(needle_id), F.lower("text").alias("needle")).distinct()
+    needle = F.col("text") if encoded else F.lower("text")
+    wanted = needles.where(F.length("text") >= 3).select(F.col(needle_id).cast("bigint").alias(needle_id), needle.alias("needle")).distinct()
     rows = list(wanted.toLocalIterator())
     for at in range(0, max(1, len(rows)), block):
-        held = [F.struct(F.lit(r[0]).alias("id"), F.lit(r[1]).alias("needle")) for r in rows[at : at + block]]
-        known = F.array(*held) if held else F.array().cast("array<struct<id:bigint,needle:string>>")
-        low = texts.select(text_id, F.lower("text").alias("_low"))
-        hits = low.select(text_id, F.explode(F.filter(known, lambda n: F.col("_low").contains(n["needle"]))).alias("n")).select(text_id, F.col("n.id").alias(needle_id))
+        held = [F.struct(F.lit(r[0]).alias("id"), *_forms(r[1], encoded)) for r in rows[at : at + block]]
+        known = F.array(*held) if held else F.array().cast("array<struct<id:bigint,exact:array<string>,low:array<string>>>")
+        both = texts.select(text_id, F.col("text").alias("_text"), F.lower("text").alias("_low"))
+        within = lambda text, forms: F.exists(forms, lambda f: F.col(text).contains(f))
+        hits = both.select(text_id, F.explode(F.filter(known, lambda n: within("_low", n["low"]) | within("_text", n["exact"]))).alias("n")).select(text_id, F.col("n.id").alias(needle_id))
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
+def _forms(needle: str, encoded: bool) -> tuple[Column, Column]:
+    """What to look for in a text, and in the text in lower case."""
+    wide = needle.encode("utf-16-be")
+    exact, low = ([needle, wide.decode("latin-1")], [needle.encode().hex(), wide.hex()]) if encoded else ([], [needle])
+    strings = lambda found: F.array(*map(F.lit, found)).cast("array<string>")
+    return strings(exact).alias("exact"), strings(low).alias("low")
+
+
 def first_meeting_box(targets: DataFrame, boxes: DataFrame) -> DataFrame:
     """page, target, box: the first box (by number) on the page that the target rectangle overlaps."""
     t, b = targets.alias("t"), boxes.alias("b")

@@ -25,9 +25,8 @@ def join5_leaks(spark, sf_dir):
 
 @query("SELECT d.doc_id, CAST(b.item_id AS BIGINT) AS item_id FROM documents d JOIN benchmark b ON length(b.text) >= 3 AND contains(hex(d.text), hex(b.text))")
 def join6_encoded_leaks(spark, sf_dir):
-    """The same on the bytes, written as hexadecimal digits on both sides."""
-    as_hex = lambda name: table(spark, sf_dir, name).withColumn("text", F.hex("text"))
-    return joins.contained_needles(as_hex("documents"), as_hex("benchmark"), "doc_id", "item_id")
+    """Needles in any text as they are, as hexadecimal digits, as UTF-16BE, or as hexadecimal digits of that."""
+    return joins.contained_needles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", encoded=True)
 
 
 
