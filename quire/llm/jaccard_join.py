@@ -11,9 +11,12 @@ percent * union``, that is, when they have ``need(s, t)`` in common at least. Eq
 * The boundary is where the sum of both costs (subsets enumerated; postings times the mean list) is the lowest.
 
 Lists are joined in two rounds. In the first, each list names one member as its head (the same in every list, as far as it
-can be) and each set is paired with the head that it meets most often, so a group of copies takes one candidate pair a
-member. The second round takes all pairs of a list whose members the verified links have not yet put in one component,
-if they meet in as many lists as linked sets must. Both rounds verify candidates on the whole sets.
+can be) and each set goes to the cluster of the head that it meets most often. A cluster is cut into blocks of bounded
+bytes and sets, each with the head; a block's sets are compared with each other exactly, within one Arrow call, which
+returns no more links than hold its linked sets together. Clusters of several blocks that these links leave in pieces are
+compared block by block. The second round takes the pairs of a list whose members lie in different clusters and
+components, if they meet in as many lists as linked sets must, and verifies these on the whole sets. So a group of
+near copies makes rows in proportion to its members, whether all of them link or few do.
 
 Defined cases: null texts and texts without words have empty sets, linked with nothing; rows with equal ids stay rows;
 null ids are never smallest and a class of null ids alone has a null component; repeated rows are one class; an empty
@@ -40,6 +43,10 @@ BITS, BYTES = 48, 6
 #: buckets for the shingles' frequencies: shingles in the mean bucket, bits of a bucket's number, buckets sent as one row
 BUCKET_MEAN, LEAST_BITS, MOST_BITS, CHUNK = 128, 12, 24, 1024
 BROADCAST_ROWS = 1_000_000
+#: what a candidate costs, with its two sets, in rows of a list or subsets
+CANDIDATE = 4
+#: bytes and sets in a block of a cluster
+BLOCK_BYTES, BLOCK_SETS = 4 << 20, 4096
 #: rows in an Arrow batch, as a row holds a whole set or two; hashes that a worker holds before it counts them
 BATCH_ROWS, MOST_HELD = 500, 1_000_000
 
@@ -71,7 +78,7 @@ def boundary(sizes: list[tuple[int, int]], mean_list: float, percent: int) -> in
         enumerated = subset_cost(s, percent)
         if s > 64 or enumerated > 100_000:
             break
-        cost += n * (enumerated - posted(s, percent) * (1 + mean_list))
+        cost += n * (enumerated - posted(s, percent) * (1 + CANDIDATE * mean_list))
         if cost <= best:
             best, chosen = cost, s
     return chosen
@@ -270,6 +277,92 @@ def verified(pairs: DataFrame, sets: DataFrame, holders: DataFrame, percent: int
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def joined_in_block(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each of ``sets`` (sorted, distinct) the first set of its component by the links among them.
+
+    Sets are held as their differences from what more than half of them contain; common = (s + t - differences) / 2.
+    """
+    n = len(sets)
+    label, pieces = np.arange(n), n
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    usual = 2 * count > n
+    place = np.cumsum(usual) - 1
+    lacks = np.ones((n, int(usual.sum())), bool)
+    of_usual = usual[column]
+    lacks[owner[of_usual], place[column[of_usual]]] = False
+    apart = lacks.sum(1) + np.bincount(owner[~of_usual], minlength=n)
+    lone, gap = np.nonzero(lacks)
+    recurs = ~of_usual & (count[column] > 1)
+    owners, columns = np.concatenate([owner[recurs], lone]), np.concatenate([column[recurs], len(count) + gap])
+    by_column = np.argsort(columns, kind="stable")
+    held = owners[by_column]
+    found, first, many = np.unique(columns[by_column], return_index=True, return_counts=True)
+    of_row = np.searchsorted(found, columns)
+    by_row = np.argsort(owners, kind="stable")
+    ends = np.cumsum(np.bincount(owners, minlength=n))
+    for i in np.argsort(apart, kind="stable"):  # the most usual sets first: they join most
+        if pieces == 1:
+            break
+        own = of_row[by_row[ends[i - 1] if i else 0 : ends[i]]]
+        steps = np.repeat(first[own] - np.append(0, np.cumsum(many[own])[:-1]), many[own]) + np.arange(many[own].sum())
+        twice = (size[i] - apart[i]) + (size - apart) + 2 * np.bincount(held[steps], minlength=n)  # common shingles
+        near = np.unique(label[100 * twice >= percent * (2 * (size[i] + size) - twice)])
+        if len(near) > 1:
+            label[np.isin(label, near)] = near[0]
+            pieces -= len(near) - 1
+    return label
+
+
+def joined_in_clusters(placed: DataFrame, sets: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that hold together what links within each block of ``placed`` (cluster, block, class_key)."""
+    wanted = placed.join(holders, "class_key").withColumnRenamed("doc_id", "of")
+    same = (F.col("s.class_key") == F.col("w.class_key")) & F.col("s.doc_id").eqNullSafe(F.col("w.of"))
+    whole = sets.alias("s").join(small(wanted, BROADCAST_ROWS).alias("w"), same).select("cluster", "block", "w.class_key", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+            keys = np.array(list(held), np.int64)
+            label = joined_in_block(list(held.values()), percent) if len(keys) > 1 else np.zeros(1, np.int64)
+            tied = np.flatnonzero(label != np.arange(len(keys)))
+            return pa.RecordBatch.from_arrays([pa.array(keys[label[tied]]), pa.array(keys[tied])], ["a", "b"])
+
+        now, held = None, {}  # the sets of one block, by class
+        for batch in batches:
+            for *block, key, blob in zip(*[batch.column(c).to_pylist() for c in ("cluster", "block", "class_key")], batch.column("shingles"), strict=True):
+                if block != now:
+                    if held:
+                        yield links(held)
+                    now, held = block, {}
+                if key not in held:
+                    held[key] = unpacked(blob.as_py())
+        if held:
+            yield links(held)
+
+    return whole.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(run, "a long, b long")
+
+
+def cluster_links(star: DataFrame, sets: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that hold together what links within each cluster of ``star`` (class_key, size, cluster, the head's size)."""
+    n = F.greatest(F.ceil(F.sum("size") * BYTES / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    blocks = written(star.groupBy("cluster").agg(n.alias("blocks")), "jaccard-blocks")
+    several = blocks.where("blocks > 1")
+    dealt = star.join(small(several, BROADCAST_ROWS), "cluster", "left").select("cluster", F.pmod(F.xxhash64("class_key"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), "class_key")
+    heads = blocks.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cluster").alias("class_key"))
+    links = written(joined_in_clusters(dealt.union(heads), sets, holders, percent), "jaccard-links")
+    if not several.head(1):
+        return links
+    joined = components(links, "a", "b").select(F.col("node").alias("class_key"), "component")
+    component = F.coalesce("component", "class_key")
+    in_pieces = star.join(several, "cluster").join(joined, "class_key", "left").groupBy("cluster", "blocks").agg(F.min(component).alias("low"), F.max(component).alias("high"))
+    in_pieces = small(in_pieces.where("low <> high").select("cluster", "blocks"), BROADCAST_ROWS)
+    own = F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int")  # a block meets every other one
+    meets = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != own), lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own))
+    paired = star.join(in_pieces, "cluster").select("cluster", F.explode(meets).alias("block"), "class_key")
+    return links.union(written(joined_in_clusters(paired, sets, holders, percent), "jaccard-links"))
+
+
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every document."""
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
@@ -293,22 +386,27 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     met = lists.where(F.col("class_key") != F.col("head")).where(close_in_size(F.col("size"), F.col("head_size"), percent))
     met = met.groupBy("class_key", "head", "size", "head_size").agg(F.count("*").alias("met"))
     met = met.where(4 * F.col("met") >= least_met(F.col("size"), F.col("head_size"), percent))
-    star = met.groupBy("class_key").agg(F.max_by("head", F.struct("met", "head")).alias("head"))
-    star = star.select(F.least("class_key", "head").alias("a"), F.greatest("class_key", "head").alias("b")).distinct()
-    links = verified(written(star, "jaccard-star"), sets, holders, percent)
+    star = met.groupBy("class_key", "size").agg(F.max_by("head", F.struct("met", "head")).alias("cluster"))
+    star = written(star, "jaccard-star")
+    links = cluster_links(star, sets, holders, percent)
     if light:
-        links = links.union(light_links(light_subsets(sets, light, percent)))
-    links = written(links, "jaccard-links")
-
-    joined = components(links, "a", "b")  # node, component
-    placed = lists.join(joined.select(F.col("node").alias("class_key"), "component"), "class_key", "left")
-    placed = placed.select("shingle", "class_key", "size", F.coalesce("component", "class_key").alias("component"))
-    open_lists = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    several = written(placed.join(open_lists, "shingle", "left_semi"), "jaccard-open")
-    l, r = several.alias("l"), several.alias("r")
-    sizes_fit = close_in_size(F.col("l.size"), F.col("r.size"), percent)
-    apart = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class_key") < F.col("r.class_key")) & (F.col("l.component") != F.col("r.component"))
-    met = l.join(r, apart & sizes_fit).groupBy(F.col("l.class_key").alias("a"), F.col("r.class_key").alias("b"), F.col("l.size").alias("s"), F.col("r.size").alias("t")).agg(F.count("*").alias("met"))
+        links = links.union(written(light_links(light_subsets(sets, light, percent)), "jaccard-light"))
+
+    joined = components(links, "a", "b").select(F.col("node").alias("class_key"), "component")
+    placed = lists.join(star.select("class_key", "cluster").join(joined, "class_key", "full"), "class_key", "left")
+    placed = placed.select("shingle", "class_key", "size", F.coalesce("component", "class_key").alias("component"), F.coalesce("cluster", "class_key").alias("cluster"))
+    # pairs of one cluster are decided; what lies outside a list's main cluster meets all of the list
+    of_cluster, of_list = Window.partitionBy("shingle", "cluster"), Window.partitionBy("shingle")
+    placed = placed.withColumn("n", F.count("*").over(of_cluster))
+    placed = placed.withColumns({"main": F.max(F.struct("n", "cluster")).over(of_list)["cluster"], "low": F.min("component").over(of_list), "high": F.max("component").over(of_list)})
+    several = written(placed.where("low <> high").drop("n", "low", "high"), "jaccard-open")
+    l, r = several.where("cluster <> main").alias("l"), several.alias("r")
+    once = (F.col("r.cluster") == F.col("r.main")) | (F.col("l.class_key") < F.col("r.class_key"))
+    apart = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.cluster") != F.col("r.cluster")) & (F.col("l.component") != F.col("r.component")) & once
+    met = l.join(r, apart & close_in_size(F.col("l.size"), F.col("r.size"), percent))
+    l_first = F.col("l.class_key") < F.col("r.class_key")
+    ends = lambda name: (F.when(l_first, F.col(f"l.{name}")).otherwise(F.col(f"r.{name}")), F.when(l_first, F.col(f"r.{name}")).otherwise(F.col(f"l.{name}")))
+    met = met.select(*[c.alias(x) for c, x in zip((*ends("class_key"), *ends("size")), "abst", strict=True)]).groupBy("a", "b", "s", "t").agg(F.count("*").alias("met"))
     pairs = met.where(F.col("met") >= least_met(F.col("s"), F.col("t"), percent)).select("a", "b")
     more = written(verified(written(pairs, "jaccard-pairs"), sets, holders, percent), "jaccard-more")
     return _named(sets, holders, components(links.union(more), "a", "b"))

@@ -202,6 +202,38 @@ def test_jaccard_join(docs, none, spark, width, percent):
     assert jaccard_join.linked(none, width, percent).count() == 0
 
 
+@pytest.mark.parametrize("block_sets", [4096, 7])
+def test_near_copies_make_rows_in_proportion(spark, monkeypatch, block_sets):
+    """Each copy has one word of its own: hardly any two link, or all do; candidates and links stay in proportion."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block_sets)
+    made = defaultdict(list)
+    keep = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, what: (out := keep(df, what), made[what].append(out.count()))[0])
+    base = sentence(60).split()
+    for n in (60,) if block_sets < 100 else (200, 400):
+        made.clear()
+        rows = [(k, " ".join([*base[:at], f"own{k}", *base[at + 1 :]])) for k in range(n) for at in [rng.randrange(60)]] + [(None, None), (n, "one")]
+        done = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85)
+        assert Counter(map(tuple, done.collect())) == components_by_hand(rows, 4, 85)
+        if block_sets > 100:
+            assert sum(made["jaccard-links"] + made["jaccard-more"]) <= 2 * n and sum(made["jaccard-pairs"]) <= 8 * n
+
+
+def test_joined_in_block():
+    import numpy as np
+
+    for _ in range(30):
+        base = rng.sample(range(3000), rng.randint(1, 60))
+        sets = [np.unique(np.array([x if rng.random() < 0.93 else rng.randrange(3000) for x in base] + rng.sample(range(3000), rng.randint(0, 2)), np.uint64)) for _ in range(rng.randint(2, 40))]
+        label = jaccard_join.joined_in_block(sets, 80)
+        parent = list(range(len(sets)))
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])):
+                parent = [parent[a] if p == parent[b] else p for p in parent]
+        first = {p: parent.index(p) for p in set(parent)}
+        assert label.tolist() == [first[p] for p in parent]
+
+
 def test_one_of_each_without_ids(spark):
     copy, other, pair, lone = (sentence(60) for _ in range(4))
     rows = [(1, copy), (None, copy), (None, copy + " x"), (None, other), (None, other + " y"), (5, pair), (5, pair + " z"), (5, lone), (None, None), (None, ""), (6, ""), (6, "")]
