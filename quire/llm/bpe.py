@@ -108,23 +108,23 @@ class WordBpe:
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.first_mark = os.path.commonprefix(list(self.special))
         self.space = re.compile(SPACE)
-        self.names = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
-        self.seen: dict[str, tuple[int, str, str]] = {}  # of words
-        self.former: dict[str, tuple[int, str, str]] = {}  # of words, the generation before
-        self.chunks: dict[str, tuple[int, str, str] | None] = {}  # of what stands between white space, as given
+        self.names = {str(i): s for s, i in [*self.ids.items(), *self.special.items()]}
+        self.seen: dict[str, tuple[int, str]] = {}  # of words
+        self.former: dict[str, tuple[int, str]] = {}  # of words, the generation before
+        self.chunks: dict[str, tuple[int, str] | None] = {}  # of what stands between white space, as given
 
     def words(self, chunk: str) -> list[str]:
         chunk = unicodedata.normalize("NFC", chunk)
         lower = "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()  # a final sigma is not special here
         return self.word.findall(lower)
 
-    def of_word(self, word: str) -> tuple[int, str, str]:
-        """Number of tokens, ids and token strings, both joined by spaces."""
+    def of_word(self, word: str) -> tuple[int, str]:
+        """Number of tokens, and the ids joined by spaces."""
         *inner, last = word.encode()
         ids = merge_word([*map(self.inner.__getitem__, inner), self.last[last]], self.ranks, self.made)
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))
+        return len(ids), " ".join(map(str, ids))
 
-    def of_chunk(self, chunk: str) -> tuple[int, str, str]:
+    def of_chunk(self, chunk: str) -> tuple[int, str]:
         found = []
         for word in self.words(chunk):
             if (got := self.seen.get(word)) is None:
@@ -132,10 +132,10 @@ class WordBpe:
             found.append(got)
         if len(found) == 1:
             return found[0]
-        return sum(n for n, _, _ in found), " ".join(i for _, i, _ in found), " ".join(t for _, _, t in found)
+        return sum(n for n, _ in found), " ".join(i for _, i in found)
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, the ids and the decoded text."""
+    def encode(self, text: str) -> tuple[int, str]:
+        """Number of tokens, and the ids joined by spaces."""
         if len(self.seen) > self.kept:
             self.former, self.seen = self.seen, {}
         if len(self.chunks) > self.kept:
@@ -143,7 +143,7 @@ class WordBpe:
         known, found = self.chunks, []
         for k, part in enumerate(self.marks.split(text) if self.first_mark in text else [text]):
             if k % 2:
-                found.append((1, str(self.special[part]), part))
+                found.append((1, str(self.special[part])))
                 continue
             for chunk in self.space.split(part) if ODD_SPACE.search(part) else part.split():
                 if (got := known.get(chunk)) is None:
@@ -151,12 +151,12 @@ class WordBpe:
                 found.append(got)
         found = [x for x in found if x[0]]
         if not found:
-            return 0, "", ""
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+            return 0, ""
+        return sum(x[0] for x in found), " ".join([x[1] for x in found])
 
-    def decode(self, ids: list[int]) -> str:
-        """Token strings joined by spaces, special ones too: the file names no decoder."""
-        return " ".join(self.names[i] for i in ids)
+    def decode(self, ids: str) -> str:
+        """The strings of ``ids`` (as encode gives them) joined by spaces, special ones too: the file names no decoder."""
+        return " ".join(map(self.names.__getitem__, ids.split(" "))) if ids else ""
 
 
 @functools.lru_cache(2)
@@ -177,9 +177,11 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 done = [bpe.encode(t or "") for t in part.column("text").to_pylist()]
-                texts = [(sha256(i), sha256(d)) if digests else (i, d) for _, i, d in done]
+                texts = [(i, bpe.decode(i)) for _, i in done]
+                if digests:
+                    texts = [(sha256(i), sha256(d)) for i, d in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([n for n, _, _ in done], pa.int64()), pa.array([i for i, _ in texts], pa.string()), pa.array([d for _, d in texts], pa.string())],
+                    [part.column("doc_id").cast(pa.int64()), pa.array([n for n, _ in done], pa.int64()), pa.array([i for i, _ in texts], pa.string()), pa.array([d for _, d in texts], pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"],
                 )
 
