@@ -45,11 +45,11 @@ def encoder(path: str) -> Callable[[list[str]], list[int]]:
 
 
 def in_batches(texts: list[str], size: int) -> Iterator[list[str]]:
-    """``texts`` in lists of about ``size`` characters."""
+    """``texts`` in lists of about ``size`` bytes."""
     part, held = [], 0
     for text in texts:
         part.append(text)
-        held += len(text)
+        held += len(text) if text.isascii() else len(text.encode())
         if held >= size:
             yield part
             part, held = [], 0
@@ -57,7 +57,7 @@ def in_batches(texts: list[str], size: int) -> Iterator[list[str]]:
         yield part
 
 
-def token_counts(docs: DataFrame, path: str, batch_chars: int = 1 << 20, kept: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, batch_bytes: int = 1 << 20, kept: int = 400_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every text; ``path`` is a tokenizer's file."""
     cut = (lambda text: [text]) if path.endswith(".model") else pieces
 
@@ -65,12 +65,12 @@ def token_counts(docs: DataFrame, path: str, batch_chars: int = 1 << 20, kept: i
         encode, lengths = encoder(path), {}
         for batch in batches:
             ids, sizes, tokens = batch.column("doc_id").cast(pa.int64()), [], []
-            for docs_part in in_batches([t or "" for t in batch.column("text").to_pylist()], batch_chars):
+            for docs_part in in_batches([t or "" for t in batch.column("text").to_pylist()], batch_bytes):
                 if len(lengths) > kept:
                     lengths.clear()
                 parts = [cut(t) if t else [] for t in docs_part]
                 new = list({x for part in parts for x in part if x not in lengths})
-                for some in in_batches(new, batch_chars):
+                for some in in_batches(new, batch_bytes):
                     lengths.update(zip(some, encode(some), strict=True))
                 tokens += [sum(map(lengths.__getitem__, part)) for part in parts]
                 sizes += [len(t.encode()) for t in docs_part]
