@@ -9,8 +9,9 @@ looks live, and any other is shared. Generic tokens that look live and overlap n
 
 Positions come from splitting a text at its matches and adding up lengths, in code points, end exclusive.
 
-Defined cases: a null text is empty; a null source counts as a repository of its own name; rows with the same text
-are one owner and get the same spans; an empty table gives an empty result; extra columns are not read.
+Defined cases: a null text is empty; a null source is a repository of its own, apart from an empty name; rows with the same text
+are one owner and get the same spans; an empty table gives an empty result; extra columns are not read, and those that
+``carry`` names come back in the struct ``row``, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -78,14 +79,14 @@ def ownership(candidates: DataFrame, example_repositories: int, live_owners: int
 
 
 def scan(docs: DataFrame, example_repositories: int = 3, live_owners: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, base, found, shared (arrays of spans), n_example, n_live, n_shared (base spans by class) and ``carry`` of every document."""
+    """doc_id, text, base, found, shared (arrays of spans), n_example, n_live, n_shared (base spans by class) and row (a struct of ``carry``) of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select("doc_id", F.col("text"), text.alias("_text"), F.coalesce("source", F.lit("")).alias("repository"), F.xxhash64("text").alias("owner"), *carry)
+    read = docs.select("doc_id", F.col("text"), text.alias("_text"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("repository"), F.xxhash64("text").alias("owner"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("row"))
     based = read.withColumn("base", base_spans(F.col("_text"))).withColumn("generic", generic_spans(F.col("_text"), F.col("base")))
-    return _with_added(based.drop("_text"), example_repositories, live_owners, carry)
+    return _with_added(based.drop("_text"), example_repositories, live_owners)
 
 
-def _with_added(based: DataFrame, example_repositories: int, live_owners: int, carry: tuple[str, ...]) -> DataFrame:
+def _with_added(based: DataFrame, example_repositories: int, live_owners: int) -> DataFrame:
     candidates = based.select("owner", "repository", F.explode(F.concat("base", "generic")).alias("span")).distinct().select("owner", "repository", "span", F.xxhash64("span.value").alias("value_hash"))
     candidates = written(candidates, "secret-candidates")  # few rows, read twice
     classes = ownership(candidates, example_repositories, live_owners).select("value_hash", "class")
@@ -103,7 +104,7 @@ def _with_added(based: DataFrame, example_repositories: int, live_owners: int, c
     found = F.array_sort(F.concat("base", F.coalesce("added", none)))
     shared = F.array_sort(F.transform(F.coalesce("shared", none), lambda s: s.withField("rank", F.lit(4))))
     counts = [F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}") for c in CLASSES]
-    return based.join(few, by, "left").select("doc_id", "text", "base", found.alias("found"), shared.alias("shared"), *counts, *carry)
+    return based.join(few, by, "left").select("doc_id", "text", "base", found.alias("found"), shared.alias("shared"), *counts, F.col("row").dropFields("_").alias("row") if len(based.schema["row"].dataType) > 1 else F.lit(None).alias("row"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
