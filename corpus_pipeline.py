@@ -29,11 +29,10 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: a mark takes the place of every span."""
-    rows = docs.withColumn("_row", F.struct("*"))
-    scanned = secret_scan.scan(rows, carry=("_row",))
+    scanned = secret_scan.scan(docs, carry=tuple(docs.columns))
     text = secret_scan.redacted(F.col("text"), F.col("found"))
-    changed = {"text": text, "n_chars": F.when(F.size("found") == 0, F.col("_row.n_chars")).otherwise(F.length(text).cast("long"))}
-    return scanned.select(*[changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`") for c in docs.columns])
+    changed = {"text": text, "n_chars": F.when(F.size("found") == 0, F.col("row.n_chars")).otherwise(F.length(text).cast("long"))}
+    return scanned.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
