@@ -7,7 +7,9 @@ records only into itself.
 
 Defined cases: a null text has 8 bytes and the checksum of no bytes; null ids are one key; repeated rows all stay, each
 with a slot of its own; an empty table gives an empty result; an input column named like one of the results is replaced.
-Texts of one row are never split, so a bucket exceeds ``bucket_bytes`` by the law of large numbers or one long text only.
+Buckets are dealt by id, text and place of a row in its file, so that rows that repeat don't share one; a bucket exceeds
+``bucket_bytes`` where one text does, or where one id, which has one shard by the law, holds more than its part of the rows:
+the number of buckets follows the fullest shard.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import without, written
 
 ADDED = ["size", "law", "shard", "slot", "grown_shard"]
 
@@ -40,23 +42,28 @@ def shard(
 ) -> DataFrame:
     """``docs`` with size, law, shard, slot (gapless from 0 in a shard) and grown_shard (with one shard more)."""
     kept = without(docs, ADDED)
-    total = docs.agg(F.sum(record_size(F.col(text)))).first()[0] or 0
-    per_shard = max(1, math.ceil(total / shards / bucket_bytes))
+    by_shard = docs.groupBy(shard_of(F.col(key), shards, seed).alias("_shard")).agg(F.sum(record_size(F.col(text))).alias("_size"))
+    fullest = by_shard.agg(F.max("_size")).first()[0] or 0
+    per_shard = max(1, math.ceil(fullest / bucket_bytes))
+    spot = F.monotonically_increasing_id()
     placed = kept.select(
         shard_of(F.col(key), shards, seed).alias("_shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)), F.lit(per_shard)).cast("int").alias("_bucket"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text), spot), F.lit(per_shard)).cast("int").alias("_bucket"),
+        F.xxhash64(F.lit(seed + 2), F.col(key), F.col(text), spot).alias("_order"),
         F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"),
     )
+    placed = written(placed.withColumn("_place", F.col("_shard") * per_shard + F.col("_bucket")), "scattered")  # read twice, so places hold
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy("_shard", "_bucket")
         .agg(F.count("*").alias("_n"))
         .select("_shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    buckets = (
-        placed.repartition(shards * per_shard, "_shard", "_bucket")
-        .groupBy("_shard", "_bucket")
-        .agg(F.shuffle(F.collect_list("_row"), seed).alias("_rows"))
+    buckets = (  # a bucket's rows have one order before the permutation, whatever order they arrive in
+        placed.repartitionById(shards * per_shard, F.col("_place"))
+        .sortWithinPartitions("_place", "_order")
+        .groupBy("_place")
+        .agg(F.first("_shard").alias("_shard"), F.first("_bucket").alias("_bucket"), F.shuffle(F.collect_list("_row"), seed).alias("_rows"))
     )
     return (
         buckets.join(starts, ["_shard", "_bucket"])
