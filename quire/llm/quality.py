@@ -3,11 +3,13 @@
 A document's features are hashed words and hashed word shapes (runs of letters, capitals and digits as one sign each,
 other signs as they are), weighted by log counts and inverse document frequency. A truncated singular value
 decomposition of a bounded sample of labelled documents (``sample_rows``) gives the latent space; the sample's vectors
-are broadcast (sample_rows x ``dims`` floats), and every document is multiplied with all of them, a block at a time. The
-score is the similarity-weighted share of label 1 among the ``neighbours`` nearest.
+are broadcast (sample_rows x ``dims`` numbers), and every document is multiplied with all of them, a block at a time. The
+score is the similarity-weighted share of label 1 among the ``neighbours`` nearest. Features, space and vectors are whole
+numbers (in steps of 1/STEPS), so products are exact sums, the same in whatever block a document stands: equal texts
+have equal scores.
 
 Defined cases: a null or empty text, or one unlike any labelled text, scores the sample's share of label 1; without
-labelled rows every score is 0.5; ties among neighbours go by sample order; repeated rows are scored each; an empty
+labelled rows every score is 0.5; among neighbours of equal likeness the earlier in the sample (in order of features) counts; repeated rows are scored each; an empty
 table gives an empty result.
 """
 
@@ -24,6 +26,8 @@ from .common import id_remainder, labelled_sample
 from .hashing import LOWER, run_hashes
 
 WORDS, SHAPES = 1024, 1024
+#: of features, of the space, of vectors: sums of products stay far below 2**53
+STEPS, SPACE_STEPS, VECTOR_STEPS = 64, 1 << 12, 1 << 12
 SCHEMA = "doc_id long, score double"
 #: a for lower-case letters and letters beyond ASCII, A for capitals, 0 for digits; the rest stays
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -34,7 +38,7 @@ SHAPE[48:58] = 48
 
 
 def features(text: str | None) -> np.ndarray:
-    """Log counts of hashed words and of hashed shapes, WORDS + SHAPES numbers."""
+    """Log counts of hashed words and of hashed shapes, WORDS + SHAPES whole numbers in steps of 1/STEPS."""
     data = np.frombuffer((text or "").encode(), np.uint8)
     shape = SHAPE[data]
     if len(shape):
@@ -44,7 +48,7 @@ def features(text: str | None) -> np.ndarray:
         np.bincount((words % np.uint64(WORDS)).astype(np.int64), minlength=WORDS),
         np.bincount((shapes % np.uint64(SHAPES)).astype(np.int64), minlength=SHAPES),
     ])
-    return np.log1p(counts).astype(np.float32)
+    return np.rint(STEPS * np.log1p(counts))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -55,13 +59,18 @@ def fit(rows: list[tuple[bytes, int]], dims: int) -> dict:
     """The latent space and the labelled vectors in it."""
     if not rows:
         return {"labels": np.zeros(0), "prior": 0.5}
-    x = np.stack([np.frombuffer(f, np.float16).astype(np.float32) for f, _ in rows])
+    x = np.stack([np.frombuffer(f, np.int16) for f, _ in rows]).astype(np.float32)
     labels = np.array([y for _, y in rows], np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = unit(x * idf)
-    _, vectors = np.linalg.eigh(x.T @ x)
-    space = idf[:, None] * vectors[:, ::-1][:, :dims]
-    return {"space": space.astype(np.float32), "vectors": unit((x / idf) @ space), "labels": labels, "prior": float(labels.mean())}
+    weighted = unit(x * idf)
+    _, vectors = np.linalg.eigh(weighted.T @ weighted)
+    space = np.rint(SPACE_STEPS * idf[:, None] * vectors[:, ::-1][:, :dims]).astype(np.float64)
+    return {"space": space, "vectors": latent(x.astype(np.float64), space), "labels": labels, "prior": float(labels.mean())}
+
+
+def latent(x: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Unit vectors of features in the latent space, in whole steps of 1/VECTOR_STEPS."""
+    return np.rint(VECTOR_STEPS * unit(x @ space))
 
 
 def vote(x: np.ndarray, model: dict, neighbours: int) -> np.ndarray:
@@ -69,9 +78,10 @@ def vote(x: np.ndarray, model: dict, neighbours: int) -> np.ndarray:
     labels, k = model["labels"], min(neighbours, len(model["labels"]))
     if not k:
         return np.full(len(x), model["prior"])
-    likeness = unit(x @ model["space"]) @ model["vectors"].T
-    best = np.argpartition(-likeness, k - 1, axis=1)[:, :k]
-    weight = np.clip(np.take_along_axis(likeness, best, 1), 0, None).astype(np.float64) ** 4
+    likeness = latent(x, model["space"]) @ model["vectors"].T
+    rank = np.arange(len(labels)) - likeness * len(labels)  # whole numbers, no two equal
+    best = np.sort(np.argpartition(rank, k - 1, axis=1)[:, :k], axis=1)
+    weight = np.clip(np.take_along_axis(likeness, best, 1) / VECTOR_STEPS**2, 0, None) ** 4
     total = weight.sum(1)
     return np.clip(np.where(total > 1e-9, (weight * labels[best]).sum(1) / np.maximum(total, 1e-9), model["prior"]), 0, 1)
 
@@ -79,7 +89,7 @@ def vote(x: np.ndarray, model: dict, neighbours: int) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, dims: int = 48, folds: int = 5, held_out: int = 0) -> dict:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
+            rows = [features(t).astype(np.int16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("label")], ["features", "label"])
 
     sample = labelled_sample(docs, labels, "quality", folds, held_out, sample_rows)
