@@ -1,8 +1,9 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features say which hashed n-grams of 4, 6 and 8 bytes (A-Z in lower case) a text has. From a bounded sample of labelled
-documents (``sample_rows``) come each feature's log-count ratio and the ``features`` ones whose classes differ most;
-a logistic regression on the scaled features then gives the weights. The model is broadcast: one float per bucket.
+Features say which hashed n-grams of 4, 6 and 8 characters (A-Z in lower case, blanks as spaces) a text has. A bounded
+sample of labelled documents (``sample_rows``) gives each feature's log-count ratio. Every feature whose classes differ by
+``least_apart`` standard errors at least, in ``least_texts`` texts at least, takes part, however many these are; a
+logistic regression on the scaled features then gives the weights. The model is broadcast: one float per bucket.
 
 Defined cases: a null or empty text scores by the intercept; without both labels in the sample every score is the
 sample's share of label 1, or 0 without rows; n-grams count once a text, so repeats and length alone change nothing;
@@ -20,22 +21,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import id_remainder, labelled_sample, written
-from .hashing import BLANK, LOWER, mix
+from .hashing import BLANK, LOWER, MULTIPLIER, U64, mix
 
 ORDERS, BITS = (4, 6, 8), 20
+#: ASCII with A-Z in lower case and blanks as spaces
+PLAIN = np.where(BLANK, 32, LOWER)[:128].astype(U64)
 
 
 def grams(text: str | None) -> np.ndarray:
     """Buckets of the text's n-grams, repeats included."""
-    data = LOWER[np.frombuffer(f" {text or ''} ".encode(), np.uint8)].astype(np.uint64)
-    data[BLANK[data]] = 32
-    found = [np.zeros(0, np.int32)]
+    data = np.frombuffer(f" {text or ''} ".encode("utf-32-le"), np.uint32).astype(U64)
+    ascii_ = data < 128
+    data[ascii_] = PLAIN[data[ascii_]]
+    found, code, width = [np.zeros(0, np.int32)], data, 1
     for n in ORDERS:
-        if len(data) >= n:
-            code = np.zeros(len(data) - n + 1, np.uint64)
-            for k in range(n):
-                code = (code << np.uint64(8)) | data[k : len(data) - n + 1 + k]
-            found.append((mix(code + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int32))
+        if len(data) < n:
+            break
+        for k in range(width, n):
+            code = code[:-1] * MULTIPLIER + data[k:]
+        width = n
+        found.append((mix(code + U64(n)) >> U64(64 - BITS)).astype(np.int32))
     return np.concatenate(found)
 
 
@@ -60,7 +65,7 @@ def regress(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, ridge
     return w * scale, b
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features: int = 1500, least_texts: int = 5, folds: int = 4, held_out: int = 2, ridge: float = 3e-4, steps: int = 150) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, least_apart: float = 4.0, least_texts: int = 5, folds: int = 4, held_out: int = 2, ridge: float = 3e-4, steps: int = 150) -> dict:
     sample = labelled_sample(docs, labels, "toxic", folds, held_out, sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features:
     p0, p1 = (F.col("zeros") + 1) / (n0 + 2), (F.col("ones") + 1) / (n1 + 2)
     apart = F.abs(p1 - p0) / F.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)  # of the classes, in standard errors
     usual = found.where((F.col("bucket") >= 0) & (F.col("zeros") + F.col("ones") >= least_texts))
-    best = usual.select("bucket", F.log(p1 / p0).alias("ratio"), apart.alias("apart")).orderBy(F.desc("apart"), "bucket").limit(features).collect()
-    best.sort()
+    best = sorted(usual.where(apart >= least_apart).select("bucket", F.log(p1 / p0).alias("ratio")).collect())
     chosen, ratio = np.array([r.bucket for r in best], np.int32), np.array([r.ratio for r in best], np.float64)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
