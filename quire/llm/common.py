@@ -58,8 +58,9 @@ def lower_ascii(text):
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` without columns that an operator is about to add."""
-    return df.drop(*[c for c in df.columns if c in names])
+    """``df`` without columns that an operator is about to add; names are compared as Spark compares them, without case."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
 def id_remainder(doc_id, n: int) -> Column:
@@ -68,9 +69,15 @@ def id_remainder(doc_id, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
-    """(text, label) of about ``rows`` labelled documents at most, spread by a hash of the id, none of the held-out fold."""
+    """(text, label) of ``rows`` labelled documents at most, spread by a hash of the id, none of the held-out fold.
+
+    An id with several labels counts with each; of rows with the same id and text one does, and the bound holds for rows
+    after the join, so ids that repeat don't exceed it: then the least hashes stay.
+    """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     usable = usable.where(id_remainder(F.col("doc_id"), folds) != held_out)
     share = min(1.0, rows / max(1, usable.count()))
     picked = usable.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label")
+    place = F.xxhash64(F.lit(8), "doc_id", "text", "label").alias("place")
+    found = docs.select("doc_id", "text").join(small(picked.distinct(), 2 * rows), "doc_id").select("text", "label", place).dropDuplicates(["place"])
+    return found.orderBy("place").limit(rows).select("text", "label")
