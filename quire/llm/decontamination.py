@@ -1,15 +1,18 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-The training texts' tokens are postings (term, document, position). A first pass over them gives each test term's list
-length. Every window of a benchmark item then names its rarest term; only the lists of those terms are kept, each
-posting with the tokens around it, in a table that both kinds of matches read. Offset-adjusted (position minus the term's offset in the window), a posting is a
-start at which the lists of the window's other terms are intersected in order of rarity: exact matches are the starts
-at which all of them meet. Proximity matches ask that an item's rarest terms lie within a span, in any order; terms that
-the texts don't have are left out, so an item with one term left matches where that term is.
+The training texts are tokenised once: every occurrence of a test term is a posting (term, document, position) in a
+written table, from which list lengths, phrases and proximity all come. Every window of a benchmark item names its rarest
+term, an anchor of the item. Lists are offset-adjusted by the place of a term in its item: an anchor's list gives
+alignments (document, item, shift). These are intersected with the lists of the anchor's two neighbours, one of which any
+longer window holds, and what remains with the lists of all terms that share a window with the anchor. Where as many
+consecutive terms of an item meet at one shift as a window has, its windows occur. Proximity matches ask that an item's
+rarest terms lie within a span, in any order; terms that the texts don't have are left out, so an item with one term left
+matches where that term is.
 
 Defined cases: null and empty texts have no words and match nothing; an item without words occurs nowhere; an item of
-fewer words than a window is one window; rows with the same id and text count once in the index and each get the result;
-items with the same id are one item; an empty benchmark or table gives an empty index; extra columns are not read.
+fewer words than a window is one window; rows with the same id and text are one document of the index and each get the
+result; items with the same id are one item of several texts; an empty benchmark or table gives an empty index; extra
+columns are kept and not read, ones named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -21,94 +24,105 @@ from .common import lower_ascii, small, without, written
 
 #: what stands between words: all but digits, letters and signs beyond ASCII (A-Z are in lower case by then)
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: a word of a text as given, A-Z included
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
+ALIGNED = ["doc_key", "item_key", "shift"]
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, doc_key (of id and text) and the words."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_key"), words_of(F.col("text")).alias("words"))
+def doc_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
-def windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """Distinct (item_id, window): the ``width`` consecutive words, or all words of a shorter item."""
-    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1))
-    return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("window")).distinct()
+def items_of(benchmark: DataFrame, width: int) -> DataFrame:
+    """Distinct (item_id, item_key, w, least): an item's words and how many of them make a window."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    return items.select("item_id", F.xxhash64("item_id", "w").alias("item_key"), "w", F.least(F.size("w"), F.lit(width)).alias("least"))
 
 
-def list_lengths(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how many postings each of ``terms`` has."""
-    tokens = keyed(docs).select(F.explode("words").alias("term"))
-    return terms.join(tokens.join(small(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+def postings(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The index: (term, doc_key, position) of every term of the items in all of ``docs``."""
+    terms = items.select(F.explode("w").alias("term")).distinct()
+    tokens = docs.select(doc_key().alias("doc_key"), F.posexplode(words_of(F.col("text"))).alias("position", "term"))
+    return tokens.join(small(terms, BROADCAST_ROWS), "term").select("term", "doc_key", "position")
 
 
-def anchored(found_windows: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Each window with its terms' offsets in order of rarity, and the rarest term; windows with an unseen term are gone."""
-    terms = found_windows.select("window").distinct().select("window", F.posexplode("window").alias("offset", "term")).join(lengths, "term")
-    ordered = terms.groupBy("window").agg(F.min("n").alias("least"), F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("terms"))
-    return ordered.where(F.col("least") > 0).select(
-        "window", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["offset"].alias("offset"), F.transform("terms", lambda t: t["offset"]).alias("by_rarity")
-    )
+def with_lengths(items: DataFrame, index: DataFrame) -> DataFrame:
+    """The items with n: the length of each word's list, in the order of ``w``."""
+    lengths = index.groupBy("term").agg(F.count("*").alias("n"))
+    placed = items.select("item_key", F.posexplode("w").alias("place", "term")).join(lengths, "term", "left")
+    n = F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"])
+    return items.join(placed.groupBy("item_key").agg(n.alias("n")), "item_key")
+
+
+def anchors(items: DataFrame) -> DataFrame:
+    """(item_key, place, term): the rarest term of each window, but for windows with a term that has no postings."""
+    window = lambda s: F.transform(F.slice("n", s + 1, F.col("least")), lambda n, i: F.struct(n.alias("n"), (s + i).alias("place")))
+    rarest = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("least")), lambda s: F.array_min(window(s)))
+    places = F.array_distinct(F.transform(F.filter(rarest, lambda r: r["n"] > 0), lambda r: r["place"]))
+    return items.select("item_key", "w", F.explode(places).alias("place")).select("item_key", "place", F.get("w", F.col("place")).alias("term"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """(term, doc_key, position, left, context) of the kept terms; context: the tokens within ``reach``, ``left`` of them before."""
-    tokens = keyed(docs).select("doc_key", "words", F.posexplode("words").alias("position", "term"))
-    left = F.least(F.col("position"), F.lit(reach))
-    around = F.slice("words", F.col("position") - left + 1, left + reach + 1)
-    return tokens.join(small(terms, BROADCAST_ROWS), "term").select("term", "doc_key", "position", left.alias("left"), around.alias("context"))
+def met(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """Those rows of ``wanted`` (with doc_key, position, term) that have a posting."""
+    return index.join(small(written(wanted, "wanted"), BROADCAST_ROWS), ["doc_key", "position", "term"]).distinct()
 
 
-def near_terms(benchmark: DataFrame, lengths: DataFrame, rarest: int) -> DataFrame:
+def phrases(index: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (doc_key, item_id, start, length): runs of an item's words that hold a window at least, start from 0."""
+    known = small(items.select("item_key", "w", "least"), BROADCAST_ROWS)
+    starts = index.join(small(written(anchors(items), "anchors"), BROADCAST_ROWS), "term")
+    aligned = starts.select("doc_key", "item_key", (F.col("position") - F.col("place")).alias("shift"), "place").distinct().join(known, "item_key")
+    beside = F.filter(F.array(F.col("place") - 1, F.col("place") + 1), lambda q: (q >= 0) & (q < F.size("w")))
+    beside = F.when(F.size("w") == 1, F.array("place")).otherwise(beside)  # an item of one word is met already
+    term = F.get("w", F.col("q"))
+    near_anchor = aligned.select(*ALIGNED, "place", "w", F.explode(beside).alias("q")).select(*ALIGNED, "place", (F.col("shift") + F.col("q")).alias("position"), term.alias("term"))
+    kept = met(near_anchor, index).select(*ALIGNED, "place").distinct().join(known, "item_key")
+    reach = F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("least") + 1), F.least(F.size("w"), F.col("place") + F.col("least")) - 1)
+    around = kept.select(*ALIGNED, "w", F.explode(reach).alias("q")).select(*ALIGNED, "q", (F.col("shift") + F.col("q")).alias("position"), term.alias("term")).distinct()
+    run = F.col("q") - F.row_number().over(Window.partitionBy(*ALIGNED).orderBy("q"))
+    runs = met(around, index).select(*ALIGNED, "q").withColumn("run", run).groupBy(*ALIGNED, "run").agg(F.min("q").alias("q"), F.count("*").cast("int").alias("length"))
+    names = small(items.select("item_key", "item_id", "least"), BROADCAST_ROWS)
+    return runs.join(names, "item_key").where(F.col("length") >= F.col("least")).select("doc_key", "item_id", (F.col("shift") + F.col("q")).alias("start"), "length").distinct()
+
+
+def near_terms(items: DataFrame, rarest: int) -> DataFrame:
     """(item_id, term): the ``rarest`` terms of each item among those with postings."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.explode(words_of(F.col("text"))).alias("term")).distinct()
+    terms = items.select("item_id", F.explode(F.arrays_zip("w", "n")).alias("t")).select("item_id", F.col("t.w").alias("term"), F.col("t.n").alias("n")).distinct()
     order = Window.partitionBy("item_id").orderBy("n", "term")
-    found = items.join(lengths.where("n > 0"), "term").withColumn("place", F.row_number().over(order))
-    return found.where(F.col("place") <= rarest).select("item_id", "term")
-
-
-def phrases(index: DataFrame, of_items: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Distinct (doc_key, item_id, start, length): exact occurrences of the items' windows, start from 0."""
-    first = F.col("left") - F.col("offset")  # of the window, in the context
-    meets = F.forall("by_rarity", lambda o: F.get("context", first + o) == F.get("window", o))
-    starts = (
-        index.join(small(anchors, BROADCAST_ROWS), "term")
-        .where((first >= 0) & F.coalesce(meets, F.lit(False)))
-        .select("doc_key", "window", (F.col("position") - F.col("offset")).alias("start"), F.size("window").alias("length"))
-    )
-    return starts.join(small(of_items, BROADCAST_ROWS), "window").select("doc_key", "item_id", "start", "length").distinct()
+    found = terms.where("n > 0").withColumn("rank", F.row_number().over(order))
+    return found.where(F.col("rank") <= rarest).select("item_id", "term")
 
 
 def near(index: DataFrame, needed: DataFrame, span: int) -> DataFrame:
     """Distinct (doc_key, item_id): documents in which all terms ``needed`` for the item lie within ``span`` tokens, in any order."""
     sizes = needed.groupBy("item_id").agg(F.count("*").alias("needed"))
-    at = index.select("doc_key", "position", "term").join(small(needed, BROADCAST_ROWS), "term").distinct()
+    at = index.join(small(needed, BROADCAST_ROWS), "term").distinct()
     close = Window.partitionBy("doc_key", "item_id").orderBy("position").rangeBetween(-(span - 1), 0)
-    met = at.withColumn("met", F.size(F.collect_set("term").over(close)))
-    return met.join(small(sizes, BROADCAST_ROWS), "item_id").where(F.col("met") == F.col("needed")).select("doc_key", "item_id").distinct()
+    found = at.withColumn("met", F.size(F.collect_set("term").over(close)))
+    return found.join(small(sizes, BROADCAST_ROWS), "item_id").where(F.col("met") == F.col("needed")).select("doc_key", "item_id").distinct()
 
 
-def windows_and_lengths(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    of_items = written(windows(benchmark, width), "windows")
-    terms = of_items.select(F.explode("window").alias("term")).distinct()
-    return of_items, written(list_lengths(docs, terms), "list-lengths")
+def indexed(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The index and the items with their lists' lengths, both written."""
+    items = written(items_of(benchmark, width), "items")
+    index = written(postings(docs, items), "postings")
+    return index, written(with_lengths(items, index), "items-with-lengths")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """Distinct (doc_key, item_id, start, length): exact occurrences of the items' windows, start from 0."""
-    of_items, lengths = windows_and_lengths(docs, benchmark, width)
-    anchors = written(anchored(of_items, lengths), "anchors")
-    return phrases(postings(docs, anchors.select("term").distinct(), width - 1), of_items, anchors)
+    """Distinct (doc_key, item_id, start, length): runs of an item's words that hold a window at least, start from 0."""
+    return phrases(*indexed(docs, benchmark, width))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int = 20, rarest: int = 3) -> DataFrame:
     """(doc_key, item_id): documents in which the item's ``rarest`` terms lie within ``span`` tokens, in any order."""
-    needed = written(near_terms(benchmark, windows_and_lengths(docs, benchmark, 1)[1], rarest), "near-terms")
-    return near(postings(docs, needed.select("term").distinct(), 0), needed, span)
+    index, items = indexed(docs, benchmark, 1)
+    return near(index, written(near_terms(items, rarest), "near-terms"), span)
 
 
 def hits(matches: DataFrame) -> DataFrame:
@@ -123,16 +137,16 @@ def hits(matches: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, span: int = 20, rarest: int = 3) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted ids of items with occurring windows) and near_items (with proximity matches)."""
-    kept = without(docs, ["n_words", "n_hit", "items", "near_items", "doc_key"])
-    of_items, lengths = windows_and_lengths(docs, benchmark, width)
-    anchors = written(anchored(of_items, lengths), "anchors")
-    needed = written(near_terms(benchmark, lengths, rarest), "near-terms")
-    index = written(postings(docs, anchors.select("term").union(needed.select("term")).distinct(), width - 1), "postings")
+    kept = without(docs, ["n_words", "n_hit", "items", "near_items", "_doc_key"])
+    index, items = indexed(docs, benchmark, width)
+    needed = written(near_terms(items, rarest), "near-terms")
     close = near(index, needed, span).groupBy("doc_key").agg(F.array_sort(F.collect_set("item_id")).alias("near_items"))
-    found = hits(phrases(index, of_items, anchors)).join(close, "doc_key", "full")
-    counted = kept.withColumns({"doc_key": F.xxhash64("doc_id", "text"), "n_words": F.size(words_of(F.col("text"))).cast("long")})
+    found = hits(written(phrases(index, items), "phrases")).join(close, "doc_key", "full")
+    found = small(written(found.select(F.col("doc_key").alias("_doc_key"), "n_hit", "items", "near_items"), "hits"), BROADCAST_ROWS)
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    counted = kept.withColumns({"_doc_key": doc_key(), "n_words": n_words})
     ids = lambda name: F.coalesce(name, F.array().cast("array<string>"))
-    return counted.join(found, "doc_key", "left").drop("doc_key").withColumns(
+    return counted.join(found, "_doc_key", "left").drop("_doc_key").withColumns(
         {"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": ids("items"), "near_items": ids("near_items")}
     )
 
@@ -140,7 +154,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, span:
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The documents of ``docs`` in which no window of an item occurs."""
     found = written(phrase_matches(docs, benchmark, width).select("doc_key").distinct(), "contaminated")
-    return docs.join(small(found, BROADCAST_ROWS), F.xxhash64("doc_id", "text") == F.col("doc_key"), "left_anti")
+    return docs.join(small(found.toDF("_found"), BROADCAST_ROWS), F.xxhash64("doc_id", "text") == F.col("_found"), "left_anti")
 
 
 def digest(done: DataFrame) -> DataFrame:
