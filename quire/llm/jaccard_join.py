@@ -14,9 +14,10 @@ Lists are joined in two rounds. In the first, each list names one member as its
 can be) and each set goes to the cluster of the head that it meets most often. A cluster is cut into blocks of bounded
 bytes and sets, each with the head; a block's sets are compared with each other exactly, within one Arrow call, which
 returns no more links than hold its linked sets together. Clusters of several blocks that these links leave in pieces are
-compared block by block. The second round takes the pairs of a list whose members lie in different clusters and
-components, if they meet in as many lists as linked sets must, and verifies these on the whole sets. So a group of
-near copies makes rows in proportion to its members, whether all of them link or few do.
+compared block by block. A set of another cluster than most of a list then visits the one that it meets most often in this
+way, and clusters with visitors are compared once more. The second round takes the pairs of a list that have met in no
+cluster and lie in different components, if they meet in as many lists as linked sets must, and verifies these on the whole
+sets. So a group of near copies makes rows in proportion to its members, whether all of them link or few do.
 
 Defined cases: null texts and texts without words have empty sets, linked with nothing; rows with equal ids stay rows;
 null ids are never smallest and a class of null ids alone has a null component; repeated rows are one class; an empty
@@ -392,24 +393,35 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if light:
         links = links.union(written(light_links(light_subsets(sets, light, percent)), "jaccard-light"))
 
-    joined = components(links, "a", "b").select(F.col("node").alias("class_key"), "component")
-    placed = lists.join(star.select("class_key", "cluster").join(joined, "class_key", "full"), "class_key", "left")
-    placed = placed.select("shingle", "class_key", "size", F.coalesce("component", "class_key").alias("component"), F.coalesce("cluster", "class_key").alias("cluster"))
-    # pairs of one cluster are decided; what lies outside a list's main cluster meets all of the list
     of_cluster, of_list = Window.partitionBy("shingle", "cluster"), Window.partitionBy("shingle")
-    placed = placed.withColumn("n", F.count("*").over(of_cluster))
-    placed = placed.withColumns({"main": F.max(F.struct("n", "cluster")).over(of_list)["cluster"], "low": F.min("component").over(of_list), "high": F.max("component").over(of_list)})
-    several = written(placed.where("low <> high").drop("n", "low", "high"), "jaccard-open")
-    l, r = several.where("cluster <> main").alias("l"), several.alias("r")
-    once = (F.col("r.cluster") == F.col("r.main")) | (F.col("l.class_key") < F.col("r.class_key"))
-    apart = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.cluster") != F.col("r.cluster")) & (F.col("l.component") != F.col("r.component")) & once
+    placed = lists.select("shingle", "class_key", "size").join(star.select("class_key", "cluster"), "class_key", "left").withColumn("cluster", F.coalesce("cluster", "class_key"))
+    placed = placed.withColumn("n", F.count("*").over(of_cluster)).withColumns({"main": F.max(F.struct("n", "cluster")).over(of_list)["cluster"], "all": F.count("*").over(of_list), "most": F.max("n").over(of_list)})
+    placed = written(placed.where("most < all").select("shingle", "class_key", "size", "cluster", "main"), "jaccard-placed")
+    met = placed.where("cluster <> main").groupBy("class_key", "size", "main").agg(F.count("*").alias("met")).where(4 * F.col("met") >= least_met(F.col("size"), F.col("size"), percent))
+    visits = written(met.groupBy("class_key", "size").agg(F.max_by("main", F.struct("met", "main")).alias("cluster")), "jaccard-visits")
+    hosts = star.join(small(visits.select("cluster").distinct(), BROADCAST_ROWS), "cluster", "left_semi").select(*visits.columns)
+    links = links.union(cluster_links(visits.union(hosts), sets, holders, percent))
+
+    found = components(links, "a", "b")
+    joined = found.select(F.col("node").alias("class_key"), "component")
+    known = visits.select("class_key", F.col("cluster").alias("visited")).join(joined, "class_key", "full")
+    placed = placed.join(known, "class_key", "left").withColumns({"component": F.coalesce("component", "class_key"), "visited": F.coalesce("visited", "cluster")})
+    placed = placed.withColumns({"low": F.min("component").over(of_list), "high": F.max("component").over(of_list)})
+    several = written(placed.where("low <> high").drop("low", "high"), "jaccard-open")
+    # what has not met a list's main cluster meets all of the list
+    outside = (F.col("cluster") != F.col("main")) & (F.col("visited") != F.col("main"))
+    several = several.withColumn("outside", outside)
+    l, r = several.where("outside").alias("l"), several.alias("r")
+    once = ~F.col("r.outside") | (F.col("l.class_key") < F.col("r.class_key"))
+    never = (F.col("l.cluster") != F.col("r.cluster")) & (F.col("l.cluster") != F.col("r.visited")) & (F.col("l.visited") != F.col("r.cluster")) & (F.col("l.visited") != F.col("r.visited"))
+    apart = (F.col("l.shingle") == F.col("r.shingle")) & never & (F.col("l.component") != F.col("r.component")) & once
     met = l.join(r, apart & close_in_size(F.col("l.size"), F.col("r.size"), percent))
     l_first = F.col("l.class_key") < F.col("r.class_key")
     ends = lambda name: (F.when(l_first, F.col(f"l.{name}")).otherwise(F.col(f"r.{name}")), F.when(l_first, F.col(f"r.{name}")).otherwise(F.col(f"l.{name}")))
     met = met.select(*[c.alias(x) for c, x in zip((*ends("class_key"), *ends("size")), "abst", strict=True)]).groupBy("a", "b", "s", "t").agg(F.count("*").alias("met"))
     pairs = met.where(F.col("met") >= least_met(F.col("s"), F.col("t"), percent)).select("a", "b")
     more = written(verified(written(pairs, "jaccard-pairs"), sets, holders, percent), "jaccard-more")
-    return _named(sets, holders, components(links.union(more), "a", "b"))
+    return _named(sets, holders, components(links.union(more), "a", "b") if more.head(1) else found)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
