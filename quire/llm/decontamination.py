@@ -1,10 +1,11 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
 The training texts are tokenised once: every occurrence of a test term is a posting (term, document, position) in a
-written table, from which list lengths, phrases and proximity all come. Every window of a benchmark item names its rarest
-term, an anchor of the item. Lists are offset-adjusted by the place of a term in its item: an anchor's list gives
-alignments (document, item, shift). These are intersected with the lists of the anchor's two neighbours, one of which any
-longer window holds, and what remains with the lists of all terms that share a window with the anchor. Where as many
+written table, from which list lengths, phrases and proximity all come; like a next-word index, it keeps 15 bits of a
+hash of either neighbour. Every window of a benchmark item names its rarest term, an anchor of the item. Lists are
+offset-adjusted by the place of a term in its item: an anchor's list gives alignments (document, item, shift), but for
+those where neither neighbour can be the item's, as any longer window holds one of them. What remains is intersected with
+the lists of all terms that share a window with the anchor. Where as many
 consecutive terms of an item meet at one shift as a window has, its windows occur. Proximity matches ask that an item's
 rarest terms lie within a span, in any order; terms that the texts don't have are left out, so an item with one term left
 matches where that term is.
@@ -45,10 +46,16 @@ def items_of(benchmark: DataFrame, width: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The index: (term, doc_key, position) of every term of the items in all of ``docs``."""
+    """The index: (term, doc_key, position, before, after) of every term of the items in all of ``docs``."""
     terms = items.select(F.explode("w").alias("term")).distinct()
-    tokens = docs.select(doc_key().alias("doc_key"), F.posexplode(words_of(F.col("text"))).alias("position", "term"))
-    return tokens.join(small(terms, BROADCAST_ROWS), "term").select("term", "doc_key", "position")
+    tokens = docs.select(doc_key().alias("doc_key"), words_of(F.col("text")).alias("w")).select("doc_key", "w", F.posexplode("w").alias("position", "term"))
+    return tokens.join(small(terms, BROADCAST_ROWS), "term").select("term", "doc_key", "position", *neighbours(F.col("position")))
+
+
+def neighbours(place: Column) -> list[Column]:
+    """Hashes of the words of ``w`` before and after ``place``; -1: there is none."""
+    code = lambda at: F.when((at >= 0) & (at < F.size("w")), F.hash(F.get("w", at)).bitwiseAND(F.lit(0x7FFF))).otherwise(-1)
+    return [code(place - 1).alias("before"), code(place + 1).alias("after")]
 
 
 def with_lengths(items: DataFrame, index: DataFrame) -> DataFrame:
@@ -60,32 +67,27 @@ def with_lengths(items: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def anchors(items: DataFrame) -> DataFrame:
-    """(item_key, place, term): the rarest term of each window, but for windows with a term that has no postings."""
+    """(item_key, place, term, and its neighbours): the rarest term of each window, but for windows with a term that has no postings."""
     window = lambda s: F.transform(F.slice("n", s + 1, F.col("least")), lambda n, i: F.struct(n.alias("n"), (s + i).alias("place")))
     rarest = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("least")), lambda s: F.array_min(window(s)))
     places = F.array_distinct(F.transform(F.filter(rarest, lambda r: r["n"] > 0), lambda r: r["place"]))
-    return items.select("item_key", "w", F.explode(places).alias("place")).select("item_key", "place", F.get("w", F.col("place")).alias("term"))
-
-
-def met(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """Those rows of ``wanted`` (with doc_key, position, term) that have a posting."""
-    return index.join(small(written(wanted, "wanted"), BROADCAST_ROWS), ["doc_key", "position", "term"]).distinct()
+    found = items.select("item_key", "w", F.explode(places).alias("place"))
+    own = [c.alias(f"item_{name}") for c, name in zip(neighbours(F.col("place")), ("before", "after"), strict=True)]
+    return found.select("item_key", "place", F.get("w", F.col("place")).alias("term"), F.size("w").alias("n_terms"), *own)
 
 
 def phrases(index: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_key, item_id, start, length): runs of an item's words that hold a window at least, start from 0."""
     known = small(items.select("item_key", "w", "least"), BROADCAST_ROWS)
     starts = index.join(small(written(anchors(items), "anchors"), BROADCAST_ROWS), "term")
-    aligned = starts.select("doc_key", "item_key", (F.col("position") - F.col("place")).alias("shift"), "place").distinct().join(known, "item_key")
-    beside = F.filter(F.array(F.col("place") - 1, F.col("place") + 1), lambda q: (q >= 0) & (q < F.size("w")))
-    beside = F.when(F.size("w") == 1, F.array("place")).otherwise(beside)  # an item of one word is met already
-    term = F.get("w", F.col("q"))
-    near_anchor = aligned.select(*ALIGNED, "place", "w", F.explode(beside).alias("q")).select(*ALIGNED, "place", (F.col("shift") + F.col("q")).alias("position"), term.alias("term"))
-    kept = met(near_anchor, index).select(*ALIGNED, "place").distinct().join(known, "item_key")
+    beside = (F.col("n_terms") == 1) | ((F.col("before") == F.col("item_before")) & (F.col("before") >= 0)) | ((F.col("after") == F.col("item_after")) & (F.col("after") >= 0))
+    aligned = starts.where(beside).select("doc_key", "item_key", (F.col("position") - F.col("place")).alias("shift"), "place").distinct().join(known, "item_key")
     reach = F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("least") + 1), F.least(F.size("w"), F.col("place") + F.col("least")) - 1)
-    around = kept.select(*ALIGNED, "w", F.explode(reach).alias("q")).select(*ALIGNED, "q", (F.col("shift") + F.col("q")).alias("position"), term.alias("term")).distinct()
+    term, position = F.get("w", F.col("q")), F.col("shift") + F.col("q")
+    around = aligned.select(*ALIGNED, "w", F.explode(reach).alias("q")).select(*ALIGNED, "q", position.alias("position"), term.alias("term")).where("position >= 0").distinct()
+    met = index.select("doc_key", "position", "term").join(written(around, "wanted"), ["doc_key", "position", "term"]).select(*ALIGNED, "q").distinct()
     run = F.col("q") - F.row_number().over(Window.partitionBy(*ALIGNED).orderBy("q"))
-    runs = met(around, index).select(*ALIGNED, "q").withColumn("run", run).groupBy(*ALIGNED, "run").agg(F.min("q").alias("q"), F.count("*").cast("int").alias("length"))
+    runs = met.withColumn("run", run).groupBy(*ALIGNED, "run").agg(F.min("q").alias("q"), F.count("*").cast("int").alias("length"))
     names = small(items.select("item_key", "item_id", "least"), BROADCAST_ROWS)
     return runs.join(names, "item_key").where(F.col("length") >= F.col("least")).select("doc_key", "item_id", (F.col("shift") + F.col("q")).alias("start"), "length").distinct()
 
@@ -101,7 +103,7 @@ def near_terms(items: DataFrame, rarest: int) -> DataFrame:
 def near(index: DataFrame, needed: DataFrame, span: int) -> DataFrame:
     """Distinct (doc_key, item_id): documents in which all terms ``needed`` for the item lie within ``span`` tokens, in any order."""
     sizes = needed.groupBy("item_id").agg(F.count("*").alias("needed"))
-    at = index.join(small(needed, BROADCAST_ROWS), "term").distinct()
+    at = index.select("doc_key", "position", "term").join(small(needed, BROADCAST_ROWS), "term").distinct()
     close = Window.partitionBy("doc_key", "item_id").orderBy("position").rangeBetween(-(span - 1), 0)
     found = at.withColumn("met", F.size(F.collect_set("term").over(close)))
     return found.join(small(sizes, BROADCAST_ROWS), "item_id").where(F.col("met") == F.col("needed")).select("doc_key", "item_id").distinct()
