@@ -394,7 +394,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
         links = links.union(written(light_links(light_subsets(sets, light, percent)), "jaccard-light"))
 
     of_cluster, of_list = Window.partitionBy("shingle", "cluster"), Window.partitionBy("shingle")
-    placed = lists.select("shingle", "class_key", "size").join(star.select("class_key", "cluster"), "class_key", "left").withColumn("cluster", F.coalesce("cluster", "class_key"))
+    placed = lists.select("shingle", "class_key", "size").join(small(star.select("class_key", "cluster"), BROADCAST_ROWS), "class_key", "left").withColumn("cluster", F.coalesce("cluster", "class_key"))
     placed = placed.withColumn("n", F.count("*").over(of_cluster)).withColumns({"main": F.max(F.struct("n", "cluster")).over(of_list)["cluster"], "all": F.count("*").over(of_list), "most": F.max("n").over(of_list)})
     placed = written(placed.where("most < all").select("shingle", "class_key", "size", "cluster", "main"), "jaccard-placed")
     met = placed.where("cluster <> main").groupBy("class_key", "size", "main").agg(F.count("*").alias("met")).where(4 * F.col("met") >= least_met(F.col("size"), F.col("size"), percent))
@@ -404,8 +404,8 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     found = components(links, "a", "b")
     joined = found.select(F.col("node").alias("class_key"), "component")
-    known = visits.select("class_key", F.col("cluster").alias("visited")).join(joined, "class_key", "full")
-    placed = placed.join(known, "class_key", "left").withColumns({"component": F.coalesce("component", "class_key"), "visited": F.coalesce("visited", "cluster")})
+    known = written(visits.select("class_key", F.col("cluster").alias("visited")).join(joined, "class_key", "full"), "jaccard-known")
+    placed = placed.join(small(known, BROADCAST_ROWS), "class_key", "left").withColumns({"component": F.coalesce("component", "class_key"), "visited": F.coalesce("visited", "cluster")})
     placed = placed.withColumns({"low": F.min("component").over(of_list), "high": F.max("component").over(of_list)})
     several = written(placed.where("low <> high").drop("low", "high"), "jaccard-open")
     # what has not met a list's main cluster meets all of the list
