@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,17 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """All matches as structs of start (from 0), length and text: gaps between matches add up to the offsets."""
-    found = matches(text, pattern)
-    gaps = F.transform(F.split(text, java(pattern), -1), F.length)
-    before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + g) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, m: a + F.length(m))
-    return F.transform(found, lambda m, i: F.struct(before(i).alias("start"), F.length(m).alias("length"), m.alias("text")))
+    """All matches as structs of start (from 0), length and text: one walk along the gaps between matches adds up the offsets."""
+    kind = "array<struct<start:int,length:int,text:string>>"
+    parts = F.arrays_zip(matches(text, pattern).alias("m"), F.transform(F.split(text, java(pattern), -1), F.length).alias("gap"))
+
+    def walk(state: Column, part: Column) -> Column:
+        start, length = state["at"] + part["gap"], F.coalesce(F.length(part["m"]), F.lit(0))
+        found = F.struct(start.alias("start"), length.alias("length"), part["m"].alias("text"))
+        return F.struct((start + length).alias("at"), F.when(part["m"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(found))).alias("out"))
+
+    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), walk, lambda state: state["out"])
+    return F.when(text.rlike(java(pattern)), walked).otherwise(F.array().cast(kind))
 
 
 def snippet(text: Column, start: Column, length: Column, reach: int) -> Column:
@@ -28,10 +36,25 @@ def snippet(text: Column, start: Column, length: Column, reach: int) -> Column:
     return F.concat(F.when(first > 0, "…").otherwise(""), cut, F.when(last < F.length(text), "…").otherwise(""))
 
 
+#: a search term in lower case: a whole run of letters and digits, two at least, that is no stop word
+TERM = r"(?<![a-z0-9])(?!(?:%s)(?![a-z0-9]))[a-z0-9]{2,}" % "|".join(STOPWORDS)
+
+
 def terms(text: Column) -> Column:
-    """Search terms: letters and digits in lower case, two signs at least, no stop words."""
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " ")
-    return F.filter(F.split(plain, r"\s+"), lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
+    """The search terms of a text, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
+
+def n_terms(low: Column) -> Column:
+    """How many search terms a text in lower case has."""
+    return F.regexp_count(low, F.lit(TERM))
+
+
+def n_of(low: Column, term: str) -> Column:
+    """How often a text in lower case has ``term`` as a search term."""
+    counts = bool(re.fullmatch(TERM, term))
+    whole = F.lit(f"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])")
+    return F.when(low.contains(term), F.regexp_count(low, whole)).otherwise(0) if counts else F.lit(0)
 
 
 def mapped(keys: Column, table: dict[str, str], other: Column) -> Column:

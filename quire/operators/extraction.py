@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -16,9 +17,14 @@ def any_of(patterns: dict[str, str]) -> str:
     return "|".join(f"(?:{P.java(p)})" for p in patterns.values())
 
 
+def gate_of(patterns: dict[str, str]) -> str:
+    """A cheap pattern that matches wherever one of ``patterns`` does: personal data has a digit or an at sign."""
+    return "[0-9@]" if patterns and all(p in P.PERSONAL_DATA.values() for p in patterns.values()) else any_of(patterns)
+
+
 def pattern_hits(rows: DataFrame, patterns: dict[str, str], text: str = "line") -> DataFrame:
     """The columns of ``rows`` but the text, and category, start, length, text of every match; overlaps of categories stay."""
-    gated = rows.where(F.col(text).rlike(any_of(patterns)))
+    gated = rows.where(F.col(text).rlike(gate_of(patterns)))
 
     def of_category(category: str, pattern: str):
         struct = lambda s: F.struct(F.lit(category).alias("category"), s["start"].alias("start"), s["length"].alias("length"), s["text"].alias("text"))
@@ -29,11 +35,39 @@ def pattern_hits(rows: DataFrame, patterns: dict[str, str], text: str = "line")
     return gated.select(*kept, F.explode(F.concat(*per_category)).alias("h")).select(*kept, "h.*")
 
 
+def keyword_pattern(keyword: str, match_case: bool = False, whole_word: bool = False, regex: bool = False) -> str:
+    """The pattern of a keyword search; a bad pattern is an error here, before anything runs."""
+    keyword = keyword.strip()
+    pattern = keyword if regex else re.sub(r"[.*+?^${}()|\[\]\\]", r"\\\g<0>", keyword)
+    if whole_word and not regex:
+        pattern = rf"\b{pattern}\b"
+    try:
+        re.compile(pattern)
+    except re.error as error:
+        raise ValueError(f"not a pattern: {error}") from error
+    return pattern if match_case else f"(?i){pattern}"
+
+
+def keyword_hits(rows: DataFrame, keyword: str, scope: str = "word", **flags: bool) -> DataFrame:
+    """(doc_id, page_no, line_no, start, text) of a keyword's hits: the word, its line, its sentence inside the line, or each page once."""
+    pattern = keyword_pattern(keyword, **flags)
+    found = pattern_hits(rows.withColumn("_line", F.col("line")), {"keyword": pattern}).where("length > 0") if keyword.strip() else rows.limit(0).withColumns({"_line": F.col("line"), "start": F.lit(0), "length": F.lit(0), "text": F.col("line")})
+    line, keys = F.col("_line"), ["doc_id", "page_no", "line_no", "start"]
+    if scope == "page":
+        return found.select("doc_id", "page_no").distinct().select("doc_id", "page_no", *[F.lit(None).cast(t).alias(c) for c, t in (("line_no", "int"), ("start", "int"), ("text", "string"))])
+    before, after = F.substring(line, F.lit(1), F.col("start")), F.substring(line, F.col("start") + 1, F.length(line))
+    first = F.length(F.regexp_extract(before, r"^(.*[.?!]) ", 1))
+    last = F.when(after.rlike("[.?!]"), F.col("start") + F.length(F.regexp_extract(after, r"^[^.?!]*[.?!]", 0))).otherwise(F.length(line))
+    shown = {"word": F.col("text"), "line": line, "sentence": F.substring(line, first + 1, last - first)}[scope]
+    return found.select(*keys, shown.alias("text"))
+
+
 def normalised_hits(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """Matches in the lines and in their copies with confused digits put right, once for each category and span."""
-    fixed = rows.withColumn("line", F.translate("line", P.CONFUSED, P.MEANT))
-    both = pattern_hits(rows, patterns).unionByName(pattern_hits(fixed, patterns)).drop("text")
-    return both.distinct()
+    fixed = F.translate("line", P.CONFUSED, P.MEANT)
+    kept = [c for c in rows.columns if c != "line"]
+    both = rows.where(fixed.rlike(gate_of(patterns))).select(*kept, F.explode(F.array_distinct(F.array("line", fixed))).alias("line"))  # digits stay as they are
+    return pattern_hits(both, patterns).drop("text").distinct()
 
 
 def captions(rows: DataFrame, non_names: list[str]) -> DataFrame:

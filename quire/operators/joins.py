@@ -6,33 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def contained_needles(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str, block: int = 500, encoded: bool = False) -> DataFrame:
-    """(text_id, needle_id) where the needle (three signs at least, any case) is part of the text.
+GRAM, MOST_BROADCAST = 3, 200_000
 
-    ``encoded``: the needle as it is written, its UTF-8 or UTF-16BE bytes as hexadecimal digits (any case), or its UTF-16BE bytes as
-    signs. The needles are a query set: they come to the driver a block at a time and each block is one pass over the texts, inside
-    the row, so no pair is formed unless it matches.
+
+def contained_needles(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str, encoded: bool = False) -> DataFrame:
+    """Distinct (text_id, needle_id) where the needle (three signs at least, any case) is part of the text.
+
+    ``encoded``: the needle as it is written, its UTF-8 or UTF-16BE bytes as hexadecimal digits (any case, from an even digit of a run
+    of digits on), or its UTF-16BE bytes as signs. An index of grams joins them: each form is filed under the one of its grams that the
+    fewest forms have, and a text looks up its own distinct grams; only what shares that gram is compared. Neither side passes
+    through the driver.
     """
-    found = None
-    needle = F.col("text") if encoded else F.lower("text")
-    wanted = needles.where(F.length("text") >= 3).select(F.col(needle_id).cast("bigint").alias(needle_id), needle.alias("needle")).distinct()
-    rows = list(wanted.toLocalIterator())
-    for at in range(0, max(1, len(rows)), block):
-        held = [F.struct(F.lit(r[0]).alias("id"), *_forms(r[1], encoded)) for r in rows[at : at + block]]
-        known = F.array(*held) if held else F.array().cast("array<struct<id:bigint,exact:array<string>,low:array<string>>>")
-        both = texts.select(text_id, F.col("text").alias("_text"), F.lower("text").alias("_low"))
-        within = lambda text, forms: F.exists(forms, lambda f: F.col(text).contains(f))
-        hits = both.select(text_id, F.explode(F.filter(known, lambda n: within("_low", n["low"]) | within("_text", n["exact"]))).alias("n")).select(text_id, F.col("n.id").alias(needle_id))
-        found = hits if found is None else found.unionByName(hits)
-    return found
-
-
-def _forms(needle: str, encoded: bool) -> tuple[Column, Column]:
-    """What to look for in a text, and in the text in lower case."""
-    wide = needle.encode("utf-16-be")
-    exact, low = ([needle, wide.decode("latin-1")], [needle.encode().hex(), wide.hex()]) if encoded else ([], [needle])
-    strings = lambda found: F.array(*map(F.lit, found)).cast("array<string>")
-    return strings(exact).alias("exact"), strings(low).alias("low")
+    needle = needles.where(F.length("text") >= GRAM).select(F.col(needle_id).cast("bigint").alias(needle_id), (F.col("text") if encoded else F.lower("text")).alias("needle")).distinct()
+    forms = needle.select(needle_id, F.explode(_forms(F.col("needle"), encoded)).alias("f")).select(needle_id, "f.*")
+    filed = forms.select(needle_id, "form", "low", "hex", F.explode(_grams(F.col("form"))).alias("gram"))
+    held = filed.groupBy("gram").agg(F.count("*").alias("n"))
+    entries = filed.join(held, "gram").groupBy(needle_id, "form", "low", "hex").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    if entries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        entries = F.broadcast(entries)
+    read = texts.select(text_id, F.col("text").alias("_text"), F.lower("text").alias("_low"))
+    both = F.array_union(_grams(F.col("_low")), _grams(F.col("_text"))) if encoded else _grams(F.col("_low"))
+    met = read.select(text_id, "_text", "_low", F.explode(both).alias("gram")).join(entries, "gram")
+    within = F.when(F.col("low"), F.col("_low")).otherwise(F.col("_text")).contains(F.col("form"))
+    aligned = ~F.col("hex") | F.exists(F.regexp_extract_all("_low", F.lit("[0-9a-f]+"), F.lit(0)), lambda run: _at_even(run, F.col("form")))
+    return met.where(within & aligned).select(text_id, needle_id).distinct()
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of three signs; the signs of a text are split once."""
+    of_signs = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(s) - GRAM), lambda i: F.concat(F.get(s, i), F.get(s, i + 1), F.get(s, i + 2))))
+    signs = F.transform(F.array(F.split(text, "")), of_signs)[0]
+    return F.when(F.length(text) >= GRAM, signs).otherwise(F.array().cast("array<string>"))
+
+
+def _at_even(run: Column, form: Column) -> Column:
+    """Whether ``form`` begins at an even place of ``run``, that is, on a byte."""
+    return run.contains(form) & F.regexp_like(run, F.concat(F.lit("^(?:..)*?"), form))
+
+
+def _forms(needle: Column, encoded: bool) -> Column:
+    """What to look for: (form, low: in the text in lower case, hex: as digits)."""
+    form = lambda text, low, digits: F.struct(text.alias("form"), F.lit(low).alias("low"), F.lit(digits).alias("hex"))
+    if not encoded:
+        return F.array(form(needle, True, False))
+    wide = F.encode(needle, "UTF-16BE")
+    return F.array(form(needle, False, False), form(F.decode(wide, "ISO-8859-1"), False, False), form(F.lower(F.hex(F.encode(needle, "UTF-8"))), True, True), form(F.lower(F.hex(wide)), True, True))
 
 
 def first_meeting_box(targets: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -67,3 +67,10 @@ def gate(docs: DataFrame, patterns: dict[str, str], text: str = "text") -> DataF
     """``docs`` if no text matches (null texts don't); the first text that does fails the job."""
     clean = ~F.coalesce(F.col(text).rlike(any_of(patterns)), F.lit(False))
     return docs.withColumn(text, F.when(clean, F.col(text)).otherwise(F.raise_error(F.lit("a redacted value is still there"))))
+
+
+def flatten(docs: DataFrame, clear_sensitive_first: bool = False, text: str = "text") -> DataFrame:
+    """``docs`` ready to be made part of a page: a text with a sensitive value fails the job, or is emptied if that is asked for."""
+    if not clear_sensitive_first:
+        return gate(docs, P.PERSONAL_DATA, text)
+    return docs.withColumn(text, F.when(F.col(text).rlike(any_of(P.PERSONAL_DATA)), "").otherwise(F.col(text)))

@@ -5,28 +5,36 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import terms
+from quire.functions.text import n_of, n_terms
 
 K1, B = 1.5, 0.75
 
 
 def bm25(docs: DataFrame, query_terms: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of the texts that hold a query term; one pass counts terms inside the row, statistics are one row."""
-    held = F.array(*map(F.lit, query_terms)) if query_terms else F.array().cast("array<string>")
-    bag = terms(F.col(text))
-    counted = docs.select(doc_id, bag.alias("bag")).select(
-        doc_id, F.size("bag").alias("n"), F.transform(held, lambda q: F.struct(q.alias("term"), F.size(F.filter("bag", lambda t: t == q)).alias("tf"))).alias("tfs")
-    )
-    stats = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_len"))
-    found = counted.select(doc_id, "n", F.explode("tfs").alias("t")).select(doc_id, "n", "t.*").where("tf > 0")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg_len")))
-    # df has a row a query term, stats one row in all
-    return found.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy(doc_id).agg(F.sum(weight).alias("score"))
+    """(doc_id, score) of the texts that hold a query term.
+
+    The texts are read once: what is kept of each is its length and a count a query term, numbers only, spilled to disk where
+    memory is short. Documents, mean length and the terms' document counts are one row; ids that repeat add up.
+    """
+    query_terms = list(dict.fromkeys(query_terms))
+    low = docs.select(doc_id, F.lower(text).alias("_low"))
+    counted = low.select(doc_id, F.coalesce(n_terms(F.col("_low")), F.lit(0)).alias("n"), *[n_of(F.col("_low"), t).alias(f"tf{i}") for i, t in enumerate(query_terms)])
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
+    tfs = [F.col(f"tf{i}") for i in range(len(query_terms))]
+    stats = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_len"), *[F.count_if(tf > 0).alias(f"df{i}") for i, tf in enumerate(tfs)])
+    hits = counted.where(F.greatest(*tfs, F.lit(0), F.lit(0)) > 0).join(F.broadcast(stats))  # of one row
+
+    def weight(i: int) -> Column:
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
+        return F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("n") / F.col("avg_len")))).otherwise(0.0)
+
+    score = sum((weight(i) for i in range(len(query_terms))), F.lit(0.0))
+    return hits.groupBy(doc_id).agg(F.sum(score).alias("score"))
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:

@@ -87,12 +87,49 @@ def numbered(files: DataFrame, order: str, pages: str, start: int, rows_a_range:
     return summed.withColumn("first_number", F.col("last_number") - F.col(pages) + 1)
 
 
-def parents(rows: DataFrame, keys: list[str], order: str, level: str) -> DataFrame:
-    """``rows`` with parent: the nearest row before with a lower level."""
+def concatenated(files: list[DataFrame], order: str, pages: str) -> DataFrame:
+    """The rows of ``files`` one after the other, numbered on from 1: each file by ranges, then moved by what lies before it."""
+    out, before = None, 0
+    for file in files:
+        now = numbered(file, order, pages, before + 1)
+        before += file.agg(F.coalesce(F.sum(pages), F.lit(0))).first()[0]
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
+def every_n(pages: DataFrame, n: int, page: str = "page_no") -> DataFrame:
+    """``pages`` with part: ``n`` pages each, from 1; ``n`` of 1 puts each page in a part of its own."""
+    return pages.withColumn("part", (F.floor((F.col(page) - 1) / n) + 1).cast("int"))
+
+
+def split_points(text: str, total: int) -> list[int]:
+    """Pages at which a new part begins, from ``5, 12 18``; anything else than pages from 2 to ``total`` is an error."""
+    points = set()
+    for part in filter(None, re.split(r"[,\s]+", text)):
+        if not part.isascii() or not part.isdigit() or not 2 <= int(part) <= total:
+            raise ValueError(f"not a page from 2 to {total}: {part}")
+        points.add(int(part))
+    return sorted(points)
+
+
+def preview_parts(pages: DataFrame, excluded: Column, keys: list[str], base: str, part: str = "part", page: str = "page_no") -> DataFrame:
+    """(keys, part, index, start_page, end_page, pages, name): parts without the excluded pages; empty ones go, the rest are numbered on.
+
+    Names have as many digits as the number of all parts, two at least.
+    """
+    of_all = pages.groupBy(*keys).agg(F.countDistinct(part).alias("_parts"))
+    held = pages.where(~excluded).groupBy(*keys, part).agg(F.min(page).alias("start_page"), F.max(page).alias("end_page"), F.count("*").alias("pages")).join(of_all, keys)
+    index = F.row_number().over(Window.partitionBy(*keys).orderBy(part))
+    width = F.greatest(F.lit(2), F.length(F.col("_parts").cast("string")))
+    named = held.withColumn("index", index)
+    return named.withColumn("name", F.concat(F.lit(f"{base}-part"), F.lpad(F.col("index").cast("string"), width, F.lit("0")))).drop("_parts")
+
+
+def parents(rows: DataFrame, keys: list[str], order: str, level: str, levels: list[int]) -> DataFrame:
+    """``rows`` with parent: the nearest row before with a lower one of the ``levels``; of each level the last place is carried on."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list(F.struct(F.col(order).alias("o"), F.col(level).alias("l"))).over(w)
-    lower = F.filter(before, lambda b: b["l"] < F.col(level))
-    return rows.withColumn("parent", F.array_max(F.transform(lower, lambda b: b["o"])))
+    last = [F.when(F.col(level) > k, F.last(F.when(F.col(level) == k, F.col(order)), ignorenulls=True).over(w)) for k in levels]
+    return rows.withColumn("parent", F.array_max(F.array(*last)))
 
 
 def within_budget(rows: DataFrame, keys: list[str], newest: list[Column], size: str, budget: int, most: int) -> DataFrame:

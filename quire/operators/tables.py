@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import patterns as P
 from quire.functions.values import CATEGORIES, amount, chosen, iso_date
 
 
@@ -54,13 +57,57 @@ def reconstructed(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", "page_no").applyInPandas(page, "doc_id long, page_no int, row_no int, cells array<string>")
 
 
-def header_rows(rows: DataFrame, groups: list[list[str]], within: int = 30) -> DataFrame:
-    """(doc_id, header_row): the first of a document's first rows whose cells name at least half of the keyword groups."""
-    low = F.transform("cells", F.lower)
-    held = [F.arrays_overlap(low, F.array(*map(F.lit, group))).cast("int") for group in groups]
-    named = sum(held[1:], held[0])
-    enough = rows.where((F.col("row_no") < within) & (named >= (len(groups) + 1) // 2))
-    return enough.groupBy("doc_id").agg(F.min("row_no").alias("header_row"))
+def header_columns(rows: DataFrame, groups: list[list[str]], within: int = 30) -> DataFrame:
+    """(doc_id, header_row, columns): the first of a document's first rows whose cells hold words of at least half of the groups.
+
+    columns: for each group the place of the first cell that holds one of its words, from 0; null: none does.
+    """
+    low = F.transform("cells", lambda c: F.lower(F.coalesce(c, F.lit(""))))
+    holds = lambda c, group: F.exists(F.array(*map(F.lit, group)), lambda word: c.contains(word))
+    place = lambda group: F.array_position(F.transform(low, lambda c: holds(c, group)), True)
+    columns = F.array(*[F.when(place(group) > 0, (place(group) - 1).cast("int")) for group in groups])
+    early = rows.where(F.col("row_no") < within).withColumn("columns", columns)
+    enough = early.where(F.size(F.filter("columns", lambda c: c.isNotNull())) >= (len(groups) + 1) // 2)
+    return enough.groupBy("doc_id").agg(F.min("row_no").alias("header_row"), F.min_by("columns", "row_no").alias("columns"))
+
+
+def invoice_rows(rows: DataFrame, groups: list[list[str]], european: bool = False) -> DataFrame:
+    """(doc_id, entry, description, qty, unit_price, amount, tax): line items below the header, with a description and an amount.
+
+    Without a header the first cell describes and the widest row's last one is the amount.
+    """
+    heads = header_columns(rows, groups)
+    widest = rows.groupBy("doc_id").agg(F.max(F.size("cells")).alias("_wide"))
+    known = rows.join(widest, "doc_id").join(heads, "doc_id", "left").where(F.col("header_row").isNull() | (F.col("row_no") > F.col("header_row")))
+    at = lambda i, other=None: F.coalesce(F.get("columns", F.lit(i)), F.lit(None).cast("int") if other is None else other)
+    cell = lambda place: F.when(place.isNotNull(), F.get("cells", place))
+    money = lambda place: amount(cell(place), european)
+    read = known.select("doc_id", "row_no", F.trim(cell(at(0, F.lit(0)))).alias("description"), money(at(1)).alias("qty"), money(at(2)).alias("unit_price"), money(at(3, F.col("_wide") - 1)).alias("amount"), money(at(4)).alias("tax"))
+    items = read.where((F.col("description") != "") & F.col("amount").isNotNull())
+    return items.withColumn("entry", F.row_number().over(Window.partitionBy("doc_id").orderBy("row_no"))).drop("row_no")
+
+
+def header_fields(text: Column, fields: dict[str, str]) -> dict[str, Column]:
+    """The first match of each field's pattern, trimmed; null if there is none."""
+    return {name: F.nullif(F.trim(F.regexp_extract(text, P.java(p), 1)), F.lit("")) for name, p in fields.items()}
+
+
+def document_type(text: Column) -> Column:
+    """``ledes``, ``bank_statement``, ``invoice`` or ``generic``, and how sure that is: high, medium or low."""
+    holds = lambda group: reduce(lambda a, b: a & b, [text.rlike(P.java(p)) for p in group]).cast("int")
+    bank, timed, invoice = (reduce(lambda a, b: a + b, map(holds, P.TYPE_SIGNS[kind])) for kind in ("bank", "ledes", "invoice"))
+    ledes = timed - F.when(bank == 0, 0.0).otherwise(0.5)
+    sure = lambda kind, score, high: F.when(score >= high, f"{kind} high").otherwise(f"{kind} medium")
+    return chosen(
+        [
+            (text.rlike(P.LEDES_BLOCK), F.lit("ledes high")),
+            ((ledes >= 3) & (ledes > invoice), sure("ledes", ledes, 4)),
+            ((bank >= 2) & (bank >= invoice), sure("bank_statement", bank, 3)),
+            (invoice >= 2, sure("invoice", invoice, 3)),
+            (bank >= 1, F.lit("bank_statement low")), (invoice >= 1, F.lit("invoice low")), (ledes >= 1, F.lit("ledes low")),
+        ],
+        "generic low",
+    )
 
 
 def signed_by_balance(rows: DataFrame, keys: list[str], order: str, tolerance: float = 0.02) -> DataFrame:

@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions.text import matches, snippet, spans
 from quire.operators import extraction as X
-from quire.sources.tables import LINES_SQL, PAGES_SQL, lines, page_texts, table
+from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, table
 
+from . import legal_queries
+from .legal_queries import spans_sql
 from .registry import query
 
-NON_NAMES = (
-    "summary overview introduction abstract conclusion background scope approach executive contents table appendix exhibit schedule notes "
-    "chapter section article part title page figure data report plan model system service project policy standard case court district county "
-    "united states department commission agency bureau office supreme federal state plaintiff defendant petitioner respondent motion order notice date re"
-).split()
+#: words that headings and captions are made of, our own choice; a caller with a longer list gives it instead
+NON_NAMES = [
+    "accounts", "affidavit", "agenda", "agreement", "amendment", "analysis", "answer", "appeal", "application", "assignment", "attachment", "audit",
+    "balance", "bid", "board", "brief", "budget", "bulletin", "calendar", "certificate", "charter", "checklist", "claim", "code", "complaint",
+    "contract", "copy", "corporation", "council", "covenant", "credit", "date", "deed", "defendant", "delivery", "deposit", "directory", "discovery",
+    "division", "document", "draft", "earnings", "equity", "escrow", "estimate", "evidence", "exhibit", "expenses", "filing", "finance", "form",
+    "general", "guide", "hearing", "inc", "index", "information", "inspection", "insurance", "interest", "inventory", "invoice", "judgment", "jury",
+    "lease", "ledger", "letter", "license", "list", "loan", "manual", "memo", "memorandum", "minutes", "mortgage", "motion", "notice", "office",
+    "opinion", "order", "page", "part", "patent", "payment", "payroll", "permit", "petition", "plaintiff", "plan", "policy", "price", "project",
+    "property", "proposal", "purchase", "question", "receipt", "record", "reference", "register", "release", "report", "request", "response",
+    "review", "rule", "sale", "schedule", "section", "security", "service", "settlement", "sheet", "state", "statement", "statute", "stipulation",
+    "study", "subject", "subpoena", "summary", "survey", "table", "tax", "term", "testimony", "title", "total", "transcript", "treaty", "trial",
+    "trust", "update", "verdict", "volume", "warranty", "witness",
+]
 
 
 def unnested(patterns: dict[str, str], text: str = "line", keys: str = "doc_id, line_no") -> str:
@@ -23,14 +34,6 @@ def unnested(patterns: dict[str, str], text: str = "line", keys: str = "doc_id,
     return " UNION ALL ".join(f"SELECT {keys}, '{c}' AS category, unnest(regexp_extract_all({text}, '{P.re2(p)}')) AS text FROM lines" for c, p in patterns.items())
 
 
-def spans_sql(patterns: dict[str, str]) -> str:
-    """SQL: matches with their offsets, from the lengths of gaps and matches before each."""
-    found = " UNION ALL ".join(f"SELECT doc_id, line_no, '{c}' AS category, regexp_split_to_array(line, '{P.re2(p)}') AS gaps, regexp_extract_all(line, '{P.re2(p)}') AS found FROM lines WHERE regexp_matches(line, '{P.re2(p)}')" for c, p in patterns.items())
-    return f"""found AS ({found}), located AS (SELECT *, generate_subscripts(found, 1) AS i FROM found),
- spans AS (SELECT doc_id, line_no, category, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS INT) AS start,
- CAST(length(found[i]) AS INT) AS length, found[i] AS text FROM located)"""
-
-
 @query(f"WITH {LINES_SQL} {unnested(P.PERSONAL_DATA)}")
 def ext1_personal_data(spark, sf_dir):
     """All matches of all categories; overlaps stay."""
@@ -42,14 +45,16 @@ def ext2_offsets(spark, sf_dir):
     return X.pattern_hits(lines(spark, sf_dir), P.PERSONAL_DATA).drop("page_no")
 
 
-_CAPTION_SQL = f"""WITH {LINES_SQL}, p AS (SELECT doc_id, line_no, unnest(list_concat(regexp_extract_all(line, '{P.re2(P.CAPTION)}', 1), regexp_extract_all(line, '{P.re2(P.CAPTION)}', 2))) AS party FROM lines),
+_CAPTION_SQL = f"""WITH {legal_queries.ALL_SQL}, p AS (SELECT doc_id, line_no, unnest(list_concat(regexp_extract_all(line, '{P.re2(P.CAPTION)}', 1), regexp_extract_all(line, '{P.re2(P.CAPTION)}', 2))) AS party FROM lines),
  b AS (SELECT *, list_filter(list_transform(regexp_split_to_array(party, '\\s+'), lambda t: lower(regexp_replace(t, '[.,''’\\-]', '', 'g'))), lambda t: length(t) > 1) AS bare FROM p)
  SELECT doc_id, line_no, party FROM b WHERE NOT (len(bare) > 0 AND len(list_filter(bare, lambda t: NOT list_contains([{",".join(f"'{w}'" for w in NON_NAMES)}], t))) = 0)"""
 
 
 @query(_CAPTION_SQL)
 def ext5_captions(spark, sf_dir):
-    return X.captions(lines(spark, sf_dir), NON_NAMES)
+    from .legal_queries import all_lines
+
+    return X.captions(all_lines(spark, sf_dir), NON_NAMES)
 
 
 _DIGITS = {k: P.PERSONAL_DATA[k] for k in ("ssn", "phone", "creditCard", "date", "ipAddress")}
@@ -63,26 +68,6 @@ def ext6_confused_digits(spark, sf_dir):
     return X.normalised_hits(lines(spark, sf_dir).drop("page_no"), _DIGITS)
 
 
-@query(f"WITH {LINES_SQL} {unnested({'privilege': P.PRIVILEGE})}")
-def ext7_privilege_terms(spark, sf_dir):
-    return X.pattern_hits(lines(spark, sf_dir), {"privilege": P.PRIVILEGE}).select("doc_id", "line_no", "category", "text")
-
-
-_NEAR = {"email": P.PERSONAL_DATA["email"], "phone": P.PERSONAL_DATA["phone"]}
-_LABEL = {"label": r"(?i)\b(?:call|contact|mail|email|phone|tel|visit|write)\b"}
-
-
-@query(
-    f"""WITH {LINES_SQL}, {spans_sql(_NEAR | _LABEL)}
- SELECT DISTINCT h.doc_id, h.line_no, h.category, h.start, h.length, h.text FROM spans h JOIN spans t ON h.doc_id = t.doc_id AND h.line_no = t.line_no
- WHERE h.category <> 'label' AND t.category = 'label' AND h.start <= t.start + t.length + 90 AND h.start + h.length >= t.start - 90 AND (h.start + h.length <= t.start OR h.start >= t.start + t.length)"""
-)
-def ext8_near_terms(spark, sf_dir):
-    """Values within ninety signs of a term on the same line, not overlapping it."""
-    rows = lines(spark, sf_dir).drop("page_no")
-    return X.near(X.pattern_hits(rows, _NEAR), X.pattern_hits(rows, _LABEL), ["doc_id", "line_no"], 90)
-
-
 @query(
     f"""WITH {LINES_SQL}, {spans_sql({"email": P.PERSONAL_DATA["email"]})}
  SELECT s.doc_id, s.line_no, s.text, regexp_extract(substr(line, 1, start), '[^\\s:;=|,]*$') || s.text || regexp_extract(substr(line, start + length + 1), '^[^\\s:;=|,]*') AS token FROM spans s JOIN lines USING (doc_id, line_no)"""
@@ -130,45 +115,10 @@ _TERMS = ["attorney", "privileged", "confidential", "license", "copyright", "pas
 def ext13_multi_term_scan(spark, sf_dir):
     """Terms with a hit at least, their hits and documents: one pass over the texts, no join."""
     counts = F.array(*[F.struct(F.lit(t).alias("term"), F.regexp_count(F.lower("text"), F.lit(t)).alias("n")) for t in _TERMS])
-    found = table(spark, sf_dir, "documents").select(F.explode(counts).alias("c")).where("c.n > 0")
+    found = documents(spark, sf_dir).select(F.explode(counts).alias("c")).where("c.n > 0")
     return found.groupBy("c.term").agg(F.sum("c.n").alias("hits"), F.count("*").alias("docs"))
 
 
-_REVIEW = {"privilege": P.PRIVILEGE, "email": P.PERSONAL_DATA["email"], "phone": P.PERSONAL_DATA["phone"], "ipAddress": P.PERSONAL_DATA["ipAddress"]}
-_NEGATORS = r"(?i)\b(?:not|no|never|without|neither|nor)\b"
-
-
-def _reviewed(rows):
-    found = X.pattern_hits(rows.withColumn("kept", F.col("line")), _REVIEW)
-    before = F.substring(F.col("kept"), F.greatest(F.lit(1), F.col("start") - 39), F.least(F.col("start"), F.lit(40)))
-    return found.withColumn("negated", before.rlike(P.java(_NEGATORS)) & ~before.rlike(r"(?i)not\s+only")).drop("kept")
-
-
-_REVIEW_SQL = f"""{LINES_SQL}, {spans_sql(_REVIEW)}, reviewed AS (SELECT s.*, page_no, regexp_matches(substr(line, greatest(1, start - 39), least(start, 40)), '{_NEGATORS}') AND NOT regexp_matches(substr(line, greatest(1, start - 39), least(start, 40)), '(?i)not\\s+only') AS negated
- FROM spans s JOIN lines USING (doc_id, line_no))"""
-
-
-@query(f"WITH {_REVIEW_SQL} SELECT doc_id, page_no, line_no, category, start, length, text, negated FROM reviewed")
-def ext14_privilege_review(spark, sf_dir):
-    """Findings with a flag for a negator in the forty signs before (EXT15), unless it says not only."""
-    return _reviewed(lines(spark, sf_dir))
-
-
-_PRIORITY = ["privilege", "email", "phone", "ipAddress"]
-
-
-@query(
-    f"""WITH {_REVIEW_SQL}, r AS (SELECT *, start + length AS fin, list_position({_PRIORITY}, category) AS rank FROM reviewed),
- o AS (SELECT *, max(fin) OVER (PARTITION BY doc_id, line_no ORDER BY start, rank, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
- n AS (SELECT *, sum(CASE WHEN reached IS NULL OR start > reached + 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY start, rank, fin ROWS UNBOUNDED PRECEDING) AS island FROM o)
- SELECT doc_id, line_no, min(start) AS start, max(fin) AS "end", arg_min(category, rank * 1000000 + start) AS type, bool_or(negated) AS negated FROM n GROUP BY doc_id, line_no, island"""
-)
-def ext16_merged_findings(spark, sf_dir):
-    """Findings less than eight signs apart as one."""
-    found = _reviewed(lines(spark, sf_dir)).withColumnRenamed("category", "type")
-    return X.merged_intervals(found, ["doc_id", "line_no"], _PRIORITY, 8).drop("island")
-
-
 @query("""WITH v AS (SELECT page_id, 'url' AS vector, url AS value FROM pages UNION ALL SELECT page_id, 'markup', html FROM pages)
  SELECT DISTINCT page_id, vector, lower(e) AS value FROM (SELECT page_id, vector, unnest(regexp_extract_all(value, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b')) AS e FROM v)""")
 def ext17_side_channels(spark, sf_dir):
@@ -216,25 +166,6 @@ def ext23_markup_values(spark, sf_dir):
 
 
 
-@query(
-    f"""WITH {LINES_SQL}, s AS (SELECT DISTINCT doc_id, page_no, 'ACME' || lpad(CAST(doc_id * 10 + page_no AS VARCHAR), 8, '0') AS stamp FROM lines WHERE doc_id % 2 = 0),
- p AS (SELECT doc_id, page_no, regexp_extract(stamp, '^([A-Z]+)(\\d+)$', 1) AS prefix, length(regexp_extract(stamp, '^([A-Z]+)(\\d+)$', 2)) AS digits, CAST(regexp_extract(stamp, '^([A-Z]+)(\\d+)$', 2) AS BIGINT) AS n FROM s),
- q AS (SELECT *, CASE WHEN n = lag(n) OVER (PARTITION BY doc_id ORDER BY page_no) + 1 THEN 1 ELSE 0 END AS follows FROM p)
- SELECT prefix, CAST(digits AS INT) AS digits, count(*) AS n, sum(follows) AS in_sequence, count(DISTINCT doc_id) AS docs, 4 * count(*) + 18 * sum(follows) + 14 + least(max(digits), 8) AS score FROM q GROUP BY prefix, digits"""
-)
-def ext22_stamp_formats(spark, sf_dir):
-    """Formats inferred from page stamps, scored by how many follow in sequence."""
-    from pyspark.sql import Window
-
-    pages = lines(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id", "page_no").distinct()
-    stamp = F.concat(F.lit("ACME"), F.lpad((F.col("doc_id") * 10 + F.col("page_no")).cast("string"), 8, "0"))
-    part = lambda i: F.regexp_extract(stamp, r"^([A-Z]+)(\d+)$", i)
-    read = pages.select("doc_id", "page_no", part(1).alias("prefix"), F.length(part(2)).alias("digits"), part(2).cast("bigint").alias("n"))
-    follows = F.when(F.col("n") == F.lag("n").over(Window.partitionBy("doc_id").orderBy("page_no")) + 1, 1).otherwise(0)
-    by = read.withColumn("follows", follows).groupBy("prefix", "digits").agg(F.count("*").alias("n"), F.sum("follows").alias("in_sequence"), F.countDistinct("doc_id").alias("docs"))
-    return by.withColumn("score", 4 * F.col("n") + 18 * F.col("in_sequence") + 14 + F.least("digits", F.lit(8)))
-
-
 @query()
 def ext3_names(spark, sf_dir):
     """Names by title case or, with a signal in the line, in capitals (EXT4)."""

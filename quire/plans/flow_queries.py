@@ -12,7 +12,7 @@ from quire.functions import patterns as P
 from quire.operators import chunks as C
 from quire.operators import pipeline, retrieval, sequence
 from quire.operators.extraction import any_of
-from quire.sources.tables import LINES_SQL, PAGES_SQL, lines, page_texts, table
+from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, table
 from quire.streaming import feeds
 
 from .registry import query, sql_query
@@ -28,12 +28,12 @@ _DOT = "list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
 def ret2_bm25(spark, sf_dir):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), TERMS).select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(documents(spark, sf_dir), TERMS).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
 def top1_bm25(spark, sf_dir):
-    return retrieval.top(retrieval.bm25(table(spark, sf_dir, "documents"), TERMS), 20).select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.top(retrieval.bm25(documents(spark, sf_dir), TERMS), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings ORDER BY {_DOT} DESC, vec_id LIMIT 20")
@@ -45,7 +45,7 @@ def top2_cosine(spark, sf_dir):
 @query(f"WITH {_BM25}, c AS (SELECT doc_id FROM bm ORDER BY score DESC, doc_id LIMIT 80) SELECT doc_id, round({_DOT}, 6) AS score FROM embeddings JOIN c ON vec_id = doc_id ORDER BY {_DOT} DESC, doc_id LIMIT 20")
 def ret4_two_stage(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.two_stage(table(spark, sf_dir, "documents"), vectors, TERMS, retrieval.vector_of(vectors, 0)).select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.two_stage(documents(spark, sf_dir), vectors, TERMS, retrieval.vector_of(vectors, 0)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT conv_id, turn, len(regexp_extract_all(text, '(?i)\\b(?:the|and)\\b')) AS marked, len(regexp_split_to_array(text, '(?i)\\b(?:the|and)\\b')) AS plain FROM conversations")
@@ -101,6 +101,34 @@ def src4_paragraphs(spark, sf_dir):
     return C.chunks(pages, C.paragraphs_of, 300, 120)
 
 
+def _csv_files(spark, sf_dir):
+    """Part of the customers as CSV files with odd cells, written and read again."""
+    from quire.sources.tables import read_csv
+
+    folder = f"{_shared(spark)}/quire/csv_{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit('a "b", '), F.col("c_name")).alias("name"), F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" ")).alias("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).alias("key"))
+    rows.write.csv(folder, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
+    return read_csv(spark, folder)
+
+
+@query("SELECT 'a \"b\", ' || c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS key FROM customer")
+def src5_csv(spark, sf_dir):
+    """CSV with quotes, separators and blanks in cells; missing cells are empty."""
+    return _csv_files(spark, sf_dir)
+
+
+@query("SELECT segment, count(*) AS n, count(*) FILTER (WHERE keyed) AS keyed FROM (SELECT c_mktsegment AS segment, c_custkey % 2 = 0 AS keyed FROM customer) GROUP BY segment")
+def src6_csv_rows(spark, sf_dir):
+    """Rows of CSV files by one of their columns, without rows that are empty throughout."""
+    return _csv_files(spark, sf_dir).groupBy("segment").agg(F.count("*").alias("n"), F.count_if(F.col("key") != "").alias("keyed"))
+
+
+@query(f"WITH {PAGES_SQL} SELECT doc_id, page_no, length(replace(text, ' ', '')) < 20 AS needs_ocr FROM doc_pages")
+def src7_pages_to_recognise(spark, sf_dir):
+    """Pages with so little text that they would be recognised from their picture."""
+    return page_texts(lines(spark, sf_dir)).select("doc_id", "page_no", (F.length(F.replace("text", F.lit(" "))) < 20).alias("needs_ocr"))
+
+
 sql_query("src1_documents", "SELECT lang, count(*) AS n, min(length(text)) AS shortest, max(length(text)) AS longest FROM documents GROUP BY lang")
 sql_query("src8_builder", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey DESC LIMIT 100")
 
@@ -162,7 +190,7 @@ def win8_adjacent_repeats(spark, sf_dir):
 def win9_parents(spark, sf_dir):
     level = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", level.alias("level"))
-    return sequence.parents(rows, ["conv_id"], "turn", "level").select("conv_id", "turn", "parent")
+    return sequence.parents(rows, ["conv_id"], "turn", "level", [0, 1, 2]).select("conv_id", "turn", "parent")
 
 
 _RUNNING = "sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)"
@@ -205,6 +233,26 @@ def set6_split_points(spark, sf_dir):
     return sequence.parts_from_breaks(pages, F.col("page_no").isin(3, 6), ["doc_id"], "page_no")
 
 
+@query(f"WITH {LINES_SQL}, p AS (SELECT DISTINCT doc_id, page_no FROM lines) SELECT doc_id, page_no, page_no AS single, CAST(floor((page_no - 1) / 3) + 1 AS INT) AS by_three, CAST(1 + CASE WHEN page_no >= 2 THEN 1 ELSE 0 END + CASE WHEN page_no >= 5 THEN 1 ELSE 0 END AS BIGINT) AS by_points FROM p")
+def set6_split_modes(spark, sf_dir):
+    """Each page alone, three pages each, and parts from given points."""
+    pages = lines(spark, sf_dir).select("doc_id", "page_no").distinct()
+    points = sequence.split_points("5, 2 5", 10)
+    by = sequence.every_n(sequence.every_n(pages, 1).withColumnRenamed("part", "single"), 3).withColumnRenamed("part", "by_three")
+    return sequence.parts_from_breaks(by, F.col("page_no").isin(points), ["doc_id"], "page_no").withColumnRenamed("part", "by_points")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS doc, l_linenumber AS page, CAST(CASE WHEN l_linenumber >= 4 THEN 2 ELSE 1 END + CASE WHEN l_linenumber >= 6 THEN 1 ELSE 0 END AS INT) AS part, l_returnflag = 'A' AS out_ FROM lineitem),
+ a AS (SELECT doc, greatest(2, length(CAST(count(DISTINCT part) AS VARCHAR))) AS width FROM p GROUP BY doc), h AS (SELECT doc, part, min(page) AS start_page, max(page) AS end_page, count(*) AS pages FROM p WHERE NOT out_ GROUP BY doc, part),
+ n AS (SELECT h.*, CAST(row_number() OVER (PARTITION BY doc ORDER BY part) AS INT) AS index, width FROM h JOIN a USING (doc)) SELECT doc, part, index, start_page, end_page, pages, 'file-part' || lpad(CAST(index AS VARCHAR), CAST(width AS INT), '0') AS name FROM n""")
+def set8_preview_parts(spark, sf_dir):
+    """Parts that begin at pages 4 and 6, without pages returned; empty ones are dropped, names are padded."""
+    n = F.col("l_linenumber")
+    part = (F.when(n >= 4, 2).otherwise(1) + F.when(n >= 6, 1).otherwise(0)).cast("int")
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), n.alias("page"), part.alias("part"), "l_returnflag")
+    return sequence.preview_parts(pages, F.col("l_returnflag") == "A", ["doc"], "file", page="page")
+
+
 @query(f"WITH {LINES_SQL}, b AS (SELECT DISTINCT doc_id, page_no, 'short' AS why FROM lines WHERE length(line) < 8 AND page_no > 1 UNION SELECT DISTINCT doc_id, page_no, 'caps' FROM lines WHERE page_no > 1 AND regexp_matches(line, '^[A-Z ]+$')) SELECT doc_id, page_no, string_agg(why, ',' ORDER BY why) AS why FROM b GROUP BY doc_id, page_no")
 def set7_break_reasons(spark, sf_dir):
     later = lines(spark, sf_dir).where("page_no > 1")
@@ -213,7 +261,6 @@ def set7_break_reasons(spark, sf_dir):
     return found.groupBy("doc_id", "page_no").agg(F.array_join(F.array_sort(F.collect_set("why")), ",").alias("why"))
 
 
-sql_query("set8_preview_parts", "SELECT l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 3) AS part FROM lineitem WHERE l_returnflag <> 'A'")
 sql_query("set9_rotated", "SELECT l_orderkey, l_linenumber, (l_linenumber * 90 + 270) % 360 AS rotation FROM lineitem")
 
 
@@ -228,26 +275,26 @@ _ANY = " OR ".join(f"regexp_matches(text, '{P.re2(p)}')" for p in P.PERSONAL_DAT
  c AS (SELECT *, length(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) >= 20 AS t FROM b)
  SELECT doc_id, sha256(CASE WHEN t THEN trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) ELSE text END) AS digest, s + CASE WHEN t THEN 0 ELSE 1 END AS skipped FROM c""")
 def pipe1_conditional_steps(spark, sf_dir):
-    done = pipeline.run(table(spark, sf_dir, "documents").select("doc_id", "text"), STEPS)
+    done = pipeline.run(documents(spark, sf_dir), STEPS)
     return done.select("doc_id", F.sha2("text", 256).alias("digest"), "skipped")
 
 
 @query(f"SELECT doc_id, ({_ANY}) AS sensitive, regexp_matches(text, '{P.PRIVILEGE}') AS privilege, strlen(text) / 1048576.0 > 5 AS large FROM documents")
 def pipe3_conditions(spark, sf_dir):
     c = lambda name: pipeline.CONDITIONS[name](F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", c("sensitive").alias("sensitive"), c("privilege").alias("privilege"), c("size-over").alias("large"))
+    return documents(spark, sf_dir).select("doc_id", c("sensitive").alias("sensitive"), c("privilege").alias("privilege"), c("size-over").alias("large"))
 
 
 @query(f"SELECT doc_id, sha256(regexp_replace(text, '{P.PERSONAL_DATA['email']}', '█', 'g')) AS digest FROM documents")
 def pipe4_redacted(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(pipeline.redact(F.col("text"), P.PERSONAL_DATA["email"]), 256).alias("digest"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(pipeline.redact(F.col("text"), P.PERSONAL_DATA["email"]), 256).alias("digest"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS email, CAST(0 AS BIGINT) AS \"ipAddress\"")
 def pipe5_gate(spark, sf_dir):
     """Redact, then count what is left: nothing."""
     kept = {k: P.PERSONAL_DATA[k] for k in ("email", "ipAddress")}
-    done = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", any_of(kept), "█"))
+    done = documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", any_of(kept), "█"))
     return pipeline.leaks(pipeline.gate(done, kept), kept)
 
 
@@ -262,17 +309,24 @@ sql_query("pipe11_smallest", "SELECT o_orderkey, least(o_totalprice, o_totalpric
 @query("SELECT a.doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN sha256(a.text) = sha256(b.text) THEN 'same' ELSE 'changed' END AS state FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1")
 def cmp1_versions(spark, sf_dir):
     """Each text against that of the next id, by digest."""
-    digests = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    digests = documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("digest"))
     other = digests.select((F.col("doc_id") - 1).alias("doc_id"), F.col("digest").alias("other"))
     state = F.when(F.col("other").isNull(), "missing").when(F.col("digest") == F.col("other"), "same").otherwise("changed")
     return digests.join(other, "doc_id", "left").select("doc_id", state.alias("state"))
 
 
+def _shared(spark) -> str:
+    """The folder that all executors see; on a local master, where all share one disk, one of our own if none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    return (named or tempfile.mkdtemp(prefix="quire-stream-")).rstrip("/")
+
+
 def _streamed(spark, out, name):
     """All rows that the stream has after one pass over its files."""
     sink = f"{name}_{uuid.uuid4().hex}"
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-stream-")).rstrip("/")
-    target = f"{folder}/quire/{sink}"
+    target = f"{_shared(spark)}/quire/{sink}"
     out.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", f"{target}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(target)
 
@@ -285,7 +339,21 @@ def stream1_incremental_hits(spark, sf_dir):
     return _streamed(spark, feeds.hits(docs, {"email": P.PERSONAL_DATA["email"]}).select("doc_id", "line_no", "text"), "hits")
 
 
-sql_query("stream2_latest", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def stream2_latest(spark, sf_dir):
+    """A table that keeps the newest row of each user as events arrive."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    return feeds.kept_table(events, ["user_id"], "event_id", f"{_shared(spark)}/quire/latest_{uuid.uuid4().hex}").select("user_id", "event_id")
+
+
+@query("SELECT CAST(time_bucket(INTERVAL '1 day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream4_windowed_counts(spark, sf_dir):
+    """Events by type and day of event time, in update mode over files that arrive; the last count of each window is kept."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    counts = feeds.windowed_counts(events, "1 day", "40000 days").select(F.col("window.start").alias("day"), "event_type", "n")
+    return feeds.kept_table(counts, ["day", "event_type"], "n", f"{_shared(spark)}/quire/windows_{uuid.uuid4().hex}", "update")
+
+
 
 
 @query("SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (WHERE event_type IN ('purchase', 'error')), arg_max(event_type, event_id)) AS event_type FROM events GROUP BY user_id")
@@ -316,7 +384,7 @@ def fn5_date_votes(spark, sf_dir):
     """Numbers above twelve tell days from months."""
     votes = lambda i: F.size(F.filter(F.regexp_extract_all("text", F.lit(P.java(_NUMERIC)), F.lit(i)), lambda x: x.cast("int") > 12))
     locale = F.when(votes(1) > votes(2), "EU").when(votes(2) > votes(1), "US").otherwise("open")
-    return table(spark, sf_dir, "documents").select("doc_id", locale.alias("locale"))
+    return documents(spark, sf_dir).select("doc_id", locale.alias("locale"))
 
 
 _FLOWS = [(r"(?i)\b(?:cancel|never mind)\b", "cancel"), (r"(?i)\bredact\b.*\b(?:ssn|phone|email|name|date)s?\b", "redact-category"), (r"(?i)\bredact\b", "redact-term"), (r"(?i)\b(?:split|extract)\b.*\bpages?\b", "pages"), (r"(?i)\b(?:number|stamp|bates)\b", "number")]

@@ -6,27 +6,32 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import joins, reports
-from quire.sources.tables import LINES_SQL, lines, table
+from quire.sources.tables import LINES_SQL, documents, lines, table
 
 from .registry import query, sql_query
 
 # ---- joins
 sql_query("join1_users", "SELECT c.c_custkey, c.c_name, coalesce(n.n_name, 'none') AS nation, coalesce(CASE WHEN c.c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'pro' END, 'free') AS plan FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey")
 sql_query("join2_lookup", "SELECT o.o_orderkey, c.c_name AS owner FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey")
-sql_query("join3_backfill", "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_custkey IS NULL")
-sql_query("join4_dismissed", "SELECT e.event_id, e.user_id FROM events e WHERE e.event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'error' AND d.user_id = e.user_id)")
+sql_query("join3_backfill", "SELECT c.c_custkey FROM customer c LEFT JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) o ON c.c_custkey = o.o_custkey WHERE o.o_custkey IS NULL")
+sql_query("join4_dismissed", "SELECT e.event_id, e.user_id FROM events e WHERE e.event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'error' AND d.user_id = e.user_id AND CAST(d.ts AS DATE) = CAST(e.ts AS DATE))")
 
 
 @query("SELECT d.doc_id, CAST(b.item_id AS BIGINT) AS item_id FROM documents d JOIN benchmark b ON length(b.text) >= 3 AND contains(lower(d.text), lower(b.text))")
 def join5_leaks(spark, sf_dir):
     """Needles (a stated set, in blocks) that survive in any text."""
-    return joins.contained_needles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return joins.contained_needles(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
-@query("SELECT d.doc_id, CAST(b.item_id AS BIGINT) AS item_id FROM documents d JOIN benchmark b ON length(b.text) >= 3 AND contains(hex(d.text), hex(b.text))")
+@query("""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, 'x ' || lower(hex(text)) || ' y' FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT -100000 - item_id, 'x 0' || hex(text) FROM benchmark WHERE item_id % 3 = 1)
+ SELECT DISTINCT t.doc_id, CAST(b.item_id AS BIGINT) AS item_id FROM t JOIN benchmark b ON length(b.text) >= 3 AND (contains(t.text, b.text) OR regexp_matches(lower(t.text), '(?:^|[^0-9a-f])(?:[0-9a-f][0-9a-f])*' || lower(hex(b.text))))""")
 def join6_encoded_leaks(spark, sf_dir):
-    """Needles in any text as they are, as hexadecimal digits, as UTF-16BE, or as hexadecimal digits of that."""
-    return joins.contained_needles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", encoded=True)
+    """Needles in any text as they are, as hexadecimal digits, as UTF-16BE, or as hexadecimal digits of that; some planted, on a byte and beside one."""
+    items = table(spark, sf_dir, "benchmark")
+    key, digits = F.col("item_id").cast("bigint"), F.hex(F.encode("text", "UTF-8"))
+    planted = items.where(key % 3 == 0).select((-1 - key).alias("doc_id"), F.concat(F.lit("x "), F.lower(digits), F.lit(" y")).alias("text"))
+    beside = items.where(key % 3 == 1).select((-100000 - key).alias("doc_id"), F.concat(F.lit("x 0"), digits).alias("text"))
+    return joins.contained_needles(documents(spark, sf_dir).unionByName(planted).unionByName(beside), items, "doc_id", "item_id", encoded=True)
 
 
 
@@ -71,7 +76,7 @@ sql_query(
     "SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS debit, round(sum(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice ELSE 0 END), 2) AS credit FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1",
 )
 sql_query("agg2_by_category", "SELECT coalesce(nullif(p_brand, ''), 'uncategorized') AS category, round(sum(p_retailprice), 2) AS total FROM part GROUP BY coalesce(nullif(p_brand, ''), 'uncategorized') ORDER BY abs(sum(p_retailprice)) DESC")
-sql_query("agg3_snapshot", "SELECT c_mktsegment AS plan, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 0) AS active, round(sum(CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0 END), 2) AS revenue FROM customer GROUP BY GROUPING SETS ((c_mktsegment), ())")
+sql_query("agg3_snapshot", "SELECT c_mktsegment AS plan, CASE WHEN c_acctbal < 0 THEN 'past_due' WHEN c_acctbal < 1000 THEN 'trialing' ELSE 'active' END AS status, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 0) AS active, round(sum(CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0 END), 2) AS revenue FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (CASE WHEN c_acctbal < 0 THEN 'past_due' WHEN c_acctbal < 1000 THEN 'trialing' ELSE 'active' END), ())")
 sql_query("agg4_counts_by_type", "SELECT event_type, user_id % 10 AS page, count(*) AS n FROM events GROUP BY event_type, user_id % 10")
 sql_query("agg5_ledger", "SELECT l_returnflag AS label, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber) AS entry, count(*) OVER (PARTITION BY l_returnflag, l_orderkey) AS group_size FROM lineitem")
 sql_query("agg6_type_counts", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role")
@@ -86,7 +91,7 @@ def agg8_corpus_lengths(spark, sf_dir):
 
 @query("SELECT l_orderkey, list_sort(list(l_quantity))[CAST(floor(count(*) / 2) AS INT) + 1] AS upper_median FROM lineitem GROUP BY l_orderkey")
 def agg9_upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(reports.upper_median(F.col("l_quantity")).alias("upper_median"))
+    return reports.nearest_rank(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity", 0.5, 1).withColumnRenamed("rank_value", "upper_median")
 
 
 @query(f"""WITH {LINES_SQL}, p AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM lines GROUP BY doc_id), r AS (SELECT doc_id, substr(line, 1, 40) AS head, count(DISTINCT page_no) AS n FROM lines GROUP BY 1, 2),
@@ -115,7 +120,9 @@ def agg13_max_pool(spark, sf_dir):
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(least(count(value) - 1, floor(0.95 * count(value))) AS INT) + 1] AS p95 FROM events GROUP BY event_type")
 def agg14_mean_and_p95(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), reports.nearest_rank(F.col("value"), 0.95).alias("p95"))
+    events = table(spark, sf_dir, "events")
+    ranked = reports.nearest_rank(events, ["event_type"], "value", 0.95).withColumnRenamed("rank_value", "p95")
+    return events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean")).join(ranked, "event_type", "left")
 
 
 sql_query("agg15_reconciliation", "SELECT o.o_orderkey, abs(sum(l.l_extendedprice) - max(o.o_totalprice)) > 0.05 AS off FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey")
@@ -142,7 +149,6 @@ def agg20_merged_summaries(spark, sf_dir):
 
 
 # ---- top-k
-sql_query("top3_heading_cap", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) t WHERE k <= 6")
 sql_query("top5_latest", "SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 500")
 sql_query("top6_margin", "WITH s AS (SELECT o_custkey, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS runner_up FROM orders) SELECT o_custkey, CASE WHEN runner_up IS NULL OR score - runner_up >= 0.05 * score THEN 'clear' ELSE 'ambiguous' END AS verdict FROM s WHERE k = 1")
 
@@ -157,6 +163,14 @@ sql_query("top8_pins", "WITH c AS (SELECT event_type AS tool, 1 AS tier, -count(
 
 # ---- set operations
 sql_query("set1_union", "SELECT 'customer' AS kind, c_custkey AS id FROM customer UNION ALL SELECT 'supplier' AS kind, s_suppkey AS id FROM supplier")
-sql_query("set2_concatenated", "SELECT row_number() OVER (ORDER BY file, doc_id) AS ord, file, doc_id FROM (SELECT 1 AS file, doc_id FROM documents WHERE lang = 'fr' UNION ALL SELECT 2 AS file, doc_id FROM documents WHERE lang = 'de') t")
-sql_query("set5_ordered_distinct", "SELECT o_custkey, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
+@query("SELECT row_number() OVER (ORDER BY file, id) AS ord, file, id FROM (SELECT 1 AS file, c_custkey AS id FROM customer UNION ALL SELECT 2 AS file, o_orderkey AS id FROM orders) t")
+def set2_concatenated(spark, sf_dir):
+    """The pages of several files as one, numbered on: by ranges in each file, after all that the files before it hold."""
+    from quire.operators import sequence
+
+    files = [table(spark, sf_dir, name).select(F.lit(k).alias("file"), F.col(key).alias("id"), F.lit(1).alias("one")) for k, (name, key) in enumerate((("customer", "c_custkey"), ("orders", "o_orderkey")), 1)]
+    return sequence.concatenated(files, "id", "one").select(F.col("last_number").alias("ord"), "file", "id")
+
+
+sql_query("set5_ordered_distinct", "SELECT o_custkey, o_orderpriority, first_order, row_number() OVER (PARTITION BY o_custkey ORDER BY first_order) AS ord FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey, o_orderpriority) t")
 sql_query("set10_distinct", "SELECT DISTINCT lower(event_type) AS needle FROM events WHERE length(event_type) >= 3")

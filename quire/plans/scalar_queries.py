@@ -53,24 +53,15 @@ def fn4_numeric_looking(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_brand", r"(?i)[\s$€£¥()DRCR,.\-]", "").rlike(r"^\d+$").alias("numeric_looking"))
 
 
-_SIGNS = {"bank": [r"\baccount\b", r"\bbalance\b", r"\bdeposits?\b"], "invoice": [r"\binvoice\b", r"\bsubtotal\b", r"\bbill\s+to\b"]}
-
-
-@query("SELECT conv_id, turn, CASE WHEN bank >= 2 AND bank >= invoice THEN 'bank_statement' WHEN invoice >= 2 THEN 'invoice' WHEN bank >= 1 THEN 'bank_statement' WHEN invoice >= 1 THEN 'invoice' ELSE 'generic' END AS kind FROM (SELECT *, " + ", ".join("(" + " + ".join(f"CAST(regexp_matches(text, '(?i){p}') AS INT)" for p in ps) + f") AS {k}" for k, ps in _SIGNS.items()) + " FROM conversations)")
-def fn6_document_types(spark, sf_dir):
-    score = {k: sum((F.col("text").rlike(f"(?i){p}").cast("int") for p in ps[1:]), F.col("text").rlike(f"(?i){ps[0]}").cast("int")) for k, ps in _SIGNS.items()}
-    bank, invoice = score["bank"], score["invoice"]
-    kind = V.chosen([((bank >= 2) & (bank >= invoice), "bank_statement"), (invoice >= 2, "invoice"), (bank >= 1, "bank_statement"), (invoice >= 1, "invoice")], "generic")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"))
-
-
 @query("SELECT event_id, CASE " + " ".join(f"WHEN regexp_matches(lower(event_type || ' ' || props), '{p}') THEN '{c}'" for p, c in V.CATEGORIES) + " ELSE '' END AS category FROM events")
 def fn7_categories(spark, sf_dir):
     d = F.lower(F.concat_ws(" ", "event_type", "props"))
     return table(spark, sf_dir, "events").select("event_id", V.chosen([(d.rlike(p), c) for p, c in V.CATEGORIES], "").alias("category"))
 
 
-sql_query("fn8_code_validity", "SELECT l_shipmode_group AS code_group, count(*) AS n, round(avg(CAST(CASE WHEN valid THEN 1 ELSE 0 END AS DOUBLE)), 6) AS share FROM (SELECT l_suppkey % 10 AS l_shipmode_group, l_returnflag IN ('A', 'R') AS valid FROM lineitem) t GROUP BY l_shipmode_group")
+_TASK_CODES = [f"L{n}" for n in (100, 110, 120, 130, 140, 150, 160, 190, 200, 210, 220, 230, 240, 250, 300, 310, 320, 330, 340, 350, 390, 400, 410, 420, 430, 440, 450, 460, 500, 510, 520)]
+_CODE = "concat('L', CAST(100 + 10 * (l_partkey % 50) AS VARCHAR(9)))"
+sql_query("fn8_code_validity", f"SELECT l_suppkey % 10 AS code_group, count(*) AS n, count(*) > 3 AND round(avg(CASE WHEN {_CODE} IN ({', '.join(repr(c) for c in _TASK_CODES)}) THEN 1.0 ELSE 0.0 END), 6) < 0.3 AS doubtful FROM lineitem GROUP BY l_suppkey % 10")
 
 
 @query("SELECT doc_id, 'ACME' || CASE WHEN length(CAST(doc_id AS VARCHAR)) >= 6 THEN CAST(doc_id AS VARCHAR) ELSE lpad(CAST(doc_id AS VARCHAR), 6, '0') END AS label, 'X-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '-Z' AS other FROM documents")
@@ -110,12 +101,6 @@ def fn14_safe_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.substring(F.trim(F.regexp_replace("url", r"[^A-Za-z0-9._-]+", "_")), 1, 80).alias("name"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(regexp_extract(text, '^[^\\n]*'), '(?i)\\s*\\(?(continued|cont\\.?)\\)?\\s*$', ''))) AS key FROM documents")
-def fn15_pattern_keys(spark, sf_dir):
-    first = F.regexp_extract("text", r"^[^\n]*", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim(F.regexp_replace(first, r"(?i)\s*\(?(continued|cont\.?)\)?\s*$", ""))).alias("key"))
-
-
 sql_query("fn16_hashes", "SELECT doc_id, sha2(text, 256) AS digest FROM documents", "SELECT doc_id, sha256(text) AS digest FROM documents")
 sql_query("fn18_sizes", "SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN 'B' WHEN o_totalprice < 1048576 THEN 'KB' ELSE 'MB' END AS unit, round(CASE WHEN o_totalprice < 1024 THEN o_totalprice WHEN o_totalprice < 1048576 THEN o_totalprice / 1024 ELSE o_totalprice / 1048576 END, 1) AS shown FROM orders")
 sql_query(
@@ -125,17 +110,6 @@ sql_query(
 )
 
 
-@query("""SELECT doc_id, line_no, CASE WHEN regexp_matches(l, '^(?:ARTICLE|CHAPTER|PART)\\b') THEN 1 WHEN regexp_matches(l, '^(?:Section|SECTION)\\b|^\\d+\\.\\s') THEN 2 ELSE 3 END AS level, length(regexp_replace(l, '[^A-Z]', '', 'g')) >= 0.75 * length(regexp_replace(l, '[^A-Za-z]', '', 'g')) AS mostly_caps
- FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line_no FROM documents) WHERE regexp_matches(l, '[A-Z]') AND length(l) BETWEEN 3 AND 80""")
-def fn20_headings(spark, sf_dir):
-    from quire.sources.tables import lines
-
-    level = V.chosen([(F.col("line").rlike(r"^(?:ARTICLE|CHAPTER|PART)\b"), 1), (F.col("line").rlike(r"^(?:Section|SECTION)\b|^\d+\.\s"), 2)], 3)
-    count = lambda cls: F.length(F.regexp_replace("line", cls, ""))
-    likely = lines(spark, sf_dir).where(F.col("line").rlike("[A-Z]") & F.length("line").between(3, 80))
-    return likely.select("doc_id", "line_no", level.alias("level"), (count("[^A-Z]") >= 0.75 * count("[^A-Za-z]")).alias("mostly_caps"))
-
-
 sql_query("fn21_html_escape", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
 sql_query("fn22_fingerprint", "SELECT p_partkey, concat_ws('|', p_brand, p_type, CAST(p_size AS STRING)) AS settings FROM part", "SELECT p_partkey, concat_ws('|', p_brand, p_type, CAST(p_size AS VARCHAR)) AS settings FROM part")
 

@@ -29,8 +29,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.withColumn("page_no", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).cast("int"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer splits than these (as a file of one row group does); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of the documents, for work that outweighs moving a few texts."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(table(spark, sf_dir, "documents"))
+    return lines_of(documents(spark, sf_dir))
 
 
 def page_texts(rows: DataFrame) -> DataFrame:

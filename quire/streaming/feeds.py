@@ -21,13 +21,26 @@ def hits(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by type and window of event time; later ones than ``late`` no longer count."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return kept_last(rows, keys, [F.desc(order)])
 
 
+def kept_table(rows: DataFrame, keys: list[str], order: str, path: str, mode: str = "append") -> DataFrame:
+    """The newest row of each key of the stream ``rows``, after all files that there are: each batch writes its newest rows.
+
+    Batches are folders of their own, written over when a batch is tried again, so a lost executor or driver changes nothing.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        latest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return latest(rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns), keys, order)
+
+
 def first_terminal(rows: DataFrame, key: str, status: str, order: str, terminal: list[str]) -> DataFrame:
     """A job's first terminal state, which absorbs all later ones; without one, its last state."""
     ended = F.when(F.col(status).isin(terminal), F.struct(F.col(order), F.col(status)))
