@@ -296,6 +296,63 @@ def test_language_model(docs, none):
     assert language_model.scored(none).count() == 0
 
 
+def tree_by_hand(train, depth):
+    """Retained contexts (oldest token first) with n, kept and steps; and P of a symbol after a history."""
+    counts = Counter(w for t in train for w in t)
+    total = sum(counts.values())
+    least, least_step = max(2, total >> language_model.CONTEXTS), max(2, total >> language_model.SYMBOLS)
+    padded = [[b"\0end", *t] for t in train]
+    unit = lambda x: (counts[x] + 0.1) / (total + 0.1 * (len(counts) + 1))
+    kept = {}
+
+    def p(context, x):
+        if not context:
+            return unit(x)
+        n, own, steps = kept[context]
+        return (steps.get(x, 0) + (n - own + 1) * p(context[1:], x)) / (n + 1)
+
+    for k in range(1, depth + 1):
+        steps, sizes = defaultdict(Counter), Counter()
+        for t in padded:
+            for i in range(k, len(t)):
+                c = tuple(t[i - k : i])
+                sizes[c] += 1
+                steps[c][t[i]] += 1
+        if k == 1:
+            sizes = Counter({(w,): n for w, n in counts.items()})
+        now = {}
+        for c, n in sizes.items():
+            own = {x: m for x, m in steps[c].items() if m >= least_step}
+            if n < least or not own or (k > 1 and c[1:] not in kept):
+                continue
+            rest, spare = max(n - sum(own.values()), 0), sum(p(c[1:], x) for x in own)
+            gain = sum(m * math.log(m / (n * p(c[1:], x))) for x, m in own.items()) + (rest * math.log(rest / (n * (1 - spare))) if rest else 0)
+            if gain > 0.5 * math.log(max(n, 2)) * len(own):
+                now[c] = (n, sum(own.values()), own)
+        if not now:
+            break
+        kept.update(now)
+
+    def state(history):
+        k = 0
+        while k < len(history) and tuple(history[-k - 1 :]) in kept:
+            k += 1
+        return tuple(history[-k:]) if k else ()
+
+    return kept, lambda t: sum(math.log10(p(state([b"\0end", *t[:i]]), t[i])) for i in range(len(t)))
+
+
+def test_language_model_scores(spark):
+    own = random.Random(5)
+    phrases = ["x a b c d", "y a b c e", "w b c g", "z c f", "é", "rare"]
+    rows = [(i, " ".join([*own.choices(phrases, [9, 9, 9, 9, 3, 1], k=own.randint(0, 12)), *([f"once{i}"] if i % 9 == 0 else [])])) for i in range(120)] + [(500, None), (501, "")]
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"\0end"]
+    kept, score = tree_by_hand([tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10], 4)
+    assert {len(c) for c in kept} == {1, 2, 3, 4}
+    done = {r.doc_id: r.score for r in language_model.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert done == pytest.approx({i: score(tokens(t)) for i, t in rows}, abs=1e-6)
+
+
 def test_language_model_gains(spark, sf_dir):
     done = queries.op8_language_model(spark, sf_dir).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert done[0] > done[1]
