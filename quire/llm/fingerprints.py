@@ -1,15 +1,18 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
 A text's paragraphs are its lines, long ones cut every ``LONGEST`` signs; each has a digest of 40 bits and a check of 20.
-Digests are dealt to parts by their hash, and each part has ``3 * WIDE`` cells: every digest is added to one cell of each
-third (a count, and the exclusive or of the digests). The fingerprint writes the cells out. Two versions' cells
-subtract: what both have cancels, and peeling cells that hold a single digest recovers the differing ones. If some cell
-stays, that part is retried with three times the cells and other places, then nine times; beyond that its digests are compared directly.
-Likeness is common over all distinct paragraphs.
+The fingerprint of a text, whatever its length, is the number of its digests, the SAMPLE least hashes among them, and one
+sketch of ``3 * WIDE`` cells: every digest is added to one cell of each third (a count, and the exclusive or of the
+digests). Two versions' cells subtract: what both have cancels, and peeling cells that hold a single digest recovers the
+differing ones, each with the version that has it. The samples estimate how many differ; where these are more than a
+sketch holds, digests are dealt by their hash to as many parts as the estimate needs, with a sketch each. If some cell
+of a part stays, that part is retried larger, with 3, 9, 27 and 81 times the cells and other places. Likeness is common
+over all distinct paragraphs, from the digests recovered. Should all retries fail, which takes digests that collide in
+every one of them, it is the estimate.
 
 Defined cases: a null text is empty and has no paragraphs; two empty texts are alike (1.0); paragraphs that repeat count
 once; the next document is the one with the next smaller id, after the last the first; rows of equal ids follow one another in
-order of their texts; null ids come last; an empty table gives an empty result; a single document is its own next.
+order of their texts; null ids come last, in order of a hash of their texts; an empty table gives an empty result; a single document is its own next.
 """
 
 from __future__ import annotations
@@ -19,7 +22,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LONGEST, WIDE, PER_PART, ROUNDS = 192, 10, 10, 10
+LONGEST, WIDE, PER_PART, ROUNDS, SAMPLE = 400, 10, 10, 12, 16
+RETRIES = (3, 9, 27, 81)
+FOUND = "array<struct<n:int,k:bigint>>"
 CELL = "struct<n:int,x:bigint>"
 
 
@@ -46,9 +51,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def parts_for(size: Column) -> Column:
-    """The number of parts that leaves a part no more than PER_PART of ``size`` digests on average."""
-    return F.greatest(F.lit(1), F.ceil(size / PER_PART)).cast("int")
+def parts_for(n: Column) -> Column:
+    """The number of parts that leaves a part no more than PER_PART of ``n`` differing digests on average."""
+    return F.greatest(F.lit(1), F.ceil(n / PER_PART)).cast("int")
+
+
+def estimated(a: Column, b: Column) -> Column:
+    """About how many digests only one of two versions has, by the least hashes of both together that both have."""
+    both = F.slice(F.array_sort(F.array_union(a["sample"], b["sample"])), 1, SAMPLE)
+    common = lambda u: F.size(F.filter(u, lambda h: F.array_contains(a["sample"], h) & F.array_contains(b["sample"], h)))
+    share = let(both, lambda u: common(u) / F.greatest(F.size(u), F.lit(1)))
+    return let(share, lambda j: (a["n"] + b["n"]) * (1 - j) / (1 + j))
 
 
 def cells(keys: Column, parts: Column) -> Column:
@@ -66,10 +79,9 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def peeled(part: Column, seed: int = 0) -> Column:
-    """How many digests peeling recovers from the cells of a part; null if some cell stays."""
+    """The digests that peeling recovers from the cells of a part, with n: 1 if the first version has it, -1 if the second; null if some cell stays."""
     lone = lambda c: (F.abs(c["n"]) == 1) & (check(F.shiftright(c["x"], 20)) == c["x"].bitwiseAND(F.lit((1 << 20) - 1)))
     sign = lambda c: F.struct(c["n"].alias("n"), placed(c["x"], seed).alias("p"))
-
     remove = lambda c, s: F.struct((c["n"] - s["n"]).alias("n"), c["x"].bitwiseXOR(s["p"]["k"]).alias("x"))
 
     def taken(state: Column, found: Column) -> Column:
@@ -77,87 +89,94 @@ def peeled(part: Column, seed: int = 0) -> Column:
         bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
         touched = F.aggregate(found, F.lit(0), lambda m, s: m.bitwiseOR(bit(s["p"]["a"])).bitwiseOR(bit(s["p"]["b"])).bitwiseOR(bit(s["p"]["c"])))  # 3 * WIDE bits
         left = let(touched, lambda m: F.transform(state["cells"], lambda c, i: F.when(m.bitwiseAND(bit(i)) == 0, c).otherwise(F.aggregate(hit(i), c, remove))))
-        return F.struct(left.alias("cells"), (state["n"] + F.size(found)).alias("n"), (F.size(found) == 0).alias("done"))
+        out = F.concat(state["out"], F.transform(found, lambda s: F.struct(s["n"].alias("n"), s["p"]["k"].alias("k"))))
+        return F.struct(left.alias("cells"), out.alias("out"), (F.size(found) == 0).alias("done"))
 
     def step(state: Column, _: Column) -> Column:
         """All lone digests out of their cells."""
         found = F.array_distinct(F.transform(F.filter(state["cells"], lone), sign))
-        last = F.struct(state["cells"].alias("cells"), state["n"].alias("n"), F.lit(True).alias("done"))
+        last = F.struct(state["cells"].alias("cells"), state["out"].alias("out"), F.lit(True).alias("done"))
         return F.when(state["done"], state).otherwise(let(found, lambda f: F.when(F.size(f) > 0, taken(state, f)).otherwise(last)))
 
-    start = F.struct(part.cast(f"array<{CELL}>").alias("cells"), F.lit(0).alias("n"), F.lit(False).alias("done"))
-    gone = lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["x"] == 0)), s["n"])
+    start = F.struct(part.cast(f"array<{CELL}>").alias("cells"), F.array().cast(FOUND).alias("out"), F.lit(False).alias("done"))
+    gone = lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["x"] == 0)), s["out"])
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, gone)
 
 
+def together(found: Column) -> Column:
+    """The digests of all parts in one array; null if a part has none to show."""
+    return F.when(F.forall(found, lambda f: f.isNotNull()), F.flatten(found))
+
+
 def version(text: Column) -> Column:
-    """What is compared of a text: its placed digests, the number of parts and their cells."""
-    sized = lambda keys: F.struct(keys.alias("keys"), parts_for(2 * F.size(keys)).alias("parts"))
-    celled = lambda v: F.struct(v["keys"].alias("keys"), v["parts"].alias("parts"), cells(v["keys"], v["parts"]).alias("cells"))
-    return let(let(F.transform(digests(text), lambda d: placed(d)), sized), celled)
+    """What is compared of a text: its placed digests, their number, the sample and the cells of one part."""
+    least = lambda keys: F.slice(F.array_sort(F.transform(keys, lambda k: F.xxhash64(k["k"], F.lit(9)))), 1, SAMPLE)
+    held = lambda keys: F.struct(keys.alias("keys"), F.size(keys).alias("n"), least(keys).alias("sample"), cells(keys, F.lit(1)).alias("cells"))
+    return let(F.transform(digests(text), lambda d: placed(d)), held)
 
 
 def retried(own: Column) -> Column:
-    """How many digests differ between two versions of a part (x and y of ``own``), by larger sketches, or else directly."""
+    """The digests that differ between two versions of a part (x and y of ``own``), by larger and larger sketches."""
 
     def larger(parts: int, seed: int) -> Column:
         again = lambda keys: cells(F.transform(keys, lambda k: placed(k["k"], seed)), F.lit(parts))
-        counts = F.transform(F.zip_with(again(own["x"]), again(own["y"]), minus), lambda part: peeled(part, seed))
-        return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+        return together(F.transform(F.zip_with(again(own["x"]), again(own["y"]), minus), lambda part: peeled(part, seed)))
 
-    plain = lambda keys: F.transform(keys, lambda k: k["k"])
-    x, y = plain(own["x"]), plain(own["y"])
-    return F.coalesce(larger(3, 1), larger(9, 2), F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
+    return F.coalesce(*[larger(parts, seed) for seed, parts in enumerate(RETRIES, 1)])
 
 
 def differing(a: Column, b: Column, parts: Column) -> Column:
-    """How many digests only one of two versions has, by peeling each part."""
-    at = lambda v: F.when(v["parts"] == parts, v["cells"]).otherwise(cells(v["keys"], parts))
+    """The digests that only one of two versions has, by peeling each part; n: 1 for the first version, -1 for the second."""
+    at = lambda v: F.when(parts == 1, v["cells"]).otherwise(cells(v["keys"], parts))
     of_part = lambda v, p: F.filter(v["keys"], lambda k: F.pmod(k["h"], parts) == p)
     both = F.struct(at(a).alias("x"), at(b).alias("y"))
     one = lambda s, p: F.coalesce(peeled(minus(F.get(s["x"], p), F.get(s["y"], p))), let(F.struct(of_part(a, p).alias("x"), of_part(b, p).alias("y")), retried))
-    counts = let(both, lambda s: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: one(s, p)))
-    return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+    return let(both, lambda s: together(F.transform(F.sequence(F.lit(0), parts - 1), lambda p: one(s, p))))
+
 
+def difference(a: Column, b: Column) -> Column:
+    """What ``differing`` recovers, in as many parts as the samples' estimate needs."""
+    return let(parts_for(estimated(a, b)), lambda p: differing(a, b, p))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Common over all distinct digests of two versions, by subtracting and peeling."""
-    total = F.size(a["keys"]) + F.size(b["keys"])
-    d = let(F.greatest(a["parts"], b["parts"]), lambda p: differing(a, b, p))
-    return F.when(total == 0, F.lit(1.0)).otherwise(let(d, lambda d: (total - d) / (total + d)))
+
+def likeness(a: Column, b: Column, found: Column) -> Column:
+    """Common over all distinct digests of two versions, by the digests ``found`` to differ."""
+    total = a["n"] + b["n"]
+    return F.when(total == 0, F.lit(1.0)).otherwise(let(F.when(found.isNull(), estimated(a, b)).otherwise(F.size(found)), lambda d: (total - d) / (total + d)))
 
 
 def sketch(v: Column) -> Column:
-    """The fingerprint: number of parts, then every cell as count and digests."""
+    """The fingerprint: number of digests, the sample, then every cell as count and digests."""
     cell = lambda c: F.when(c["n"] == 0, F.lit("0")).otherwise(F.concat(F.hex(c["n"]), F.lit("."), F.hex(c["x"])))
-    return F.concat_ws("|", v["parts"].cast("string"), F.array_join(F.transform(F.flatten(v["cells"]), cell), ","))
+    return F.concat_ws("|", v["n"].cast("string"), F.array_join(F.transform(v["sample"], lambda h: F.hex(h)), ","), F.array_join(F.transform(F.flatten(v["cells"]), cell), ","))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 1000, most_bounds: int = 256) -> DataFrame:
+def with_next(docs: DataFrame, bucket_rows: int = 1000, most_bounds: int = 4096) -> DataFrame:
     """doc_id, text, its version, next_text and next_version: those of the document with the next smaller id, after the last that of the first.
 
-    Ids are split into ranges (quantiles, each in equal steps), so no task holds more than a few ranges, and the first row of
-    each range is handed to the range before it.
+    Ids are split into ranges of about ``bucket_rows`` (up to ``most_bounds`` quantiles, each in equal steps), null ids by a hash of
+    their texts, so no task holds more than a few ranges, and the first row of each range is handed to the range before it. Rows of
+    one id are one range, however many they are.
     """
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = read.count()
-    ranges = max(1, math.ceil(rows / bucket_rows))
+    rows, named = read.agg(F.count("*"), F.count("doc_id")).first()
+    ranges, unnamed = max(1, math.ceil(named / bucket_rows)), max(1, math.ceil((rows - named) / bucket_rows))
     bounds = []
     if ranges > 1:
         k = min(ranges, most_bounds)
-        bounds = read.agg(F.percentile_approx("doc_id", [i / k for i in range(k + 1)], 10000)).first()[0] or []
+        bounds = read.agg(F.percentile_approx("doc_id", [i / k for i in range(k + 1)], 10 * max(k, 1000))).first()[0] or []
     bounds = sorted(set(bounds))
     steps = max(1, math.ceil(ranges / max(1, len(bounds))))
     if len(bounds) > 1:
-        known = F.array(*[F.lit(int(b)) for b in bounds])
-        place = F.least(F.greatest(F.size(F.filter(known, lambda b: b <= F.col("doc_id"))), F.lit(1)), F.lit(len(bounds) - 1))
-        low, high = F.element_at(known, place), F.element_at(known, place + 1)
+        place = _place(bounds, F.col("doc_id"))
+        low, high = (F.element_at(F.array(*[F.lit(int(b)) for b in bounds]), place + i) for i in (0, 1))
         step = F.least(F.greatest(F.floor((F.col("doc_id") - low) / (high - low) * steps), F.lit(0)), F.lit(steps - 1))
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place.cast("bigint") * steps + step)
+        bucket = place.cast("bigint") * steps + step
     else:
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+        bucket = F.lit(0).cast("bigint")
+    bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(unnamed))).otherwise(bucket)
     ranged = read.withColumn("bucket", bucket)
-    dealt = ranged.repartition(2 * ranges, "bucket").withColumn("version", version(F.col("text")))
+    dealt = ranged.repartition(max(1, (ranges + unnamed) // 4), "bucket").withColumn("version", version(F.col("text")))
     firsts = ranged.groupBy("bucket").agg(F.max_by(F.struct("text"), F.struct("doc_id", "text")).alias("first"))
     down = Window.orderBy(F.desc("bucket"))  # over one row a range
     everything = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -169,18 +188,37 @@ def with_next(docs: DataFrame, bucket_rows: int = 1000, most_bounds: int = 256)
     return joined.select("doc_id", "text", "version", following.alias("next")).select("doc_id", "text", "version", F.col("next.text").alias("next_text"), F.col("next.version").alias("next_version"))
 
 
+def _place(bounds: list[int], value: Column) -> Column:
+    """The number of the last of ``bounds`` (sorted) up to ``value``, from 1, the last but one at most: first among every 64th, then among those after it."""
+    held = [bounds[i : i + 64] for i in range(0, len(bounds), 64)]
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= value))
+    blocks = F.array(*[F.array(*[F.lit(int(b)) for b in block]) for block in held])
+    inside = let(F.greatest(upto(F.array(*[F.lit(int(block[0])) for block in held])), F.lit(1)), lambda k: (k - 1) * 64 + upto(F.element_at(blocks, k)))
+    return F.least(F.greatest(inside, F.lit(1)), F.lit(len(bounds) - 1)).cast("int")
+
+
 def compared(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited (the text with its end replaced), both fingerprints, likeness to the edited and the next text."""
+    """doc_id, n_chars, edited (the text with its end replaced), both fingerprints, likeness to the edited and the next text.
+
+    lost and gained: the digests of paragraphs that only the text, or only the edited text, has, as peeling recovers them (null
+    if all retries failed).
+    """
     n = F.length("text")
     half = (n / 2).cast("int")
     rows = with_next(docs).select(
         "doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half)).alias("edited"), F.col("version").alias("a"), F.col("next_version").alias("c")
     )
-    return rows.withColumn("b", version(F.col("edited"))).select(
-        "doc_id", "n_chars", "edited", sketch(F.col("a")).alias("fingerprint"), sketch(F.col("b")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    rows = rows.withColumn("b", version(F.col("edited"))).withColumns({"to_edited": difference(a, b), "to_next": difference(a, c)})
+    only = lambda n: F.transform(F.filter("to_edited", lambda d: d["n"] == n), lambda d: d["k"])
+    return rows.select(
+        "doc_id", "n_chars", "edited", sketch(a).alias("fingerprint"), sketch(b).alias("edited_fingerprint"),
+        likeness(a, b, F.col("to_edited")).alias("near_edited"), likeness(a, c, F.col("to_next")).alias("near_next"), only(1).alias("lost"), only(-1).alias("gained"),
     )
 
 
 def digest(done: DataFrame) -> DataFrame:
-    return done.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return done.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+        F.size("lost").cast("long").alias("n_lost"), F.size("gained").cast("long").alias("n_gained"),
+    )

@@ -262,17 +262,32 @@ def test_fingerprints(docs, none, spark):
     one = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: r for r in fingerprints.compared(one).collect()}
     ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    pieces = lambda t: set(re.findall(r"[^\n]{1,192}", t))
+    pieces = lambda t: set(re.findall(r"[^\n]{1,%d}" % fingerprints.LONGEST, t))
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for k, (i, t, *_) in enumerate(ordered):
         t, following = t or "", ordered[(k + 1) % len(ordered)][1] or ""
         edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
         assert (got[i].n_chars, got[i].edited) == (len(t), edited)
+        own, other = pieces(t), pieces(edited)
+        assert (len(got[i].lost), len(got[i].gained)) == (len(own - other), len(other - own)) and got[i].fingerprint.startswith(f"{len(own)}|")
         assert got[i].near_edited == pytest.approx(like(pieces(t), pieces(edited))) and got[i].near_next == pytest.approx(like(pieces(t), pieces(following)))
     assert got[4].fingerprint == got[5].fingerprint != got[6].fingerprint
     assert fingerprints.compared(none).count() == 0
 
 
+def test_peeling_recovers_digests(spark):
+    """Many more differing lines than the samples let expect, none, and all."""
+    lines_ = [f"line {i}" for i in range(400)]
+    pairs = [(0, lines_, lines_), (1, lines_, lines_[:380]), (2, lines_, lines_[::2] + ["x"]), (3, lines_[:5], lines_[5:]), (4, [], lines_), (5, lines_[:1], lines_[:2])]
+    df = spark.createDataFrame([(k, "\n".join(a), "\n".join(b)) for k, a, b in pairs], "k int, a string, b string")
+    held = df.select("k", fingerprints.version(F.col("a")).alias("a"), fingerprints.version(F.col("b")).alias("b"), fingerprints.digests(F.col("a")).alias("da"), fingerprints.digests(F.col("b")).alias("db"))
+    for parts in (None, 1):  # by the estimate, and with far too small a sketch
+        found = fingerprints.difference(F.col("a"), F.col("b")) if parts is None else fingerprints.differing(F.col("a"), F.col("b"), F.lit(parts))
+        for r in held.where("abs(size(da) - size(db)) < 60 AND k <> 2" if parts else "true").select("k", "da", "db", found.alias("found")).collect():
+            own, other = set(r.da), set(r.db)
+            assert Counter((d.n, d.k) for d in r.found) == Counter([*((1, d) for d in own - other), *((-1, d) for d in other - own)]), (r.k, parts)
+
+
 def test_next_over_many_ranges(spark):
     ids = sorted(rng.sample(range(10_000), 300)) + [10**12]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string").repartition(5)
