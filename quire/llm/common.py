@@ -19,8 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; one of our own only where the session names none."""
+    """The folder that all executors see; on a local master, where all share one disk, one of our own if the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     if not named:
         named = getattr(spark.sparkContext, "_quire_shared", None) or tempfile.mkdtemp(prefix="quire-shared-")
         spark.sparkContext._quire_shared = named

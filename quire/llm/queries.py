@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontamination, fingerprints, jaccard_join, language_model, quality, secret_scan, sharding, token_counts, toxicity
-from .common import table
+from .common import ASCII_LOWER, ASCII_UPPER, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +53,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_jaccard_join, op4_decontamination, op5_secret_scan, op6_bpe, op7_fingerprints, op8_language_model, op9_token_counts, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+
+# ---- DuckDB's rows for what SQL can express
+_LOW = f"translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}')"
+_WINDOWED = "string_agg(term, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {} FOLLOWING)"
+
+_JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents), t AS (SELECT doc_id, len(words) AS n, unnest(words) AS term, generate_subscripts(words, 1) AS p FROM w),
+ g AS (SELECT doc_id, n, p, {_WINDOWED.format(3)} AS g FROM t), s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM g WHERE p <= greatest(1, n - 3)), z AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ l AS (SELECT a, b FROM c JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * common >= 85 * (x.size + y.size - common)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a), m AS (SELECT node, min(reached) AS least FROM r GROUP BY node)
+ SELECT d.doc_id, coalesce(size, 0) AS n_shingles, coalesce(least, d.doc_id) AS component_id FROM documents d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id"""
+
+_RUNS = " UNION ALL ".join(f"SELECT doc_id, p, {n} AS n, {_WINDOWED.format(n - 1)} AS g FROM t WHERE EXISTS (SELECT 1 FROM iw WHERE iw.n = {n})" for n in range(1, 11))
+_LEAKS_SQL = f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex({_LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents), t AS (SELECT doc_id, len(words) AS n_words, unnest(words) AS term, generate_subscripts(words, 1) AS p FROM w),
+ i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(string_split_regex({_LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM benchmark), iw AS (SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[s:s + least(len(words), 10) - 1], ' ') AS g
+ FROM (SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS s FROM i WHERE len(words) > 0)), runs AS ({_RUNS}), m AS (SELECT DISTINCT doc_id, item_id, p, n FROM runs JOIN iw USING (n, g)),
+ h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id), k AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM m GROUP BY doc_id),
+ ln AS (SELECT term, count(*) AS n FROM t WHERE term IN (SELECT unnest(words) FROM i) GROUP BY term), need AS (SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n, term) AS k FROM (SELECT DISTINCT item_id, unnest(words) AS term FROM i) JOIN ln USING (term)) WHERE k <= 3),
+ sizes AS (SELECT item_id, count(*) AS needed FROM need GROUP BY item_id), spot AS (SELECT DISTINCT doc_id, item_id, p, term FROM t JOIN need USING (term)),
+ close AS (SELECT DISTINCT doc_id, item_id FROM (SELECT a.doc_id, a.item_id, a.p, count(DISTINCT b.term) AS met FROM spot a JOIN spot b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p BETWEEN a.p - 19 AND a.p GROUP BY a.doc_id, a.item_id, a.p) JOIN sizes USING (item_id) WHERE met = needed),
+ c AS (SELECT doc_id, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM close GROUP BY doc_id)
+ SELECT w.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(k.ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items, sha256(coalesce(c.ids, '')) AS near_items_sha256
+ FROM w LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+#: the contract's patterns as DuckDB reads them, and the method's own tokens
+_KINDS = [("assign", 0, "(?i)(password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2), ("access", 1, "AKIA[A-Z0-9]+", 0), ("hex", 2, "[0-9a-f]+", 0), ("live", 3, "[A-Za-z0-9+/_=-]{20,}", 0)]
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, source, body, {rank} AS rank, regexp_extract_all(body, '{p}') AS m, regexp_extract_all(body, '{p}', {group}) AS v, string_split_regex(body, '{p}') AS gaps FROM d" for _, rank, p, group in _KINDS)
+_NAMES = "['assign', 'access', 'hex', 'live', 'shared'][rank + 1]"
+_SECRETS_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS body FROM documents), f AS ({_FOUND}), u AS (SELECT doc_id, source, body, rank, unnest(m) AS m, unnest(v) AS v, unnest(list_transform(gaps[1:len(m)], lambda x: length(x))) AS gap, generate_subscripts(m, 1) AS i FROM f WHERE len(m) > 0),
+ o AS (SELECT doc_id, source, body, rank, v, CAST(sum(gap + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin, length(m) AS n FROM u),
+ s AS (SELECT doc_id, source, body, rank, v, fin - n AS start, fin FROM o WHERE (rank = 0 AND length(v) >= 6) OR (rank = 1 AND n >= 20) OR (rank = 2 AND n >= 24) OR (rank = 3 AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]'))),
+ kept AS (SELECT * FROM s x WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM s y WHERE y.doc_id = x.doc_id AND y.rank < 3 AND y.start < x.fin AND x.start < y.fin)),
+ classes AS (SELECT v, CASE WHEN repositories >= 3 THEN 'example' WHEN repositories = 1 OR owners <= 1 THEN 'live' ELSE 'shared' END AS class FROM (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS repositories, count(DISTINCT body) AS owners FROM kept GROUP BY v)),
+ j AS (SELECT *, start || ':' || fin AS place FROM kept JOIN classes USING (v)), b AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+ string_agg({_NAMES} || ':' || place, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg({_NAMES} || ':' || place, ',' ORDER BY start, rank) FILTER (WHERE rank < 3 OR class = 'live') AS spans,
+ count(*) FILTER (WHERE rank < 3 AND class = 'example') AS n_example, count(*) FILTER (WHERE rank < 3 AND class = 'live') AS n_live, count(*) FILTER (WHERE rank < 3 AND class = 'shared') AS n_shared,
+ string_agg('shared:' || place, ',' ORDER BY start) FILTER (WHERE rank = 3 AND class = 'shared') AS shared_spans FROM j GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live,
+ coalesce(n_shared, 0) AS n_shared, coalesce(shared_spans, '') AS shared_spans FROM d LEFT JOIN b USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op4_decontamination": _LEAKS_SQL, "op5_secret_scan": _SECRETS_SQL}
