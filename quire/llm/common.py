@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: partitions of a labelled sample
+SAMPLE_PARTS = 24
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,6 +67,13 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as keep it apart from the columns of ``df``."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def id_remainder(doc_id, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -82,4 +91,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     picked = usable.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     place = F.xxhash64(F.lit(8), "doc_id", "text", "label").alias("place")
     found = docs.select("doc_id", "text").join(small(picked.distinct(), 2 * rows), "doc_id").select("text", "label", place).dropDuplicates(["place"])
-    return found.orderBy("place").limit(rows).select("text", "label")
+    return found.orderBy("place").limit(rows).select("text", "label").repartition(SAMPLE_PARTS)

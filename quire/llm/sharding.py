@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import fresh, without, written
 
 ADDED = ["size", "law", "shard", "slot", "grown_shard"]
 
@@ -42,6 +42,7 @@ def shard(
 ) -> DataFrame:
     """``docs`` with size, law, shard, slot (gapless from 0 in a shard) and grown_shard (with one shard more)."""
     kept = without(docs, ADDED)
+    row = fresh(kept, "_row")
     by_shard = docs.groupBy(shard_of(F.col(key), shards, seed).alias("_shard")).agg(F.sum(record_size(F.col(text))).alias("_size"))
     fullest = by_shard.agg(F.max("_size")).first()[0] or 0
     per_shard = max(1, math.ceil(fullest / bucket_bytes))
@@ -50,7 +51,7 @@ def shard(
         shard_of(F.col(key), shards, seed).alias("_shard"),
         F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text), spot), F.lit(per_shard)).cast("int").alias("_bucket"),
         F.xxhash64(F.lit(seed + 2), F.col(key), F.col(text), spot).alias("_order"),
-        F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias(row),
     )
     placed = written(placed.withColumn("_place", F.col("_shard") * per_shard + F.col("_bucket")), "scattered")  # read twice, so places hold
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,18 +64,18 @@ def shard(
         placed.repartitionById(shards * per_shard, F.col("_place"))
         .sortWithinPartitions("_place", "_order")
         .groupBy("_place")
-        .agg(F.first("_shard").alias("_shard"), F.first("_bucket").alias("_bucket"), F.shuffle(F.collect_list("_row"), seed).alias("_rows"))
+        .agg(F.first("_shard").alias("_shard"), F.first("_bucket").alias("_bucket"), F.shuffle(F.collect_list(row), seed).alias("_rows"))
     )
     return (
         buckets.join(starts, ["_shard", "_bucket"])
-        .select("_shard", "_start", F.posexplode("_rows").alias("_at", "_row"))
+        .select("_shard", "_start", F.posexplode("_rows").alias("_at", row))
         .select(
-            "_row.*",
-            record_size(F.col(f"_row.{text}")).alias("size"),
+            f"{row}.*",
+            record_size(F.col(f"{row}.{text}")).alias("size"),
             F.lit("key").alias("law"),
             F.col("_shard").alias("shard"),
             (F.col("_start") + F.col("_at")).alias("slot"),
-            shard_of(F.col(f"_row.{key}"), shards + 1, seed).alias("grown_shard"),
+            shard_of(F.col(f"{row}.{key}"), shards + 1, seed).alias("grown_shard"),
         )
     )
 

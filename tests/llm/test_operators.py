@@ -49,6 +49,11 @@ def by_text(df, *columns):
     return {(r.doc_id, r.text): tuple(r[c] for c in columns) for r in df.collect()}
 
 
+def done_query(docs):
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return sharding.shard(docs, 24).select("doc_id", crc, "law", "slot").collect()
+
+
 def test_sharding(docs, none):
     done = sharding.shard(docs, 5, bucket_bytes=4000).collect()
     assert len(done) == len(ROWS) and Counter(r.text for r in done) == Counter(t for _, t, *_ in ROWS)
@@ -58,6 +63,8 @@ def test_sharding(docs, none):
         assert r.size == len((r.text or "").encode()) + 8
         assert r.grown_shard in (r.shard, 5)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    shown = done_query(docs)
+    assert Counter((r.doc_id, r.text_crc32, r.law) for r in shown) == Counter((i, zlib.crc32((t or "").encode()), "key") for i, t, *_ in ROWS)
     assert sharding.shard(none, 5).count() == 0
 
 
@@ -400,6 +407,65 @@ def test_held_out_accuracy(spark, query, label, recall, false):
     assert rate[1] >= recall and rate[0] <= false, rate
 
 
+CLASHES = ["doc_key", "Size", "found", "_row", "row", "version", "place", "score", "_score", "item_id", "class_key", "component", "n_words", "bucket"]
+
+
+def test_names_that_clash(spark):
+    """Extra columns named like results and helpers are kept where columns are, and break nothing."""
+    texts = [BASE, SECRET, None, "", BASE + " tail"]
+    rows = [(i, t, "s", *([str(i)] * len(CLASHES))) for i, t in enumerate(texts)]
+    clashing = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    bench = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    kept = decontamination.clean(clashing, bench)
+    assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+    assert {r.doc_id: (r.n_hit > 0, r.doc_key) for r in decontamination.decontaminate(clashing, bench).collect()} == {i: (i in (0, 4), str(i)) for i in range(5)}
+    shards = sharding.shard(clashing, 2).collect()
+    assert {(r.doc_id, r.size) for r in shards} == {(i, len((t or "").encode()) + 8) for i, t in enumerate(texts)}
+    assert {r.row.found for r in secret_scan.scan(clashing, carry=tuple(clashing.columns)).collect()} == set("01234")
+    for done in (jaccard_join.one_of_each(clashing), bpe.encode_documents(clashing, public_tokenizers.path("word_bpe_49k.json"))):
+        assert done.count() in (4, 5)
+
+
+def test_sample_is_bounded(spark):
+    from quire.llm.common import labelled_sample
+
+    copies = spark.createDataFrame([(k % 20, f"text {k}") for k in range(600)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    assert labelled_sample(copies, marks, "quality", 5, 0, 10).count() <= 10
+
+
+def test_votes(spark, docs, labels):
+    """Scores by the nearest labelled vectors, one text at a time; equal texts score alike."""
+    import numpy as np
+
+    model = quality.train(docs, labels)
+    got = defaultdict(set)
+    for r in quality.score(docs.select("doc_id", "text"), model).join(docs.select("doc_id", F.col("text").alias("t")).distinct(), "doc_id").collect():
+        got[r.t].add(r.score)
+    for text, scores in got.items():
+        own = np.rint(quality.VECTOR_STEPS * quality.unit(quality.features(text)[None] @ model["space"]))[0]
+        likeness = [int(own @ v) for v in model["vectors"]]
+        best = sorted(range(len(likeness)), key=lambda k: (-likeness[k], k))[:15]
+        weights = [max(likeness[k] / quality.VECTOR_STEPS**2, 0) ** 4 for k in best]
+        want = sum(w * model["labels"][k] for w, k in zip(weights, best, strict=True)) / sum(weights) if sum(weights) > 1e-9 else model["prior"]
+        assert len(scores) == 1 and scores.pop() == pytest.approx(want)
+
+
+def test_toxicity_weights():
+    """Every feature that differs takes part, and the logistic regression ends where its gradient does."""
+    import numpy as np
+
+    assert len(toxicity.grams("Añb C\tdé")) == sum(8 + 2 + 1 - n for n in toxicity.ORDERS) and (toxicity.grams("AB cd") == toxicity.grams("ab\ncd")).all()
+    own = np.random.default_rng(3)
+    x = own.random((60, 5)) < 0.4
+    y = (x[:, 0] | (own.random(60) < 0.2)).astype(float)
+    scale = np.array([1.5, 0.5, -0.5, 0.2, 0.1])
+    w, b = toxicity.regress([np.flatnonzero(r) for r in x], y, scale, 1e-2, 4000)
+    z = x @ w + b
+    miss = 1 / (1 + np.exp(-z)) - y
+    assert abs(miss.mean()) < 1e-3 and np.abs(scale * (x * miss[:, None]).mean(0) + 1e-2 * w / scale).max() < 1e-3
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
