@@ -16,16 +16,17 @@ from .registry import query
 #: words that headings and captions are made of, our own choice; a caller with a longer list gives it instead
 NON_NAMES = [
     "accounts", "affidavit", "agenda", "agreement", "amendment", "analysis", "answer", "appeal", "application", "assignment", "attachment", "audit",
-    "balance", "bid", "board", "brief", "budget", "bulletin", "calendar", "certificate", "charter", "checklist", "claim", "code", "complaint",
-    "contract", "copy", "corporation", "council", "covenant", "credit", "date", "deed", "defendant", "delivery", "deposit", "directory", "discovery",
-    "division", "document", "draft", "earnings", "equity", "escrow", "estimate", "evidence", "exhibit", "expenses", "filing", "finance", "form",
+    "balance", "bid", "board", "brief", "budget", "bulletin", "calendar", "certificate", "charter", "checklist", "claim", "client", "code",
+    "committee", "company", "complaint", "confidential", "contract", "copy", "corporation", "council", "county", "court", "covenant", "credit",
+    "date", "deed", "defendant", "delivery", "department", "deposit", "directory", "discovery", "district", "division", "document", "draft",
+    "earnings", "equity", "escrow", "estimate", "evidence", "executive", "exhibit", "expenses", "federal", "file", "filing", "finance", "form",
     "general", "guide", "hearing", "inc", "index", "information", "inspection", "insurance", "interest", "inventory", "invoice", "judgment", "jury",
     "lease", "ledger", "letter", "license", "list", "loan", "manual", "memo", "memorandum", "minutes", "mortgage", "motion", "notice", "office",
     "opinion", "order", "page", "part", "patent", "payment", "payroll", "permit", "petition", "plaintiff", "plan", "policy", "price", "project",
     "property", "proposal", "purchase", "question", "receipt", "record", "reference", "register", "release", "report", "request", "response",
-    "review", "rule", "sale", "schedule", "section", "security", "service", "settlement", "sheet", "state", "statement", "statute", "stipulation",
-    "study", "subject", "subpoena", "summary", "survey", "table", "tax", "term", "testimony", "title", "total", "transcript", "treaty", "trial",
-    "trust", "update", "verdict", "volume", "warranty", "witness",
+    "review", "rule", "sale", "schedule", "section", "security", "service", "settlement", "sheet", "state", "statement", "states", "statute",
+    "stipulation", "study", "subject", "subpoena", "summary", "survey", "table", "tax", "term", "testimony", "title", "total", "transcript",
+    "treaty", "trial", "trust", "united", "update", "verdict", "volume", "warranty", "witness",
 ]
 
 

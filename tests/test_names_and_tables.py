@@ -19,8 +19,8 @@ def test_grid(spark):
     items = [(1, 1, t, x, y, len(t) * 5.0, 10.0) for t, x, y in [("Date", 0.0, 0.0), ("Amount", 200.0, 1.0), ("Jan", 0.0, 20.0), ("5", 16.0, 20.0), ("12.50", 205.0, 21.0), ("note", 0.0, 40.0)]]
     got = tables.reconstructed(spark.createDataFrame(items, "doc_id long, page_no int, str string, x double, y double, w double, h double")).orderBy("row_no").collect()
     assert [r.cells for r in got] == [["Date", "Amount"], ["Jan 5", "12.50"], ["note", ""]]
-    heads = tables.header_rows(spark.createDataFrame(got), [["date"], ["amount", "total"], ["balance"]]).collect()
-    assert [(r.doc_id, r.header_row) for r in heads] == [(1, 0)]
+    heads = tables.header_columns(spark.createDataFrame(got), [["date"], ["amount", "total"], ["balance"]]).collect()
+    assert [(r.doc_id, r.header_row, r["columns"]) for r in heads] == [(1, 0, [0, 1, None])]
 
 
 def test_bank_rows(spark):
