@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: thin, over whole tables, with production parameters."""
+"""The registered queries op1 to op13: thin, over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, jaccard_join, language_model, quality, secret_scan, sharding, token_counts, toxicity
+from . import bpe, decontamination, fingerprints, jaccard_join, language_model, merkle, personal_data, quality, ranked_search, secret_scan, sharding, token_counts, toxicity
 from .common import ASCII_LOWER, ASCII_UPPER, table
 
 
@@ -52,7 +52,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_jaccard_join, op4_decontamination, op5_secret_scan, op6_bpe, op7_fingerprints, op8_language_model, op9_token_counts, op10_toxicity)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.indexed(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.detect(table(spark, sf_dir, "documents")))
+
+
+OPERATORS = [
+    op1_sharding, op2_quality, op3_jaccard_join, op4_decontamination, op5_secret_scan, op6_bpe, op7_fingerprints, op8_language_model, op9_token_counts, op10_toxicity,
+    op11_ranked_search, op12_merkle_manifest, op13_personal_data,
+]
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 # ---- DuckDB's rows for what SQL can express
 _LOW = f"translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}')"
@@ -93,4 +110,27 @@ _SECRETS_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS body
  SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live,
  coalesce(n_shared, 0) AS n_shared, coalesce(shared_spans, '') AS shared_spans FROM d LEFT JOIN b USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op4_decontamination": _LEAKS_SQL, "op5_secret_scan": _SECRETS_SQL}
+_SEARCH_SQL = f"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents), s AS (SELECT count(*) FILTER (WHERE len(words) > 0) AS docs, sum(len(words)) AS total FROM w),
+ t AS (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM w), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+ c AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term), f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM c, s GROUP BY term),
+ p AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // CAST(total AS BIGINT))) AS impact FROM c, s),
+ g AS (SELECT item_id, doc_id, r, CAST(sum(weight * impact) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN p USING (term) GROUP BY item_id, doc_id, r)
+ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM g WHERE score > 0) WHERE rank <= 50"""
+
+_FIELDS = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC = "list_reduce(list_prepend(4294967295, list_transform(str_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda d: CASE d WHEN '' THEN NULL ELSE CAST(ascii(d) AS BIGINT) END)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"
+_CLIMB = "SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM {0} WHERE n > 1 GROUP BY tree, level, pos // 3, n"
+_MERKLE_SQL = f"""WITH RECURSIVE raw AS (SELECT doc_id, source, text, {_FIELDS} AS fields, CASE WHEN doc_id IS NULL OR xor({_CRC}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+ hashed AS (SELECT doc_id, source, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(fields || coalesce(strlen(changed) || ':' || changed, '-')) AS tampered FROM raw),
+ leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, row_number() OVER () AS r FROM hashed),
+ up AS (SELECT source AS tree, 0 AS level, pos, n, leaf AS node FROM leaves UNION ALL {_CLIMB.format('up')}), tops AS (SELECT tree, node, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+ over AS (SELECT 0 AS tree, 0 AS level, pos, n, node FROM tops UNION ALL {_CLIMB.format('over')}), runs AS (SELECT tree, level, pos // 3 AS run, list(node ORDER BY pos) AS nodes FROM up WHERE n > 1 GROUP BY tree, level, pos // 3),
+ higher AS (SELECT level, pos // 3 AS run, list(node ORDER BY pos) AS nodes FROM over WHERE n > 1 GROUP BY level, pos // 3), cut AS (
+ SELECT l.r, runs.level, nodes, CAST((l.pos // CAST(pow(3, level) AS BIGINT)) % 3 AS BIGINT) AS k FROM leaves l JOIN runs ON runs.tree IS NOT DISTINCT FROM l.source AND run = l.pos // CAST(pow(3, level + 1) AS BIGINT)
+ UNION ALL SELECT l.r, 1000 + higher.level, nodes, CAST((t.pos // CAST(pow(3, level) AS BIGINT)) % 3 AS BIGINT) FROM leaves l JOIN tops t ON t.tree IS NOT DISTINCT FROM l.source JOIN higher ON run = t.pos // CAST(pow(3, level + 1) AS BIGINT)),
+ steps AS (SELECT r, list({{'a': array_to_string(nodes[1:k], ''), 'b': array_to_string(nodes[k + 2:], '')}} ORDER BY level) AS path FROM cut GROUP BY r), root AS (SELECT node AS root FROM over WHERE n = 1),
+ done AS (SELECT doc_id, leaf, t.node AS subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.a || x.b), ''), '')) AS proof_sha256,
+ (list_reduce(list_prepend({{'a': tampered, 'b': ''}}, coalesce(path, [])), lambda h, x: {{'a': sha256(x.a || h.a || x.b), 'b': ''}})).a AS folded_root FROM leaves l JOIN tops t ON t.tree IS NOT DISTINCT FROM l.source CROSS JOIN root LEFT JOIN steps USING (r))
+ SELECT *, folded_root = root AS verified FROM done"""
+
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op4_decontamination": _LEAKS_SQL, "op5_secret_scan": _SECRETS_SQL, "op11_ranked_search": _SEARCH_SQL, "op12_merkle_manifest": _MERKLE_SQL}
