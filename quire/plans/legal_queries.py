@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions import values as V
+from quire.functions.text import words_around
 from quire.operators import extraction as X
 from quire.operators import outline, pipeline, review, tables
-from quire.sources.tables import LINES_SQL, lines
+from quire.sources.tables import LINES_SQL, documents, lines, pages_of
 
 from .registry import query
 
@@ -27,6 +28,7 @@ PAPERS = [
     (-7, 1, "INVOICE_DATE|INVOICE_NUMBER|LINE_ITEM_TOTAL\n20240105|77|100.50"),
     (-8, 1, "Timekeeper and Task Code\nHours Rate Amount\nAttorney time"),
     (-9, 1, "nothing to see"),
+    (-10, 1, "a memo by our attorney-\nclient is attorney\nclient privileged and work\n\nproduct of Poe\nRoe & Sons\nLaw Group and\nnothing\nunder\nseal or confidential\nwords\nMary T. Poe,\nEsq. said so"),
 ]
 
 
@@ -62,30 +64,62 @@ def spans_sql(patterns: dict[str, str]) -> str:
  CAST(length(found[i]) AS INT) AS length, found[i] AS text FROM located)"""
 
 
-# ---- privilege review
-_REVIEW_SQL = f"""{ALL_SQL}, {spans_sql(P.REVIEW)}, sized AS (SELECT doc_id, page_no, min(line_no) AS first_no, count(*) AS n FROM lines GROUP BY doc_id, page_no),
- held AS (SELECT s.*, l.page_no, l.line, (l.line_no - first_no + 0.5) / n AS place, substr(line, greatest(1, start - 39), least(start, 40)) AS before FROM spans s JOIN lines l USING (doc_id, line_no) JOIN sized z ON z.doc_id = l.doc_id AND z.page_no = l.page_no),
- reviewed AS (SELECT doc_id, page_no, line_no, CASE WHEN category = 'legend' THEN CASE WHEN place < 0.15 OR place > 0.85 THEN 'confidentiality-legend' ELSE 'privilege-phrase' END WHEN category = 'email' THEN 'law-firm-email'
- WHEN category = 'general' THEN 'privilege-phrase' WHEN category IN ('esquire', 'attorney-for') THEN 'counsel-name' ELSE category END AS type, start, length, text,
+def located_sql(name: str, source: str, patterns: dict[str, str], keys: str, text: str) -> str:
+    """SQL: ``name`` with category, start, length and text of the matches in ``text`` of ``source``, by ``keys``."""
+    found = " UNION ALL ".join(f"SELECT {keys}, '{c}' AS category, regexp_split_to_array({text}, '{P.re2(p)}') AS gaps, regexp_extract_all({text}, '{P.re2(p)}') AS found FROM {source} WHERE regexp_matches({text}, '{P.re2(p)}')" for c, p in patterns.items())
+    return f"""{name}_found AS ({found}), {name} AS (SELECT {keys}, category, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS INT) AS start,
+ CAST(length(found[i]) AS INT) AS length, found[i] AS text FROM (SELECT *, generate_subscripts(found, 1) AS i FROM {name}_found))"""
+
+
+# ---- privilege review, on the text of pages: a phrase may go on in the next line
+PAGE_TEXT_SQL = f"""{ALL_SQL}, sized AS (SELECT doc_id, page_no, min(line_no) AS first_no, count(*) AS n FROM lines GROUP BY doc_id, page_no),
+ kept AS (SELECT doc_id, page_no, line_no - first_no AS line, n, length(line) AS size, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS BIGINT) - length(line) - 1 AS at_, line AS shown FROM lines JOIN sized USING (doc_id, page_no) WHERE line <> ''),
+ whole AS (SELECT doc_id, page_no, string_agg(shown, ' ' ORDER BY at_) AS body FROM kept GROUP BY doc_id, page_no)"""
+_REVIEW_SQL = f"""{PAGE_TEXT_SQL}, {located_sql('hits', 'whole', P.REVIEW, 'doc_id, page_no, body', 'body')},
+ held AS (SELECT h.doc_id, h.page_no, category, start, length, text, body, line, (line + 0.5) / n AS place, substr(body, greatest(1, start - 39), least(start, 40)) AS before FROM hits h JOIN kept k ON k.doc_id = h.doc_id AND k.page_no = h.page_no AND start BETWEEN at_ AND at_ + size),
+ reviewed AS (SELECT doc_id, page_no, CAST(line AS INT) AS line, CASE WHEN category = 'legend' THEN CASE WHEN place < 0.15 OR place > 0.85 THEN 'confidentiality-legend' ELSE 'privilege-phrase' END WHEN category = 'email' THEN 'law-firm-email'
+ WHEN category = 'general' THEN 'privilege-phrase' WHEN category IN ('esquire', 'attorney-for') THEN 'counsel-name' ELSE category END AS type, start, length, text, body,
  category <> 'email' AND regexp_matches(before, '{P.re2(P.NEGATION)}') AND NOT regexp_matches(before, '(?i)\\bnot\\s+only\\b') AS negated FROM held
  WHERE NOT (category = 'email' AND NOT regexp_matches(text, '{P.LAW_DOMAIN}')) AND NOT (category = 'general' AND (regexp_matches(text, '{P.REVIEW["attorney-client"]}') OR regexp_matches(text, '{P.REVIEW["work-product"]}'))))"""
 
 
-@query(f"WITH {_REVIEW_SQL} SELECT doc_id, page_no, line_no, type, start, length, text, negated FROM reviewed")
+def all_pages(spark, sf_dir):
+    """doc_id, page_no, lines: of the documents and of the papers."""
+    return pages_of(documents(spark, sf_dir)).unionByName(papers(spark).select("doc_id", "page_no", F.split("text", "\n").alias("lines")))
+
+
+@query(f"WITH {_REVIEW_SQL} SELECT doc_id, page_no, line, type, start, length, text, negated FROM reviewed")
 def ext14_privilege_review(spark, sf_dir):
     """Findings of seven kinds, with the place of a legend on its page and negators before (EXT15)."""
-    return review.findings(all_lines(spark, sf_dir))
+    return review.findings(all_pages(spark, sf_dir))
 
 
 @query(
     f"""WITH {_REVIEW_SQL}, r AS (SELECT *, start + length AS fin, list_position({P.REVIEW_ORDER}, type) AS rank FROM reviewed),
- o AS (SELECT *, max(fin) OVER (PARTITION BY doc_id, line_no ORDER BY start, rank, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
- n AS (SELECT *, sum(CASE WHEN reached IS NULL OR start > reached + 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY start, rank, fin ROWS UNBOUNDED PRECEDING) AS island FROM o)
- SELECT doc_id, line_no, min(start) AS start, max(fin) AS "end", arg_min(type, rank * 1000000 + start) AS type, bool_or(negated) AS negated FROM n GROUP BY doc_id, line_no, island"""
+ o AS (SELECT *, max(fin) OVER (PARTITION BY doc_id, page_no ORDER BY start, rank, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
+ n AS (SELECT *, sum(CASE WHEN reached IS NULL OR start > reached + 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY start, rank, fin ROWS UNBOUNDED PRECEDING) AS island FROM o)
+ SELECT doc_id, page_no, min(start) AS start, max(fin) AS "end", arg_min(type, rank * 1000000 + start) AS type, bool_or(negated) AS negated FROM n GROUP BY doc_id, page_no, island"""
 )
 def ext16_merged_findings(spark, sf_dir):
-    """Findings eight signs apart at most as one, of the more specific kind."""
-    return review.merged(review.findings(all_lines(spark, sf_dir)))
+    """Findings of a page eight signs apart at most as one, of the more specific kind."""
+    return review.merged(all_pages(spark, sf_dir))
+
+
+_TOKENS = "list_filter(string_split(trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+@query(
+    f"""WITH {_REVIEW_SQL}, e AS (SELECT DISTINCT doc_id, page_no, start, length, body, start - length(regexp_extract(substr(body, 1, start), '[^ \\t\\n\\x0B\\f\\r]*$')) AS a,
+ start + length + length(regexp_extract(substr(body, start + length + 1), '^[^ \\t\\n\\x0B\\f\\r]*')) AS b FROM reviewed),
+ t AS (SELECT *, {_TOKENS.format("substr(body, greatest(0, a - 240) + 1, least(a, 240))")} AS l, {_TOKENS.format("substr(body, b + 1, 240)")} AS r FROM e)
+ SELECT doc_id, page_no, start, length, (CASE WHEN len(l) > 10 THEN '… ' ELSE '' END) || array_to_string(l[greatest(1, len(l) - 9):], ' ') || (CASE WHEN len(l) > 0 THEN ' ' ELSE '' END) AS before,
+ trim(regexp_replace(substr(body, a + 1, b - a), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS match, (CASE WHEN len(r) > 0 THEN ' ' ELSE '' END) || array_to_string(r[1:10], ' ') || (CASE WHEN len(r) > 10 THEN ' …' ELSE '' END) AS after FROM t"""
+)
+def prj2_words_around(spark, sf_dir):
+    """Every place of a finding as whole words, with ten words on both sides."""
+    found = review.page_findings(all_pages(spark, sf_dir)).select("doc_id", "page_no", "text", F.explode(F.array_distinct(F.transform("found", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))).alias("f"))
+    around = words_around(F.col("text"), F.col("f.start"), F.col("f.end"))
+    return found.select("doc_id", "page_no", "f.start", (F.col("f.end") - F.col("f.start")).alias("length"), around.alias("w")).select("doc_id", "page_no", "start", "length", "w.*")
 
 
 # ---- keyword search

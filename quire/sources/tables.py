@@ -29,6 +29,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.withColumn("page_no", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).cast("int"))
 
 
+def pages_of(docs: DataFrame) -> DataFrame:
+    """doc_id, page_no (from 1) and lines: a text's lines as arrays of forty, without a shuffle."""
+    split = docs.select("doc_id", F.split("text", "\n").alias("_lines"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / LINES_A_PAGE).cast("int"))
+    pages = F.transform(starts, lambda p: F.struct((p + 1).alias("page_no"), F.slice("_lines", p * LINES_A_PAGE + 1, F.lit(LINES_A_PAGE)).alias("lines")))
+    return split.where(F.col("_lines").isNotNull()).select("doc_id", F.inline(pages))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files give fewer splits than these (as a file of one row group does); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
