@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
-from quire.operators import fragments
-from quire.sources.tables import LINES_SQL, documents, pages_of
+from quire.functions.text import matches
+from quire.operators import batch, fragments, gate
+from quire.operators.extraction import any_of
+from quire.operators.sequence import strict_ranges
+from quire.sources.tables import LINES_A_PAGE, LINES_SQL, documents, pages_of, table
 
 from .legal_queries import located_sql
 from .registry import query
@@ -47,3 +50,88 @@ def ext10_fragments(spark, sf_dir):
 
     drawn = F.flatten(F.filter(F.transform("lines", pieces), lambda p: p.isNotNull()))
     return fragments.fragment_hits(pages_of(documents(spark, sf_dir)).select("doc_id", "page_no", drawn.alias("items")), P.PERSONAL_DATA)
+
+
+# ---- the gate: every value's first place is hidden, titles lose their addresses, then all of it is verified
+_KEPT = {k: P.PERSONAL_DATA[k] for k in ("email", "ipAddress")}
+
+
+def gated_documents(spark, sf_dir):
+    """Documents whose addresses and network numbers are hidden where each is first, and whose first line is a title with its addresses hidden."""
+    split = documents(spark, sf_dir).where(F.col("text").isNotNull()).select("doc_id", F.split("text", "\n").alias("lines"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / LINES_A_PAGE).cast("int"))
+    pages = F.transform(starts, lambda p: F.array_join(F.slice("lines", p * LINES_A_PAGE + 1, F.lit(LINES_A_PAGE)), "\n"))
+    read = split.select("doc_id", pages.alias("pages"), F.get("lines", F.lit(0)).alias("title"))
+    of = lambda page: F.concat(*[matches(page, p) for p in _KEPT.values()])
+    found = F.flatten(F.transform("pages", lambda t, i: F.transform(of(t), lambda v: F.struct((i + 1).alias("page_no"), v.alias("text")))))
+    named = read.select("doc_id", "pages", "title", F.when(F.exists("pages", lambda t: t.rlike(any_of(_KEPT))), found).otherwise(F.array().cast("array<struct<page_no:int,text:string>>")).alias("found"))
+    first = F.filter("found", lambda t, i: ~F.exists(F.slice("found", F.lit(1), i), lambda o: o["text"] == t["text"]))
+    named = named.select("doc_id", "pages", "title", first.alias("targets"))
+    hide = lambda page, t: F.concat(F.substring(page, F.lit(1), F.instr(page, t["text"]) - 1), F.repeat(F.lit("█"), F.length(t["text"])), F.substring(page, F.instr(page, t["text"]) + F.length(t["text"]), F.length(page)))
+    hidden = F.transform("pages", lambda p, i: F.aggregate(F.filter("targets", lambda t: t["page_no"] == i + 1), p, lambda page, t: F.when(F.instr(page, t["text"]) > 0, hide(page, t)).otherwise(page)))
+    title = F.regexp_replace("title", F.lit(P.java(_KEPT["email"])), F.lit("█"))
+    channels = F.array(F.struct(F.lit("annotation").alias("vector"), F.lit("title").alias("label"), title.alias("text")))
+    return gate.gated(named.select("doc_id", hidden.alias("pages"), channels.alias("channels"), "targets"), "[page burned]")
+
+
+_WIDE = "array_to_string(list_transform(string_split({1}, ''), lambda c: printf('%04x', unicode(c))), '')"
+_HOLDS = "(contains(lower({0}), lower({1})) OR contains(lower({0}), lower(hex(encode({1})))) OR contains(lower({0}), " + _WIDE + "))"
+_GATE_SQL = f"""WITH ln AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+ pg AS (SELECT doc_id, lines[1] AS title, list_transform(range(CAST(floor((len(lines) - 1) / 40) AS BIGINT) + 1), lambda p: array_to_string(lines[p * 40 + 1:p * 40 + 40], chr(10))) AS pages FROM ln),
+ fv AS (SELECT doc_id, title, pages, list_filter(flatten(list_transform(pages, lambda t, i: list_transform(list_concat({", ".join(f"regexp_extract_all(t, '{P.re2(p)}')" for p in _KEPT.values())}), lambda v: {{'page_no': i, 'text': v}}))), lambda x: true) AS found FROM pg),
+ tg AS (SELECT doc_id, title, pages, list_filter(found, lambda t, i: len(list_filter(found[1:i - 1], lambda o: o.text = t.text)) = 0) AS targets FROM fv),
+ hd AS (SELECT doc_id, regexp_replace(title, '{P.re2(_KEPT["email"])}', '█', 'g') AS title, targets, list_transform(pages, lambda p, i: (list_reduce(list_prepend({{'page_no': CAST(0 AS BIGINT), 'text': p}}, list_filter(targets, lambda t: t.page_no = i)),
+ lambda page, t: {{'page_no': CAST(0 AS BIGINT), 'text': CASE WHEN strpos(page.text, t.text) > 0 THEN substr(page.text, 1, strpos(page.text, t.text) - 1) || repeat('█', length(t.text)) || substr(page.text, strpos(page.text, t.text) + length(t.text)) ELSE page.text END}})).text) AS pages FROM tg),
+ bx AS (SELECT doc_id, unnest(targets) AS t FROM hd), ps AS (SELECT doc_id, unnest(pages) AS page, generate_subscripts(pages, 1) AS page_no FROM hd),
+ lk AS (SELECT DISTINCT b.doc_id, p.page_no, b.t.text AS needle, b.t.page_no = p.page_no AS own FROM bx b JOIN ps p USING (doc_id) WHERE {_HOLDS.format("p.page", "b.t.text")}),
+ bu AS (SELECT DISTINCT doc_id, page_no FROM lk WHERE own), rs AS (SELECT doc_id, count(*) AS n FROM lk ANTI JOIN bu USING (doc_id, page_no) GROUP BY doc_id),
+ ch AS (SELECT h.doc_id, count(*) AS n FROM hd h JOIN bx b USING (doc_id) WHERE {_HOLDS.format("h.title", "b.t.text")} GROUP BY h.doc_id),
+ bl AS (SELECT doc_id, string_agg(page_no, ',' ORDER BY page_no) AS burned FROM bu GROUP BY doc_id),
+ gate AS (SELECT h.doc_id, CASE WHEN coalesce(rs.n, 0) + coalesce(ch.n, 0) > 0 THEN 'blocked' WHEN burned IS NOT NULL THEN 'burned' ELSE 'clean' END AS status, coalesce(burned, '') AS burned, coalesce(ch.n, 0) AS annotation, coalesce(rs.n, 0) AS raw_stream, len(targets) AS removed
+ FROM hd h LEFT JOIN rs USING (doc_id) LEFT JOIN ch USING (doc_id) LEFT JOIN bl USING (doc_id))"""
+
+
+@query(f"{_GATE_SQL} SELECT doc_id, status, burned, annotation + raw_stream AS leaks, CAST(removed AS BIGINT) AS removed FROM gate")
+def pipe5_verified_gate(spark, sf_dir):
+    """What the gate says of every document: clean, some pages burned, or blocked."""
+    done = gated_documents(spark, sf_dir)
+    return done.select("doc_id", "status", F.array_join(F.transform("burned", lambda p: p.cast("string")), ",").alias("burned"), F.size("leaks").cast("long").alias("leaks"), F.col("removed").cast("long").alias("removed"))
+
+
+@query(f"{_GATE_SQL} SELECT CAST(0 AS BIGINT) AS page, CAST(0 AS BIGINT) AS form_field, CAST(sum(annotation) AS BIGINT) AS annotation, CAST(0 AS BIGINT) AS hidden_layer, CAST(0 AS BIGINT) AS attachment, CAST(sum(raw_stream) AS BIGINT) AS raw_stream, CAST(sum(removed) AS BIGINT) AS removed FROM gate")
+def agg7_leaks_by_vector(spark, sf_dir):
+    """Leaks of each vector over all documents, after the fallback."""
+    return gate.leaks_by_vector(gated_documents(spark, sf_dir))
+
+
+# ---- batches in which documents fail alone
+_RANGE = "2-3"
+
+
+def _extracted(text: str | None) -> str:
+    """The pages of a range; a document that lacks one is an error of its own."""
+    if text is None:
+        raise ValueError("no text")
+    lines = text.split("\n")
+    pages = -(-len(lines) // LINES_A_PAGE)
+    return "\n".join("\n".join(lines[(p - 1) * LINES_A_PAGE : p * LINES_A_PAGE]) for group in strict_ranges(_RANGE, pages) for p in group)
+
+
+_BATCH_SQL = f"""WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
+ b AS (SELECT doc_id, source, CASE WHEN lines IS NULL THEN 'no text' WHEN ceil(len(lines) / 40.0) < 3 THEN 'out of bounds: {_RANGE}' END AS error, array_to_string(lines[41:120], chr(10)) AS out FROM l)"""
+
+
+@query(f"{_BATCH_SQL} SELECT doc_id, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END AS status, error, CASE WHEN error IS NULL THEN sha256(out) END AS digest FROM b")
+def pipe7_isolated(spark, sf_dir):
+    """Two pages extracted of every document; those that lack them fail alone, with their message."""
+    done = documents(spark, sf_dir).select("doc_id", batch.guarded(_extracted)(F.col("text")).alias("outcome"))
+    return done.select("doc_id", "outcome.status", "outcome.error", F.sha2("outcome.out", 256).alias("digest"))
+
+
+@query(f"{_BATCH_SQL} SELECT source, count(*) AS total, count(*) FILTER (WHERE error IS NULL) AS done, count(*) FILTER (WHERE error IS NOT NULL) AS failed FROM b GROUP BY source")
+def pipe7_progress(spark, sf_dir):
+    """The same in column functions, counted by source."""
+    lines = F.split("text", "\n")
+    out = F.array_join(F.slice(lines, F.lit(LINES_A_PAGE + 1), F.lit(2 * LINES_A_PAGE)), "\n")
+    checks = [(F.col("text").isNull(), "no text"), (F.size(lines) <= 2 * LINES_A_PAGE, f"out of bounds: {_RANGE}")]
+    return batch.progress(table(spark, sf_dir, "documents").select("source", batch.checked(out, checks).alias("outcome")), by=["source"])
