@@ -1,10 +1,7 @@
-"""Retrieval: BM25, dot products, both in two stages, fuzzy matches."""
+"""Retrieval: BM25, dot products, both in two stages."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,31 +59,3 @@ def two_stage(docs: DataFrame, vectors: DataFrame, query_terms: list[str], query
     both = hits.unionByName(first).withColumn("best", F.min("tier").over(Window.partitionBy(F.lit(0)))).where("tier = best")  # two shortlists at most
     chosen = vectors.join(F.broadcast(both.select(F.col("doc_id").alias("vec_id"))), "vec_id")
     return top(scored_by_dot(chosen, query_vector).select(F.col("vec_id").alias("doc_id"), "score"), k)
-
-
-def osa(a: str, b: str) -> int:
-    """Edits between two words: insert, delete, replace, or swap two neighbours once (optimal string alignment)."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, rows[-2][j - 2] + 1)
-            row.append(best)
-        rows.append(row)
-    return rows[-1][-1]
-
-
-def fuzzy(words: DataFrame, entries: list[str], least: float = 0.78, k: int = 3) -> DataFrame:
-    """(word, entry, ratio): up to ``k`` entries like each distinct word of four signs or more."""
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for word in batch["word"]:
-                near = [(1 - osa(word, e) / max(len(word), len(e)), e) for e in entries if abs(len(word) - len(e)) <= 3]
-                rows += [(word, e, round(r, 6)) for r, e in sorted(near, key=lambda x: (-x[0], x[1]))[:k] if r >= least]
-            yield pd.DataFrame(rows, columns=["word", "entry", "ratio"])
-
-    return words.where(F.length("word") >= 4).select("word").distinct().mapInPandas(match, "word string, entry string, ratio double")

@@ -133,16 +133,3 @@ def bank_rows(rows: DataFrame, ref_year: int, european: bool = False) -> DataFra
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row_no"))).alias(c)
     entries = numbered.groupBy("doc_id", "entry").agg(F.min("date").alias("date"), F.array_join(F.transform(parts, lambda p: p["part"]), " ").alias("description"), first("amount"), first("balance"))
     return signed_by_balance(entries, ["doc_id"], "entry").withColumn("category", category(F.col("description")))
-
-
-def entity_spans(entities: DataFrame, least: dict[str, float], other: float) -> DataFrame:
-    """Recognised entities (doc_id, text, type, start, end, score): weak and short ones go, neighbours of one type join."""
-
-    kinds = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-    strong = entities.where((F.col("score") >= F.coalesce(kinds[F.col("type")], F.lit(other))) & (F.col("end") - F.col("start") >= 2))
-    w = Window.partitionBy("doc_id", "type").orderBy("start")
-    gap = F.substring(F.col("text"), F.lag("end").over(w) + 1, F.col("start") - F.lag("end").over(w))
-    joins = (F.col("start") - F.lag("end").over(w) <= 6) & gap.rlike(r"^[\s,'\-]*(?:[A-Z]\.?\s*)?$")
-    marked = strong.withColumn("opens", F.when(joins, 0).otherwise(1))
-    numbered = marked.withColumn("island", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "type", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score")).drop("island")

@@ -203,12 +203,42 @@ def fn26_bank_rows(spark, sf_dir):
     return bank_rows(rows, 2020)
 
 
-@query()
+_RAW_SQL = """t AS (SELECT conv_id, turn, text, string_split(regexp_replace(text, '[^A-Za-z]', ' ', 'g'), ' ') AS words FROM conversations), w AS (SELECT conv_id, turn, text, unnest(words) AS word, generate_subscripts(words, 1) AS i, words FROM t),
+ o AS (SELECT conv_id, turn, text, word, CAST(list_sum(list_transform(words[1:i - 1], lambda x: length(x) + 1)) AS BIGINT) AS at_ FROM w WHERE regexp_full_match(word, '[A-Z][a-z]+')),
+ r AS (SELECT conv_id, turn, text, {'start': coalesce(at_, 0), 'end': coalesce(at_, 0) + length(word), 'type': CASE length(word) % 3 WHEN 0 THEN 'LOC' WHEN 1 THEN 'ORG' ELSE 'PER' END, 'score': (2 + length(word) % 8) / 10.0::DOUBLE, 'text': word} AS e FROM o),
+ s AS (SELECT conv_id, turn, any_value(text) AS text, list(e ORDER BY e.start) AS es FROM r WHERE e.score >= CASE e.type WHEN 'LOC' THEN 0.7 ELSE 0.35 END AND length(e.text) >= 2 GROUP BY conv_id, turn),
+ pairs AS (SELECT conv_id, turn, text, unnest(es) AS e, generate_subscripts(es, 1) AS i, es FROM s), b AS (SELECT conv_id, turn, text, e, i, CASE WHEN i > 1 AND es[i - 1].type = e.type AND e.type <> 'LOC' AND e.start - es[i - 1]."end" <= 6
+ AND regexp_full_match(substr(text, es[i - 1]."end" + 1, e.start - es[i - 1]."end"), '[\\s,''\\-]*(?:[A-Z]\\.?\\s*)?') THEN 0 ELSE 1 END AS opens FROM pairs),
+ isl AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM b),
+ m AS (SELECT conv_id, turn, any_value(text) AS text, min(e.start) AS start, max(e."end") AS fin, any_value(e.type) AS type, min(e.score) AS score FROM isl GROUP BY conv_id, turn, k),
+ n AS (SELECT *, substr(text, start + 1, fin - start) AS name FROM m), p AS (SELECT conv_id, turn, text, type, name, arg_min(score, start) AS score, min(start) AS first FROM n WHERE type <> 'LOC' AND length(name) >= 3 GROUP BY conv_id, turn, text, type, name),
+ z AS (SELECT *, string_split(text, name) AS gaps FROM p), g AS (SELECT *, unnest(range(1, len(gaps))) AS i FROM z), q AS (SELECT conv_id, turn, text, type, name, score, first, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + (i - 1) * length(name) AS BIGINT) AS start FROM g),
+ v AS (SELECT *, start + length(name) AS fin, row_number() OVER (PARTITION BY conv_id, turn, start, length(name) ORDER BY first) AS k FROM q WHERE NOT regexp_matches(substr(text, start, CASE WHEN start > 0 THEN 1 ELSE 0 END), '[A-Za-z0-9]') AND NOT regexp_matches(substr(text, start + length(name) + 1, 1), '[A-Za-z0-9]'))"""
+
+
+def _raw_entities(spark, sf_dir):
+    """Turns with capitalised words as what a model would say, with types and scores by length."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    kind = lambda s: F.when(s["length"] % 3 == 0, "LOC").when(s["length"] % 3 == 1, "ORG").otherwise("PER")
+    return turns.select("*", F.transform(spans(F.col("text"), r"(?<![A-Za-z])[A-Z][a-z]+(?![A-Za-z])"), lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["length"]).alias("end"), kind(s).alias("type"), ((2 + s["length"] % 8) / 10).alias("score"))).alias("raw"))
+
+
+@query(f"""WITH {_RAW_SQL} SELECT conv_id, turn, CAST(start AS INT) AS start, CAST(fin AS INT) AS "end", type, score FROM n
+ UNION ALL SELECT v.conv_id, v.turn, CAST(v.start AS INT), CAST(v.fin AS INT), v.type, greatest(0.5, v.score * 0.9) FROM v LEFT JOIN n ON n.conv_id = v.conv_id AND n.turn = v.turn AND n.start = v.start AND n.fin = v.fin WHERE v.k = 1 AND n.start IS NULL""")
 def ext25_entities(spark, sf_dir):
-    """Capitalised words as a stand-in for a model's entities, thresholded and merged."""
-    from quire.operators.tables import entity_spans
+    """Capitalised words as a stand-in for a model's entities: thresholded, joined, and all places of each in its text."""
+    from quire.operators.entities import processed
+
+    return processed(_raw_entities(spark, sf_dir)).select("conv_id", "turn", F.explode("entities").alias("e")).select("conv_id", "turn", "e.start", "e.end", "e.type", "e.score")
+
+
+@query(f"""WITH {_RAW_SQL}, nm AS (SELECT DISTINCT name FROM n WHERE type <> 'LOC' AND length(name) >= 8), x AS (SELECT doc_id, text, name FROM documents JOIN nm ON contains(text, name)), y AS (SELECT *, string_split(text, name) AS gaps FROM x), u AS (SELECT doc_id, text, name, gaps, unnest(range(1, len(gaps))) AS i FROM y),
+ h AS (SELECT doc_id, text, name, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + (i - 1) * length(name) AS INT) AS start FROM u) SELECT doc_id, name, start FROM h WHERE NOT regexp_matches(substr(text, start, CASE WHEN start > 0 THEN 1 ELSE 0 END), '[A-Za-z0-9]') AND NOT regexp_matches(substr(text, start + length(name) + 1, 1), '[A-Za-z0-9]')""")
+def ext25_everywhere(spark, sf_dir):
+    """All places in the documents of the longer names (eight signs or more) that the turns have."""
+    from quire.operators.entities import everywhere, processed
 
-    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
-    found = turns.select("doc_id", "text", F.explode(spans(F.col("text"), r"\b[A-Z][a-z]+\b")).alias("s"))
-    made = found.select("doc_id", "text", F.lit("PER").alias("type"), F.col("s.start").alias("start"), (F.col("s.start") + F.col("s.length")).alias("end"), F.lit(0.5).alias("score"))
-    return entity_spans(made, {"PER": 0.35}, 0.7)
+    found = processed(_raw_entities(spark, sf_dir)).select(F.explode("entities").alias("e")).where("e.type IN ('PER', 'ORG') AND length(e.text) >= 8")
+    names = found.select(F.col("e.text").alias("text")).distinct().select(F.xxhash64("text").alias("name_id"), "text")
+    hits = everywhere(documents(spark, sf_dir), names, "doc_id", "name_id")
+    return hits.join(names, "name_id").select("doc_id", F.col("text").alias("name"), "start")

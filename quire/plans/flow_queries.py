@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.operators import chunks as C
-from quire.operators import pipeline, retrieval, sequence
+from quire.operators import fuzzy, learning, pipeline, retrieval, sequence
 from quire.operators.extraction import any_of
 from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, table
 from quire.streaming import feeds
@@ -57,12 +57,70 @@ def ret3_highlights(spark, sf_dir):
 _ENTRIES = ["redact", "sanitize", "watermark", "outline", "compare", "bookmark", "split", "merge"]
 
 
-@query()
+_TYPED = ["santize", "reduct", "watermak", "outlin", "compair", "bokmark", "splitt"]
+
+
+def _tokens(spark, sf_dir):
+    """Words of four signs or more of the turns, and of requests with typing errors (negative numbers)."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(spark.createDataFrame([(-1 - i, 0, f"please {w} it") for i, w in enumerate(_TYPED)], "conv_id long, turn long, text string"))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[’']", ""), "[^a-z0-9]+", " "))
+    return turns.select("conv_id", "turn", F.explode(F.split(plain, " ")).alias("word")).where(F.length("word") >= 4)
+
+
+_TOKENS_SQL = f"""t AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM (VALUES {", ".join(f"({-1 - i}, 0, 'please {w} it')" for i, w in enumerate(_TYPED))}) v(conv_id, turn, text)),
+ w AS (SELECT DISTINCT conv_id, turn, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[’'']', '', 'g'), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM t), k AS (SELECT * FROM w WHERE length(word) >= 4), e AS (SELECT unnest({_ENTRIES}) AS entry),
+ pairs AS (SELECT word, entry, 1 - damerau_levenshtein(word, entry) / greatest(length(word), length(entry)) AS ratio FROM (SELECT DISTINCT word FROM k), e WHERE abs(length(word) - length(entry)) <= 3)"""
+
+
+@query(f"WITH {_TOKENS_SQL} SELECT word, entry AS anchor, round(ratio, 9) AS ratio FROM pairs WHERE ratio >= 0.78")
 def ret8_fuzzy(spark, sf_dir):
-    """Entries like each word of the turns and of a list of typing errors."""
-    spoken = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), r"\W+")).alias("word"))
-    typed = spark.createDataFrame([(w,) for w in ("santize", "reduct", "watermak", "outlin", "compair")], "word string")
-    return retrieval.fuzzy(spoken.unionByName(typed), _ENTRIES)
+    """Entries like each word of the turns and of requests with typing errors."""
+    anchors = spark.createDataFrame([(e,) for e in _ENTRIES], "anchor string")
+    return fuzzy.alike(_tokens(spark, sf_dir), anchors).select("word", "anchor", F.round("ratio", 9).alias("ratio"))
+
+
+@query("""WITH p AS (SELECT DISTINCT p_name AS name FROM part), x AS (SELECT unnest(string_split(name, ' ')) AS word FROM p), v AS (SELECT DISTINCT word FROM x WHERE length(word) >= 4),
+ y AS (SELECT DISTINCT substr(word, 1, 2) || substr(word, 4, 1) || substr(word, 3, 1) || substr(word, 5) AS typed FROM v) SELECT typed AS word, word AS anchor, round(1 - damerau_levenshtein(typed, word) / greatest(length(typed), length(word)), 9) AS ratio FROM y, v
+ WHERE length(typed) >= 4 AND abs(length(typed) - length(word)) <= 3 AND 1 - damerau_levenshtein(typed, word) / greatest(length(typed), length(word)) >= 0.78""")
+def ret8_part_words(spark, sf_dir):
+    """Words of the parts' names against the same words with two signs swapped."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("anchor")).where(F.length("anchor") >= 4).distinct()
+    typed = words.select(F.concat(F.substring("anchor", 1, 2), F.substring("anchor", 4, 1), F.substring("anchor", 3, 1), F.substring(F.col("anchor"), F.lit(5), F.length("anchor"))).alias("word"))
+    return fuzzy.alike(typed, words).select("word", "anchor", F.round("ratio", 9).alias("ratio"))
+
+
+@query(f"""WITH {_TOKENS_SQL}, b AS (SELECT conv_id, turn, entry, max(ratio) AS score FROM k JOIN pairs USING (word) WHERE ratio >= 0.78 GROUP BY conv_id, turn, entry),
+ r AS (SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS next FROM b WINDOW o AS (PARTITION BY conv_id, turn ORDER BY score DESC, entry)),
+ d AS (SELECT conv_id, turn, CASE WHEN score >= 0.88 AND (next IS NULL OR score - next >= 0.08 - 1e-12) THEN 'sure' ELSE 'ask' END AS decision FROM r WHERE rank = 1) SELECT conv_id, turn, CAST(rank AS INT) AS rank, entry, round(score, 9) AS score, decision FROM r JOIN d USING (conv_id, turn) WHERE rank <= 3""")
+def top4_suggestions(spark, sf_dir):
+    """The three likeliest entries of each turn, and whether the first is sure."""
+    anchors = spark.createDataFrame([(e, e) for e in _ENTRIES], "entry string, anchor string")
+    return fuzzy.suggestions(_tokens(spark, sf_dir), anchors, ["conv_id", "turn"]).select("conv_id", "turn", "rank", "entry", F.round("score", 9).alias("score"), "decision")
+
+
+_PICKS_SQL = """p AS (SELECT user_id, event_type, ts, event_id, lag(event_type) OVER w AS was, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ g AS (SELECT *, sum(CASE WHEN was = event_type AND ts <= before + INTERVAL {0} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM p),
+ l AS (SELECT user_id, max(island) AS island FROM g GROUP BY user_id), r AS (SELECT user_id, any_value(event_type) AS event_type, count(*) AS count, max(ts) AS last_at FROM g JOIN l USING (user_id, island) GROUP BY user_id)"""
+
+
+@query(f"WITH {_PICKS_SQL.format('8 HOURS')} SELECT user_id, event_type, count FROM r")
+def ret13_runs(spark, sf_dir):
+    """Each user's last choice and how often it was made in a row, with no pause of more than eight hours."""
+    return learning.runs(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id", 8 * 3600).select("user_id", "event_type", "count")
+
+
+@query(f"WITH {_PICKS_SQL.format('90 DAYS')} SELECT user_id, event_type FROM r WHERE count >= 2 AND TIMESTAMP '2024-04-29 00:00:00' <= last_at + INTERVAL 90 DAYS")
+def ret13_learned(spark, sf_dir):
+    """What users chose twice in a row and have used within ninety days of a day."""
+    now = F.lit("2024-04-29 00:00:00").cast("timestamp_ntz")
+    return learning.preferred(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id", now)
+
+
+@query("""WITH c AS (SELECT user_id, unnest(['view', 'click', 'signup']) AS lane, unnest([count(*) FILTER (WHERE event_type = 'view'), count(*) FILTER (WHERE event_type = 'click'), count(*) FILTER (WHERE event_type = 'signup')]) AS n, unnest([1, 2, 3]) AS i FROM events GROUP BY user_id),
+ r AS (SELECT *, row_number() OVER o AS k, lead(n) OVER o AS next FROM c WINDOW o AS (PARTITION BY user_id ORDER BY n DESC, i)) SELECT user_id, lane AS event_type FROM r WHERE k = 1 AND n >= 2 AND n - coalesce(next, 0) >= 1""")
+def ret13_lanes(spark, sf_dir):
+    """The lane of three that a user takes most, twice at least and once more than the next."""
+    return learning.preferred_lane(table(spark, sf_dir, "events"), "user_id", "event_type", ["view", "click", "signup"])
 
 
 _SAID = ['find "contract"', "find sensitive contracts", "redact SSNs", "santize", "how much is pro", "is my file uploaded?", "compare two pdfs", "", "count ssn"]
