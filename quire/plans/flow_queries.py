@@ -12,6 +12,7 @@ from quire.functions import patterns as P
 from quire.operators import chunks as C
 from quire.operators import fuzzy, learning, pipeline, retrieval, sequence
 from quire.operators.extraction import any_of
+from quire.sources import opening
 from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, table
 from quire.streaming import feeds
 
@@ -408,7 +409,7 @@ def stream2_latest(spark, sf_dir):
 def stream4_windowed_counts(spark, sf_dir):
     """Events by type and day of event time, in update mode over files that arrive; the last count of each window is kept."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    counts = feeds.windowed_counts(events, "1 day", "40000 days").select(F.col("window.start").alias("day"), "event_type", "n")
+    counts = feeds.windowed_counts(events, "1 day", "2 days").select(F.col("window.start").alias("day"), "event_type", "n")
     return feeds.kept_table(counts, ["day", "event_type"], "n", f"{_shared(spark)}/quire/windows_{uuid.uuid4().hex}", "update")
 
 
@@ -419,6 +420,28 @@ def stream3_first_terminal(spark, sf_dir):
     return feeds.first_terminal(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", ["purchase", "error"])
 
 
+@query("""WITH s AS (SELECT user_id, min(event_id) FILTER (WHERE event_type IN ('purchase', 'error')) AS over, max(event_id) AS last FROM events GROUP BY user_id)
+ SELECT s.user_id, e.event_type, e.event_id, over IS NOT NULL AS ended FROM s JOIN events e ON e.user_id = s.user_id AND e.event_id = coalesce(over, last)""")
+def stream3_terminal_states(spark, sf_dir):
+    """Each user's state as events arrive: the first purchase or error stays, with its place; state is kept by key."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    states = feeds.terminal_states(events, "user_id", "event_type", "event_id", "ts", ["purchase", "error"])
+    ranked = states.withColumn("rank", F.col("ended").cast("long") * (1 << 60) + F.col("event_id"))
+    return feeds.kept_table(ranked, ["user_id"], "rank", f"{_shared(spark)}/quire/states_{uuid.uuid4().hex}", "update").drop("rank")
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]{16}') THEN 'malformed' WHEN lang = 'fr' THEN 'no text' ELSE 'ok' END AS status, CASE WHEN NOT regexp_matches(text, '[0-9]{16}') AND lang <> 'fr' THEN length(text) END AS size FROM documents""")
+def src1_quarantine(spark, sf_dir):
+    """Documents as lines of JSON, some cut off, some without a text: what can be read, and what is set aside and why."""
+    folder = f"{_shared(spark)}/quire/json_{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    whole = F.to_json(F.struct("doc_id", F.when(F.col("lang") != "fr", F.col("text")).alias("text")))
+    docs.select(F.when(F.col("text").rlike("[0-9]{16}"), F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int"))).otherwise(whole).alias("value")).write.text(folder)
+    good, bad = opening.split(opening.read_json(spark, folder, "doc_id long, text string"), ["doc_id", "text"])
+    named = bad.select(F.regexp_extract("raw", r'"doc_id":(\d+)', 1).cast("long").alias("doc_id"), F.col("reason").alias("status"), F.lit(None).cast("int").alias("size"))
+    return good.select("doc_id", F.lit("ok").alias("status"), F.length("text").alias("size")).unionByName(named)
+
+
 # ---- fragments, votes and flows
 @query("""WITH i AS (SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS p, l_extendedprice AS e, l_linenumber * 10.0 AS x, l_linenumber * 10.0 + l_quantity / 5 AS x1 FROM lineitem),
  g AS (SELECT *, CASE WHEN x - lag(x1) OVER (PARTITION BY page ORDER BY n, p, e) BETWEEN -5 AND 5 THEN 0 ELSE 1 END AS opens FROM i),

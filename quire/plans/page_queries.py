@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions.text import matches
-from quire.operators import batch, fragments, gate
+from quire.operators import batch, citations, fragments, gate
 from quire.operators.extraction import any_of
 from quire.operators.sequence import strict_ranges
 from quire.sources.tables import LINES_A_PAGE, LINES_SQL, documents, pages_of, table
@@ -135,3 +135,49 @@ def pipe7_progress(spark, sf_dir):
     out = F.array_join(F.slice(lines, F.lit(LINES_A_PAGE + 1), F.lit(2 * LINES_A_PAGE)), "\n")
     checks = [(F.col("text").isNull(), "no text"), (F.size(lines) <= 2 * LINES_A_PAGE, f"out of bounds: {_RANGE}")]
     return batch.progress(table(spark, sf_dir, "documents").select("source", batch.checked(out, checks).alias("outcome")), by=["source"])
+
+
+# ---- citations: a brief for every customer, a page for every month with orders, a line for each of these
+_PARTIES = "['Building', 'Machinery & Sons', 'Automobile of the North', 'Furniture', 'Household']"
+_BRIEF_SQL = f"""p AS (SELECT o_custkey AS doc_id, month(o_orderdate) AS page_no, o_orderkey, {_PARTIES}[o_orderkey % 5 + 1] AS a, {_PARTIES}[o_custkey % 5 + 1] AS b, o_orderkey % 400 + 1 AS v, o_custkey % 90 + 1 AS n, year(o_orderdate) AS y FROM orders),
+ k AS (SELECT *, CASE (o_orderkey // 7) % 6 WHEN 0 THEN 'See ' || a || ' v. ' || b || ', ' || v || ' U.S. ' || n || ' (' || y || ') and' WHEN 1 THEN 'so In re ' || a || ', ' || v || ' F.3d ' || n || ' ( ' || y || ' ).' WHEN 2 THEN 'under ' || (v % 50 + 1) || ' U.S.C. § ' || n || '(a).'
+ WHEN 3 THEN 'as in ' || v || ' F. Supp. 2d ' || n || ', 12 N.E.2d 3' WHEN 4 THEN 'Held in ' || b || ' v. ' || a || ',' || chr(10) || v || ' U. S. ' || n ELSE 'No authority' || CASE WHEN doc_id % 4 = 0 THEN ' [table of authorities]' ELSE '' END END AS said FROM p),
+ t AS (SELECT doc_id, page_no, string_split(string_agg(said, chr(10) ORDER BY o_orderkey), chr(10)) AS lines FROM k GROUP BY doc_id, page_no), open AS (SELECT * FROM t WHERE NOT contains(array_to_string(lines, ' '), '[table of authorities]'))"""
+
+
+def briefs(spark, sf_dir):
+    """doc_id, page_no, lines."""
+    key, cust, name = F.col("o_orderkey"), F.col("o_custkey"), F.array(*map(F.lit, ["Building", "Machinery & Sons", "Automobile of the North", "Furniture", "Household"]))
+    a, b, v, n, y = F.get(name, (key % 5).cast("int")), F.get(name, (cust % 5).cast("int")), (key % 400 + 1).cast("string"), (cust % 90 + 1).cast("string"), F.year("o_orderdate").cast("string")
+    s = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    said = [
+        s("See ", a, " v. ", b, ", ", v, " U.S. ", n, " (", y, ") and"), s("so In re ", a, ", ", v, " F.3d ", n, " ( ", y, " )."), s("under ", (key % 400 + 1) % 50 + 1, " U.S.C. § ", n, "(a)."),
+        s("as in ", v, " F. Supp. 2d ", n, ", 12 N.E.2d 3"), s("Held in ", b, " v. ", a, ",\n", v, " U. S. ", n), s("No authority", F.when(cust % 4 == 0, " [table of authorities]").otherwise("")),
+    ]
+    line = F.get(F.array(*said), (F.floor(key / 7) % 6).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(cust.alias("doc_id"), F.month("o_orderdate").alias("page_no"), F.struct(key, line.alias("line")).alias("said"))
+    return rows.groupBy("doc_id", "page_no").agg(F.split(F.array_join(F.transform(F.array_sort(F.collect_list("said")), lambda x: x["line"]), "\n"), "\n").alias("lines"))
+
+
+@query(
+    f"""WITH {_BRIEF_SQL}, lined AS (SELECT doc_id, page_no, unnest(lines) AS shown, generate_subscripts(lines, 1) - 1 AS line FROM open), {located_sql('spans', 'lined', P.CITATIONS, 'doc_id, page_no, line', 'shown')},
+ r AS (SELECT *, list_position({list(P.CITATIONS)}, category) AS rank FROM spans) SELECT doc_id, page_no, CAST(line AS INT) AS line, category AS kind, start, length, text FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b
+ WHERE a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.line = b.line AND b.rank < a.rank AND b.start < a.start + a.length AND a.start < b.start + b.length)"""
+)
+def ext18_cited(spark, sf_dir):
+    """Citations of five kinds in briefs; where two overlap, the more specific kind; pages with a table of authorities are passed over."""
+    return citations.citations(briefs(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_BRIEF_SQL}, whole AS (SELECT doc_id, page_no, trim(regexp_replace(array_to_string(lines, ' '), '\\s+', ' ', 'g')) AS body FROM open), {located_sql('spans', 'whole', P.CITATIONS, 'doc_id, page_no, body', 'body')},
+ b AS (SELECT *, list_position({list(P.CITATIONS)}, category) AS rank, substr(body, greatest(0, start - 160) + 1, least(start, 160)) AS before, substr(body, start + length + 1, 12) AS after, CASE WHEN category = 'us-code' THEN 'statutes' ELSE 'cases' END AS section FROM spans),
+ d AS (SELECT *, CASE WHEN section = 'cases' THEN coalesce(coalesce(nullif(regexp_extract(before, '{P.re2(citations.CASE_BEFORE)}', 1), ''), nullif(regexp_extract(before, '{P.re2(citations.IN_RE_BEFORE)}', 1), '')) || ', ', '') || text
+ || coalesce(' (' || nullif(regexp_extract(after, '{citations.YEAR_AFTER}', 1), '') || ')', '') ELSE text END AS display FROM b)
+ SELECT doc_id, any_value(section) AS section, display, trim(regexp_replace(lower(display), '^(in re\\s+|ex parte\\s+|matter of\\s+|the\\s+)', '')) AS sort_key, array_to_string(list_sort(list(DISTINCT page_no)), ', ') AS pages,
+ arg_min(text, page_no * 100000000 + rank * 10000000 + start) AS citation, arg_min(category, page_no * 100000000 + rank * 10000000 + start) AS kind FROM d GROUP BY doc_id, display"""
+)
+def agg11_table_of_authorities(spark, sf_dir):
+    """Each brief's authorities with the names and years of cases, and the pages that cite them."""
+    found = citations.authorities(briefs(spark, sf_dir))
+    return found.withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ", "))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from quire.operators.extraction import pattern_hits
 from quire.operators.sequence import kept_last
@@ -41,6 +46,43 @@ def kept_table(rows: DataFrame, keys: list[str], order: str, path: str, mode: st
     return latest(rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns), keys, order)
 
 
+def terminal_states(events: DataFrame, key: str, status: str, order: str, at: str, terminal: list[str], late: str = "2 days", forget: str = "90 days") -> DataFrame:
+    """(key, status, order, ended): each key's state whenever new events change it, for a sink in update mode.
+
+    The first terminal status absorbs all later events, also those of later batches; until then the newest status holds. A key's state
+    is kept, however many events it has, as one small row, and forgotten once the watermark (``late`` behind the newest event) is
+    ``forget`` beyond its last event. Events later than the watermark don't count.
+    """
+    forget_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
+    types = events.schema
+    out = StructType([types[key], StructField(status, StringType()), StructField(order, LongType()), StructField("ended", BooleanType())])
+    held = StructType([StructField("status", StringType()), StructField("at", LongType()), StructField("ended", BooleanType())])
+
+    def advance(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, place, ended = state.get if state.exists else (None, None, False)
+        before, first, newest = (now, place, ended), (place, now) if ended else None, 0
+        for batch in batches:
+            newest = max(newest, int(batch["_at"].max().timestamp() * 1000)) if len(batch) else newest
+            rows = batch[[order, status]].sort_values(order, kind="stable")
+            over = rows[rows[status].isin(terminal)]
+            if not ended and len(over) and (first is None or over[order].iloc[0] < first[0]):
+                first = (int(over[order].iloc[0]), over[status].iloc[0])
+            if first is None and len(rows) and (place is None or rows[order].iloc[-1] >= place):
+                place, now = int(rows[order].iloc[-1]), rows[status].iloc[-1]
+        if first is not None:
+            (place, now), ended = first, True
+        state.update((now, place, ended))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + forget_ms)
+        if (now, place, ended) != before:
+            yield pd.DataFrame({key: [keys[0]], status: [now], order: [place], "ended": [ended]})
+
+    read = events.select(key, status, F.col(order).cast("long").alias(order), F.col(at).cast("timestamp").alias("_at")).withWatermark("_at", late)
+    return read.groupBy(key).applyInPandasWithState(advance, out, held, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def first_terminal(rows: DataFrame, key: str, status: str, order: str, terminal: list[str]) -> DataFrame:
     """A job's first terminal state, which absorbs all later ones; without one, its last state."""
     ended = F.when(F.col(status).isin(terminal), F.struct(F.col(order), F.col(status)))
