@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.operators import chunks as C
-from quire.operators import fuzzy, learning, pipeline, retrieval, sequence
+from quire.operators import fuzzy, learning, pipeline, retrieval, router, sequence
 from quire.operators.extraction import any_of
 from quire.sources import opening
 from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, table
@@ -137,6 +137,76 @@ def ret10_routes(spark, sf_dir):
     return said.select("said", chosen([(F.col("said").rlike(p), r) for p, r in _ROUTES], "search").alias("route"))
 
 
+#: entries that requests can name: (entry, kind, anchor)
+_NAMED = [
+    ("redact", "tool", "redact"), ("redact", "tool", "black out"), ("sanitize", "tool", "sanitize"), ("sanitize", "tool", "remove metadata"), ("watermark", "tool", "watermark"), ("outline", "tool", "outline"),
+    ("compare", "tool", "compare"), ("compare", "tool", "compare versions"), ("bookmarks", "tool", "add bookmarks"), ("split", "tool", "smart split"), ("crop", "tool", "crop pages"),
+    ("pricing", "topic", "how much is pro"), ("offline", "topic", "offline"), ("privacy", "topic", "uploaded"), ("models", "topic", "what model"),
+]
+_ASKED = [
+    "santize", "reduct", "watermak", "outlin", "compair versions", "how much is pro", "does it work offline", "is my file uploaded", "what model do you use", "compare two files", "add bookmarks", "crop pages", "smart split",
+    'find "contract"', "search for the word John", "find sensitive contracts", "find passages about damages", "find contracts", "redact SSNs", "count ssn", "phone numbers", "summarize this", "regex /a+b/", "", "quite another thing altogether here",
+]
+_OWNERS = ["redact", "sanitize", "watermark", "outline", "compare", "bookmarks", "split", "crop", "merge", "rotate"]
+
+
+def _requests(spark, sf_dir):
+    """The turns, and requests (negative numbers)."""
+    own = spark.createDataFrame([(-1 - i, 0, said) for i, said in enumerate(_ASKED)], "conv_id long, turn long, text string")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(own)
+
+
+def _owner_scores(spark, sf_dir):
+    """(conv_id, turn, owner, score): cosines of a turn's vector (the one of its conversation's number) and the mean vector of every label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    means = vectors.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("m"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    owner = F.get(F.array(*map(F.lit, _OWNERS)), (F.col("label") % len(_OWNERS)).cast("int"))
+    near = vectors.select(F.col("vec_id").alias("conv_id"), "v").join(F.broadcast(means.select(owner.alias("owner"), "m")))  # as many means as labels
+    scored = near.select("conv_id", "owner", (dot("v", "m") / F.sqrt(dot("v", "v")) / F.sqrt(dot("m", "m"))).alias("score"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn").join(scored, "conv_id")
+
+
+def _route_sql() -> str:
+    R = router
+    q = lambda p: P.re2(p)
+    noun = "CASE " + " ".join(f"WHEN regexp_matches(text, '{q(p)}') THEN '{t}'" for p, t in R.NOUNS) + " END"
+    tool = lambda kind: "(list_sort(list_filter([" + ", ".join(f"{{'n': {len(a)}, 'i': {-i}, 'a': '{a}', 'e': '{e}'}}" for i, (e, k, a) in enumerate(_NAMED) if k == kind) + "], lambda x: contains(' ' || plain || ' ', ' ' || x.a || ' ')), 'DESC')[1]).e"
+    part = lambda p, i=1: f"nullif(trim(regexp_extract(text, '{q(p)}', {i})), '')"
+    has = lambda p: f"regexp_matches(text, '{q(p)}')"
+    meaning = "(" + " OR ".join(map(has, R.MEANING)) + ")"
+    acts = f"({has(R.ACTION)} AND NOT {has(R.FINDING)})"
+    bare = f"trim(regexp_replace(regexp_replace(text, '{q(R.FIND)}', ''), '[?.!]+$', ''))"
+    skipped = "[" + ", ".join(f"'{w}'" for w in R.SKIPPED) + "]"
+    words = lambda c: f"list_filter(string_split(trim(regexp_replace(regexp_replace(lower({c}), '[’'']', '', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains({skipped}, w))"
+    cases = [
+        (f"noun IS NOT NULL AND NOT {has(R.REDACT)}", "noun", "ask", "noun"), ("tool IS NOT NULL", "exact", "tool", "tool"), ("topic IS NOT NULL", "exact", "topic", "topic"), (has(R.ASKING), "verb", "ask", "NULL"),
+        (f"{part(R.QUOTED)} IS NOT NULL", "quoted", "literal", part(R.QUOTED)), (has(R.REGEX), "regex", "literal", f"coalesce({part(R.REGEX)}, {part(R.REGEX, 2)})"), (f"{part(R.CUED)} IS NOT NULL", "cued", "literal", part(R.CUED)),
+        (f"{has(R.FIND)} AND {meaning} AND NOT {acts}", "meaning", "semantic", f"coalesce(nullif(trim(regexp_replace(text, '{q(R.FIND)}', '')), ''), text)"),
+        (f"{has(R.FIND)} AND NOT {meaning} AND NOT {acts} AND {bare} <> '' AND len({words(bare)}) <= 3", "bare", "literal", bare),
+    ]
+    told = "CASE " + " ".join(f"WHEN {c} THEN {{'stage': '{s}', 'kind': '{k}', 'target': CAST({t} AS VARCHAR), 'score': 1.0::DOUBLE}}" for c, s, k, t in cases) + " END"
+    anchors = ", ".join(f"('{e}', '{w}')" for e, k, a in _NAMED if k == "tool" for w in a.split(" ") if len(w) >= 4)
+    asked = ", ".join(f"({-1 - i}, 0, '{said}')" for i, said in enumerate(_ASKED))
+    owners = "[" + ", ".join(f"'{o}'" for o in _OWNERS) + "]"
+    return f"""WITH r AS (SELECT conv_id, turn, trim(text) AS text FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM (VALUES {asked}) v(conv_id, turn, text))), p AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '[’'']', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS plain FROM r),
+ n AS (SELECT *, {noun} AS noun, {tool('tool')} AS tool, {tool('topic')} AS topic FROM p), t AS (SELECT conv_id, turn, text, {told} AS route FROM n), w AS (SELECT DISTINCT conv_id, turn, unnest({words('text')}) AS word FROM t WHERE route IS NULL),
+ a AS (SELECT DISTINCT * FROM (VALUES {anchors}) v(entry, anchor)), m AS (SELECT conv_id, turn, entry, max(1 - damerau_levenshtein(word, anchor) / greatest(length(word), length(anchor))) AS score FROM w, a WHERE length(word) >= 4 AND abs(length(word) - length(anchor)) <= 3 GROUP BY ALL),
+ f AS (SELECT *, row_number() OVER o AS k, lead(score) OVER o AS next FROM m WHERE score >= 0.78 WINDOW o AS (PARTITION BY conv_id, turn ORDER BY score DESC, entry)), g AS (SELECT conv_id, turn, CASE WHEN score >= 0.88 AND (next IS NULL OR score - next >= 0.08 - 1e-12) THEN 'tool' ELSE 'typo' END AS kind, entry, score FROM f WHERE k = 1),
+ e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), c AS (SELECT label, list(x ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS x FROM u GROUP BY label, i) GROUP BY label),
+ b AS (SELECT conv_id, owner, score, row_number() OVER o AS k, lead(score) OVER o AS next FROM (SELECT conv_id, {owners}[other % {len(_OWNERS)} + 1] AS owner, max(score) AS score FROM (SELECT e.vec_id AS conv_id, c.label AS other, list_dot_product(v, mean) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(mean, mean)) AS score FROM e, c) GROUP BY ALL) WINDOW o AS (PARTITION BY conv_id ORDER BY score DESC, owner)),
+ d AS (SELECT conv_id, CASE WHEN score < 0.42 OR score - next < 0.035 THEN 'clarify' ELSE 'tool' END AS kind, CASE WHEN score >= 0.42 THEN owner END AS owner, score FROM b WHERE k = 1)
+ SELECT t.conv_id, t.turn, CASE WHEN t.route IS NOT NULL THEN t.route.stage WHEN g.kind IS NOT NULL THEN 'fuzzy' WHEN d.kind IS NOT NULL THEN 'vectors' ELSE 'none' END AS stage, coalesce(t.route.kind, g.kind, d.kind, 'clarify') AS kind,
+ CASE WHEN t.route IS NOT NULL THEN t.route.target WHEN g.kind IS NOT NULL THEN g.entry ELSE d.owner END AS target, round(coalesce(t.route.score, g.score, d.score, 0.0), 6) AS score FROM t LEFT JOIN g ON g.conv_id = t.conv_id AND g.turn = t.turn LEFT JOIN d ON d.conv_id = t.conv_id"""
+
+
+@query(_route_sql())
+def ret10_cascade(spark, sf_dir):
+    """Where every turn and request goes: by its words, by words like entries' names, by vectors."""
+    done = router.routed(_requests(spark, sf_dir), ["conv_id", "turn"], _NAMED, scores=_owner_scores(spark, sf_dir))
+    return done.withColumn("score", F.round("score", 6))
+
+
 sql_query("ret12_fallback", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'search' WHEN text LIKE '%?' THEN 'question' ELSE 'search' END AS route FROM conversations")
 sql_query("ret13_preferences", "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k, lead(n) OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS second FROM c) SELECT user_id, event_type FROM r WHERE k = 1 AND n >= 2 AND n - coalesce(second, 0) >= 1")
 sql_query("ret9_thresholds", "SELECT event_id, CASE WHEN value >= 60 THEN 'action' WHEN value >= 50 THEN 'command' WHEN value >= 42 THEN 'assist' ELSE 'none' END AS lane FROM events")
