@@ -32,7 +32,7 @@ def opened(content: Column) -> Column:
 
 
 def open_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, length, status and content of files; content is null where the status is not ok."""
+    """path, length, status and content of files; content is null where the status is not ok. Spark doesn't list files without a byte."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     status = opened(F.col("content"))
     return files.select("path", "length", status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions import values as V
 from quire.functions.text import spans
-from quire.operators import chunks, pipeline, retrieval, sequence
+from quire.operators import chunks, fuzzy, pipeline, sequence
 
 GOLDEN = [
     ("ssn", "DOB on file, SSN 123-45-6789 confirmed.", "123-45-6789"),
@@ -49,8 +49,9 @@ def test_ranges():
     assert sequence.lenient_range("all", 3) == [1, 2, 3]
 
 
-def test_edit_distance():
-    assert [retrieval.osa(*x) for x in (("reduct", "redact"), ("ab", "ba"), ("ca", "abc"), ("", "ab"))] == [1, 1, 3, 2]
+def test_edit_distance(spark):
+    pairs = spark.createDataFrame([("reduct", "redact"), ("ab", "ba"), ("ca", "abc"), ("x", "ab")], "a string, b string")
+    assert [r[0] for r in pairs.select(fuzzy.distance(F.col("a"), F.col("b"))).collect()] == [1, 1, 3, 2]
 
 
 def test_chunks():

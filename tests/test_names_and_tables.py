@@ -27,9 +27,3 @@ def test_bank_rows(spark):
     rows = [(1, 0, ["Date", "Description", "Amount", "Balance"]), (1, 1, ["01/02/2024", "Payroll", "100.00", "100.00"]), (1, 2, ["", "of Acme", "", ""]), (1, 3, ["01/03/2024", "ATM", "40.00", "60.00"])]
     got = tables.bank_rows(spark.createDataFrame(rows, "doc_id long, row_no int, cells array<string>"), 2024).orderBy("entry").collect()
     assert [(r.date, r.description, r.signed, r.category) for r in got] == [("2024-01-02", "Payroll of Acme", 100.0, "payroll"), ("2024-01-03", "ATM", -40.0, "atm")]
-
-
-def test_entities(spark):
-    rows = [(1, "Jo A. Li met X", "PER", 0, 2, 0.9), (1, "Jo A. Li met X", "PER", 6, 8, 0.4), (1, "Jo A. Li met X", "PER", 13, 14, 0.9), (1, "Jo A. Li met X", "ORG", 0, 5, 0.6)]
-    got = tables.entity_spans(spark.createDataFrame(rows, "doc_id long, text string, type string, start int, end int, score double"), {"PER": 0.35}, 0.7).collect()
-    assert [(r.type, r.start, r.end, r.score) for r in got] == [("PER", 0, 8, 0.9)]
