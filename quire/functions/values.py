@@ -95,3 +95,17 @@ def iso_date(raw: Column, european: bool, ref_year: int) -> Column:
         ],
         F.lit(None).cast("string"),
     )
+
+
+def masked(category: Column, text: Column, dot: str = "•") -> Column:
+    """A value of personal data as it may be shown; names, dates and short addresses stay as they are."""
+    at = F.instr(text, "@")
+    address = F.concat(F.substring(text, 1, 1), F.repeat(F.lit(dot), F.greatest(F.lit(1), at - 2)), F.substring(text, at, F.length(text)))
+    account = F.concat(F.substring(text, 1, 4), F.repeat(F.lit(dot), F.greatest(F.lit(0), F.length(text) - 8)), F.substring(text, F.greatest(F.lit(1), F.length(text) - 3), F.lit(4)))
+    return chosen(
+        [
+            (category.isin("ssn", "phone"), F.regexp_replace(text, r"\d(?=\d{4})", dot)), (category == "creditCard", F.regexp_replace(text, r"\d(?=.*\d{4})", dot)),
+            (category == "email", F.when(at <= 2, text).otherwise(address)), (category == "iban", account),
+        ],
+        text,
+    )

@@ -133,3 +133,82 @@ def bank_rows(rows: DataFrame, ref_year: int, european: bool = False) -> DataFra
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row_no"))).alias(c)
     entries = numbered.groupBy("doc_id", "entry").agg(F.min("date").alias("date"), F.array_join(F.transform(parts, lambda p: p["part"]), " ").alias("description"), first("amount"), first("balance"))
     return signed_by_balance(entries, ["doc_id"], "entry").withColumn("category", category(F.col("description")))
+
+
+#: words by which a time sheet's columns are known, in this order
+TIME_GROUPS = [["date"], ["timekeeper", "atty", "attorney", "initials"], ["task"], ["activity", "act"], ["hours", "hrs"], ["rate"], ["amount", "value"], ["description", "narrative", "notes"]]
+TIME_COLUMNS = ["date", "timekeeper_id", "task_code", "activity_code", "hours", "rate", "amount", "narrative"]
+#: the same columns in a pipe-separated block
+PIPE_NAMES = ["LINE_ITEM_DATE", "TIMEKEEPER_ID", "LINE_ITEM_TASK_CODE", "LINE_ITEM_ACTIVITY_CODE", "LINE_ITEM_NUMBER_OF_UNITS", "LINE_ITEM_UNIT_COST", "LINE_ITEM_TOTAL", "LINE_ITEM_DESCRIPTION"]
+
+
+def _time_entries(rows: DataFrame, kept: list[Column | str], cells: list[Column], ref_year: int, european: bool) -> DataFrame:
+    """kept, and the typed columns of time sheets' lines that have a date; cells are columns of their own first, for they are read often."""
+    named = [f"_cell{i}" for i in range(len(cells))]
+    held = rows.select(*kept, *[F.coalesce(c, F.lit("")).alias(n) for c, n in zip(cells, named, strict=True)])
+    typed = held.select(*[c for c in held.columns if c not in named], *_time_entry([F.col(n) for n in named], ref_year, european))
+    return typed.where(F.col("date").isNotNull())
+
+
+def _time_entry(cells: list[Column], ref_year: int, european: bool) -> list[Column]:
+    """Typed columns of a time sheet's line; the date is null where there is none."""
+    date, keeper, task, activity, hours, rate, total, said = cells
+    codes = F.upper(F.regexp_replace(task, r"\s+", "")), F.upper(F.trim(activity))
+    typed = [iso_date(date, european, ref_year), F.trim(keeper), *codes, amount(hours, european), amount(rate, european), amount(total, european), F.trim(said)]
+    return [c.alias(name) for c, name in zip(typed, TIME_COLUMNS, strict=True)]
+
+
+def time_sheet_rows(rows: DataFrame, ref_year: int, european: bool = False) -> DataFrame:
+    """(doc_id, row_no, date, timekeeper_id, task_code, activity_code, hours, rate, amount, narrative): dated lines below the header.
+
+    Without a header the first cell is the date, the last of the widest row the amount, the one before it the narrative.
+    """
+    heads = header_columns(rows, TIME_GROUPS)
+    widest = rows.groupBy("doc_id").agg(F.max(F.size("cells")).alias("_wide"))
+    known = rows.join(widest, "doc_id").join(heads, "doc_id", "left").where(F.col("header_row").isNull() | (F.col("row_no") > F.col("header_row")))
+    other = {0: F.lit(0), 6: F.greatest(F.lit(0), F.col("_wide") - 1), 7: F.greatest(F.lit(0), F.col("_wide") - 2)}
+    place = lambda i: F.coalesce(F.get("columns", F.lit(i)), other.get(i, F.lit(None).cast("int")))
+    cells = [F.when(place(i).isNotNull(), F.get("cells", place(i))) for i in range(len(TIME_GROUPS))]
+    return _time_entries(known, ["doc_id", "row_no"], cells, ref_year, european)
+
+
+def pipe_rows(texts: DataFrame, ref_year: int, european: bool = False) -> DataFrame:
+    """The same columns, line_no and invoice from texts (doc_id, text) with pipe-separated lines, by the names in the first of these."""
+    lines = F.filter(F.split("text", r"\r?\n"), lambda line: line.contains("|"))
+    cut = lambda line: F.transform(F.split(line, r"\|"), lambda c: F.trim(c))
+    read = texts.select("doc_id", F.transform(lines, cut).alias("_rows")).where(F.size("_rows") >= 2)
+    names = F.transform(F.get("_rows", F.lit(0)), lambda c: F.upper(c))
+    held = read.select("doc_id", names.alias("_names"), F.posexplode(F.slice("_rows", F.lit(2), F.size("_rows"))).alias("_n", "_cells"))
+    cell = lambda name: F.when(F.array_position("_names", F.lit(name)) > 0, F.get("_cells", F.array_position("_names", F.lit(name)).cast("int") - 1))
+    return _time_entries(held, ["doc_id", (F.col("_n") + 1).alias("line_no"), cell("INVOICE_NUMBER").alias("invoice")], [cell(n) for n in PIPE_NAMES], ref_year, european)
+
+
+def time_sheet_warnings(entries: DataFrame, codes: list[str], checks: int = 3, share: float = 0.3) -> DataFrame:
+    """(doc_id, known, checked): documents with more than ``checks`` task codes of which less than ``share`` are known."""
+    counts = entries.where(F.col("task_code") != "").groupBy("doc_id").agg(F.count_if(F.col("task_code").isin(codes)).alias("known"), F.count("*").alias("checked"))
+    return counts.where((F.col("checked") > checks) & (F.col("known") / F.col("checked") < share))
+
+
+def invoice_warnings(items: DataFrame, heads: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """(doc_id, warning) from items (doc_id, amount) and heads (doc_id, subtotal): sums that differ, and documents without items."""
+    sums = items.groupBy("doc_id").agg(F.sum("amount").alias("_sum"), F.count("*").alias("_n"))
+    both = heads.select("doc_id", "subtotal").join(sums, "doc_id", "left").withColumn("_sum", F.coalesce("_sum", F.lit(0.0)))
+    shown = lambda c: F.format_string("%.2f", c)
+    differs = F.when(F.abs(F.col("_sum") - F.col("subtotal")) > tolerance, F.concat(F.lit("items "), shown(F.col("_sum")), F.lit(", subtotal "), shown(F.col("subtotal"))))
+    empty = F.when(F.col("_n").isNull(), "no items")
+    return both.select("doc_id", F.explode(F.array_compact(F.array(differs, empty))).alias("warning"))
+
+
+def invoice_head(text: Column, european: bool, ref_year: int) -> dict[str, Column]:
+    """An invoice's head as typed columns; any date stands in for a missing invoice date."""
+    found = header_fields(text, P.INVOICE_FIELDS)
+    dated = F.coalesce(found["invoice_date"], F.nullif(F.trim(F.regexp_extract(text, P.java(P.ANY_DATE), 1)), F.lit("")))
+    money = {k: amount(found[k], european) for k in ("subtotal", "tax", "total")}
+    return found | money | {"invoice_date": iso_date(dated, european, ref_year), "due_date": iso_date(found["due_date"], european, ref_year)}
+
+
+def field_map(fields: DataFrame, headers: DataFrame) -> DataFrame:
+    """(field, header): fields with the header that has the same letters and digits, the first by name of several; null if none has."""
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    held = headers.groupBy(bare("header").alias("_key")).agg(F.min("header").alias("header"))
+    return fields.select("field", bare("field").alias("_key")).join(held, "_key", "left").select("field", "header")
