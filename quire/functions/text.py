@@ -14,10 +14,10 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(group))
 
 
-def spans(text: Column, pattern: str, gate: str | None = None) -> Column:
+def spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
     """All matches as structs of start (from 0), length and text: one walk along the gaps between matches adds up the offsets.
 
-    ``gate``: a cheaper pattern that matches wherever ``pattern`` does.
+    ``gate``: a cheaper test that holds wherever ``pattern`` matches.
     """
     kind = "array<struct<start:int,length:int,text:string>>"
     parts = F.arrays_zip(matches(text, pattern).alias("m"), F.transform(F.split(text, java(pattern), -1), F.length).alias("gap"))
@@ -28,7 +28,7 @@ def spans(text: Column, pattern: str, gate: str | None = None) -> Column:
         return F.struct((start + length).alias("at"), F.when(part["m"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(found))).alias("out"))
 
     walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), walk, lambda state: state["out"])
-    return F.when(text.rlike(java(gate or pattern)), walked).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(java(pattern)) if gate is None else gate, walked).otherwise(F.array().cast(kind))
 
 
 def snippet(text: Column, start: Column, length: Column, reach: int) -> Column:
