@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.joins import contained_needles
-
 ENTITY = "struct<start:int,end:int,type:string,text:string,score:double>"
 #: the least score of a type; others need ``OTHER``
 LEAST, OTHER = {"PER": 0.35, "ORG": 0.35}, 0.7
 #: types that join and are looked for again, and what may lie between two parts of one name
 NAMED = ["PER", "ORG"]
+RUN, MOST_BROADCAST = "[A-Za-z0-9]+", 200_000
 BETWEEN, MOST_BETWEEN = r"^[\s,'\-]*(?:[A-Z]\.?\s*)?$", 6
 
 
@@ -76,11 +75,14 @@ def processed(rows: DataFrame, text: str = "text", raw: str = "raw", least: dict
 def everywhere(texts: DataFrame, names: DataFrame, text_id: str, name_id: str) -> DataFrame:
     """(text_id, name_id, start, end): all places, as whole words, of every name (name_id, text) in every text (text_id, text).
 
-    Names and texts meet by the index of grams, so a text is only searched for names that it can hold; of the texts that hold
-    one each is joined once.
+    Names and texts meet by the first run of letters and digits of a name, which is a whole run wherever the name stands; only keys
+    and ids are joined, then each text is read once more for the names that it can hold. Names without such a run are not looked for.
     """
-    low = contained_needles(texts, names, text_id, name_id)
-    asked = low.join(names.select(F.col(name_id).cast("bigint").alias(name_id), F.col("text").alias("_name")).distinct(), name_id).groupBy(text_id).agg(F.collect_set(F.struct(name_id, "_name")).alias("_asked"))
-    met = texts.select(text_id, "text").join(asked, text_id)
+    asked = names.select(name_id, F.col("text").alias("_name"), F.regexp_extract("text", RUN, 0).alias("_run")).where("_run <> ''").distinct()
+    filed = asked.groupBy("_run").agg(F.collect_set(F.struct(name_id, "_name")).alias("_names"))
+    filed = F.broadcast(filed) if asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else filed
+    runs = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))).alias("_run"))
+    held = runs.join(filed, "_run").groupBy(text_id).agg(F.flatten(F.collect_set("_names")).alias("_asked"))
+    met = texts.select(text_id, "text").join(held, text_id)
     found = F.flatten(F.transform("_asked", lambda n: F.transform(places(F.col("text"), n["_name"]), lambda s: F.struct(n[name_id].alias(name_id), s.alias("start"), (s + F.length(n["_name"])).alias("end")))))
     return met.select(text_id, F.explode(found).alias("f")).select(text_id, "f.*")

@@ -87,6 +87,26 @@ def numbered(files: DataFrame, order: str, pages: str, start: int, rows_a_range:
     return summed.withColumn("first_number", F.col("last_number") - F.col(pages) + 1)
 
 
+def running(rows: DataFrame, keys: list[str], order: str, sums: dict[str, Column], ties: list[str] = (), descending: bool = False, ranges: int = 64) -> DataFrame:
+    """``rows`` with a running sum, the row itself included, for each of ``sums`` in each group, by a numeric ``order``, then ``ties``.
+
+    A group's rows lie in ``ranges`` of approximate quantiles of their order; sums run inside these, and what lies before a range is
+    a sum over its group's ranges, so no task sees a whole group. Rows without an order come first, or last if it descends; null keys are a group.
+    """
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000).alias("_bounds"))
+    bounds = bounds.select(*[F.col(k).alias(f"_{k}") for k in keys], "_bounds")
+    spot = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order))), F.lit(-1))
+    placed = rows.withColumns({f"_of_{name}": c for name, c in sums.items()}).join(bounds, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    placed = placed.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(spot)).drop("_bounds", *[f"_{k}" for k in keys])
+    way = F.desc_nulls_last if descending else F.asc_nulls_first
+    earlier = Window.partitionBy(*keys).orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_range").agg(*[F.sum(f"_of_{n}").alias(f"_sum_{n}") for n in sums])
+    before = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    inside = Window.partitionBy(*keys, "_range").orderBy(way(order), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    met = placed.join(before, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_range") == F.col("_r")])
+    return met.select(*rows.columns, *[(F.col(f"_before_{n}") + F.sum(f"_of_{n}").over(inside)).alias(n) for n in sums])
+
+
 def concatenated(files: list[DataFrame], order: str, pages: str) -> DataFrame:
     """The rows of ``files`` one after the other, numbered on from 1: each file by ranges, then moved by what lies before it."""
     out, before = None, 0
@@ -132,11 +152,10 @@ def parents(rows: DataFrame, keys: list[str], order: str, level: str, levels: li
     return rows.withColumn("parent", F.array_max(F.array(*last)))
 
 
-def within_budget(rows: DataFrame, keys: list[str], newest: list[Column], size: str, budget: int, most: int) -> DataFrame:
-    """The newest rows until their sizes or their number exceed the limits."""
-    w = Window.partitionBy(*keys).orderBy(*newest)
-    running = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumns({"_sum": running, "_k": F.row_number().over(w)}).where((F.col("_sum") <= budget) & (F.col("_k") <= most)).drop("_sum", "_k")
+def within_budget(rows: DataFrame, keys: list[str], newest: str, size: str, budget: int, most: int) -> DataFrame:
+    """The rows with the largest ``newest`` until their sizes or their number exceed the limits."""
+    held = running(rows, keys, newest, {"_sum": F.col(size), "_k": F.lit(1)}, descending=True)
+    return held.where((F.col("_sum") <= budget) & (F.col("_k") <= most)).drop("_sum", "_k")
 
 
 def kept_last(rows: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:

@@ -273,7 +273,13 @@ def snk3_json_lines(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))).alias("line"))
 
 
-sql_query("snk4_unique_names", "SELECT doc_id, CASE WHEN k = 1 THEN concat(source, '.pdf') ELSE concat(source, '-', CAST(k AS VARCHAR(20)), '.pdf') END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) t")
+@query("SELECT doc_id, CASE WHEN k = 1 THEN concat(source, '.pdf') ELSE concat(source, '-', CAST(k AS VARCHAR(20)), '.pdf') END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) t")
+def snk4_unique_names(spark, sf_dir):
+    """Names of outputs: those that repeat get numbers, by ranges of the ids."""
+    named = sequence.running(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id", {"k": F.lit(1)})
+    return named.select("doc_id", F.when(F.col("k") == 1, F.concat("source", F.lit(".pdf"))).otherwise(F.concat("source", F.lit("-"), F.col("k").cast("string"), F.lit(".pdf"))).alias("name"))
+
+
 
 
 # ---- windows and sequences
@@ -284,7 +290,14 @@ def win1_continuous_numbers(spark, sf_dir):
 
 
 sql_query("win2_page_numbers", "SELECT l_orderkey, l_linenumber, 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS number FROM lineitem")
-sql_query("win3_binder_layout", "WITH n AS (SELECT source, doc_id, CAST(ceil(n_chars / 2000.0) AS BIGINT) AS pages FROM documents) SELECT source, doc_id, CAST(2 + coalesce(sum(pages + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts FROM n")
+@query("WITH n AS (SELECT source, doc_id, CAST(ceil(n_chars / 2000.0) AS BIGINT) AS pages FROM documents) SELECT source, doc_id, CAST(2 + coalesce(sum(pages + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts FROM n")
+def win3_binder_layout(spark, sf_dir):
+    """Where each document of a binder starts: after a cover and a sheet for each before it."""
+    pages = table(spark, sf_dir, "documents").select("source", "doc_id", F.ceil(F.col("n_chars") / 2000.0).alias("pages"))
+    held = sequence.running(pages, ["source"], "doc_id", {"upto": F.col("pages") + 1})
+    return held.select("source", "doc_id", (F.col("upto") - F.col("pages") + 1).cast("long").alias("starts"))
+
+
 
 
 @query(f"WITH {LINES_SQL}, b AS (SELECT doc_id, line_no, length(line) < 8 AS blank, lag(length(line) < 8) OVER (PARTITION BY doc_id ORDER BY line_no) AS was FROM lines) SELECT doc_id, line_no FROM b WHERE was AND NOT blank")
@@ -323,12 +336,18 @@ def win9_parents(spark, sf_dir):
 
 
 _RUNNING = "sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)"
-sql_query("win10_evicted", f"SELECT source, doc_id FROM (SELECT source, doc_id, lang, {_RUNNING} AS used FROM documents) t WHERE used > 50000 AND lang <> 'fr'")
+@query(f"SELECT source, doc_id FROM (SELECT source, doc_id, lang, {_RUNNING} AS used FROM documents) t WHERE used > 50000 AND lang <> 'fr'")
+def win10_evicted(spark, sf_dir):
+    """What a budget by source sends away, newest kept first, but for one language."""
+    held = sequence.running(table(spark, sf_dir, "documents").select("source", "doc_id", "lang", "n_chars"), ["source"], "doc_id", {"used": F.col("n_chars")}, descending=True)
+    return held.where("used > 50000 AND lang <> 'fr'").select("source", "doc_id")
+
+
 
 
 @query(f"SELECT source, doc_id FROM (SELECT source, doc_id, {_RUNNING} AS used, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents) WHERE used <= 50000 AND k <= 10")
 def win11_recents(spark, sf_dir):
-    return sequence.within_budget(table(spark, sf_dir, "documents"), ["source"], [F.desc("doc_id")], "n_chars", 50000, 10).select("source", "doc_id")
+    return sequence.within_budget(table(spark, sf_dir, "documents"), ["source"], "doc_id", "n_chars", 50000, 10).select("source", "doc_id")
 
 
 @query("SELECT source, lang, max(doc_id) AS doc_id FROM documents GROUP BY source, lang")

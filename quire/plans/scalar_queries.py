@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import values as V
 from quire.functions.text import terms
+from quire.operators import sequence
 from quire.sources.tables import table
 
 from .registry import query, sql_query
@@ -155,7 +156,13 @@ def fn27_masked(spark, sf_dir):
 
 
 sql_query("fn28_relative_time", "SELECT o_orderkey, CASE WHEN d < 60 THEN 'm' WHEN d < 1440 THEN 'h' ELSE 'd' END AS unit FROM (SELECT o_orderkey, o_orderkey % 3000 AS d FROM orders) t")
-sql_query("fn29_file_names", "SELECT c_custkey, CASE WHEN k = 1 THEN base ELSE base || '-' || CAST(k AS STRING) END AS name FROM (SELECT c_custkey, lower(c_mktsegment) AS base, row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY c_custkey) AS k FROM customer) t", "SELECT c_custkey, CASE WHEN k = 1 THEN base ELSE base || '-' || CAST(k AS VARCHAR) END AS name FROM (SELECT c_custkey, lower(c_mktsegment) AS base, row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY c_custkey) AS k FROM customer) t")
+@query("SELECT c_custkey, CASE WHEN k = 1 THEN base ELSE base || '-' || CAST(k AS VARCHAR) END AS name FROM (SELECT c_custkey, lower(c_mktsegment) AS base, row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY c_custkey) AS k FROM customer) t")
+def fn29_file_names(spark, sf_dir):
+    """Names of outputs by segment; those that repeat get numbers, by ranges of the keys."""
+    named = sequence.running(table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("base")), ["base"], "c_custkey", {"k": F.lit(1)})
+    return named.select("c_custkey", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("k").cast("string"))).alias("name"))
+
+
 sql_query("fn30_preflight", "SELECT doc_id, CASE WHEN n_chars > 20000 THEN 'block' WHEN n_chars > 5000 THEN 'warn' WHEN n_chars > 2000 THEN 'info' ELSE 'ok' END AS level, round(n_chars * 0.03 / 1000, 6) AS minutes FROM documents")
 
 

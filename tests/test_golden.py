@@ -88,3 +88,20 @@ def test_numbers_over_many_ranges(spark):
         want.append((at, at + i % 7 - 1))
         at += i % 7
     assert got == want
+
+
+def test_running_sums(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([rng.randint(0, 300), None]), i, rng.randint(0, 9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, o long, t long, v long")
+    for descending in (False, True):
+        got = {r.t: (r.s, r.n) for r in sequence.running(df, ["k"], "o", {"s": F.col("v"), "n": F.lit(1)}, ["t"], descending, ranges=7).collect()}
+        for key in ("hot", "b", None):
+            held = sorted((r for r in rows if r[0] == key), key=lambda r: ((r[1] is None) if descending else (r[1] is not None), -(r[1] or 0) if descending else (r[1] or 0), r[2]))
+            total = 0
+            for n, r in enumerate(held, 1):
+                total += r[3]
+                assert got[r[2]] == (total, n)
+    assert sequence.running(df.limit(0), ["k"], "o", {"s": F.col("v")}).count() == 0
