@@ -71,16 +71,16 @@ def anchors(items: DataFrame) -> DataFrame:
     window = lambda s: F.transform(F.slice("n", s + 1, F.col("least")), lambda n, i: F.struct(n.alias("n"), (s + i).alias("place")))
     rarest = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("least")), lambda s: F.array_min(window(s)))
     places = F.array_distinct(F.transform(F.filter(rarest, lambda r: r["n"] > 0), lambda r: r["place"]))
-    found = items.select("item_key", "w", F.explode(places).alias("place"))
+    found = items.select("item_key", "w", "least", F.explode(places).alias("place"))
     own = [c.alias(f"item_{name}") for c, name in zip(neighbours(F.col("place")), ("before", "after"), strict=True)]
-    return found.select("item_key", "place", F.get("w", F.col("place")).alias("term"), F.size("w").alias("n_terms"), *own)
+    return found.select("item_key", "place", F.get("w", F.col("place")).alias("term"), "least", *own)
 
 
 def phrases(index: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_key, item_id, start, length): runs of an item's words that hold a window at least, start from 0."""
     known = small(items.select("item_key", "w", "least"), BROADCAST_ROWS)
     starts = index.join(small(written(anchors(items), "anchors"), BROADCAST_ROWS), "term")
-    beside = (F.col("n_terms") == 1) | ((F.col("before") == F.col("item_before")) & (F.col("before") >= 0)) | ((F.col("after") == F.col("item_after")) & (F.col("after") >= 0))
+    beside = (F.col("least") == 1) | ((F.col("before") == F.col("item_before")) & (F.col("before") >= 0)) | ((F.col("after") == F.col("item_after")) & (F.col("after") >= 0))
     aligned = starts.where(beside).select("doc_key", "item_key", (F.col("position") - F.col("place")).alias("shift"), "place").distinct().join(known, "item_key")
     reach = F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("least") + 1), F.least(F.size("w"), F.col("place") + F.col("least")) - 1)
     term, position = F.get("w", F.col("q")), F.col("shift") + F.col("q")

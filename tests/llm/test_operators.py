@@ -490,3 +490,9 @@ def test_pipeline(spark, sf_dir):
     ended = kept[corpus_pipeline.STAGES[-1][0]].collect()
     own = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
     assert {r.doc_id: (r.n_tokens, r.ids, r.decoded) for r in ended} == {i: (n, ids, own.decode(ids)) for i, t in safe.items() for n, ids in [own.encode(t)]}
+
+
+def test_windows_of_one_word(spark):
+    texts = spark.createDataFrame([(1, "one"), (2, "three two four"), (3, "none"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two"), (8, "TWO")], "item_id long, text string")
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in decontamination.decontaminate(texts, items, width=1).collect()} == {1: (1, ["7"]), 2: (1, ["7", "8"]), 3: (0, []), 4: (0, [])}
