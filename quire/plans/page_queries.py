@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions.text import matches
-from quire.operators import batch, citations, fragments, gate
+from quire.operators import batch, citations, fragments, gate, pipeline
 from quire.operators.extraction import any_of
 from quire.operators.sequence import strict_ranges
 from quire.sources.tables import LINES_A_PAGE, LINES_SQL, documents, pages_of, table
@@ -181,3 +181,30 @@ def agg11_table_of_authorities(spark, sf_dir):
     """Each brief's authorities with the names and years of cases, and the pages that cite them."""
     found = citations.authorities(briefs(spark, sf_dir))
     return found.withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ", "))
+
+
+# ---- steps on pages
+_STEPS = [
+    pipeline.Step("drop-blank-pages"), pipeline.Step("extract-pages", {"pages": "4-1, 6"}, "size-over", {"megabytes": 0.002}), pipeline.Step("page-numbers"), pipeline.Step("bates", {"prefix": "ACME", "first": 7}, "sensitive"), pipeline.Step("reverse-pages"),
+]
+_SIGNS = " OR ".join(f"regexp_matches(v, '{P.re2(p)}')" for p in P.PERSONAL_DATA.values())
+
+
+def _pages_sql(source: str, text: str) -> str:
+    return f"SELECT *, list_transform(range(CAST(floor((len(string_split({text}, chr(10))) - 1) / 40) AS BIGINT) + 1), lambda p: array_to_string(string_split({text}, chr(10))[p * 40 + 1:p * 40 + 40], chr(10))) AS pages FROM {source}"
+
+
+def _joined_sql(pages: str) -> str:
+    return f"array_to_string({pages}, chr(10))"
+
+
+@query(
+    f"""WITH a AS ({_pages_sql('documents', 'text')}), b AS (SELECT doc_id, {_joined_sql("list_filter(pages, lambda p: length(regexp_replace(p, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) >= 8)")} AS t FROM a),
+ c AS ({_pages_sql('b', 't')}), d AS (SELECT doc_id, CASE WHEN strlen(t) / 1048576.0 > 0.002 THEN {_joined_sql("list_filter(pages, lambda p, i: i IN (1, 2, 3, 4, 6))")} ELSE t END AS u, CASE WHEN strlen(t) / 1048576.0 > 0.002 THEN 0 ELSE 1 END AS skipped FROM c),
+ e AS ({_pages_sql('d', 'u')}), f AS (SELECT doc_id, skipped, {_joined_sql("list_transform(pages, lambda p, i: p || chr(10) || i || ' of ' || len(pages))")} AS v FROM e), g AS ({_pages_sql('f', 'v')}),
+ h AS (SELECT doc_id, CASE WHEN {_SIGNS} THEN {_joined_sql("list_transform(pages, lambda p, i: p || chr(10) || 'ACME' || lpad(CAST(i + 6 AS VARCHAR), 6, '0'))")} ELSE v END AS w, skipped + CASE WHEN {_SIGNS} THEN 0 ELSE 1 END AS skipped FROM g), k AS ({_pages_sql('h', 'w')})
+ SELECT doc_id, sha256({_joined_sql('list_reverse(pages)')}) AS digest, skipped FROM k"""
+)
+def pipe2_page_steps(spark, sf_dir):
+    """Steps on the pages of every document: blank ones go, some are taken out of the longer texts, numbers, stamps, the order turned."""
+    return pipeline.run(documents(spark, sf_dir), _STEPS).select("doc_id", F.sha2("text", 256).alias("digest"), "skipped")

@@ -212,3 +212,18 @@ def test_citations(spark):
         ("cases", "Miranda v. Arizona, 384 U.S. 436 (1966)", "miranda v. arizona, 384 u.s. 436 (1966)", (2,), "us-supreme"), ("cases", "12 F.3d 5", "12 f.3d 5", (2,), "federal-reporter"),
     }
     assert sorted((r.page_no, r.line, r.kind, r.start) for r in citations.citations(rows).collect()) == [(1, 1, "us-code", 24), (1, 1, "us-supreme", 0), (1, 2, "us-supreme", 13), (2, 0, "us-supreme", 20), (2, 1, "federal-reporter", 8)]
+
+
+def test_page_steps(spark):
+    from quire.operators import pipeline
+
+    text = "\n".join([*(["line"] * 40), *([" "] * 40), "last page"])
+    docs = spark.createDataFrame([(1, text), (2, "x"), (3, None), (4, "")], "doc_id long, text string")
+    run = lambda *steps: {r.doc_id: r.text for r in pipeline.run(docs, [pipeline.Step(*s) for s in steps]).collect()}
+    page = "\n".join(["line"] * 40)
+    done = run(("drop-blank-pages",), ("page-numbers",), ("bates", {"prefix": "A", "digits": 3}))
+    assert done[1].startswith(f"{page}\n1 of 2\n") and done[3] is None
+    assert run(("drop-blank-pages",))[1] == f"{page}\nlast page" and run(("drop-blank-pages",))[2] == ""
+    assert run(("extract-pages", {"pages": "3, 1"}))[1] == f"{page}\nlast page" and run(("extract-pages", {"pages": "all"}))[1] == text
+    assert run(("reverse-pages",))[1].startswith("last page\n ") and run(("page-numbers", {"template": "p{i}"}))[2] == "x\np1"
+    assert run(("bates", {"first": 8}))[4] == "\n000008"
