@@ -64,12 +64,12 @@ def swept(text: Column, entities: Column) -> Column:
     return F.array_sort(F.aggregate(first, entities, step))
 
 
-def processed(rows: DataFrame, text: str = "text", raw: str = "raw", least: dict[str, float] | None = None) -> DataFrame:
-    """The other columns of ``rows`` and entities: what is left of ``raw`` (array of start, end, type, score), joined and swept over the row's text."""
+def processed(rows: DataFrame, text: str = "text", raw: str = "raw", least: dict[str, float] | None = None, sweep: bool = True) -> DataFrame:
+    """The other columns of ``rows`` and entities: what is left of ``raw`` (array of start, end, type, score), joined and, with ``sweep``, looked for again in the row's text."""
     kept = [c for c in rows.columns if c != raw]
     strong = rows.select(*kept, tidied(F.col(text), F.col(raw), least).alias("_strong"))
     whole = strong.select(*kept, joined(F.col(text), F.col("_strong")).alias("_whole"))
-    return whole.select(*kept, swept(F.col(text), F.col("_whole")).alias("entities"))
+    return whole.select(*kept, (swept(F.col(text), F.col("_whole")) if sweep else F.col("_whole")).alias("entities"))
 
 
 def everywhere(texts: DataFrame, names: DataFrame, text_id: str, name_id: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions.text import matches, snippet, spans
 from quire.operators import extraction as X
-from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, table
+from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, kept_aside, lines, page_texts, table
 
 from . import legal_queries
 from .legal_queries import spans_sql
@@ -238,7 +238,7 @@ def ext25_everywhere(spark, sf_dir):
     """All places in the documents of the longer names (eight signs or more) that the turns have."""
     from quire.operators.entities import everywhere, processed
 
-    found = processed(_raw_entities(spark, sf_dir)).select(F.explode("entities").alias("e")).where("e.type IN ('PER', 'ORG') AND length(e.text) >= 8")
-    names = found.select(F.col("e.text").alias("text")).distinct().select(F.xxhash64("text").alias("name_id"), "text")
+    found = processed(_raw_entities(spark, sf_dir), sweep=False).select(F.explode(F.filter("entities", lambda e: e["type"].isin("PER", "ORG") & (F.length(e["text"]) >= 8))).alias("e"))
+    names = kept_aside(found.select(F.col("e.text").alias("text")).distinct().select(F.xxhash64("text").alias("name_id"), "text"), "names")  # read several times
     hits = everywhere(documents(spark, sf_dir), names, "doc_id", "name_id")
     return hits.join(names, "name_id").select("doc_id", F.col("text").alias("name"), "start")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -13,7 +12,7 @@ from quire.operators import chunks as C
 from quire.operators import fuzzy, learning, pipeline, retrieval, router, sequence
 from quire.operators.extraction import any_of
 from quire.sources import opening
-from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, table
+from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, shared_dir, table
 from quire.streaming import feeds
 
 from .registry import query, sql_query
@@ -234,7 +233,7 @@ def _csv_files(spark, sf_dir):
     """Part of the customers as CSV files with odd cells, written and read again."""
     from quire.sources.tables import read_csv
 
-    folder = f"{_shared(spark)}/quire/csv_{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/quire/csv_{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "customer").select(F.concat(F.lit('a "b", '), F.col("c_name")).alias("name"), F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" ")).alias("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).alias("key"))
     rows.write.csv(folder, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
     return read_csv(spark, folder)
@@ -463,18 +462,10 @@ def cmp1_versions(spark, sf_dir):
     return digests.join(other, "doc_id", "left").select("doc_id", state.alias("state"))
 
 
-def _shared(spark) -> str:
-    """The folder that all executors see; on a local master, where all share one disk, one of our own if none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-    return (named or tempfile.mkdtemp(prefix="quire-stream-")).rstrip("/")
-
-
 def _streamed(spark, out, name):
     """All rows that the stream has after one pass over its files."""
     sink = f"{name}_{uuid.uuid4().hex}"
-    target = f"{_shared(spark)}/quire/{sink}"
+    target = f"{shared_dir(spark)}/quire/{sink}"
     out.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", f"{target}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(target)
 
@@ -491,7 +482,7 @@ def stream1_incremental_hits(spark, sf_dir):
 def stream2_latest(spark, sf_dir):
     """A table that keeps the newest row of each user as events arrive."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    return feeds.kept_table(events, ["user_id"], "event_id", f"{_shared(spark)}/quire/latest_{uuid.uuid4().hex}").select("user_id", "event_id")
+    return feeds.kept_table(events, ["user_id"], "event_id", f"{shared_dir(spark)}/quire/latest_{uuid.uuid4().hex}").select("user_id", "event_id")
 
 
 @query("SELECT CAST(time_bucket(INTERVAL '1 day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -499,7 +490,7 @@ def stream4_windowed_counts(spark, sf_dir):
     """Events by type and day of event time, in update mode over files that arrive; the last count of each window is kept."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     counts = feeds.windowed_counts(events, "1 day", "2 days").select(F.col("window.start").alias("day"), "event_type", "n")
-    return feeds.kept_table(counts, ["day", "event_type"], "n", f"{_shared(spark)}/quire/windows_{uuid.uuid4().hex}", "update")
+    return feeds.kept_table(counts, ["day", "event_type"], "n", f"{shared_dir(spark)}/quire/windows_{uuid.uuid4().hex}", "update")
 
 
 
@@ -516,13 +507,13 @@ def stream3_terminal_states(spark, sf_dir):
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     states = feeds.terminal_states(events, "user_id", "event_type", "event_id", "ts", ["purchase", "error"])
     ranked = states.withColumn("rank", F.col("ended").cast("long") * (1 << 60) + F.col("event_id"))
-    return feeds.kept_table(ranked, ["user_id"], "rank", f"{_shared(spark)}/quire/states_{uuid.uuid4().hex}", "update").drop("rank")
+    return feeds.kept_table(ranked, ["user_id"], "rank", f"{shared_dir(spark)}/quire/states_{uuid.uuid4().hex}", "update").drop("rank")
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]{16}') THEN 'malformed' WHEN lang = 'fr' THEN 'no text' ELSE 'ok' END AS status, CASE WHEN NOT regexp_matches(text, '[0-9]{16}') AND lang <> 'fr' THEN length(text) END AS size FROM documents""")
 def src1_quarantine(spark, sf_dir):
     """Documents as lines of JSON, some cut off, some without a text: what can be read, and what is set aside and why."""
-    folder = f"{_shared(spark)}/quire/json_{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/quire/json_{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     whole = F.to_json(F.struct("doc_id", F.when(F.col("lang") != "fr", F.col("text")).alias("text")))
     docs.select(F.when(F.col("text").rlike("[0-9]{16}"), F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int"))).otherwise(whole).alias("value")).write.text(folder)

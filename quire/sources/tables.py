@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,21 @@ def pages_of(docs: DataFrame) -> DataFrame:
     return split.where(F.col("_lines").isNotNull()).select("doc_id", F.inline(pages))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see; on a local master, where all share one disk, one of our own if none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    return (named or tempfile.mkdtemp(prefix="quire-stream-")).rstrip("/")
+
+
+def kept_aside(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: for a small table that several jobs read and many rows make."""
+    path = f"{shared_dir(df.sparkSession)}/quire/{what}_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files give fewer splits than these (as a file of one row group does); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
