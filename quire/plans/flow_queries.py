@@ -515,8 +515,9 @@ def src1_quarantine(spark, sf_dir):
     """Documents as lines of JSON, some cut off, some without a text: what can be read, and what is set aside and why."""
     folder = f"{shared_dir(spark)}/quire/json_{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    whole = F.to_json(F.struct("doc_id", F.when(F.col("lang") != "fr", F.col("text")).alias("text")))
-    docs.select(F.when(F.col("text").rlike("[0-9]{16}"), F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int"))).otherwise(whole).alias("value")).write.text(folder)
+    cut = F.col("text").rlike("[0-9]{16}")
+    whole = F.to_json(F.struct("doc_id", F.when(cut | (F.col("lang") != "fr"), F.col("text")).alias("text")))
+    docs.select(F.when(cut, F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int"))).otherwise(whole).alias("value")).write.text(folder)
     good, bad = opening.split(opening.read_json(spark, folder, "doc_id long, text string"), ["doc_id", "text"])
     named = bad.select(F.regexp_extract("raw", r'"doc_id":(\d+)', 1).cast("long").alias("doc_id"), F.col("reason").alias("status"), F.lit(None).cast("int").alias("size"))
     return good.select("doc_id", F.lit("ok").alias("status"), F.length("text").alias("size")).unionByName(named)
