@@ -67,8 +67,8 @@ def spans_sql(patterns: dict[str, str]) -> str:
 def located_sql(name: str, source: str, patterns: dict[str, str], keys: str, text: str) -> str:
     """SQL: ``name`` with category, start, length and text of the matches in ``text`` of ``source``, by ``keys``."""
     found = " UNION ALL ".join(f"SELECT {keys}, '{c}' AS category, regexp_split_to_array({text}, '{P.re2(p)}') AS gaps, regexp_extract_all({text}, '{P.re2(p)}') AS found FROM {source} WHERE regexp_matches({text}, '{P.re2(p)}')" for c, p in patterns.items())
-    return f"""{name}_found AS ({found}), {name} AS (SELECT {keys}, category, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS INT) AS start,
- CAST(length(found[i]) AS INT) AS length, found[i] AS text FROM (SELECT *, generate_subscripts(found, 1) AS i FROM {name}_found))"""
+    return f"""{name}_found AS ({found}), {name} AS (SELECT {keys}, category, CAST(list_sum(list_transform(gaps[1:nth_], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:nth_-1], lambda x: length(x))), 0) AS INT) AS start,
+ CAST(length(found[nth_]) AS INT) AS length, found[nth_] AS text FROM (SELECT *, generate_subscripts(found, 1) AS nth_ FROM {name}_found))"""
 
 
 # ---- privilege review, on the text of pages: a phrase may go on in the next line

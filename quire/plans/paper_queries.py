@@ -138,7 +138,7 @@ _WORD = "(?i)license"
 
 
 @query(
-    f"""WITH {PAGES_SQL}, {located_sql('h', 'doc_pages', {'k': _WORD}, 'doc_id, page_no, text', 'text').replace('found[i] AS text', 'found[i] AS said')},
+    f"""WITH {PAGES_SQL}, {located_sql('h', 'doc_pages', {'k': _WORD}, 'doc_id, page_no, text', 'text').replace('found[nth_] AS text', 'found[nth_] AS said')},
  s AS (SELECT doc_id, page_no, start, (CASE WHEN start > 60 THEN '…' ELSE '' END) || trim(regexp_replace(substr(text, greatest(0, start - 60) + 1, least(length(text), start + length + 60) - greatest(0, start - 60)), '\\s+', ' ', 'g')) || (CASE WHEN start + length + 60 < length(text) THEN '…' ELSE '' END) AS snippet FROM h),
  d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, lower(snippet) ORDER BY start) AS k FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, start) AS n FROM d WHERE k = 1) SELECT doc_id, page_no, start, snippet FROM r WHERE n <= 50"""
 )
