@@ -135,10 +135,10 @@ def bank_rows(rows: DataFrame, ref_year: int, european: bool = False) -> DataFra
     return signed_by_balance(entries, ["doc_id"], "entry").withColumn("category", category(F.col("description")))
 
 
-#: words by which a time sheet's columns are known, in this order
+# Words by which a time sheet's columns are known, in this order.
 TIME_GROUPS = [["date"], ["timekeeper", "atty", "attorney", "initials"], ["task"], ["activity", "act"], ["hours", "hrs"], ["rate"], ["amount", "value"], ["description", "narrative", "notes"]]
 TIME_COLUMNS = ["date", "timekeeper_id", "task_code", "activity_code", "hours", "rate", "amount", "narrative"]
-#: the same columns in a pipe-separated block
+# The same columns in a pipe-separated block.
 PIPE_NAMES = ["LINE_ITEM_DATE", "TIMEKEEPER_ID", "LINE_ITEM_TASK_CODE", "LINE_ITEM_ACTIVITY_CODE", "LINE_ITEM_NUMBER_OF_UNITS", "LINE_ITEM_UNIT_COST", "LINE_ITEM_TOTAL", "LINE_ITEM_DESCRIPTION"]
 
 

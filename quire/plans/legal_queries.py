@@ -259,6 +259,7 @@ def ext24_typed_fields(spark, sf_dir):
     return papers(spark).where("doc_id IN (-5, -6)").select(F.col("doc_id").cast("int").alias("doc_id"), *[named[k] for k in order])
 
 
+# Words by which an invoice's columns are known.
 _INVOICE_GROUPS = [["description", "item", "service"], ["qty", "quantity", "hours"], ["unit", "rate", "price"], ["amount", "total", "line total"], ["tax", "vat"]]
 
 

@@ -10,6 +10,7 @@ from quire.functions import values as V
 from quire.functions.text import spans
 from quire.operators import chunks, fuzzy, pipeline, sequence
 
+# What the fixtures say.
 GOLDEN = [
     ("ssn", "DOB on file, SSN 123-45-6789 confirmed.", "123-45-6789"),
     ("ssn", "Order #12-34 from 2024.", None),
