@@ -54,10 +54,18 @@ def anchor_keys(anchor: Column, least: float = LEAST) -> Column:
     return F.concat(F.when(length <= RESTS_TO, short).otherwise(none), F.when(length >= PIECES_FROM, F.transform(F.sequence(F.lit(0), _pieces(least, length) - 1), key)).otherwise(none))
 
 
-def word_keys(word: Column, least: float = LEAST) -> Column:
+def word_edits(word: Column, lengths: list[int], least: float = LEAST) -> Column:
+    """How many edits ``word`` can be from an anchor of one of ``lengths``; null: from none."""
+    length = F.length(word)
+    most = lambda m: F.floor(F.lit(1 - least) * F.greatest(length, F.lit(m)) + 1e-9).cast("int")
+    each = [F.when(F.abs(length - m) <= F.least(most(m), F.lit(APART)), most(m)) for m in lengths]
+    return F.array_max(F.array(*each)) if each else F.lit(None).cast("int")
+
+
+def word_keys(word: Column, edits: Column, least: float = LEAST) -> Column:
     """The keys of all anchors that ``word`` can be like: its rests, and its parts where pieces of an anchor of each length could be."""
     length = F.length(word)
-    short = F.transform(rests(word, _edits(length, least)), lambda r: F.concat(F.lit("-"), r))
+    short = F.transform(rests(word, edits), lambda r: F.concat(F.lit("-"), r))
 
     def at_length(other: Column) -> Column:
         def at_piece(i: Column) -> Column:
@@ -98,8 +106,9 @@ def alike(words: DataFrame, anchors: DataFrame, least: float = LEAST) -> DataFra
     held = anchors.where(F.length("anchor") >= SHORTEST).select("anchor").distinct()
     filed = held.select("anchor", F.explode(anchor_keys(F.col("anchor"), least)).alias("key"))
     filed = F.broadcast(filed) if filed.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else filed
-    asked = words.where(F.length("word") >= SHORTEST).select("word").distinct()
-    met = asked.select("word", F.explode(word_keys(F.col("word"), least)).alias("key")).join(filed, "key").select("word", "anchor").distinct()
+    lengths = [r[0] for r in held.select(F.length("anchor")).distinct().orderBy(F.length("anchor")).collect()]  # as many as words have lengths
+    asked = words.where(F.length("word") >= SHORTEST).select("word", word_edits(F.col("word"), lengths, least).alias("_edits")).where(F.col("_edits").isNotNull()).distinct()
+    met = asked.select("word", F.explode(word_keys(F.col("word"), F.col("_edits"), least)).alias("key")).join(filed, "key").select("word", "anchor").distinct()
     met = met.where(F.abs(F.length("word") - F.length("anchor")) <= APART)
     ratio = 1 - distance(F.col("word"), F.col("anchor")) / F.greatest(F.length("word"), F.length("anchor"))
     return met.select("word", "anchor", ratio.alias("ratio")).where(F.col("ratio") >= least)
