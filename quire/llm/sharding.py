@@ -67,7 +67,7 @@ def shard(
         .agg(F.first("_shard").alias("_shard"), F.first("_bucket").alias("_bucket"), F.shuffle(F.collect_list(row), seed).alias("_rows"))
     )
     return (
-        buckets.join(starts, ["_shard", "_bucket"])
+        buckets.join(F.broadcast(starts), ["_shard", "_bucket"])  # a row a bucket: the texts are not shuffled again
         .select("_shard", "_start", F.posexplode("_rows").alias("_at", row))
         .select(
             f"{row}.*",
