@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
-from quire.functions.values import CATEGORIES, amount, chosen, iso_date
+from quire.functions.values import CATEGORIES, amount, bound, chosen, iso_date
 
 
 def grid_rows(items: pd.DataFrame) -> list[list[str]]:
@@ -63,11 +63,12 @@ def header_columns(rows: DataFrame, groups: list[list[str]], within: int = 30) -
     columns: for each group the place of the first cell that holds one of its words, from 0; null: none does.
     """
     low = F.transform("cells", lambda c: F.lower(F.coalesce(c, F.lit(""))))
-    holds = lambda c, group: F.exists(F.array(*map(F.lit, group)), lambda word: c.contains(word))
-    place = lambda group: F.array_position(F.transform(low, lambda c: holds(c, group)), True)
-    columns = F.array(*[F.when(place(group) > 0, (place(group) - 1).cast("int")) for group in groups])
-    early = rows.where(F.col("row_no") < within).withColumn("columns", columns)
-    enough = early.where(F.size(F.filter("columns", lambda c: c.isNotNull())) >= (len(groups) + 1) // 2)
+    holds = lambda c, group: reduce(lambda a, b: a | b, [c.contains(word) for word in group])
+    place = lambda low, group: F.nullif(F.array_position(F.transform(low, lambda c: holds(c, group)), True), F.lit(0)) - 1
+    columns = bound(low, lambda low: F.array(*[place(low, group).cast("int") for group in groups]))
+    # a look at the row as one text first (its signs between cells are in no word), for few rows are headers
+    met = bound(F.lower(F.concat_ws("\0", "cells")), lambda row: reduce(lambda a, b: a + b, [holds(row, group).cast("int") for group in groups]))
+    enough = rows.where((F.col("row_no") < within) & F.col("cells").isNotNull() & (met >= (len(groups) + 1) // 2)).withColumn("columns", columns)
     return enough.groupBy("doc_id").agg(F.min("row_no").alias("header_row"), F.min_by("columns", "row_no").alias("columns"))
 
 
@@ -146,16 +147,17 @@ def _time_entries(rows: DataFrame, kept: list[Column | str], cells: list[Column]
     """kept, and the typed columns of time sheets' lines that have a date; cells are columns of their own first, for they are read often."""
     named = [f"_cell{i}" for i in range(len(cells))]
     held = rows.select(*kept, *[F.coalesce(c, F.lit("")).alias(n) for c, n in zip(cells, named, strict=True)])
-    typed = held.select(*[c for c in held.columns if c not in named], *_time_entry([F.col(n) for n in named], ref_year, european))
-    return typed.where(F.col("date").isNotNull())
+    dates = F.array_compact(F.array(iso_date(F.col(named[0]), european, ref_year)))  # a date is worked out once, and the rest only where there is one
+    dated = held.select(*[c for c in held.columns if c != named[0]], F.explode(dates).alias(TIME_COLUMNS[0]))
+    return dated.select(*[c for c in held.columns if c not in named], TIME_COLUMNS[0], *_time_entry([F.col(n) for n in named[1:]], european))
 
 
-def _time_entry(cells: list[Column], ref_year: int, european: bool) -> list[Column]:
-    """Typed columns of a time sheet's line; the date is null where there is none."""
-    date, keeper, task, activity, hours, rate, total, said = cells
+def _time_entry(cells: list[Column], european: bool) -> list[Column]:
+    """Typed columns of a time sheet's line, but for its date."""
+    keeper, task, activity, hours, rate, total, said = cells
     codes = F.upper(F.regexp_replace(task, r"\s+", "")), F.upper(F.trim(activity))
-    typed = [iso_date(date, european, ref_year), F.trim(keeper), *codes, amount(hours, european), amount(rate, european), amount(total, european), F.trim(said)]
-    return [c.alias(name) for c, name in zip(typed, TIME_COLUMNS, strict=True)]
+    typed = [F.trim(keeper), *codes, amount(hours, european), amount(rate, european), amount(total, european), F.trim(said)]
+    return [c.alias(name) for c, name in zip(typed, TIME_COLUMNS[1:], strict=True)]
 
 
 def time_sheet_rows(rows: DataFrame, ref_year: int, european: bool = False) -> DataFrame:
