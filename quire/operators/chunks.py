@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, page_no int, chunk_no int, text string"
+NAMES, ROWS = ["doc_id", "page_no", "chunk_no", "text"], 200
 
 
 def windows_of(text: str, size: int, overlap: int) -> list[str]:
@@ -58,11 +60,18 @@ def paragraphs_of(text: str, longest: int, least: int) -> list[str]:
 
 
 def chunks(pages: DataFrame, cut, *sizes: int) -> DataFrame:
-    """doc_id, page_no, chunk_no, text: every page's chunks by ``cut``."""
+    """doc_id, page_no, chunk_no, text: every page's chunks by ``cut``; a null text has none.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Arrow batches are worked through and given back by slices of ``ROWS`` pages, so Python holds the chunks of these and no more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, p, k, t) for d, p, text in batch.itertuples(index=False) for k, t in enumerate(cut(text, *sizes))]
-            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "chunk_no", "text"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = [cut(t.as_py() or "", *sizes) for t in part.column("text")]
+                owner = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
+                numbers = np.concatenate([np.arange(len(f)) for f in found]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), part.column("page_no").take(pa.array(owner)), pa.array(numbers), pa.array([piece for f in found for piece in f], pa.string())], NAMES)
 
-    return pages.select("doc_id", F.col("page_no").cast("int"), "text").mapInPandas(run, SCHEMA)
+    return pages.select(F.col("doc_id").cast("long"), F.col("page_no").cast("int"), "text").mapInArrow(run, SCHEMA)
