@@ -18,7 +18,7 @@ from quire.llm.common import table, written
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents that score 0.3 or more go; rows that repeat score alike, so all of them go or stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select("text", F.struct("*").alias("_row")), model, ("_row",))
+    scored = toxicity.score(docs.select(F.struct("*").alias("_row")), model, ("_row",), inside="_row")
     return scored.where("score < 0.3").select("_row").select("_row.*")
 
 

@@ -108,18 +108,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, least_apa
     return {"weights": weights, "intercept": b}
 
 
-def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``carry`` and score of every document."""
+def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",), inside: str | None = None) -> DataFrame:
+    """The columns ``carry`` and score of every document; ``inside``: the one of them, a struct, that has the text, which then is moved once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([docs.schema[c] for c in carry]).add("_score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.array([logit(t.as_py(), **shared.value) for t in batch.column("_text")], np.float64)
-            scores = pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*map(batch.column, range(len(carry))), scores], [*carry, "_score"])
-
-    read = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("_text"))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column(inside).field("text") if inside else part.column("_text")
+                z = np.array([logit(t.as_py(), **shared.value) for t in texts], np.float64)
+                scores = pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())
+                yield pa.RecordBatch.from_arrays([*map(part.column, range(len(carry))), scores], [*carry, "_score"])
+
+    read = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if inside else [F.col("text").alias("_text")]))
     return read.mapInArrow(run, schema).withColumn("score", F.col("_score")).drop("_score")
 
 
