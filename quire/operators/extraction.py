@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
@@ -17,6 +17,12 @@ def any_of(patterns: dict[str, str]) -> str:
     return "|".join(f"(?:{P.java(p)})" for p in patterns.values())
 
 
+def any_held(text: Column, patterns: dict[str, str]) -> Column:
+    """Whether one of ``patterns`` is in the text: each looked for alone, and those of addresses only where there is an at sign."""
+    held = lambda p: text.contains("@") & text.rlike(P.java(p)) if p == P.PERSONAL_DATA["email"] else text.rlike(P.java(p))
+    return reduce(lambda a, b: a | b, map(held, patterns.values()), F.lit(False))
+
+
 def gate_of(patterns: dict[str, str]) -> str:
     """A cheap pattern that matches wherever one of ``patterns`` does: personal data has a digit or an at sign."""
     return "[0-9@]" if patterns and all(p in P.PERSONAL_DATA.values() for p in patterns.values()) else any_of(patterns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions.values import bates
-from quire.operators.extraction import any_of
+from quire.operators.extraction import any_held, any_of
 from quire.operators.sequence import lenient_range
 from quire.sources.tables import LINES_A_PAGE
 
@@ -70,7 +70,7 @@ CONDITIONS: dict[str, Step_] = {
     "always": lambda text: F.lit(True),
     "has-text": lambda text: F.length(F.regexp_replace(text, r"\s+", "")) >= 20,
     "scanned": lambda text: F.length(F.regexp_replace(text, r"\s+", "")) < 20,
-    "sensitive": lambda text: text.rlike(any_of(P.PERSONAL_DATA)),
+    "sensitive": lambda text: any_held(text, P.PERSONAL_DATA),
     "privilege": lambda text: text.rlike(P.java(P.PRIVILEGE)),
     "size-over": lambda text, megabytes=5.0: F.octet_length(text) / 1048576 > megabytes,
 }
@@ -97,12 +97,12 @@ def run(docs: DataFrame, steps: list[Step], text: str = "text") -> DataFrame:
 
 def leaks(docs: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
     """How many documents still match each pattern."""
-    return docs.agg(*[F.count_if(F.col(text).rlike(P.java(p))).alias(c) for c, p in patterns.items()])
+    return docs.agg(*[F.count_if(any_held(F.col(text), {c: p})).alias(c) for c, p in patterns.items()])
 
 
 def gate(docs: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
     """``docs`` if no text matches (null texts don't); the first text that does fails the job."""
-    clean = ~F.coalesce(F.col(text).rlike(any_of(patterns)), F.lit(False))
+    clean = ~F.coalesce(any_held(F.col(text), patterns), F.lit(False))
     return docs.withColumn(text, F.when(clean, F.col(text)).otherwise(F.raise_error(F.lit("a redacted value is still there"))))
 
 
@@ -110,4 +110,4 @@ def flatten(docs: DataFrame, clear_sensitive_first: bool = False, text: str = "t
     """``docs`` ready to be made part of a page: a text with a sensitive value fails the job, or is emptied if that is asked for."""
     if not clear_sensitive_first:
         return gate(docs, P.PERSONAL_DATA, text)
-    return docs.withColumn(text, F.when(F.col(text).rlike(any_of(P.PERSONAL_DATA)), "").otherwise(F.col(text)))
+    return docs.withColumn(text, F.when(any_held(F.col(text), P.PERSONAL_DATA), "").otherwise(F.col(text)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.operators import chunks as C
 from quire.operators import fuzzy, learning, pipeline, retrieval, router, sequence
-from quire.operators.extraction import any_of
+from quire.operators.extraction import any_held, any_of
 from quire.sources import opening
 from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, shared_dir, table
 from quire.streaming import feeds
@@ -441,7 +441,7 @@ def pipe4_redacted(spark, sf_dir):
 def pipe5_gate(spark, sf_dir):
     """Redact, then count what is left: nothing."""
     kept = {k: P.PERSONAL_DATA[k] for k in ("email", "ipAddress")}
-    done = documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", any_of(kept), "█"))
+    done = documents(spark, sf_dir).withColumn("text", F.when(any_held(F.col("text"), kept), F.regexp_replace("text", any_of(kept), "█")).otherwise(F.col("text")))
     return pipeline.leaks(pipeline.gate(done, kept), kept)
 
 
