@@ -375,6 +375,22 @@ def test_language_model_scores(spark):
     assert done == pytest.approx({i: score(tokens(t)) for i, t in rows}, abs=1e-6)
 
 
+def test_language_model_keeps_rare_states(spark):
+    """States that a large corpus seldom holds count as they do in a small one, whatever is split and numbered."""
+    own = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*own.choices(words, k=1100), *(f"seldom{i // 2} p{i // 2} q{i // 2} r s t".split() if i % 3 else []), *["of the old house"] * own.randint(0, 3)])) for i in range(120)] + [(500, None)]
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"\0end"]
+    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    assert sum(map(len, train)) > 3 << 15  # a context seen twice is less than one in 2**15 of the tokens
+    kept, score = tree_by_hand(train, 4)
+    assert any(len(c) > 1 and n == 2 for c, (n, *_) in kept.items())
+    want = pytest.approx({i: score(tokens(t)) for i, t in rows}, abs=1e-5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for sizes in ({}, {"most": 2000, "block": 5000}, {"most": 30, "most_words": 10, "block": 3000}):
+        assert {r.doc_id: r.score for r in language_model.scored(docs, **sizes).collect()} == want, sizes
+
+
 def test_language_model_gains(spark, sf_dir):
     done = queries.op8_language_model(spark, sf_dir).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert done[0] > done[1]
