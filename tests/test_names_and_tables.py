@@ -59,3 +59,11 @@ def test_masks(spark):
     rows = [("ssn", "123-45-6789"), ("phone", "5551234567"), ("creditCard", "4111 1111 1111 1111"), ("email", "bob@x.org"), ("email", "b@x.org"), ("iban", "DE89370400440532013000"), ("date", "01/02/2024"), ("iban", "DE8")]
     got = [r[0] for r in spark.createDataFrame(rows, "c string, t string").select(masked(F.col("c"), F.col("t"))).collect()]
     assert got == ["123-45-6789", "••••••4567", "•••• •••• •••• 1111", "b••@x.org", "b@x.org", "DE89••••••••••••••3000", "01/02/2024", "DE8DE8"]
+
+
+def test_names_in_long_lines(spark):
+    """Signs far along a line, and beyond long blanks, count as they do in a short one."""
+    line = "x " * 400 + "Signed by Ann Lee Park and Tom Ray Hill, Jr. and by" + " " * 700 + "Sue Kay Moon and Max Low Field" + " " * 700 + ", Esq. but Una May Reed" + " y" * 400
+    found = names(spark.createDataFrame([(1, line)], "doc_id long, line string"), NON_NAMES).collect()
+    assert all(line[r.start : r.start + r.length] == r.text for r in found)
+    assert {"Tom Ray Hill", "Sue Kay Moon", "Max Low Field"} <= {r.text for r in found} and "Una May Reed" not in {r.text for r in found}
