@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.tables import kept_aside
+
 #: words of at least four signs, lengths three apart at most, at least so alike; sure from ``SURE`` on with a lead of ``LEAD``
 SHORTEST, APART, LEAST, SURE, LEAD = 4, 3, 0.78, 0.88, 0.08
 #: words up to this length meet by rests; anchors and words from ``PIECES_FROM`` on also by pieces
@@ -108,6 +110,8 @@ def alike(words: DataFrame, anchors: DataFrame, least: float = LEAST) -> DataFra
     filed = F.broadcast(filed) if filed.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else filed
     lengths = [r[0] for r in held.select(F.length("anchor")).distinct().orderBy(F.length("anchor")).collect()]  # as many as words have lengths
     asked = words.where(F.length("word") >= SHORTEST).select("word", word_edits(F.col("word"), lengths, least).alias("_edits")).where(F.col("_edits").isNotNull()).distinct()
+    dealt = max(asked.sparkSession.sparkContext.defaultParallelism, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = asked.repartition(dealt)  # few bytes make much work, so by number and not by size
     met = asked.select("word", F.explode(word_keys(F.col("word"), F.col("_edits"), least)).alias("key")).join(filed, "key").select("word", "anchor").distinct()
     met = met.where(F.abs(F.length("word") - F.length("anchor")) <= APART)
     ratio = 1 - distance(F.col("word"), F.col("anchor")) / F.greatest(F.length("word"), F.length("anchor"))
@@ -120,8 +124,9 @@ def suggestions(tokens: DataFrame, anchors: DataFrame, keys: list[str], k: int =
     Each entry's best pair of a token and an anchor counts; the best ``k`` entries stay. decision: ``sure`` if the first is at least
     ``SURE`` and ``LEAD`` ahead of the second, else ``ask``.
     """
-    pairs = alike(tokens, anchors)
-    met = tokens.select(*keys, "word").distinct().join(pairs, "word").join(anchors.select("entry", "anchor").distinct(), "anchor")
+    pairs = kept_aside(alike(tokens, anchors), "alike")
+    pairs = F.broadcast(pairs) if pairs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else pairs
+    met = tokens.select(*keys, "word").join(pairs, "word").join(anchors.select("entry", "anchor").distinct(), "anchor")
     first = F.struct((-F.col("ratio")).alias("r"), "word", "anchor")
     best = met.groupBy(*keys, "entry").agg(F.max("ratio").alias("score"), F.min_by("word", first).alias("word"), F.min_by("anchor", first).alias("anchor"))
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "entry")

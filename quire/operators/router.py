@@ -1,7 +1,8 @@
 """Routing of requests: a waterfall of ever dearer means, where only what is still open goes on.
 
-What a row alone can tell (learned choices, names of entries, quotes, verbs) is one expression; edit distances are worked out for the
-words of open requests only, vectors compared for what is open then.
+What a row alone can tell (learned choices, names of entries, quotes, verbs) is one expression, kept as a table so that each text is
+read once; patterns run behind plain words. Edit distances are worked out for the words of open requests only, vectors compared for
+what is open then.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.operators import fuzzy
+from quire.sources.tables import kept_aside
 
 #: least score of a vector's best owner, the lead that it needs, and what the subject before adds in a follow-up
 LEAST, LEAD, BOOST = 0.42, 0.035, 0.05
@@ -28,6 +30,9 @@ NOUNS = [
     (r"(?i)\b(account\s+numbers?|bank\s+accounts?)\b", "account"),
     (r"(?i)\b(addresses?|street\s+addresses?|mailing\s+addresses?)\b", "address"),
 ]
+#: words of which each match of these patterns holds one, in small letters; a pattern of signs has the signs
+NOUN_WORDS = {"ssn": ["ssn", "social"], "phone": ["phone"], "email": ["email"], "dob": ["dob", "birth"], "credit card": ["credit", "card", "cc"], "account": ["account"], "address": ["address"]}
+QUOTED_SIGNS, REGEX_SIGNS, CUED_WORDS = ["\"", "“", "'", "‘"], ["/"], ["word", "phrase", "term", "string", "text", "exact"]
 REDACT = r"(?i)\bredact(?:s|ing|ion)?\b"
 ASKING = r"(?i)^\s*(?:analy[sz]e|examine|review)\b|^\s*summari[sz]e\b|^\s*(?:extract|pull)\b"
 QUOTED = r"[\"“'‘]([^\"”'’]{1,120})[\"”'’]"
@@ -65,25 +70,29 @@ def request_key(text: Column) -> Column:
     return F.array_join(F.slice(F.split(plain(text), " "), F.lit(1), F.lit(6)), " ")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(plain(text), " "), lambda w: (w != "") & ~w.isin(SKIPPED))
+def _words(plain_text: Column) -> Column:
+    return F.filter(F.split(plain_text, " "), lambda w: (w != "") & ~w.isin(SKIPPED))
 
 
-def _named(text: Column, entries: list[tuple[str, str, str]], kind: str) -> Column:
-    """The entry of ``kind`` whose longest anchor (three signs or more) is in the request as whole words, the first of equals; else null."""
-    anchors = [(len(a), -i, a, entry) for i, (entry, k, a) in enumerate(entries) if k == kind and len(a) >= 3]
-    if not anchors:
-        return F.lit(None).cast("string")
-    held = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(a).alias("anchor"), F.lit(e).alias("entry")) for n, i, a, e in anchors])
-    return F.array_max(F.filter(held, lambda a: F.concat(F.lit(" "), plain(text), F.lit(" ")).contains(F.concat(F.lit(" "), a["anchor"], F.lit(" ")))))["entry"]
+def _named(padded: Column, entries: list[tuple[str, str, str]], kind: str) -> Column:
+    """The entry of ``kind`` whose longest anchor (three signs or more) is in the plain request (between spaces) as whole words, the first of equals; else null."""
+    out = F.lit(None).cast("string")
+    for anchor, entry in sorted(((a, e) for e, k, a in entries if k == kind and len(a) >= 3), key=lambda x: -len(x[0]))[::-1]:
+        out = F.when(padded.contains(f" {anchor} "), entry).otherwise(out)
+    return out
+
+
+def _any_of(low: Column, words: list[str]) -> Column:
+    """Whether one of ``words`` is in the text in small letters: what a pattern needs, and cheaper."""
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
 
-def _by_words(text: Column, entries: list[tuple[str, str, str]]) -> Column:
-    """The route (``ROUTE``) that the request's words, and the columns learned and lane, give; null: open."""
+def _by_words(text: Column, low: Column) -> Column:
+    """The route (``ROUTE``) that the request's words, and the columns noun, tool, topic, learned and lane, give; null: open."""
     holds = lambda p: text.rlike(P.java(p))
     part = lambda p, i=1: F.nullif(F.trim(F.regexp_extract(text, P.java(p), i)), F.lit(""))
     route = lambda stage, kind, target, score=1.0: F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), (target if isinstance(target, Column) else F.lit(target)).cast("string").alias("target"), F.lit(score).alias("score")).cast(ROUTE)
-    noun = _noun(text)
+    noun = F.col("_noun")
     meaning = reduce(lambda a, b: a | b, map(holds, MEANING))
     acts = holds(ACTION) & ~holds(FINDING)
     rest = F.trim(F.regexp_replace(text, P.java(FIND), ""))
@@ -98,11 +107,11 @@ def _by_words(text: Column, entries: list[tuple[str, str, str]]) -> Column:
         (F.col("tool").isNotNull(), route("exact", "tool", F.col("tool"))),
         (F.col("topic").isNotNull(), route("exact", "topic", F.col("topic"))),
         (holds(ASKING), route("verb", "ask", None)),
-        (part(QUOTED).isNotNull(), route("quoted", "literal", part(QUOTED))),
-        (holds(REGEX), route("regex", "literal", F.coalesce(part(REGEX), part(REGEX, 2)))),
-        (part(CUED).isNotNull(), route("cued", "literal", part(CUED))),
+        (_any_of(text, QUOTED_SIGNS) & part(QUOTED).isNotNull(), route("quoted", "literal", part(QUOTED))),
+        (_any_of(text, REGEX_SIGNS) & holds(REGEX), route("regex", "literal", F.coalesce(part(REGEX), part(REGEX, 2)))),
+        (_any_of(low, CUED_WORDS) & part(CUED).isNotNull(), route("cued", "literal", part(CUED))),
         (holds(FIND) & meaning & ~acts, route("meaning", "semantic", F.coalesce(F.nullif(rest, F.lit("")), text))),
-        (holds(FIND) & ~meaning & ~acts & (bare != "") & (F.size(_words(bare)) <= 3), route("bare", "literal", bare)),
+        (holds(FIND) & ~meaning & ~acts & (bare != "") & (F.size(_words(plain(bare))) <= 3), route("bare", "literal", bare)),
     ]
     out = F.lit(None).cast(ROUTE)
     for holds_, there in reversed(cases):
@@ -110,10 +119,10 @@ def _by_words(text: Column, entries: list[tuple[str, str, str]]) -> Column:
     return out
 
 
-def _noun(text: Column) -> Column:
+def _noun(text: Column, low: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, term in reversed(NOUNS):
-        out = F.when(text.rlike(P.java(pattern)), term).otherwise(out)
+        out = F.when(_any_of(low, NOUN_WORDS[term]) & text.rlike(P.java(pattern)), term).otherwise(out)
     return out
 
 
@@ -124,16 +133,19 @@ def routed(requests: DataFrame, keys: list[str], entries: list[tuple[str, str, s
     scores: (keys, owner, score) of vectors. A request that nothing settles is to be clarified.
     """
     none = lambda name: F.col(name) if name in requests.columns else F.lit(None).cast("string")
-    text = F.trim("text")
-    read = requests.select(*keys, text.alias("text"), none("last_entry").alias("last_entry"), none("last_find").alias("last_find")).withColumns({"_key": request_key(F.col("text")), "_noun": _noun(F.col("text")), "tool": _named(F.col("text"), entries, "tool"), "topic": _named(F.col("text"), entries, "topic")})
+    text, low = F.col("text"), F.col("_low")
+    read = requests.select(*keys, F.trim("text").alias("text"), none("last_entry").alias("last_entry"), none("last_find").alias("last_find"))
+    read = read.withColumns({"_low": F.lower(text), "_padded": F.concat(F.lit(" "), plain(text), F.lit(" "))})
+    read = read.withColumns({"_key": request_key(text), "_noun": _noun(text, low), "tool": _named(F.col("_padded"), entries, "tool"), "topic": _named(F.col("_padded"), entries, "topic")})
     left = lambda rows, other, on, name: rows.join(other.toDF(on, name), on, "left") if other is not None else rows.withColumn(name, F.lit(None).cast("string"))
     read = left(left(read, learned, "_key", "learned"), lanes, "_noun", "lane")
-    follows = F.col("last_entry").isNotNull() & (F.col("text") != "") & (F.col("text").rlike(PRONOUN) | (F.col("text").rlike(P.java(FOLLOWING)) & ~F.col("text").rlike(P.java(TOOLS))) | ((F.size(_words(F.col("text"))) <= 3) & ~F.col("text").rlike(P.java(TOOLS))))
-    told = read.select(*keys, "text", "last_entry", follows.alias("follows"), _by_words(F.col("text"), entries).alias("route"))
-    open_ = told.where(F.col("route").isNull())
+    follows = F.col("last_entry").isNotNull() & (text != "") & (text.rlike(PRONOUN) | (text.rlike(P.java(FOLLOWING)) & ~text.rlike(P.java(TOOLS))) | ((F.size(_words(plain(text))) <= 3) & ~text.rlike(P.java(TOOLS))))
+    told = read.select(*keys, "_padded", "last_entry", follows.alias("follows"), _by_words(text, low).alias("route"))
+    words = F.when(F.col("route").isNull() & ~F.col("follows"), _words(F.col("_padded")))
+    told = kept_aside(told.select(*keys, "last_entry", "follows", "route", words.alias("words")), "routes")
 
-    words = open_.where(~F.col("follows")).select(*keys, F.explode(_words(F.col("text"))).alias("word"))
-    anchors = open_.sparkSession.createDataFrame([(e, w) for e, kind, a in entries if kind == "tool" for w in a.split(" ") if len(w) >= fuzzy.SHORTEST], "entry string, anchor string")
+    words = told.select(*keys, F.explode("words").alias("word"))
+    anchors = told.sparkSession.createDataFrame([(e, w) for e, kind, a in entries if kind == "tool" for w in a.split(" ") if len(w) >= fuzzy.SHORTEST], "entry string, anchor string")
     near = fuzzy.suggestions(words, anchors, keys).where("rank = 1")
     near = near.select(*keys, F.struct(F.lit("fuzzy"), F.when(F.col("decision") == "sure", "tool").otherwise("typo"), "entry", "score").cast(ROUTE).alias("_near"))
     done = told.join(near, keys, "left").withColumn("route", F.coalesce("route", "_near")).drop("_near")

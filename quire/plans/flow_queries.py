@@ -12,7 +12,7 @@ from quire.operators import chunks as C
 from quire.operators import fuzzy, learning, pipeline, retrieval, router, sequence
 from quire.operators.extraction import any_held, any_of
 from quire.sources import opening
-from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, shared_dir, table
+from quire.sources.tables import LINES_SQL, PAGES_SQL, documents, lines, page_texts, shared_dir, spread, table
 from quire.streaming import feeds
 
 from .registry import query, sql_query
@@ -152,7 +152,7 @@ _OWNERS = ["redact", "sanitize", "watermark", "outline", "compare", "bookmarks",
 def _requests(spark, sf_dir):
     """The turns, and requests (negative numbers)."""
     own = spark.createDataFrame([(-1 - i, 0, said) for i, said in enumerate(_ASKED)], "conv_id long, turn long, text string")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(own)
+    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).unionByName(own)
 
 
 def _owner_scores(spark, sf_dir):
@@ -161,8 +161,9 @@ def _owner_scores(spark, sf_dir):
     means = vectors.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("m"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     owner = F.get(F.array(*map(F.lit, _OWNERS)), (F.col("label") % len(_OWNERS)).cast("int"))
-    near = vectors.select(F.col("vec_id").alias("conv_id"), "v").join(F.broadcast(means.select(owner.alias("owner"), "m")))  # as many means as labels
-    scored = near.select("conv_id", "owner", (dot("v", "m") / F.sqrt(dot("v", "v")) / F.sqrt(dot("m", "m"))).alias("score"))
+    size = lambda v: F.sqrt(dot(v, v))
+    near = vectors.select(F.col("vec_id").alias("conv_id"), "v", size("v").alias("s")).join(F.broadcast(means.select(owner.alias("owner"), "m", size("m").alias("t"))))  # as many means as labels
+    scored = near.select("conv_id", "owner", (dot("v", "m") / F.col("s") / F.col("t")).alias("score"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn").join(scored, "conv_id")
 
 
