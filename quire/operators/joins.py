@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.tables import kept_aside
 
 GRAM, MOST_BROADCAST = 3, 200_000
 
@@ -13,35 +14,50 @@ def contained_needles(texts: DataFrame, needles: DataFrame, text_id: str, needle
     """Distinct (text_id, needle_id) where the needle (three signs at least, any case) is part of the text.
 
     ``encoded``: the needle as it is written, its UTF-8 or UTF-16BE bytes as hexadecimal digits (any case, from an even digit of a run
-    of digits on), or its UTF-16BE bytes as signs. An index of grams joins them: each form is filed under the one of its grams that the
-    fewest forms have, and a text looks up its own distinct grams; only what shares that gram is compared. Neither side passes
-    through the driver.
+    of digits on), or its UTF-16BE bytes as signs. An index joins them: each form is filed under one key that a text with the form has
+    too, and a text looks up its own distinct keys; only what shares that key is compared. Keys are whole words (what stands between two
+    spaces inside the form), three bytes of a run of digits, and runs of three signs for forms without an inner word; texts are cut
+    into the last only if there are such forms. Neither side passes through the driver.
     """
     needle = needles.where(F.length("text") >= GRAM).select(F.col(needle_id).cast("bigint").alias(needle_id), (F.col("text") if encoded else F.lower("text")).alias("needle")).distinct()
-    forms = needle.select(needle_id, F.explode(_forms(F.col("needle"), encoded)).alias("f")).select(needle_id, "f.*")
-    filed = forms.select(needle_id, "form", "low", "hex", F.explode(_grams(F.col("form"))).alias("gram"))
-    held = filed.groupBy("gram").agg(F.count("*").alias("n"))
-    entries = filed.join(held, "gram").groupBy(needle_id, "form", "low", "hex").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    if entries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        entries = F.broadcast(entries)
+    forms = needle.select(needle_id, F.explode(_forms(F.col("needle"), encoded)).alias("f")).select(needle_id, "f.*").withColumn("words", _inner_words(F.col("form")))
+    by_sign = ~F.col("hex") & (F.size("words") == 0)
+    keys = F.when(F.col("hex"), _byte_grams(F.col("form"))).when(by_sign, _grams(F.col("form"))).otherwise(F.col("words"))
+    filed = forms.select(needle_id, "form", "low", "hex", by_sign.alias("by_sign"), F.explode(F.array_distinct(keys)).alias("key"))
+    held = filed.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = F.min_by("key", F.struct("n", -F.length("key"), "key"))  # of equally rare ones the longest
+    entries = kept_aside(filed.join(held, "key").groupBy(needle_id, "form", "low", "hex", "by_sign").agg(rarest.alias("key")), "needles")
+    signs = entries.where("by_sign").limit(1).count() > 0
+    small = entries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    entries = entries.drop("by_sign")
+
     read = texts.select(text_id, F.col("text").alias("_text"), F.lower("text").alias("_low"))
-    both = F.array_union(_grams(F.col("_low")), _grams(F.col("_text"))) if encoded else _grams(F.col("_low"))
-    met = read.select(text_id, "_text", "_low", F.explode(both).alias("gram")).join(entries, "gram")
+    of = F.col("_text") if encoded else F.col("_low")
+    own = [F.split(of, " "), *([_byte_grams(F.col("_low"))] if encoded else []), *([_grams(of)] if signs else [])]
+    each = F.explode(F.array_distinct(F.concat(*own))).alias("key")  # as one expression: a column of keys takes twice the time
+    if small:
+        met = read.select(text_id, "_text", "_low", each).join(F.broadcast(entries), "key")
+    else:  # no text moves with each of its keys
+        met = read.select(text_id, each).join(entries, "key").join(read, text_id)
     within = F.when(F.col("low"), F.col("_low")).otherwise(F.col("_text")).contains(F.col("form"))
-    aligned = ~F.col("hex") | F.exists(F.regexp_extract_all("_low", F.lit("[0-9a-f]+"), F.lit(0)), lambda run: _at_even(run, F.col("form")))
+    aligned = ~F.col("hex") | F.regexp_like("_low", F.concat(F.lit("(?:^|[^0-9a-f])(?:[0-9a-f]{2})*?"), F.col("form")))
     return met.where(within & aligned).select(text_id, needle_id).distinct()
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of three signs; the signs of a text are split once."""
-    of_signs = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(s) - GRAM), lambda i: F.concat(F.get(s, i), F.get(s, i + 1), F.get(s, i + 2))))
-    signs = F.transform(F.array(F.split(text, "")), of_signs)[0]
-    return F.when(F.length(text) >= GRAM, signs).otherwise(F.array().cast("array<string>"))
+def _inner_words(form: Column) -> Column:
+    """What stands between two spaces: every text with ``form`` has these as whole words."""
+    words = F.split(form, " ")
+    return F.array_remove(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), "")
+
 
+def _byte_grams(text: Column) -> Column:
+    """Three bytes each, from every even digit of the runs of hexadecimal digits on."""
+    return F.regexp_extract_all(text, F.lit(r"(?=([0-9a-f]{6}))(?:\G|(?<![0-9a-f]))[0-9a-f]{2}"), F.lit(1))
 
-def _at_even(run: Column, form: Column) -> Column:
-    """Whether ``form`` begins at an even place of ``run``, that is, on a byte."""
-    return run.contains(form) & F.regexp_like(run, F.concat(F.lit("^(?:..)*?"), form))
+
+def _grams(text: Column) -> Column:
+    """The runs of three signs."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)(?=(...))"), F.lit(1))
 
 
 def _forms(needle: Column, encoded: bool) -> Column:
