@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, written
+from .common import arrow_rows, id_remainder, written
 from .hashing import U64, mix, word_hashes
 
 #: logs of two: training tokens from which on a context is split, words with numbers
@@ -40,6 +40,8 @@ LEAST = 2
 SHIFT, LOW = 32, (1 << 32) - 1
 END = U64(0x51A7E0FE11D0C5)
 ROWS, SLICE = 1 << 16, 1 << 20
+#: tokens that are worked on at a time, texts of an Arrow batch: they bound the memory of a task
+CHUNK, TEXTS = 1 << 17, 2000
 ZSTD = "zstd"
 
 
@@ -95,7 +97,11 @@ def encoded(docs: DataFrame, shared, norm: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        logs = np.append(np.log10((words.counts + 0.1) / norm), 0.0)
+        logs = np.zeros(len(words.counts) + 1)
+        known = logs[:-1]
+        np.add(words.counts, 0.1, out=known)
+        known /= norm
+        np.log10(known, out=known)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -154,15 +160,17 @@ class Level:
 
 def joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of several texts in one array, each one's place in its text, and where texts start."""
-    symbol = np.frombuffer(b"".join(blobs), np.int32).astype(np.int64)
+    symbol = np.frombuffer(bytearray().join(blobs), np.int32)
     lengths = np.array([len(b) // 4 for b in blobs], np.int64)
     starts = np.cumsum(lengths) - lengths
-    return symbol, np.arange(len(symbol)) - np.repeat(starts, lengths), starts
+    index = np.arange(len(symbol), dtype=np.int32)
+    index -= np.repeat(starts.astype(np.int32), lengths)
+    return symbol, index, starts
 
 
 def back(symbol: np.ndarray, index: np.ndarray, k: int, end: int) -> np.ndarray:
     """For each token, by its place in its text, the one ``k`` before it: an end stands before the first, and nothing (-1) before that."""
-    out = np.full(len(symbol), -1, np.int64)
+    out = np.full(len(symbol), -1, symbol.dtype)
     out[k:] = symbol[:-k]
     out[index < k] = -1
     out[index == k - 1] = end
@@ -185,7 +193,7 @@ def retained(keys: np.ndarray, n: np.ndarray, steps: np.ndarray, counts: np.ndar
 
 
 class Tokens:
-    """The tokens of several texts: ``codes[k]``, numbers of the ones ``k`` before them (0: their own), texts' rows, training counts of words without a place.
+    """The tokens of several texts: ``codes[k]``, numbers of the ones ``k`` before them (0: their own), their texts, training counts of words without a place.
 
     A word seen less than ``LEAST`` times is in no state: its code is -2 and less by its count, and -1, none, stands for it and all before it.
     """
@@ -197,18 +205,19 @@ class Tokens:
         counts = np.zeros(len(rare), np.int64)
         counts[place] = c[c >= LEAST]
         self.first_rare, self.rare, self.rare_counts = len(words.counts), rare, counts
+        self.counts = np.concatenate([words.counts, counts]) if len(rare) else words.counts
         codes = -2 - c
         codes[c >= LEAST] = self.first_rare + place
         symbol[symbol < 0] = codes
-        self.hashes = np.concatenate([words.words, rare.view(U64)])
+        self.hashes = np.concatenate([words.words, rare.view(U64)]) if len(rare) else words.words
         end = int(words.at(np.array([END]))[0])
         self.codes = np.empty((depth + 1, len(symbol)), np.int32)
         self.codes[0] = symbol
         for k in range(1, depth + 1):
             self.codes[k] = back(symbol, index, k, end)
             self.codes[k][(self.codes[k] < 0) | ((self.codes[k - 1] < 0) if k > 1 else False)] = -1
-        lengths = np.diff(starts, append=len(symbol))
-        self.rows = np.repeat(part.column("row").to_numpy(), lengths)
+        self.row = part.column("row").to_numpy()
+        self.text = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=len(symbol)))
 
 
 def packed(codec: pa.Codec, numbers: np.ndarray) -> bytes:
@@ -251,6 +260,12 @@ class Split:
 
     def walk(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's longest retained split context, and whether its part of the tree ends there as the next one is not retained."""
+        nodes, ends = np.zeros(codes.shape[1], np.int32), np.zeros(codes.shape[1], bool)
+        for a in range(0, len(nodes), CHUNK):
+            nodes[a : a + CHUNK], ends[a : a + CHUNK] = self.walked(codes[:, a : a + CHUNK])
+        return nodes, ends
+
+    def walked(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         node, on = np.zeros(codes.shape[1], np.int64), np.ones(codes.shape[1], bool)
         ends = np.zeros(codes.shape[1], bool)
         for k, (keys, nodes) in enumerate(self.levels, 1):
@@ -276,8 +291,8 @@ def split_counts(train: DataFrame, words, split: Split, depth: int, most: int) -
                 for kind, code in enumerate((t.codes[0], t.codes[k + 1]) if k < depth else (t.codes[0],)):
                     ok = (node >= first) & (code >= 0)
                     if kind:
-                        ok[ok] = np.concatenate([words.value.counts, t.rare_counts])[code[ok]] > most  # else none of them is split
-                    keys, n = np.unique(node[ok] << SHIFT | code[ok], return_counts=True)
+                        ok[ok] = t.counts[code[ok]] > most  # else none of them is split
+                    keys, n = np.unique(node[ok].astype(np.int64) << SHIFT | code[ok], return_counts=True)
                     yield from in_rows([np.full(len(keys), kind, np.int64), keys >> SHIFT, t.hashes[keys & LOW].view(np.int64), n.astype(np.int64)], ["kind", "node", "word", "n"])
 
     return train.mapInArrow(run, "kind long, node long, word long, n long").groupBy("kind", "node", "word").agg(F.sum("n").alias("n"))
@@ -340,21 +355,25 @@ def dealt(texts: DataFrame, shared_words, split: Split, first: np.ndarray, block
                 at = level[node]
                 for k in range(1, depth + 1):
                     t.codes[k][(at >= k) | ends] = -1  # known of the block, or without a part in its tree
-                older = np.take_along_axis(t.codes, np.minimum(at + 1, depth)[None], 0)[0].astype(np.int64)
-                older[at >= depth] = -1
-                by = mix(np.where(older >= 0, t.hashes[older], t.rows.view(U64)))
-                block = first[node] + (by % blocks[node].astype(U64)).astype(np.int64)
-                order = np.argsort(block << SHIFT | older & LOW, kind="stable")
-                codes, rows, block = t.codes[:, order], t.rows[order], block[order]
+                place = np.empty(len(node), np.int64)
+                for a in range(0, len(node), CHUNK):
+                    own = slice(a, a + CHUNK)
+                    older = np.take_along_axis(t.codes[:, own], np.minimum(at[own] + 1, depth)[None], 0)[0].astype(np.int64)
+                    older[at[own] >= depth] = -1
+                    by = mix(np.where(older >= 0, t.hashes[older], t.row[t.text[own]].view(U64)))
+                    place[own] = first[node[own]] + (by % blocks[node[own]].astype(U64)).astype(np.int64) << SHIFT | older & LOW
+                order = np.argsort(place, kind="stable").astype(np.int32)
+                block = place[order] >> SHIFT
+                del node, ends, at, place
                 edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
                 out: list[list] = [[], [], [], [], [], []]
                 for a, b in zip(edges, edges[1:], strict=False):
-                    own = codes[:, a:b].copy()
+                    own, rows = t.codes[:, order[a:b]], t.row[t.text[order[a:b]]]
                     is_rare = own >= t.first_rare
                     named, place = np.unique(own[is_rare], return_inverse=True)
                     own[is_rare] = -2 - LEAST - place
                     own[1] = np.diff(own[1], prepend=np.int32(0))  # in order, so differences are small
-                    values = (block[a], b - a, packed(codec, own), packed(codec, rows[a:b]), t.rare[named - t.first_rare], t.rare_counts[named - t.first_rare])
+                    values = (block[a], b - a, packed(codec, own), packed(codec, rows), t.rare[named - t.first_rare], t.rare_counts[named - t.first_rare])
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
                 types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -365,48 +384,68 @@ def dealt(texts: DataFrame, shared_words, split: Split, first: np.ndarray, block
 
 def undealt(table: pa.Table, depth: int, numbered: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers and rows of a block's tokens, hashes (sorted) of the words numbered from ``numbered`` on, and counts of these and of the numbers after them, for words in no state."""
-    codec = pa.Codec(ZSTD)
-    sizes = table.column("n").to_pylist()
-    each = [unpacked(codec, c.as_py(), n * (depth + 1), np.int32).reshape(depth + 1, n) for c, n in zip(table.column("codes"), sizes, strict=True)]
-    for codes in each:
-        codes[1] = np.cumsum(codes[1], dtype=np.int32)
-    codes = np.concatenate(each, axis=1).astype(np.int64)
-    rows = np.concatenate([unpacked(codec, r.as_py(), n, np.int64) for r, n in zip(table.column("rows"), sizes, strict=True)])
+    codec, sizes = pa.Codec(ZSTD), table.column("n").to_pylist()
     lists = table.column("rare").combine_chunks()
     rare, place = np.unique(flat(lists), return_inverse=True)
     counts = np.zeros(len(rare), np.int64)
     counts[place] = flat(table.column("rare_c").combine_chunks())
-    if len(rare):
-        lengths = np.array([len(x) for x in lists], np.int64)
-        starts = np.broadcast_to(np.repeat(np.cumsum(lengths) - lengths, sizes), codes.shape)
-        is_rare = codes < -1 - LEAST
-        codes[is_rare] = numbered + place[starts[is_rare] - 2 - LEAST - codes[is_rare]]
-    seldom = codes[0] < -1
-    codes[0][seldom] = numbered + len(rare) - 2 - codes[0][seldom]
+    codes, rows = np.empty((depth + 1, sum(sizes)), np.int32), np.empty(sum(sizes), np.int64)
+    at = start = 0
+    for code, row, n, own_rare in zip(table.column("codes"), table.column("rows"), sizes, lists, strict=True):
+        own = codes[:, at : at + n]
+        own[:] = unpacked(codec, code.as_py(), n * (depth + 1), np.int32).reshape(depth + 1, n)
+        own[1] = np.cumsum(own[1], dtype=np.int32)
+        is_rare = own < -1 - LEAST
+        own[is_rare] = numbered + place[start - 2 - LEAST - own[is_rare]]
+        seldom = own[0] < -1
+        own[0][seldom] = numbered + len(rare) - 2 - own[0][seldom]
+        rows[at : at + n] = unpacked(codec, row.as_py(), n, np.int64)
+        at, start = at + n, start + len(own_rare)
     return codes, rows, rare, np.append(counts, np.arange(LEAST))
 
 
 def grown(codes: np.ndarray, train: np.ndarray, p: np.ndarray, above: int, seldom: int) -> np.ndarray:
     """P of each token in its longest retained context, where ``p`` is that of the context of ``above`` tokens which all share; numbers from ``seldom`` on are in no state."""
-    p, some = p.copy(), np.arange(codes.shape[1])
+    p = p.copy()
+    if above + 1 >= len(codes):
+        return p
+    order = np.argsort(codes[above + 1], kind="stable").astype(np.int32)
+    older, a = codes[above + 1][order], int((codes[above + 1] < 0).sum())
+    while a < len(order):  # contexts as a whole, so each part has a tree of its own
+        b = min(a + CHUNK, len(order))
+        b = int(np.searchsorted(older, older[b - 1], side="right"))
+        grow(codes, order[a:b], train, p, above, seldom)
+        a = b
+    return p
+
+
+def grow(codes: np.ndarray, some: np.ndarray, train: np.ndarray, p: np.ndarray, above: int, seldom: int) -> None:
+    """Puts into ``p`` what ``grown`` gives for the tokens ``some``: all those of some contexts of ``above`` + 1 tokens."""
     context = np.zeros(len(some), np.int64)
     for k in range(above + 1, len(codes)):
         older = codes[k][some]
         some, context, older = some[older >= 0], context[older >= 0], older[older >= 0]
         key, symbol, counts_here = context << SHIFT | older, codes[0][some], train[some]
+        del context, older
         keys, n = np.unique(key[counts_here], return_counts=True)
         keys, n = keys[n >= LEAST], n[n >= LEAST]
         place = Level.find(keys, key)
-        seen = np.flatnonzero((place >= 0) & counts_here & (symbol < seldom))
-        steps, at, counts = np.unique(place[seen] << SHIFT | symbol[seen], return_index=True, return_counts=True)
+        seen = np.flatnonzero((place >= 0) & counts_here & (symbol < seldom)).astype(np.int32)
+        steps = place[seen]
+        del place
+        steps <<= SHIFT
+        steps |= symbol[seen]
+        steps, at, counts = np.unique(steps, return_index=True, return_counts=True)
         often = counts >= LEAST
         level = retained(keys, n.astype(np.float64), steps[often], counts[often], p[some[seen[at[often]]]])
+        del seen, steps, at, counts, often
         context = Level.find(level.keys, key)
         some, context, symbol = some[context >= 0], context[context >= 0], symbol[context >= 0]
         if not len(some):
             break
-        p[some] = level.after(context, symbol, p[some])
-    return p
+        for a in range(0, len(some), CHUNK):
+            own = some[a : a + CHUNK]
+            p[own] = level.after(context[a : a + CHUNK], symbol[a : a + CHUNK], p[own])
 
 
 def block_scores(tokens_: DataFrame, chains: DataFrame, shared_words, split: Split, first: np.ndarray, norm: float, depth: int) -> DataFrame:
@@ -420,18 +459,28 @@ def block_scores(tokens_: DataFrame, chains: DataFrame, shared_words, split: Spl
         words, (split, first) = shared_words.value, shared.value
         numbered = len(words.counts)
         codes, rows, rare, counts = undealt(table, depth, numbered)
-        symbol = codes[0]
-        p = (np.concatenate([words.counts, counts])[symbol] + 0.1) / norm
         node = int(np.searchsorted(first, key[0].as_py(), side="right")) - 1
         word, level, n = (steps.column(c).to_numpy() for c in ("word", "level", "n"))
         code = words.at(word.view(U64)).astype(np.int64)
         other = Level.find(rare, word)
         code = np.where(code < 0, np.where(other >= 0, numbered + other, -1), code)
+        chain = []
         for k, above in enumerate(split.chain(node), 1):
             own = np.flatnonzero((level == k) & (code >= 0))
             own = own[np.argsort(code[own])]
-            p = Level(np.zeros(1, np.int64), np.array([split.n[above]]), np.array([split.kept[above]]), code[own], n[own].astype(np.float64)).after(np.zeros(len(symbol), np.int64), symbol, p)
+            chain.append(Level(np.zeros(1, np.int64), np.array([split.n[above]]), np.array([split.kept[above]]), code[own], n[own].astype(np.float64)))
+        p = np.empty(len(rows))
+        for a in range(0, len(rows), CHUNK):
+            symbol = codes[0, a : a + CHUNK]
+            has = symbol < numbered
+            own = np.empty(len(symbol))
+            own[has], own[~has] = words.counts[symbol[has]], counts[symbol[~has] - numbered]
+            own = (own + 0.1) / norm
+            for above in chain:
+                own = above.after(np.zeros(len(symbol), np.int64), symbol, own)
+            p[a : a + CHUNK] = own
         p = grown(codes, (rows & 1) == 0, p, split.level[node], numbered + len(rare))
+        del codes
         found, at = np.unique(rows, return_inverse=True)
         return pa.table([pa.array(found), pa.array(np.bincount(at, np.log10(p), len(found)))], schema=names)
 
@@ -452,7 +501,8 @@ def scored(docs: DataFrame, folds: int = 10, held_out: int = 0, depth: int = 4,
     """
     spark = docs.sparkSession
     marked = docs.select("doc_id", "text", (id_remainder(F.col("doc_id"), folds) == held_out).alias("held_out"))
-    vocab = written(vocabulary(marked.where("not held_out")), "vocabulary")
+    with arrow_rows(spark, TEXTS):
+        vocab = written(vocabulary(marked.where("not held_out")), "vocabulary")
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     norm = total + 0.1 * (distinct + 1)
     least = least_numbered(vocab, most_words, most)
@@ -461,11 +511,12 @@ def scored(docs: DataFrame, folds: int = 10, held_out: int = 0, depth: int = 4,
     words = Words(frequent.column("word").to_numpy().view(U64), frequent.column("c").to_numpy())
     shared_words = spark.sparkContext.broadcast(words)
     parts = []
-    for bit, part in enumerate((marked.where("not held_out"), marked.where("held_out"))):  # the last bit of a row's number tells
-        rows = encoded(part, shared_words, norm).withColumn("row", F.monotonically_increasing_id() * 2 + bit)
-        parts.append(with_rare(rows, vocab.where(~numbered), norm, once=not bit and least == LEAST).select("row", "doc_id", "held_out", "places", "rare", "rare_c", "n_tokens", "n_known", "base"))
-    texts = written(parts[0].unionByName(parts[1]), "encoded")
-    split, steps = split_contexts(texts.where("not held_out"), vocab, shared_words, total, norm, depth, most)
+    with arrow_rows(spark, TEXTS):
+        for bit, part in enumerate((marked.where("not held_out"), marked.where("held_out"))):  # the last bit of a row's number tells
+            rows = encoded(part, shared_words, norm).withColumn("row", F.monotonically_increasing_id() * 2 + bit)
+            parts.append(with_rare(rows, vocab.where(~numbered), norm, once=not bit and least == LEAST).select("row", "doc_id", "held_out", "places", "rare", "rare_c", "n_tokens", "n_known", "base"))
+        texts = written(parts[0].unionByName(parts[1]), "encoded")
+        split, steps = split_contexts(texts.where("not held_out"), vocab, shared_words, total, norm, depth, most)
     block = block or min(MOST_BLOCK, max(LEAST_BLOCK, total // BLOCKS))
     blocks = np.maximum(1, -(-np.array(split.n, np.int64) // block))
     blocks[0] = max(1, -(-(total - int(sum(split.n[i] for i in range(len(split.n)) if split.level[i] == 1))) // block))

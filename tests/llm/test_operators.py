@@ -391,6 +391,60 @@ def test_language_model_keeps_rare_states(spark):
         assert {r.doc_id: r.score for r in language_model.scored(docs, **sizes).collect()} == want, sizes
 
 
+def drawn_tokens(n, words):
+    """``n`` tokens of few words, each with four before it: some have fewer, one context holds a third."""
+    import numpy as np
+
+    own = np.random.default_rng(8)
+    codes = (own.pareto(1.0, (5, n)) * 20).clip(0, words - 1).astype(np.int32)
+    codes[1][: n // 3] = 7
+    for k in range(1, 5):
+        codes[k][own.random(n) < 0.05] = -1
+        codes[k][(codes[k - 1] < 0) & (k > 1)] = -1
+    likely = own.random(n) < 0.8
+    codes[0][likely] = (codes[1:4, likely].sum(axis=0) // 40 * 7 % 50).astype(np.int32)
+    return codes, own.random(n) < 0.9, np.bincount(codes[0], minlength=words)[codes[0]] / n
+
+
+def test_language_model_trees_by_parts(monkeypatch):
+    codes, train, p = drawn_tokens(20_000, 500)
+    want = language_model.grown(codes, train, p, 0, 500)
+    assert (want != p).mean() > 0.1
+    monkeypatch.setattr(language_model, "CHUNK", 300, raising=False)
+    assert language_model.grown(codes, train, p, 0, 500) == pytest.approx(want, rel=1e-12)
+    assert (language_model.grown(codes, train, p, 4, 500) == p).all()
+    one = codes[:, codes[1] == 9], train[codes[1] == 9], p[codes[1] == 9]
+    assert language_model.grown(*one, 0, 500) == pytest.approx(want[codes[1] == 9], rel=1e-12)
+
+
+def test_language_model_memory():
+    """A block of a million tokens, and a slice of texts, take some dozens of bytes a token."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def bytes_each(n, work):
+        tracemalloc.start()
+        try:
+            work()
+            return tracemalloc.get_traced_memory()[1] / n
+        finally:
+            tracemalloc.stop()
+
+    n = 1 << 20
+    codes, train, p = drawn_tokens(n, 5000)
+    codes[1][: n // 3] = np.arange(n // 3) % 5000
+    assert bytes_each(n, lambda: language_model.grown(codes, train, p, 0, 5000)) < 60
+    words = language_model.Words(np.append(np.arange(1, 5000, dtype=np.uint64), language_model.END), np.arange(5000, 0, -1))
+    texts = [codes[0][a : a + 512] for a in range(0, n, 512)]
+    empty = pa.array([[] for _ in texts], pa.list_(pa.int64()))
+    part = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary()), empty, empty, pa.array(range(len(texts)), pa.int64())], ["places", "rare", "rare_c", "row"])
+    split = language_model.Split(n)
+    split.levels.append((np.arange(8), np.arange(1, 9)))
+    assert bytes_each(n, lambda: split.walk(language_model.Tokens(part, words, 4).codes)) < 60
+
+
 def test_language_model_gains(spark, sf_dir):
     done = queries.op8_language_model(spark, sf_dir).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert done[0] > done[1]
