@@ -281,19 +281,22 @@ def split_counts(train: DataFrame, words, split: Split, depth: int, most: int) -
     """(kind, node, word, n): how often each word follows (kind 0) and precedes (kind 1) the contexts of the last level of ``split``."""
     shared = train.sparkSession.sparkContext.broadcast(split)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         split, k = shared.value, len(shared.value.levels)
         first = min(split.levels[-1][1])
+        t = Tokens(part, words.value, depth)
+        node, _ = split.walk(t.codes)
+        for kind, code in enumerate((t.codes[0], t.codes[k + 1]) if k < depth else (t.codes[0],)):
+            ok = (node >= first) & (code >= 0)
+            if kind:
+                ok[ok] = t.counts[code[ok]] > most  # else none of them is split
+            keys, n = np.unique(node[ok].astype(np.int64) << SHIFT | code[ok], return_counts=True)
+            yield from in_rows([np.full(len(keys), kind, np.int64), keys >> SHIFT, t.hashes[keys & LOW].view(np.int64), n.astype(np.int64)], ["kind", "node", "word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                t = Tokens(part, words.value, depth)
-                node, _ = split.walk(t.codes)
-                for kind, code in enumerate((t.codes[0], t.codes[k + 1]) if k < depth else (t.codes[0],)):
-                    ok = (node >= first) & (code >= 0)
-                    if kind:
-                        ok[ok] = t.counts[code[ok]] > most  # else none of them is split
-                    keys, n = np.unique(node[ok].astype(np.int64) << SHIFT | code[ok], return_counts=True)
-                    yield from in_rows([np.full(len(keys), kind, np.int64), keys >> SHIFT, t.hashes[keys & LOW].view(np.int64), n.astype(np.int64)], ["kind", "node", "word", "n"])
+                yield from counted(part)
 
     return train.mapInArrow(run, "kind long, node long, word long, n long").groupBy("kind", "node", "word").agg(F.sum("n").alias("n"))
 
@@ -344,40 +347,43 @@ def dealt(texts: DataFrame, shared_words, split: Split, first: np.ndarray, block
     """The tokens of each slice of texts by block: numbers and rows (packed), hashes and counts of words without a place."""
     shared = texts.sparkSession.sparkContext.broadcast((split, first, blocks))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_block(part: pa.RecordBatch) -> pa.RecordBatch:
         split, first, blocks = shared.value
-        level = np.array(split.level)
         codec = pa.Codec(ZSTD, 1)
+        t = Tokens(part, shared_words.value, depth)
+        node, ends = split.walk(t.codes)
+        at = np.array(split.level, np.int8)[node]
+        for k in range(1, depth + 1):
+            t.codes[k][(at >= k) | ends] = -1  # known of the block, or without a part in its tree
+        place = np.empty(len(node), np.int64)
+        for a in range(0, len(node), CHUNK):
+            own = slice(a, a + CHUNK)
+            older = np.take_along_axis(t.codes[:, own], np.minimum(at[own] + 1, depth)[None], 0)[0].astype(np.int64)
+            older[at[own] >= depth] = -1
+            by = mix(np.where(older >= 0, t.hashes[older], t.row[t.text[own]].view(U64)))
+            place[own] = first[node[own]] + (by % blocks[node[own]].astype(U64)).astype(np.int64) << SHIFT | older & LOW
+        del node, ends, at
+        order = np.argsort(place, kind="stable")
+        place >>= SHIFT
+        block = place[order]
+        del place
+        edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
+        out: list[list] = [[], [], [], [], [], []]
+        for a, b in zip(edges, edges[1:], strict=False):
+            own, rows = t.codes[:, order[a:b]], t.row[t.text[order[a:b]]]
+            is_rare = own >= t.first_rare
+            named, place = np.unique(own[is_rare], return_inverse=True)
+            own[is_rare] = -2 - LEAST - place
+            own[1] = np.diff(own[1], prepend=np.int32(0))  # in order, so differences are small
+            values = (block[a], b - a, packed(codec, own), packed(codec, rows), t.rare[named - t.first_rare], t.rare_counts[named - t.first_rare])
+            for column, value in zip(out, values, strict=True):
+                column.append(value)
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["block", "n", "codes", "rows", "rare", "rare_c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                t = Tokens(part, shared_words.value, depth)
-                node, ends = split.walk(t.codes)
-                at = level[node]
-                for k in range(1, depth + 1):
-                    t.codes[k][(at >= k) | ends] = -1  # known of the block, or without a part in its tree
-                place = np.empty(len(node), np.int64)
-                for a in range(0, len(node), CHUNK):
-                    own = slice(a, a + CHUNK)
-                    older = np.take_along_axis(t.codes[:, own], np.minimum(at[own] + 1, depth)[None], 0)[0].astype(np.int64)
-                    older[at[own] >= depth] = -1
-                    by = mix(np.where(older >= 0, t.hashes[older], t.row[t.text[own]].view(U64)))
-                    place[own] = first[node[own]] + (by % blocks[node[own]].astype(U64)).astype(np.int64) << SHIFT | older & LOW
-                order = np.argsort(place, kind="stable").astype(np.int32)
-                block = place[order] >> SHIFT
-                del node, ends, at, place
-                edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
-                out: list[list] = [[], [], [], [], [], []]
-                for a, b in zip(edges, edges[1:], strict=False):
-                    own, rows = t.codes[:, order[a:b]], t.row[t.text[order[a:b]]]
-                    is_rare = own >= t.first_rare
-                    named, place = np.unique(own[is_rare], return_inverse=True)
-                    own[is_rare] = -2 - LEAST - place
-                    own[1] = np.diff(own[1], prepend=np.int32(0))  # in order, so differences are small
-                    values = (block[a], b - a, packed(codec, own), packed(codec, rows), t.rare[named - t.first_rare], t.rare_counts[named - t.first_rare])
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["block", "n", "codes", "rows", "rare", "rare_c"])
+            yield from map(by_block, slices(batch))  # nothing of a slice is kept for the next
 
     return texts.mapInArrow(run, "block long, n long, codes binary, rows binary, rare array<long>, rare_c array<long>")
 
