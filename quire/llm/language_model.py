@@ -235,8 +235,9 @@ def flat(lists) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``SLICE`` tokens."""
-    of = np.cumsum(batch.column("n_tokens").to_numpy()) // SLICE
+    """Parts of a batch of about ``SLICE`` tokens each, of equal size."""
+    ends = np.cumsum(batch.column("n_tokens").to_numpy())
+    of = (ends - 1) // -(-ends[-1:] // np.maximum(1, np.rint(ends[-1:] / SLICE).astype(np.int64)))
     edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
@@ -533,7 +534,8 @@ def scored(docs: DataFrame, folds: int = 10, held_out: int = 0, depth: int = 4,
         lines = [(int(first[i]) + b, k, above) for i in range(1, len(blocks)) for b in range(int(blocks[i])) for k, above in enumerate(split.chain(i), 1)]
         chains = steps.join(F.broadcast(spark.createDataFrame(lines, "block long, level int, node long")), "node").select("block", "level", "word", "n")
     parts = block_scores(dealt(texts, shared_words, split, first, blocks, depth), chains, shared_words, split, first, norm, depth)
-    sums = parts.groupBy("row").agg(F.sum("model").alias("model"))
+    with arrow_rows(spark, TEXTS):
+        sums = written(parts.groupBy("row").agg(F.sum("model").alias("model")), "sums")
     return texts.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base").join(sums, "row").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"),
     )
